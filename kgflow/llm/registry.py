@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from kgflow.llm import op04_mixing, op05_ngram_jaccard, op06_token_counts, op09_url_filters, op10_exact_dedup
+from kgflow.llm import op02_html_extraction, op04_mixing, op05_ngram_jaccard, op06_token_counts, op08_quality_gam, op09_url_filters, op10_exact_dedup
 
 QUERIES = {
+    "op2_html_extraction": op02_html_extraction.query,
     "op4_mixing": op04_mixing.query,
     "op5_ngram_jaccard": op05_ngram_jaccard.query,
     "op6_token_counts": op06_token_counts.query,
+    "op8_quality_gam": op08_quality_gam.query,
     "op9_url_filters": op09_url_filters.query,
     "op10_exact_dedup": op10_exact_dedup.query,
 }
