@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from kgflow.llm import op02_html_extraction, op04_mixing, op05_ngram_jaccard, op06_token_counts, op08_quality_gam, op09_url_filters, op10_exact_dedup
+from kgflow.llm import op01_bpe, op02_html_extraction, op04_mixing, op05_ngram_jaccard, op06_token_counts, op08_quality_gam, op09_url_filters, op10_exact_dedup
 
 QUERIES = {
+    "op1_bpe": op01_bpe.query,
     "op2_html_extraction": op02_html_extraction.query,
     "op4_mixing": op04_mixing.query,
     "op5_ngram_jaccard": op05_ngram_jaccard.query,
