@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +60,32 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: spreads 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sorted_groups(batches, keys: list[str]):
+    """The groups of a partition that is sorted by the keys, each whole."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        while len(pdf):
+            key = pdf[keys].iloc[0]
+            if held and not (held[0][keys].iloc[0] == key).all():
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            changes = np.flatnonzero((pdf[keys] != key).any(axis=1).to_numpy())
+            cut = int(changes[0]) if len(changes) else len(pdf)
+            held.append(pdf.iloc[:cut])
+            pdf = pdf.iloc[cut:]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _local_forest(batches):
     """Union-find over the edges of one partition; gives (child, parent) to each node's smallest node."""
-    import pandas as pd
-
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:

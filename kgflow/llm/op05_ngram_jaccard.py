@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from kgflow.llm.common import connected_components, table, written
+from kgflow.llm.common import connected_components, mix64, sorted_groups, table, written
 
 BAND_RATIO = 1.6
 #: Rows of a cluster that one task compares at once.
@@ -45,13 +45,6 @@ class _WordHashes(dict):
         return h
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64: spreads 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, k: int, hashes: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle, one without words none."""
     words = (text or "").encode().lower().split()  # bytes: lowers A-Z only, splits at ASCII white space only
@@ -61,7 +54,7 @@ def shingle_set(text: str | None, k: int, hashes: dict) -> np.ndarray:
     width = min(k, len(w))
     acc = np.full(len(w) - width + 1, width, np.uint64)
     for j in range(width):
-        acc = _mix((acc + w[j : len(w) - width + 1 + j]) * np.uint64(0x9E3779B97F4A7C15))
+        acc = mix64((acc + w[j : len(w) - width + 1 + j]) * np.uint64(0x9E3779B97F4A7C15))
     return np.unique(acc)
 
 
@@ -103,11 +96,11 @@ def segment_signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """
     out = []
     for band, m, spare in bands.of(len(s)):
-        mixed = _mix(s)
+        mixed = mix64(s)
         segment = (mixed % np.uint64(m)).astype(np.int64)
         total, count = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
-        np.add.at(total, segment, _mix(mixed + np.uint64(0x1234567)))
-        sig = _mix(total + _mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)) + count.astype(np.uint64))
+        np.add.at(total, segment, mix64(mixed + np.uint64(0x1234567)))
+        sig = mix64(total + mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)) + count.astype(np.uint64))
         out.append(sig if (count == 0).sum() > spare else sig[count > 0])
     return np.concatenate(out)
 
@@ -142,7 +135,7 @@ def _sets_and_tiles(k: int, num: int, den: int, buckets: int):
         blobs = [sig[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(sig)], strict=True)]
         yield rows(0, bucket[cut], blob=blobs)
         if len(child):
-            yield rows(1, _mix(child.astype(np.uint64)).astype(np.int64) % buckets, doc_id=child, n=head)
+            yield rows(1, mix64(child.astype(np.uint64)).astype(np.int64) % buckets, doc_id=child, n=head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen, sigs, nodes, held = _WordHashes(), Bands(num, den), set(), [], [], 0
@@ -242,26 +235,9 @@ def spanning_links(shingles: list[bytes], num: int, den: int) -> list[tuple[int,
     return links
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a partition that is sorted by the keys, each whole."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        while len(pdf):
-            key = pdf[keys].iloc[0]
-            if held and not (held[0][keys].iloc[0] == key).all():
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            changes = np.flatnonzero((pdf[keys] != key).any(axis=1).to_numpy())
-            cut = int(changes[0]) if len(changes) else len(pdf)
-            held.append(pdf.iloc[:cut])
-            pdf = pdf.iloc[cut:]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _compare_blocks(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "block"]):
+        for g in sorted_groups(batches, ["cluster", "block"]):
             ids = g["doc_id"].to_numpy()
             links = spanning_links(g["shingles"].tolist(), num, den)
             yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
@@ -273,7 +249,7 @@ def _compare_across(num: int, den: int):
     """Blocks of a residue (side 0) against blocks of the whole cluster (side 1); pairs of one component are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "r", "c"]):
+        for g in sorted_groups(batches, ["cluster", "r", "c"]):
             ids, side, component = g["doc_id"].to_numpy(), g["side"].to_numpy(), g["component"].to_numpy().copy()
             sets, sizes, maps = _unpack(g["shingles"].tolist())
             whole, a, b = np.flatnonzero(side == 1), [], []
