@@ -1,4 +1,9 @@
 """Every registered query over the driver's tables, with SQL that says the same."""
 
+from kgflow.queries import joins
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (joins,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
