@@ -71,6 +71,7 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, share:
     sources = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    sources, _ = written(sources, "mix-sources")  # a table whose size Spark knows when it picks the joins below
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = sums.withColumn("upto", F.sum("bucket_size").over(by_bucket))
     upto = upto.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("upto > rest")
@@ -84,12 +85,13 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, share:
     last = last.withColumn("upto", F.col("before") + F.sum("size").over(within))
     last = last.where("upto <= rest").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cutoff"), F.max("upto").alias("upto"))
     plan = plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.withColumn("gap", F.col("rest") - F.coalesce("upto", "before"))
+    plan, _ = written(plan.withColumn("gap", F.col("rest") - F.coalesce("upto", "before")), "mix-plan")
     p = plan.withColumnRenamed("source", "s")
     left = rows.join(p, F.col("source").eqNullSafe(F.col("s"))).where(~_in_epoch() & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
     extra = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "doc_id")).alias("extra"))
     plan = plan.join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    return plan.select("source", "source_size", "target", "epochs", "rest", "end_bucket", "cutoff", F.struct("extra.key", "extra.doc_id").alias("extra"))
+    plan = plan.select("source", "source_size", "target", "epochs", "rest", "end_bucket", "cutoff", F.struct("extra.key", "extra.doc_id").alias("extra"))
+    return written(plan, "mix-plan")[0]
 
 
 def _in_epoch() -> Column:
