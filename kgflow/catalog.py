@@ -1,9 +1,9 @@
 """Every registered query over the driver's tables, with SQL that says the same."""
 
-from kgflow.queries import joins
+from kgflow.queries import joins, merge
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (joins,):
+for _module in (joins, merge):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
