@@ -281,8 +281,8 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
 
     A cluster of one block is compared whole.  A larger one is compared block by block,
     then the smallest rows of its components in blocks of their own as long as that
-    joins some; then all rows outside the largest component against the whole cluster,
-    so that no link between components is missed.
+    halves their number; then all rows outside the largest component against the whole
+    cluster, so that no link between components is missed.
     """
     dealt, _ = written(_in_blocks(features, 0, block), "ngram-blocks")
     links, _ = written(_links_in_blocks(dealt, num, den), "ngram-links")
@@ -295,20 +295,24 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
         named = large.select("cluster", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         return written(named.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-components")[0]
 
-    known = components(links)
-    sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    seed = 1
+    known, seed, before = components(links), 1, None
     while True:
         heads = known.where("doc_id = component").select("cluster", "doc_id")
         many = heads.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-        again = large.join(heads.join(many, "cluster").select("doc_id"), "doc_id")
-        more, _ = written(_links_in_blocks(_in_blocks(again.select("cluster", "doc_id", "shingles"), seed, block), num, den), "ngram-links")
-        seed += 1
+        heads, _ = written(heads.join(many, "cluster").select("doc_id"), "ngram-heads")
+        left = heads.count()
+        if before is not None and 2 * left > before:
+            break
+        before = left
+        again = large.join(heads, "doc_id").select("cluster", "doc_id", "shingles")
+        more, _ = written(_links_in_blocks(_in_blocks(again, seed, block), num, den), "ngram-links")
         if more.isEmpty():
             break
-        links = links.union(more)
+        links, seed = links.union(more), seed + 1
         known = components(links)
-        sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    if not left:
+        return links
+    sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rows = large.join(known.drop("cluster"), "doc_id").join(main, "cluster")
     outside = rows.where("component <> main")
@@ -347,7 +351,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for side in ("a", "b"):
         tiles = tiles.join(rep.withColumnRenamed("doc_id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     clusters = connected_components(tiles).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = source.join(clusters, "doc_id")
+    members = source.hint("merge").join(clusters, "doc_id")  # the clusters grow with the corpus and are not broadcast
     features, _ = written(members.select("cluster", "doc_id", "text").mapInArrow(_features(k), "cluster long, doc_id long, shingles binary"), "ngram-features")
     found = connected_components(verified_links(features, num, den))
     named = sets.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
