@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from kgflow.llm.common import table, written
+from kgflow.llm.common import scratch_path, table
 
 #: Characters of text that a block holds, if it does not hold a single longer document.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 20_000_000
 #: Distinct words that a task remembers while it encodes.
 CACHE = 1_000_000
 #: Bytes of decoded text that a batch of results holds.
@@ -102,7 +103,7 @@ def _split(buckets: int):
                 blob = b"\1" + len(part).to_bytes(4, "little") + np.array([len(p) for p in part], "<u4").tobytes() + b"".join(part)
             else:
                 blob = b"\0" + listed.encode()
-            add(block=block, bucket=k, words=zstandard.compress(blob, 1))
+            add(block=block, bucket=k, words=zstandard.compress(blob, 9))
         none = np.array([x is None for x in ids], np.uint8)
         add(block=block, bucket=buckets, homes=_pack(home), codes=_pack(rank[flat]), ids=np.array([x or 0 for x in ids], "<i8").tobytes(), sizes=_pack(sizes), nulls=none.tobytes())
         return pa.record_batch([pa.array(rows[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
@@ -161,7 +162,7 @@ def _encode(path: str):
                     known[w] = np.array(e.ids, np.uint32)
                 got = [known[w] for w in words]
                 counts = np.fromiter(map(len, got), np.uint32, len(got))
-                yield pa.record_batch([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), pa.array([_pack(counts)], pa.binary()), pa.array([_pack(np.concatenate(got))], pa.binary())], names=["block", "bucket", "words", "homes"])
+                yield pa.record_batch([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), pa.array([_pack(counts)], pa.binary()), pa.array([_pack(np.concatenate(got))], pa.binary())], names=["block", "bucket", "counts", "tokens"])
 
     return run
 
@@ -189,21 +190,17 @@ def pieces(tokenizer) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table), np.uint8), np.fromiter(map(len, table), np.int64, len(table))
 
 
-def _join_back(path: str, buckets: int):
+def _join_back(path: str):
     """Blocks with the ids of their words: ids and decoded text of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_bytes, piece_lens = pieces(load(path))
         piece_starts = _starts(piece_lens)
-        block, answers = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != block:
-                    block, answers = row["block"], {}
-                if row["bucket"] < buckets:
-                    answers[row["bucket"]] = (_unpack(row["words"]), _unpack(row["homes"]))
-                    continue
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                answers = {a["bucket"]: (_unpack(a["counts"]), _unpack(a["tokens"])) for a in row["answers"] or []}
                 home, codes, sizes = _unpack(row["homes"]), _unpack(row["codes"]), _unpack(row["sizes"]).astype(np.int64)
                 ids, null = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8).astype(bool)
                 by_home = np.argsort(home, kind="stable")
@@ -243,13 +240,17 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     spark, path = docs.sparkSession, path or default_path()
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made, _ = written(source.mapInArrow(_split(buckets), _DDL), "bpe-blocks")
+    blocks = source.mapInArrow(_split(buckets), _DDL)
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(parts, "block").option("path", scratch_path(spark, "bpe-blocks")).saveAsTable(name)
+    made = spark.table(name)
     lists = made.where(F.col("bucket") < buckets).select("block", "bucket", "words")
-    answers = lists.repartition("bucket").mapInArrow(_encode(path), "block long, bucket int, words binary, homes binary")
-    blocks = made.where(F.col("bucket") == buckets).drop("words")
-    met = answers.unionByName(blocks, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
-    met = met.select("block", "bucket", "words", "homes", "codes", "ids", "sizes", "nulls")
-    return met.mapInArrow(_join_back(path, buckets), "doc_id long, ids array<int>, decoded string")
+    encoded = lists.repartition("bucket").mapInArrow(_encode(path), "block long, bucket int, counts binary, tokens binary")
+    answers = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "tokens")).alias("answers"))
+    held = made.where(F.col("bucket") == buckets).select("block", "homes", "codes", "ids", "sizes", "nulls")
+    # the table is laid out by block, so the positions stay where they are and only the answers move
+    return held.hint("merge").join(answers, "block", "left").mapInArrow(_join_back(path), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
