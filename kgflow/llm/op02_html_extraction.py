@@ -35,6 +35,8 @@ BLOCKS = {
     "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd",
     "table", "tr", "td", "th", "figure", "figcaption", "header", "body", "html", "center", "address", "details", "summary", "hgroup",
 }
+#: Elements that hold running text; before anything is learned, they cost little.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "figure", "figcaption", "br"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Parts of class names and ids that tell what is no article text.
 NAMES = {
@@ -137,7 +139,7 @@ class Weights:
         counts = counts or {}
         share = lambda kind, key, prior: (n := counts.get((kind, key), (0, 0))) and (n[0] + 10 * prior) / (n[0] + n[1] + 10)
         self.word = {c: 2 * share("text", c, 0.9 if not c.startswith("a:") else 0.4) - 1 for c in [*BLOCKS, *("a:" + b for b in BLOCKS)]}
-        self.tag = {t: -0.05 - 0.95 * (1 - share("tag", t, 0.6)) for t in BLOCKS | INLINE | NO_TEXT | VOID}
+        self.tag = {t: -0.05 - 0.95 * (1 - share("tag", t, 0.95 if t in PROSE or t in INLINE else 0.6)) for t in BLOCKS | INLINE | NO_TEXT | VOID}
 
     def scores(self, seq: list[tuple[str, str, str, bool, bool]]) -> list[float]:
         known = any(x[4] for x in seq)  # the page declares its article
