@@ -161,3 +161,22 @@ def cosine(a: Column, b: Column) -> Column:
 def parse_vector(text: Column) -> Column:
     """A comma-joined vector as an array of floats."""
     return F.transform(F.split(text, ","), lambda x: x.try_cast("float"))
+
+
+def extract_slots(text: Column, synonyms: Mapping[str, str], lines: Sequence[str], default_line: str, letters: str = r"D?K") -> Column:
+    """struct(position, line, category) of a question: a range before a point; the first line named, else the default;
+    the category of the longest synonym that occurs.  ``letters`` is the pattern of position prefixes."""
+    point = rf"{letters}\d+\+\d+(?:\.\d+)?"
+    position = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (rf"{point}\s*[~～至]\s*{point}", point)])
+    line = F.coalesce(*[F.when(F.contains(text, F.lit(x)), F.lit(x)) for x in lines], F.lit(default_line))
+    category = F.coalesce(*[F.when(F.contains(text, F.lit(s)), F.lit(synonyms[s])) for s in sorted(synonyms, key=lambda s: (-len(s), s))])
+    return F.struct(position.alias("position"), line.alias("line"), category.alias("category"))
+
+
+def threshold_flag(probability: Column, threshold: float = 0.6) -> Column:
+    return F.coalesce(probability >= threshold, F.lit(False))
+
+
+def filter_assessment_by_type(assessments: Column, kind: Column, key: str) -> Column:
+    """From a JSON array of objects the first whose ``key`` is the wanted type, as a map."""
+    return F.get(F.filter(F.from_json(assessments, "array<map<string,string>>"), lambda m: m[key] == kind), F.lit(0))

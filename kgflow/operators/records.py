@@ -100,3 +100,23 @@ def render_prompts(templates: DataFrame, contexts: DataFrame) -> DataFrame:
 
     rows = contexts.join(F.broadcast(templates), "scenario").select("id", "ord", render(F.col("content"), F.col("variables")).alias("line"))
     return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def extract_chunks(chunks: DataFrame, mappings: Mapping[str, Sequence[NodeMapping]], patterns: Mapping[str, Sequence[tuple[str, str, str]]]) -> tuple[DataFrame, DataFrame]:
+    """chunks(chunk_id, document_type, file_type, text, metadata): (nodes, rejects).
+
+    Records go through the mapping of their document type, texts through its patterns; chunks without either are rejected.
+    """
+    from kgflow.operators.segment import regex_extract_nodes
+
+    out = None
+    for kind, maps in mappings.items():
+        rows = chunks.where((F.col("file_type") == "json") & (F.col("document_type") == kind)).select("chunk_id", F.col("text").alias("json"), "metadata")
+        n = map_json_nodes(rows, maps).select("chunk_id", "node_type", "attributes")
+        out = n if out is None else out.unionByName(n)
+    for kind, pats in patterns.items():
+        rows = chunks.where((F.col("file_type") != "json") & (F.col("document_type") == kind)).select(F.col("chunk_id").alias("doc_id"), "text")
+        n = regex_extract_nodes(rows, pats).dropDuplicates(["doc_id", "node_type", "attribute", "value"]).select(F.col("doc_id").alias("chunk_id"), "node_type", F.create_map("attribute", "value").alias("attributes"))
+        out = n if out is None else out.unionByName(n)
+    routed = ((F.col("file_type") == "json") & F.col("document_type").isin(*mappings)) | ((F.col("file_type") != "json") & F.col("document_type").isin(*patterns))
+    return out, chunks.where(~F.coalesce(routed, F.lit(False))).select("chunk_id", F.lit("no extractor").alias("reason"))

@@ -52,3 +52,14 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, on: str, hidden, out,
     rows = rows.withColumn("key_score", cosine(F.col("q_key"), F.col("v_key")))
     rows = fuse_scores(rows.withColumn("w", weight_gate(F.col("key_score"), F.col("similarity"), hidden, out)), "similarity", "key_score", "w")
     return top_k(rows.select("query_id", "node_id", "similarity", "key_score", "score"), "query_id", "score", k, "node_id")
+
+
+def lexicon_fallback(entities: Column, tagged: Column, text: Column) -> Column:
+    """The text to embed for a question: its entities, else its lexicon terms, else itself."""
+    return F.coalesce(F.nullif(entities, F.lit("")), F.nullif(tagged, F.lit("")), text)
+
+
+def recommend(found: DataFrame, names: DataFrame) -> DataFrame:
+    """found(query_id, node_id, score, rank), names(node_id, name): per query its results in order, with ranks from 1."""
+    rows = found.join(names, "node_id", "left")
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "name"))).alias("results"))
