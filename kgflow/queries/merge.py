@@ -68,9 +68,10 @@ def merge_global(spark, d):
     return m.select("merge_key", "node_id", F.col("attributes")["day"].alias("day"), "confidence", F.size("source_chunks").cast("long").alias("n_chunks"), F.size("all_node_ids").cast("long").alias("n_ids"), F.get("source_chunks", F.lit(0)).alias("first_chunk"))
 
 
-@query(f"WITH {_N} SELECT node_type, day, min(node_id) AS kept_id, count(*) AS n, list_sort(list(node_id)) AS node_ids FROM n GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_N} SELECT node_type, day, min(node_id) AS kept_id, count(*) AS n, string_agg(node_id, '|' ORDER BY node_id) AS node_ids FROM n GROUP BY ALL HAVING count(*) > 1")
 def dedup_by_property(spark, d):
-    return M.dedup_by_property(nodes(spark, d).withColumn("day", F.col("attributes")["day"]), "day")
+    found = M.dedup_by_property(nodes(spark, d).withColumn("day", F.col("attributes")["day"]), "day")
+    return found.withColumn("node_ids", F.array_join("node_ids", "|"))
 
 
 @query(f"WITH {_N} SELECT source_file, node_type, string_agg(DISTINCT status, '；' ORDER BY status) AS status, string_agg(DISTINCT qty, '；' ORDER BY qty) FILTER (qty <> '') AS qty, string_agg(DISTINCT day, '；' ORDER BY day) AS day FROM n GROUP BY ALL")
@@ -123,10 +124,11 @@ def merge_change_nodes(spark, d):
     return _flat(M.merge_change_nodes(nodes(spark, d)), "node_id")
 
 
-@query(f"WITH {_N} SELECT source_file, node_type, string_agg(DISTINCT day, '；' ORDER BY day) AS text, list_sort(list_distinct(flatten([list(qty), list(status)]))) AS keywords FROM n GROUP BY ALL")
+@query(f"WITH {_N} SELECT source_file, node_type, string_agg(DISTINCT day, '；' ORDER BY day) AS text, array_to_string(list_sort(list_distinct(flatten([list(qty), list(status)]))), '|') AS keywords FROM n GROUP BY ALL")
 def merge_response_nodes(spark, d):
     a = F.col("attributes")
-    return M.merge_response_nodes(nodes(spark, d).select("source_file", "node_type", a["day"].alias("text"), F.array(a["qty"], a["status"]).alias("keywords")))
+    merged = M.merge_response_nodes(nodes(spark, d).select("source_file", "node_type", a["day"].alias("text"), F.array(a["qty"], a["status"]).alias("keywords")))
+    return merged.withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query(f"WITH {_N} SELECT source_file, node_type, arg_min(node_id, (-section, node_id)) AS node_id, max(section) AS section FROM n GROUP BY ALL")
@@ -166,11 +168,11 @@ def stratified_split(spark, d):
 
 
 @query(f"""WITH {_C}, y AS (SELECT text, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM documents)
-SELECT md5(text) AS text_md5, list_sort(list(DISTINCT split)) AS splits FROM y GROUP BY text HAVING count(DISTINCT split) > 1""")
+SELECT md5(text) AS text_md5, string_agg(DISTINCT split, '|' ORDER BY split) AS splits FROM y GROUP BY text HAVING count(DISTINCT split) > 1""")
 def leakage_check(spark, d):
     r = F.col("doc_id") % 10
     docs = table(spark, d, "documents").select("text", F.when(r < 6, "train").when(r < 8, "val").otherwise("test").alias("split"))
-    return C.leakage_check(docs).select(F.md5("text").alias("text_md5"), "splits")
+    return C.leakage_check(docs).select(F.md5("text").alias("text_md5"), F.array_join("splits", "|").alias("splits"))
 
 
 @query(f"WITH {_S} SELECT split, label, count(*) AS n FROM x GROUP BY ROLLUP (split, label)")
@@ -184,7 +186,7 @@ def confusion_metrics(spark, d):
     return C.confusion_metrics(_corpus(spark, d).select("label", (F.length("text") > 600).cast("int").alias("predicted")))
 
 
-@query("SELECT count(*) AS n, sum(quality) AS total FROM labels")
+@query("SELECT count(*) AS n, sum(quality)::BIGINT AS total FROM labels")
 def scan_labeled_corpus(spark, d):
     lines = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.concat_ws(" ", "text", "quality").alias("value"))
     rows, _ = C.scan_labeled_lines(lines)

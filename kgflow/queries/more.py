@@ -104,6 +104,6 @@ def except_processed(spark, d):
     return t.select("source").exceptAll(t.where("lang <> 'en'").select("source"))
 
 
-@query("SELECT lang, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY 1")
+@query("SELECT lang, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM documents GROUP BY 1")
 def distinct_values(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))

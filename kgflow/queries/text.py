@@ -8,6 +8,7 @@ from kgflow.functions import text as T
 from kgflow.operators import lexicon as L
 from kgflow.operators import segment as S
 from kgflow.queries.graph import table
+from kgflow.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -153,8 +154,15 @@ def resolve_overlaps(spark, d):
     return L.resolve_overlaps(_hits(spark, d, ROOTS))
 
 
+def _stored(spans):
+    """Spans as a table, since several steps read them."""
+    path = scratch_path(spans.sparkSession, "spans")
+    spans.write.parquet(path)
+    return spans.sparkSession.read.schema(spans.schema).parquet(path)
+
+
 def _assigned(spark, d):
-    roots, attrs = L.resolve_overlaps(_hits(spark, d, ROOTS)), L.resolve_overlaps(_hits(spark, d, ATTRS))
+    roots, attrs = (_stored(L.resolve_overlaps(_hits(spark, d, terms))) for terms in (ROOTS, ATTRS))
     return roots, L.assign_nearest(roots, attrs, L.normalise(docs(spark, d)))
 
 
@@ -171,11 +179,11 @@ def assign_nearest(spark, d):
 
 @query(f"{_NEAR}, y AS (SELECT doc_id, root_start, s, term, CASE WHEN term = 'ofer' THEN ['joint', 'weathering'] WHEN term = 'onthe' THEN ['strength'] ELSE ['unknown'] END AS cs FROM z WHERE rn = 1 AND root_start IS NOT NULL),"
        " u AS (SELECT doc_id, root_start, unnest(cs) AS category, term, s FROM y), v AS (SELECT doc_id, root_start, category, term, min(s) AS pos FROM u GROUP BY ALL)"
-       " SELECT doc_id, root_start, category, list(term ORDER BY pos) AS terms FROM v GROUP BY ALL")
+       " SELECT doc_id, root_start, category, string_agg(term, '|' ORDER BY pos) AS terms FROM v GROUP BY ALL")
 def aggregate_attrs(spark, d):
     cats = spark.createDataFrame([("ofer", ["joint", "weathering"]), ("onthe", ["strength"])], "term string, categories array<string>")
     bags = L.aggregate_attrs(_assigned(spark, d)[1], cats)
-    return bags.select("doc_id", "root_start", F.explode("attributes").alias("category", "terms"))
+    return bags.select("doc_id", "root_start", F.explode("attributes").alias("category", "terms")).withColumn("terms", F.array_join("terms", "|"))
 
 
 def _phrases(spark, d, roots):
@@ -191,15 +199,15 @@ def assemble_phrases(spark, d):
 @query()
 def render_tags(spark, d):
     roots, assigned = _assigned(spark, d)
-    return L.render_tags(_phrases(spark, d, roots), roots, assigned)
+    return L.render_tags(_phrases(spark, d, roots), roots, assigned).withColumn("tags", F.array_join("tags", "|"))
 
 
-@query("SELECT source AS term, min(lang) AS canonical, list_sort(list(DISTINCT lang)) AS categories FROM documents GROUP BY 1")
+@query("SELECT source AS term, min(lang) AS canonical, string_agg(DISTINCT lang, '|' ORDER BY lang) AS categories FROM documents GROUP BY 1")
 def scan_lexicon(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("﻿"), "source", F.lit(" ")).alias("term"), "lang", F.col("lang").alias("category"))
     many = L.scan_lexicon(rows.withColumnRenamed("lang", "canonical"), False)
     one = L.scan_lexicon(rows.withColumn("ord", F.struct(F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"), "ord")).withColumnRenamed("lang", "canonical"), True)
-    return many.join(one, "term").select("term", "canonical", "categories")
+    return many.join(one, "term").select("term", "canonical", F.array_join("categories", "|").alias("categories"))
 
 
 @query("SELECT lang AS term FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM documents WHERE doc_id % 2 = 1")
