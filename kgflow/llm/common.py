@@ -67,6 +67,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; on short arrays several times as fast as numpy.unique."""
+    x = np.sort(x)
+    first = np.empty(len(x), bool)
+    first[:1] = True
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def lean(work):
+    """work(batches) that gives memory back when it ends, since Spark keeps its Python workers for the next stage."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def sorted_groups(batches, keys: list[str]):
     """The groups of a partition that is sorted by the keys, each whole."""
     held: list[pd.DataFrame] = []
@@ -120,7 +147,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = edges.sparkSession
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("child"), F.least(a, b).cast("long").alias("parent"))
-    forest, path = written(pairs.mapInPandas(_local_forest, "child long, parent long").distinct(), "cc")
+    forest, path = written(pairs.mapInPandas(lean(_local_forest), "child long, parent long").distinct(), "cc")
     while True:
         least = forest.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("n"))
         if least.where("n > 1").isEmpty():

@@ -25,21 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from kgflow.llm.common import connected_components, mix64, sorted_groups, table, written
+from kgflow.llm.common import connected_components, distinct, lean, mix64, sorted_groups, table, written
 
 BAND_RATIO = 1.6
 #: Rows of a cluster that one task compares at once.
 BLOCK = 512
-#: Bits of the bitmap signatures.
+#: Blocks whose bitmaps one task compares with as many others.
+TILE = 16
+#: Bits of the bitmap signatures within a block.
 BITS = 2048
 #: Segment signatures that a task holds before it passes them on.
-CHUNK = 1 << 21
-_TEXTS_A_HASH_CACHE = 1 << 20
+CHUNK = 1 << 19
+_REMEMBERED = 1 << 17
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _TEXTS_A_HASH_CACHE:
+        if len(self) > _REMEMBERED:
             self.clear()
         self[word] = h = xxh3_64_intdigest(word)
         return h
@@ -55,7 +57,7 @@ def shingle_set(text: str | None, k: int, hashes: dict) -> np.ndarray:
     acc = np.full(len(w) - width + 1, width, np.uint64)
     for j in range(width):
         acc = mix64((acc + w[j : len(w) - width + 1 + j]) * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(acc)
+    return distinct(acc)
 
 
 class Bands:
@@ -141,14 +143,14 @@ def _sets_and_tiles(k: int, num: int, den: int, buckets: int):
         hashes, bands, seen, sigs, nodes, held = _WordHashes(), Bands(num, den), set(), [], [], 0
         for batch in batches:
             ids, sizes, prints = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, k, hashes)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), k, hashes)
                 ids.append(doc_id)
                 sizes.append(len(s))
                 key = xxh3_128_digest(s.tobytes())
                 prints.append(key)
                 if len(s) and doc_id is not None and key not in seen:
-                    if len(seen) > _TEXTS_A_HASH_CACHE:
+                    if len(seen) > _REMEMBERED:
                         seen.clear()
                     seen.add(key)
                     sig = segment_signatures(s, bands)
@@ -189,15 +191,17 @@ def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, k, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("cluster"), batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "doc_id", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t.as_py(), k, hashes).tobytes() for t in part.column("text")]
+                yield pa.record_batch([part.column("cluster"), part.column("doc_id"), pa.array(sets, pa.binary())], names=["cluster", "doc_id", "shingles"])
 
     return run
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
+def bitmap(s: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[(s % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -245,22 +249,57 @@ def _compare_blocks(num: int, den: int):
     return run
 
 
-def _compare_across(num: int, den: int):
-    """Blocks of a residue (side 0) against blocks of the whole cluster (side 1); pairs of one component are passed over."""
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes and bitmaps of sets; a bitmap has four bits or more for each element, so that its bound stays sharp."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        maps = [bitmap(s, max(1024, 1 << (4 * len(s) - 1).bit_length())).tobytes() for s in sets]
+        yield pa.record_batch([batch.column("cluster"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary())], names=["cluster", "doc_id", "n", "bits"])
+
+
+def _by_width(g: pd.DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(words, (ids, sizes, components, bitmaps)) of rows with bitmaps of one width, by size."""
+    for width, rows in g.sort_values("n").groupby(g["bits"].map(len)):
+        maps = np.stack([np.frombuffer(x, np.uint64) for x in rows["bits"]])
+        yield width // 8, (rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), maps)
+
+
+def _possible_pairs(num: int, den: int):
+    """Tiles of a large cluster, block i against block j: pairs of different components that the bitmaps allow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, ["cluster", "r", "c"]):
-            ids, side, component = g["doc_id"].to_numpy(), g["side"].to_numpy(), g["component"].to_numpy().copy()
-            sets, sizes, maps = _unpack(g["shingles"].tolist())
-            whole, a, b = np.flatnonzero(side == 1), [], []
-            for i in np.flatnonzero(side == 0).tolist():
-                found = linked(i, whole[component[whole] != component[i]], sets, sizes, maps, num, den)
-                for j in found:
-                    if component[i] != component[j]:
-                        a.append(ids[i])
-                        b.append(ids[j])
-                        component[component == component[j]] = component[i]
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        for g in sorted_groups(batches, ["cluster", "i", "j"]):
+            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+            a, b = [], []
+            for wl, left in _by_width(g[g["own"] == i]):
+                for wr, (ids, sizes, component, maps) in _by_width(g[g["own"] == j]):
+                    w = min(wl, wr)
+                    if max(wl, wr) > 2 * w:
+                        continue  # such sizes are no match
+                    maps = np.bitwise_or.reduce(maps.reshape(len(maps), -1, w), axis=1)
+                    for doc, n, c, m in zip(*left, strict=True):
+                        lo, hi = np.searchsorted(sizes, -(-n * num // den), "left"), np.searchsorted(sizes, n * den // num, "right")
+                        both = sizes[lo:hi] + n
+                        differ = np.bitwise_count(maps[lo:hi] ^ np.bitwise_or.reduce(m.reshape(-1, w), axis=0)).sum(axis=1, dtype=np.int64)
+                        ok = ((both - differ) * (den + num) >= 2 * num * both) & (component[lo:hi] != c) & ((i != j) | (ids[lo:hi] > doc))
+                        found = ids[lo:hi][ok]
+                        a.append(np.full(len(found), doc))
+                        b.append(found)
+            if a:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype="int64")
+
+    return run
+
+
+def _exact(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(common * den >= num * (len(a) + len(b) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -273,7 +312,7 @@ def _in_blocks(rows: DataFrame, seed: int, block: int) -> DataFrame:
 
 def _links_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     dealt = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    return dealt.select("cluster", "block", "doc_id", "shingles").mapInPandas(_compare_blocks(num, den), "a long, b long")
+    return dealt.select("cluster", "block", "doc_id", "shingles").mapInPandas(lean(_compare_blocks(num, den)), "a long, b long")
 
 
 def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
@@ -281,8 +320,9 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
 
     A cluster of one block is compared whole.  A larger one is compared block by block,
     then the smallest rows of its components in blocks of their own as long as that
-    halves their number; then all rows outside the largest component against the whole
-    cluster, so that no link between components is missed.
+    halves their number.  Then the bitmaps of the whole cluster meet tile by tile, and
+    the pairs of different components that they allow are checked exactly, so that no
+    link between components is missed.
     """
     dealt, _ = written(_in_blocks(features, 0, block), "ngram-blocks")
     links, _ = written(_links_in_blocks(dealt, num, den), "ngram-links")
@@ -312,18 +352,18 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
         known = components(links)
     if not left:
         return links
-    sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = large.join(known.drop("cluster"), "doc_id").join(main, "cluster")
-    outside = rows.where("component <> main")
-    counts = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("rs"))
-    counts = counts.join(rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("cs")), "cluster")
-    own = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(0)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = outside.join(counts, "cluster").select("cluster", own("rs").alias("r"), every("cs").alias("c"), F.lit(0).alias("side"), "doc_id", "component", "shingles")
-    right = rows.join(counts, "cluster").select("cluster", every("rs").alias("r"), own("cs").alias("c"), F.lit(1).alias("side"), "doc_id", "component", "shingles")
-    met = left.union(right).repartition("cluster", "r", "c").sortWithinPartitions("cluster", "r", "c")
-    last, _ = written(met.mapInPandas(_compare_across(num, den), "a long, b long"), "ngram-links")
+    parts = known.groupBy("cluster").agg(F.count_distinct("component").alias("parts")).where("parts > 1").select("cluster")
+    maps = large.join(parts, "cluster").select("cluster", "doc_id", "shingles").mapInArrow(lean(_bitmaps), "cluster long, doc_id long, n long, bits binary")
+    maps = maps.join(known.select("doc_id", "component"), "doc_id")
+    counts = known.groupBy("cluster").agg(F.ceil(F.count("*") / (TILE * block)).cast("int").alias("tiles"))
+    maps = maps.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(0)), "tiles").cast("int"))
+    maps = maps.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    maps = maps.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "bits")
+    met = maps.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    pairs, _ = written(met.mapInPandas(lean(_possible_pairs(num, den)), "a long, b long"), "ngram-pairs")
+    sets = large.select("doc_id", "shingles")
+    checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    last, _ = written(checked.select("a", "b", "sa", "sb").mapInArrow(lean(_exact(num, den)), "a long, b long"), "ngram-links")
     return links.union(last)
 
 
@@ -340,8 +380,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = source.mapInArrow(_sets_and_tiles(k, num, den, buckets), "kind int, bucket long, doc_id long, n long, f1 long, f2 long, blob binary")
-    made = made.repartition("bucket").mapInArrow(_merge_tiles, "kind int, doc_id long, n long, f1 long, f2 long")
+    made = source.mapInArrow(lean(_sets_and_tiles(k, num, den, buckets)), "kind int, bucket long, doc_id long, n long, f1 long, f2 long, blob binary")
+    made = made.repartition("bucket").mapInArrow(lean(_merge_tiles), "kind int, doc_id long, n long, f1 long, f2 long")
     made, _ = written(made, "ngram-tiles")
     sets = made.where("kind = 2").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     classes = sets.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -352,7 +392,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tiles = tiles.join(rep.withColumnRenamed("doc_id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     clusters = connected_components(tiles).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     members = source.hint("merge").join(clusters, "doc_id")  # the clusters grow with the corpus and are not broadcast
-    features, _ = written(members.select("cluster", "doc_id", "text").mapInArrow(_features(k), "cluster long, doc_id long, shingles binary"), "ngram-features")
+    features, _ = written(members.select("cluster", "doc_id", "text").mapInArrow(lean(_features(k)), "cluster long, doc_id long, shingles binary"), "ngram-features")
     found = connected_components(verified_links(features, num, den))
     named = sets.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
