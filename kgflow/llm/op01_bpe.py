@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from kgflow.llm.common import scratch_path, table
+from kgflow.llm.common import lean, scratch_path, table
 
 #: Characters of text that a block holds, if it does not hold a single longer document.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 12_000_000
 #: Distinct words that a task remembers while it encodes.
 CACHE = 1_000_000
 #: Bytes of decoded text that a batch of results holds.
@@ -240,17 +240,17 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     spark, path = docs.sparkSession, path or default_path()
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = source.mapInArrow(_split(buckets), _DDL)
+    blocks = source.mapInArrow(lean(_split(buckets)), _DDL)
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.bucketBy(parts, "block").option("path", scratch_path(spark, "bpe-blocks")).saveAsTable(name)
     made = spark.table(name)
     lists = made.where(F.col("bucket") < buckets).select("block", "bucket", "words")
-    encoded = lists.repartition("bucket").mapInArrow(_encode(path), "block long, bucket int, counts binary, tokens binary")
+    encoded = lists.repartition("bucket").mapInArrow(lean(_encode(path)), "block long, bucket int, counts binary, tokens binary")
     answers = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "tokens")).alias("answers"))
     held = made.where(F.col("bucket") == buckets).select("block", "homes", "codes", "ids", "sizes", "nulls")
     # the table is laid out by block, so the positions stay where they are and only the answers move
-    return held.hint("merge").join(answers, "block", "left").mapInArrow(_join_back(path), "doc_id long, ids array<int>, decoded string")
+    return held.hint("merge").join(answers, "block", "left").mapInArrow(lean(_join_back(path)), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:
