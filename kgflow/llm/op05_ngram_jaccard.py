@@ -305,9 +305,14 @@ def _exact(num: int, den: int):
 
 
 def _in_blocks(rows: DataFrame, seed: int, block: int) -> DataFrame:
-    """Adds block: clusters of more than ``block`` rows are dealt into blocks of about that many."""
-    n = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    return rows.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+    """Adds block: clusters of more than ``block`` rows are dealt into blocks of about that many.
+
+    Only ids meet by cluster; the sets themselves meet their blocks by id, so a large cluster's sets are never in one task.
+    """
+    ids = rows.select("cluster", "doc_id").distinct()
+    n = ids.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = ids.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+    return rows.join(dealt.select("doc_id", "blocks", "block"), "doc_id")
 
 
 def _links_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,7 +337,7 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
 
     def components(of: DataFrame) -> DataFrame:
         found = connected_components(of)
-        named = large.select("cluster", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        named = large.select("cluster", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         return written(named.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-components")[0]
 
     known, seed, before = components(links), 1, None
@@ -352,11 +357,10 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
         known = components(links)
     if not left:
         return links
-    parts = known.groupBy("cluster").agg(F.count_distinct("component").alias("parts")).where("parts > 1").select("cluster")
-    maps = large.join(parts, "cluster").select("cluster", "doc_id", "shingles").mapInArrow(lean(_bitmaps), "cluster long, doc_id long, n long, bits binary")
-    maps = maps.join(known.select("doc_id", "component"), "doc_id")
-    counts = known.groupBy("cluster").agg(F.ceil(F.count("*") / (TILE * block)).cast("int").alias("tiles"))
-    maps = maps.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(0)), "tiles").cast("int"))
+    parts = known.groupBy("cluster").agg(F.count_distinct("component").alias("parts"), F.ceil(F.count("*") / (TILE * block)).cast("int").alias("tiles"))
+    ids, _ = written(known.join(parts.where("parts > 1"), "cluster").select("doc_id", "component", "tiles"), "ngram-ids")
+    maps = large.join(ids, "doc_id").select("cluster", "doc_id", "shingles").mapInArrow(lean(_bitmaps), "cluster long, doc_id long, n long, bits binary")
+    maps = maps.join(ids, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(0)), "tiles").cast("int"))
     maps = maps.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     maps = maps.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "bits")
     met = maps.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
