@@ -171,6 +171,22 @@ def test_line_dedup(spark, sf):
     assert op07_line_dedup.line_dedup(df.limit(0)).collect() == []
 
 
+def test_line_dedup_compares_all_lines_of_a_family(spark):
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 1)) + "."
+    shared, lines = "." + own(99), []
+    for _ in range(600):  # J of 0.75 or so to each other, of 0.86 to the own near copy
+        field = own(15)
+        lines += [shared + field, shared + field[:7] + "#" + field[8:]]
+    rng.shuffle(lines)
+    rows = [(i, f"{line}\nshort") for i, line in enumerate(lines)]
+    want = brute_lines(rows)
+    assert 600 <= sum(t == "short" for t in want.values()) < 620
+    for parts in (2, 24):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {r.doc_id: r.text for r in op07_line_dedup.line_dedup(df).collect()} == want
+
+
 def test_band_signatures_estimate_similarity():
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400))
