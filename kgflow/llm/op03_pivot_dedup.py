@@ -1,34 +1,30 @@
-"""Embedding near-dedup through a pivot-permutation index.
+"""Embedding near-dedup through pivots.
 
-A vector is described by its nearest reference points in order.  Inverted lists hold
-the vectors that share three of these pivots; within a list, vectors are ordered by
-their permutations and each is compared with the ones before it, so a list of any
-length costs in proportion to it.  Verified links give components.  As every link lies
-within a component, all links are then counted exactly, block against block.
+A vector belongs to the cell of its nearest reference point.  Cells of a label are packed
+into blocks, and large ones are dealt into several.  By the triangle inequality a cell
+can only link with cells whose points are no farther than both radii and the threshold's
+angle; its vectors meet the blocks of those, and all cosines of two blocks are computed.
+So no link is lost; where cells are not apart, all vectors of a label are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from kgflow.llm.common import connected_components, sorted_groups, table, written
 
 THRESHOLD = 0.93
 #: Reference points: the vectors with the smallest hashes of their ids.
 PIVOTS = 256
-#: Nearest pivots that describe a vector, and how many of them two vectors in a list share.
-NEAREST, SHARED = 8, 3
-#: Vectors before it, in the order of permutations, that a vector of a list is compared with.
-WINDOW = 8
-#: Vectors of a component in a block.
+#: Fewest reference points of a dimension.
+LEAST = 32
+#: Vectors of a label in a block.
 BLOCK = 1024
 
 
@@ -58,76 +54,83 @@ def reference_points(sample: list[bytes]) -> dict[int, np.ndarray]:
 
 def _pivots_for(points: dict[int, np.ndarray], dim: int) -> np.ndarray:
     have = points.get(dim, np.zeros((0, dim)))
-    if len(have) < 4 * NEAREST:
-        more = np.random.default_rng(dim).normal(size=(4 * NEAREST - len(have), dim))
+    if len(have) < LEAST:
+        more = np.random.default_rng(dim).normal(size=(LEAST - len(have), dim))
         have = points[dim] = np.concatenate([have, more / np.linalg.norm(more, axis=1, keepdims=True)])
     return have
 
 
-def _lists(points: dict[int, np.ndarray]):
+def _cells(points: dict[int, np.ndarray]):
+    """Each vector's cell and its angle to the cell's pivot."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points_here = dict(points)
         for pdf in batches:
-            for (label, dim), g in pdf.assign(dim=pdf["v"].map(len) // 8).groupby(["label", "dim"], sort=False):
-                x = np.stack([_unit(r) for r in g["v"]])
-                near = np.argsort(-(x @ _pivots_for(points_here, dim).T), axis=1, kind="stable")[:, :NEAREST].astype(np.int64)
-                perm = np.zeros(len(g), np.int64)
-                for k in range(NEAREST):
-                    perm = perm * PIVOTS + near[:, k] if k else near[:, 0].copy()
-                ordered = np.sort(near, axis=1)
-                salt = xxh3_64_intdigest(f"{label}/{dim}") >> 1
-                for combo in combinations(range(NEAREST), SHARED):
-                    key = np.full(len(g), salt, np.uint64)
-                    for c in combo:
-                        key = (key ^ (ordered[:, c].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(29)
-                    yield pd.DataFrame({"key": key.view(np.int64), "perm": perm, "vec_id": g["vec_id"].to_numpy()})
+            for dim, g in pdf.groupby(pdf["v"].map(len) // 8, sort=False):
+                cosines = np.stack([_unit(r) for r in g["v"]]) @ _pivots_for(points_here, dim).T
+                angle = np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+                yield g.assign(dim=dim, cell=cosines.argmax(axis=1), angle=angle)
 
     return run
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a list's vectors at most WINDOW places apart, from rows sorted by key and permutation."""
-    tail = None
-    for pdf in batches:
-        rows = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-        old = 0 if tail is None else len(tail)
-        key, vec = rows["key"].to_numpy(), rows["vec_id"].to_numpy()
-        a, b = [], []
-        for d in range(1, WINDOW + 1):
-            at = np.arange(max(d, old), len(rows))
-            at = at[key[at] == key[at - d]]
-            a.append(np.minimum(vec[at], vec[at - d]))
-            b.append(np.maximum(vec[at], vec[at - d]))
-        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-        tail = rows.iloc[-WINDOW:]
-
-
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
-            ok = np.array([len(x) == len(y) and float(_unit(x) @ _unit(y)) >= threshold for x, y in zip(va, vb, strict=True)], bool)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+def _plan(points: dict[int, np.ndarray], threshold: float, block: int):
+    """The cells of a label: first block, number of blocks, and the blocks that a cell's vectors have to meet."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("cell", ignore_index=True)
+        pivots = _pivots_for(dict(points), int(g["dim"].iloc[0]))[g["cell"]]
+        parts, first, last, held = -(-g["n"].to_numpy() // block), [], -1, block
+        for n, k in zip(g["n"].tolist(), parts.tolist(), strict=True):
+            if held + n > block:
+                last, held = last + 1, 0
+            first.append(last)
+            last, held = last + k - 1, block if k > 1 else held + n
+        first, far = np.array(first), g["far"].to_numpy()
+        reach = far[:, None] + far[None, :] + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+        near = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) <= reach
+        np.fill_diagonal(near, True)
+        blocks = [np.arange(f, f + k) for f, k in zip(first, parts, strict=True)]
+        others = [np.unique(np.concatenate([blocks[d] for d in np.flatnonzero(row)])) for row in near]
+        return pd.DataFrame({"label": g["label"], "dim": g["dim"], "cell": g["cell"], "first": first, "parts": parts, "others": others})
 
     return run
 
 
-def _count_links(threshold: float):
-    """Tiles of a component, block i against block j: how many rows each vector links with there."""
+def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows and of columns, the first row of their component, or -1 without a link."""
+    rows, cols = linked.any(axis=1), linked.any(axis=0)
+    of_row, of_col = np.full(len(rows), -1), np.full(len(cols), -1)
+    for s in np.flatnonzero(rows).tolist():
+        new = np.array([s] if rows[s] else [], int)
+        while len(new):
+            rows[new], of_row[new] = False, s
+            met = np.flatnonzero(cols & linked[new].any(axis=0))
+            cols[met], of_col[met] = False, s
+            new = np.flatnonzero(rows & linked[:, met].any(axis=1))
+    return of_row, of_col
+
+
+def _compare_tiles(threshold: float):
+    """Tiles of a label, block i against block j: how many rows each vector links with there, and a vector of its component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, ["component", "i", "j"]):
+        for g in sorted_groups(batches, ["label", "dim", "i", "j"]):
             i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
             x, ids, own, n = np.stack([_unit(r) for r in g["v"]]), g["vec_id"].to_numpy(), g["own"].to_numpy(), g["n"].to_numpy()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             linked = x[left] @ x[right].T >= threshold
             if i == j:
                 np.fill_diagonal(linked, False)
-                yield pd.DataFrame({"vec_id": ids[left], "links": linked @ n[right]})
+                joined = linked | linked.T
+                np.fill_diagonal(joined, joined.any(axis=1))
+                sides = [(left, linked @ n[right], _roots(joined)[0])]
             else:
-                yield pd.DataFrame({"vec_id": ids[left], "links": linked @ n[right]})
-                yield pd.DataFrame({"vec_id": ids[right], "links": linked.T @ n[left]})
+                of_left, of_right = _roots(linked)
+                sides = [(left, linked @ n[right], of_left), (right, linked.T @ n[left], of_right)]
+            for at, links, root in sides:
+                has = root >= 0
+                yield pd.DataFrame({"vec_id": ids[at[has]], "links": links[has], "root": ids[left[root[has]]]}, dtype="int64")
 
     return run
 
@@ -149,24 +152,20 @@ def pivot_dedup(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int =
     classes, _ = written(classes, "pivot-classes")
     sample = classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(pivots)
     points = reference_points([bytes(r.v) for r in sample.collect()])  # at most ``pivots`` vectors
-    lists = classes.select(F.col("rep").alias("vec_id"), "label", "v").mapInPandas(_lists(points), "key long, perm long, vec_id long")
-    lists, _ = written(lists, "pivot-lists")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lists.repartitionByRange(parts, "key", "perm").sortWithinPartitions("key", "perm", "vec_id")
-    pairs = ranged.mapInPandas(_neighbours, "a long, b long").where("a <> b").distinct()
-    v = classes.select("rep", "v")
-    met = pairs.join(v.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-    links = met.select("a", "b", "va", "vb").mapInArrow(_verify(threshold), "a long, b long")
-    found, _ = written(connected_components(links).select(F.col("node").alias("vec_id"), "component"), "pivot-components")
-    members = classes.select(F.col("rep").alias("vec_id"), "v", "n").join(found, "vec_id")
-    blocks = found.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "v", "n")
-    tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counts = tiles.mapInPandas(_count_links(threshold), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    known = classes.join(found.join(counts, "vec_id", "left").withColumnRenamed("vec_id", "rep"), "rep", "left")
-    known = known.select("label", "h", "v", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    cells = classes.select(F.col("rep").alias("vec_id"), "label", "v", "n").mapInPandas(_cells(points), "vec_id long, label string, v binary, n long, dim int, cell int, angle double")
+    cells, _ = written(cells, "pivot-cells")
+    sizes = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("far"))
+    plan = sizes.groupBy("label", "dim").applyInPandas(_plan(points, threshold, block), "label string, dim int, cell int, first int, parts int, others array<int>")
+    plan, _ = written(plan, "pivot-plan")
+    members = cells.join(plan, ["label", "dim", "cell"]).withColumn("own", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int"))
+    tiles = members.withColumn("other", F.explode("others"))
+    tiles = tiles.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "v", "n")
+    tiles = tiles.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
+    met, _ = written(tiles.mapInPandas(_compare_tiles(threshold), "vec_id long, links long, root long"), "pivot-links")
+    found = connected_components(met, "vec_id", "root").select(F.col("node").alias("rep"), "component")
+    counts = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
+    known = classes.join(found, "rep", "left").join(counts, "rep", "left")
+    known = known.select("label", "h", "v", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.withColumn("h", F.xxhash64("v")).join(known, ["label", "h", "v"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(

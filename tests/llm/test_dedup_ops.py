@@ -133,6 +133,21 @@ def test_pivot_dedup_recall_on_the_table(spark):
     assert got == brute_cosine(rows, 0.93)
 
 
+def test_pivot_dedup_finds_all_links_of_dense_topics(spark):
+    rng, dim, rows = np.random.default_rng(5), 64, []
+    for _ in range(2):
+        topic = 2 * (t := rng.normal(size=dim)) / np.linalg.norm(t)
+        for _ in range(300):
+            v = topic + rng.normal(size=dim) / 8
+            rows += [(len(rows) + k, (v + k * rng.normal(size=dim) * 0.08).tolist(), 1) for k in (0, 1)]
+    want = brute_cosine(rows, 0.93)
+    assert sum(w[0] for w in want.values()) >= 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for block in (1024, 100):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op03_pivot_dedup.pivot_dedup(df, block=block).collect()}
+        assert got == want
+
+
 def brute_lines(rows):
     seen = {}
     for i, t in rows:
