@@ -52,14 +52,86 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """The rows of df as a Parquet table in shared scratch space: cuts lineage, survives lost executors."""
+    """The rows of df as a Parquet table in shared scratch space: cuts lineage, survives lost executors.
+
+    The shuffle files that the write needed go when it is done, since nothing reads them again.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, tag), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """The scratch tables of one operator call: what is not kept is deleted when the block ends, or as soon as it is dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}  # path: its table, or the name of one in the catalog
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a table that goes with this scope."""
+        out, path = written(df, tag)
+        self.paths[path] = out
+        return out
+
+    def own(self, path: str, table: str) -> None:
+        """Takes over a catalog table that lies at path."""
+        self.paths[path] = table
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a table that outlives this scope, for results that are read later."""
+        return written(df, tag)[0]
+
+    def drop(self, *tables: DataFrame | str) -> None:
+        """Deletes tables, given as what ``write`` gave or by path, whose readers are written."""
+        for t in tables:
+            path = t if isinstance(t, str) else next(p for p, x in self.paths.items() if x is t)
+            if isinstance(held := self.paths.pop(path), str):
+                self.spark.sql(f"DROP TABLE IF EXISTS {held}")
+            drop_path(self.spark, path)
+
+
+#: A group of more rows than this share of all is hot; there are at most as many hot groups as its inverse.
+HOT_SHARE = 1 / 1000
+_SPREAD = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows left-joined with groups (keys, n = number of rows, ...) where one group may hold a third of all rows.
+
+    Hot groups are 1,000 rows at most by their definition, so they are broadcast; rows of
+    the others, of which none is hot, meet them by key.  Keys are not null in ``groups``,
+    and a row with a null key meets none.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    least = total * HOT_SHARE
+    values = [c for c in groups.columns if c not in keys]
+    hot = groups.where(F.col(n) > least).select(*keys, F.struct(*values).alias("__hot"))
+    cold = groups.where(F.col(n) <= least).select(*keys, F.lit(0).alias("__salt"), F.struct(*values).alias("__cold"))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    # rows that have met their group, or can meet none, are spread over salts of their own, where nothing waits for them
+    done = F.col("__hot").isNotNull()
+    for k in keys:
+        done = done | F.col(k).isNull()
+    spread = F.when(~done, 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(_SPREAD))).cast("int")
+    out = out.withColumn("__salt", spread).hint("merge").join(cold, [*keys, "__salt"], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"__hot.{v}", f"__cold.{v}").alias(v) for v in values])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -135,7 +207,7 @@ def _local_forest(batches):
     yield pd.DataFrame(rows, columns=["child", "parent"]).astype("int64")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """Components of an undirected graph given by its edges: rows (node, component), component the smallest node.
 
     Only nodes that have an edge to another node appear.  A distributed union-find:
@@ -143,25 +215,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     of a child to the smallest of them until each child has one parent, and pointer
     jumping flattens the trees.  Edges point from larger to smaller nodes, so a hub
     that many nodes share is a parent; its rows meet in a join that Spark can split.
-    Each round is a written table, so nothing gathers on the driver or in one task.
+    Each round is a written table, so nothing gathers on the driver or in one task;
+    the last one belongs to ``scratch`` and stays where none is given.
     """
     spark = edges.sparkSession
+    scratch = scratch or Scratch(spark)
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("child"), F.least(a, b).cast("long").alias("parent"))
-    forest, path = written(pairs.mapInPandas(lean(_local_forest), "child long, parent long").distinct(), "cc")
+    forest = scratch.write(pairs.mapInPandas(lean(_local_forest), "child long, parent long").distinct(), "cc")
     while True:
         least = forest.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("n"))
         if least.where("n > 1").isEmpty():
             break
         hung = forest.join(least.where("n > 1"), "child").where("parent <> least")
         nxt = least.select("child", F.col("least").alias("parent")).union(hung.select(F.col("parent").alias("child"), F.col("least").alias("parent"))).distinct()
-        old, (forest, path) = path, written(nxt, "cc")
-        drop_path(spark, old)
+        old, forest = forest, scratch.write(nxt, "cc")
+        scratch.drop(old)
     while True:
         up = forest.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        jumped = forest.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
-        old, (nxt, path) = path, written(jumped, "cc")
-        forest = nxt.drop("moved")
-        drop_path(spark, old)
-        if nxt.where("moved").isEmpty():
+        jumped = forest.select("child", "parent").join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        old, forest = forest, scratch.write(jumped, "cc")
+        scratch.drop(old)
+        if forest.where("moved").isEmpty():
             break
     return forest.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(forest.select(F.col("parent"), F.col("parent")).distinct())

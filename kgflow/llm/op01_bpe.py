@@ -3,8 +3,9 @@
 Texts are split into words where no token can reach across.  Blocks of documents keep
 their words as positions in a list of the block's distinct words; the lists meet by
 word, so that each distinct word is encoded once, and come back to their blocks as
-token ids.  A document's ids are then those of its words by position.  Decoding joins
-the pieces of the vocabulary, a table of fixed size, to the ids.
+token ids.  A document's ids are then those of its words by position.  Decoding is a join
+of the ids with the vocabulary, a table of id and piece whose size the tokenizer's file
+fixes: each worker holds it as arrays and looks the ids up.
 
 What moves between tasks are the blocks' word lists, their ids and the positions, all
 packed; no row is shuffled for a single word occurrence.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from kgflow.llm.common import lean, scratch_path, table
+from kgflow.llm.common import Scratch, lean, scratch_path, table
 
 #: Characters of text that a block holds, if it does not hold a single longer document.
 BLOCK_CHARS = 12_000_000
@@ -229,13 +230,17 @@ def _join_back(path: str):
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, ids (token ids of the whole text) and decoded (the text of those ids) for every row of docs.
 
     Ids are those of the tokenizers library for the file at ``path``, of the byte-level
     kind, without added special tokens.  A null or empty text has no ids and decodes
     to the empty text.  Rows that repeat an id come out once each, a null id stays null,
-    an empty table gives an empty one, and other columns of docs do not matter.
+    an empty table gives an empty one, and other columns of docs do not matter.  Very long
+    texts are a block of their own.
+
+    The blocks are a bucketed table that the result reads; it goes with ``scratch`` if one
+    is given, for callers that write the result within that scope.
     """
     spark, path = docs.sparkSession, path or default_path()
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -243,7 +248,10 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     blocks = source.mapInArrow(lean(_split(buckets)), _DDL)
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.bucketBy(parts, "block").option("path", scratch_path(spark, "bpe-blocks")).saveAsTable(name)
+    where = scratch_path(spark, "bpe-blocks")
+    if scratch:
+        scratch.own(where, name)
+    blocks.write.bucketBy(parts, "block").option("path", where).saveAsTable(name)
     made = spark.table(name)
     lists = made.where(F.col("bucket") < buckets).select("block", "bucket", "words")
     encoded = lists.repartition("bucket").mapInArrow(lean(_encode(path)), "block long, bucket int, counts binary, tokens binary")

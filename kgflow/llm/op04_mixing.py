@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgflow.llm.common import WORD_PATTERN, table, written
+from kgflow.llm.common import WORD_PATTERN, Scratch, table
 
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS,
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(sized: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+def mix_plan(sized: DataFrame, scratch: Scratch, weights: Sequence[float] = SOURCE_WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """sized(doc_id, source, size, key): one row per source with its target and where its fractional epoch ends.
 
     The fractional epoch takes keys in order while they fit.  What the budget still
@@ -71,7 +71,7 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, share:
     sources = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sources, _ = written(sources, "mix-sources")  # a table whose size Spark knows when it picks the joins below
+    sources = scratch.write(sources, "mix-sources")  # a table whose size Spark knows when it picks the joins below
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = sums.withColumn("upto", F.sum("bucket_size").over(by_bucket))
     upto = upto.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("upto > rest")
@@ -85,13 +85,13 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, share:
     last = last.withColumn("upto", F.col("before") + F.sum("size").over(within))
     last = last.where("upto <= rest").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cutoff"), F.max("upto").alias("upto"))
     plan = plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan, _ = written(plan.withColumn("gap", F.col("rest") - F.coalesce("upto", "before")), "mix-plan")
+    plan = scratch.write(plan.withColumn("gap", F.col("rest") - F.coalesce("upto", "before")), "mix-plan")
     p = plan.withColumnRenamed("source", "s")
     left = rows.join(p, F.col("source").eqNullSafe(F.col("s"))).where(~_in_epoch() & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
     extra = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "key", "doc_id")).alias("extra"))
     plan = plan.join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     plan = plan.select("source", "source_size", "target", "epochs", "rest", "end_bucket", "cutoff", F.struct("extra.key", "extra.doc_id").alias("extra"))
-    return written(plan, "mix-plan")[0]
+    return scratch.write(plan, "mix-plan")
 
 
 def _in_epoch() -> Column:
@@ -100,12 +100,12 @@ def _in_epoch() -> Column:
     return earlier | F.coalesce((F.col("bucket") == F.col("end_bucket")) & (F.struct("key", "doc_id") <= F.col("cutoff")), F.lit(False))
 
 
-def apply_plan(sized: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds source_size, target and taken to the rows of sized(doc_id, source, size, key, ...)."""
+def apply_plan(sized: DataFrame, plan: DataFrame, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+    """Adds source_size, target, copies and taken to the rows of sized(doc_id, source, size, key, ...); none is copied more than ``most`` times."""
     p = plan.withColumnRenamed("source", "__source")
     rows = sized.withColumn("bucket", bucket_of(F.col("key"), buckets)).join(p, F.col("source").eqNullSafe(F.col("__source")))
     chosen = _in_epoch() | F.coalesce(F.struct("key", "doc_id") == F.col("extra"), F.lit(False))
-    copies = F.col("epochs") + chosen.cast("long")
+    copies = F.least(F.col("epochs") + chosen.cast("long"), F.lit(most))
     return rows.select(*sized.columns, "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
@@ -124,8 +124,9 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = S
     share a key and are taken together.  Without rows the result is empty; without
     any words every target is 0.  Reruns agree, whatever the partitions.
     """
-    sized, _ = written(sized_documents(docs, labels, seed), "mix")
-    return apply_plan(sized, mix_plan(sized, weights, share, most))
+    with Scratch(docs.sparkSession) as scratch:
+        sized = scratch.write(sized_documents(docs, labels, seed), "mix")
+        return scratch.keep(apply_plan(sized, mix_plan(sized, scratch, weights, share, most), most), "mix-result")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
