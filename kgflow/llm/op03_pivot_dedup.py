@@ -1,10 +1,13 @@
-"""Embedding near-dedup through pivots.
+"""Embedding near-dedup by a pivot-permutation index.
 
-A vector belongs to the cell of its nearest reference point.  Cells of a label are packed
-into blocks, and large ones are dealt into several.  By the triangle inequality a cell
-can only link with cells whose points are no farther than both radii and the threshold's
-angle; its vectors meet the blocks of those, and all cosines of two blocks are computed.
-So no link is lost; where cells are not apart, all vectors of a label are compared.
+A vector is described by its nearest reference points in order.  Similar vectors share
+many of them, so each vector enters the inverted lists of its rarest ones, as many as it
+takes for two vectors with SHARED pivots in common to meet (of k pivots, the k - SHARED + 1
+with the shortest lists).  A list is dealt into blocks, every block meets every other, and
+all cosines of two blocks are computed: nothing in a list is left out, however long it is.
+What two similar vectors can lose is the list itself; see the measured recall.
+
+Equal vectors of a label are one node throughout, named by a 128-bit print.
 """
 
 from __future__ import annotations
@@ -16,16 +19,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from kgflow.llm.common import connected_components, sorted_groups, table, written
+from kgflow.llm.common import Scratch, connected_components, join_groups, lean, sorted_groups, table
 
 THRESHOLD = 0.93
-#: Reference points: the vectors with the smallest hashes of their ids.
-PIVOTS = 256
+#: Reference points, a vector in so many; they are the distinct vectors with the smallest prints, so dense regions have more.
+ROWS_A_PIVOT = 64
+FEWEST_PIVOTS, MOST_PIVOTS = 256, 2048
 #: Fewest reference points of a dimension.
 LEAST = 32
-#: Vectors of a label in a block.
-BLOCK = 1024
+#: Pivots that describe a vector, and how many of them two vectors must share to be sure to meet.
+LENGTH, SHARED = 16, 6
+#: Vectors of a list in a block.
+BLOCK = 256
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -34,18 +41,22 @@ def _unit(raw: bytes) -> np.ndarray:
 
 
 def _valid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, embedding): adds the vector in double precision, or null where it can link with nothing."""
+    """(vec_id, label, embedding): adds the vector in double precision and a print of label and vector, or nulls where it can link with nothing."""
     for batch in batches:
-        out = []
+        vs, h1, h2 = [], [], []
         for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             ok = label is not None and v and None not in v
             a = np.array(v, "<f8") if ok else None
-            out.append(a.tobytes() if ok and np.isfinite(a).all() and np.linalg.norm(a) > 0 else None)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "v"])
+            ok = ok and np.isfinite(a).all() and np.isfinite(norm := np.linalg.norm(a)) and norm > 0
+            vs.append(a.tobytes() if ok else None)
+            one, two = np.frombuffer(xxh3_128_digest(a.tobytes() + label.encode()), "<i8").tolist() if ok else (None, None)
+            h1.append(one)
+            h2.append(two)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(vs, pa.binary()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["vec_id", "label", "v", "node", "check"])
 
 
 def reference_points(sample: list[bytes]) -> dict[int, np.ndarray]:
-    """Pivots by dimension; a dimension with few sampled vectors gets random directions besides."""
+    """Pivots by dimension."""
     out: dict[int, list] = {}
     for raw in sample:
         out.setdefault(len(raw) // 8, []).append(_unit(raw))
@@ -53,6 +64,7 @@ def reference_points(sample: list[bytes]) -> dict[int, np.ndarray]:
 
 
 def _pivots_for(points: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """The pivots of a dimension; one with few sampled vectors gets random directions besides."""
     have = points.get(dim, np.zeros((0, dim)))
     if len(have) < LEAST:
         more = np.random.default_rng(dim).normal(size=(LEAST - len(have), dim))
@@ -60,39 +72,33 @@ def _pivots_for(points: dict[int, np.ndarray], dim: int) -> np.ndarray:
     return have
 
 
-def _cells(points: dict[int, np.ndarray]):
-    """Each vector's cell and its angle to the cell's pivot."""
+def permutation(x: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of unit vectors, the numbers of the nearest pivots, nearest first."""
+    cosines = x @ pivots.T
+    length = min(length, len(pivots))
+    near = np.argpartition(-cosines, length - 1, axis=1)[:, :length]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(cosines, near, 1), axis=1, kind="stable"), 1)
+
 
+def _permutations(points: dict[int, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points_here = dict(points)
         for pdf in batches:
             for dim, g in pdf.groupby(pdf["v"].map(len) // 8, sort=False):
-                cosines = np.stack([_unit(r) for r in g["v"]]) @ _pivots_for(points_here, dim).T
-                angle = np.arccos(np.clip(cosines.max(axis=1), -1, 1))
-                yield g.assign(dim=dim, cell=cosines.argmax(axis=1), angle=angle)
+                order = permutation(np.stack([_unit(r) for r in g["v"]]), _pivots_for(points_here, dim))
+                yield g.assign(dim=dim, pivots=list(order.astype(np.int32)))
 
     return run
 
 
-def _plan(points: dict[int, np.ndarray], threshold: float, block: int):
-    """The cells of a label: first block, number of blocks, and the blocks that a cell's vectors have to meet."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("cell", ignore_index=True)
-        pivots = _pivots_for(dict(points), int(g["dim"].iloc[0]))[g["cell"]]
-        parts, first, last, held = -(-g["n"].to_numpy() // block), [], -1, block
-        for n, k in zip(g["n"].tolist(), parts.tolist(), strict=True):
-            if held + n > block:
-                last, held = last + 1, 0
-            first.append(last)
-            last, held = last + k - 1, block if k > 1 else held + n
-        first, far = np.array(first), g["far"].to_numpy()
-        reach = far[:, None] + far[None, :] + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
-        near = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) <= reach
-        np.fill_diagonal(near, True)
-        blocks = [np.arange(f, f + k) for f, k in zip(first, parts, strict=True)]
-        others = [np.unique(np.concatenate([blocks[d] for d in np.flatnonzero(row)])) for row in near]
-        return pd.DataFrame({"label": g["label"], "dim": g["dim"], "cell": g["cell"], "first": first, "parts": parts, "others": others})
+def _index(lengths: dict[tuple[int, int], int], shared: int):
+    """A row for each list that a vector enters: the rarest of its pivots, in the order of rarity that all vectors agree on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lists = [sorted(p.tolist(), key=lambda q, d=d: (lengths.get((d, q), 0), q)) for p, d in zip(pdf["pivots"], pdf["dim"].tolist(), strict=True)]
+            lists = [x[: max(1, len(x) - shared + 1)] for x in lists]
+            yield pdf.drop(columns="pivots").assign(lists=lists, pivot=lists).explode("pivot").astype({"pivot": "int32"})
 
     return run
 
@@ -111,69 +117,96 @@ def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of_row, of_col
 
 
+def _first_met(rows: np.ndarray, cols: np.ndarray, pivot: int) -> np.ndarray:
+    """Whether pairs of lists, each in order of rarity, have ``pivot`` as the first that both hold."""
+    mine, theirs = np.arange(rows.shape[1]) < (rows == pivot).argmax(axis=1)[:, None], np.arange(cols.shape[1]) < (cols == pivot).argmax(axis=1)[:, None]
+    return ~((rows[:, :, None] == cols[:, None, :]) & mine[:, :, None] & theirs[:, None, :]).any(axis=(1, 2))
+
+
 def _compare_tiles(threshold: float):
-    """Tiles of a label, block i against block j: how many rows each vector links with there, and a vector of its component."""
+    """Tiles of a list, block i against block j: how many rows each vector links with there, and a vector of its component.
+
+    Two vectors that meet in several lists are counted in the first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, ["label", "dim", "i", "j"]):
-            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-            x, ids, own, n = np.stack([_unit(r) for r in g["v"]]), g["vec_id"].to_numpy(), g["own"].to_numpy(), g["n"].to_numpy()
+        for g in sorted_groups(batches, ["label", "dim", "pivot", "i", "j"]):
+            i, j, pivot = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(g["pivot"].iloc[0])
+            x, nodes, own, n = np.stack([_unit(r) for r in g["v"]]), g["node"].to_numpy(), g["own"].to_numpy(), g["n"].to_numpy()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             linked = x[left] @ x[right].T >= threshold
             if i == j:
                 np.fill_diagonal(linked, False)
+            r, c = np.nonzero(linked)
+            if not len(r):
+                continue
+            lists, counted = np.stack(g["lists"].to_list()), np.zeros(linked.shape)
+            for at in range(0, len(r), 1 << 16):
+                rr, cc = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
+                counted[rr, cc] = _first_met(lists[left[rr]], lists[right[cc]], pivot)
+            if i == j:
                 joined = linked | linked.T
                 np.fill_diagonal(joined, joined.any(axis=1))
-                sides = [(left, linked @ n[right], _roots(joined)[0])]
+                sides = [(left, counted @ n[right], _roots(joined)[0])]
             else:
                 of_left, of_right = _roots(linked)
-                sides = [(left, linked @ n[right], of_left), (right, linked.T @ n[left], of_right)]
+                sides = [(left, counted @ n[right], of_left), (right, counted.T @ n[left], of_right)]
             for at, links, root in sides:
                 has = root >= 0
-                yield pd.DataFrame({"vec_id": ids[at[has]], "links": links[has], "root": ids[left[root[has]]]}, dtype="int64")
+                yield pd.DataFrame({"node": nodes[at[has]], "links": links[has], "root": nodes[left[root[has]]]}, dtype="int64")
 
     return run
 
 
-def pivot_dedup(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def pivot_dedup(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label, ...).
 
     Vectors link when their labels are equal, not null, and their cosine in double
     precision is at least ``threshold``.  A vector that is null, empty, zero or holds
     null or non-finite components links with nothing, nor do vectors of different
     length.  Equal vectors are compared once and count each.  Rows that repeat a vec_id
-    count as vectors of their own and come out once each.  An empty table gives an
-    empty one.
+    are vectors of their own and come out once each.  A row with a null vec_id lends no
+    id to its component.  An empty table gives an empty one; other columns do not matter.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), "embedding")
-    rows, _ = written(rows.mapInArrow(_valid_rows, "vec_id long, label string, v binary"), "pivot-vectors")
-    valid = rows.where("v IS NOT NULL AND vec_id IS NOT NULL")
-    classes = valid.groupBy("label", F.xxhash64("v").alias("h"), "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes, _ = written(classes, "pivot-classes")
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(pivots)
-    points = reference_points([bytes(r.v) for r in sample.collect()])  # at most ``pivots`` vectors
-    cells = classes.select(F.col("rep").alias("vec_id"), "label", "v", "n").mapInPandas(_cells(points), "vec_id long, label string, v binary, n long, dim int, cell int, angle double")
-    cells, _ = written(cells, "pivot-cells")
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("far"))
-    plan = sizes.groupBy("label", "dim").applyInPandas(_plan(points, threshold, block), "label string, dim int, cell int, first int, parts int, others array<int>")
-    plan, _ = written(plan, "pivot-plan")
-    members = cells.join(plan, ["label", "dim", "cell"]).withColumn("own", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).cast("int"))
-    tiles = members.withColumn("other", F.explode("others"))
-    tiles = tiles.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "v", "n")
-    tiles = tiles.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j")
-    met, _ = written(tiles.mapInPandas(_compare_tiles(threshold), "vec_id long, links long, root long"), "pivot-links")
-    found = connected_components(met, "vec_id", "root").select(F.col("node").alias("rep"), "component")
-    counts = met.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = classes.join(found, "rep", "left").join(counts, "rep", "left")
-    known = known.select("label", "h", "v", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.withColumn("h", F.xxhash64("v")).join(known, ["label", "h", "v"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(
-        "vec_id",
-        F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
-    )
+    spark = vectors.sparkSession
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    rows = source.mapInArrow(_valid_rows, "vec_id long, label string, v binary, node long, check long")
+    with Scratch(spark) as scratch:
+        ids = scratch.write(rows.select("vec_id", "node", "check"), "pivot-ids")
+        classes = rows.where("node IS NOT NULL").groupBy("node", "check", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+        classes = scratch.write(classes, "pivot-classes")
+        pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, classes.count() // ROWS_A_PIVOT))
+        sample = classes.orderBy("node", "check").select("v").limit(pivots)
+        points = reference_points([bytes(r.v) for r in sample.collect()])  # at most MOST_PIVOTS vectors
+        described = classes.select("node", "label", "v", "n").mapInPandas(lean(_permutations(points)), "node long, label string, v binary, n long, dim int, pivots array<int>")
+        described = scratch.write(described, "pivot-permutations")
+        # how often a pivot is near: of dimensions that the sample has, so the pivots bound what the driver gets
+        held = described.where(F.col("dim").isin([*points])).select("dim", F.explode("pivots").alias("pivot")).groupBy("dim", "pivot").count()
+        lengths = {(r.dim, r.pivot): r[2] for r in held.collect()}
+        index = described.mapInPandas(lean(_index(lengths, shared)), "node long, label string, v binary, n long, dim int, lists array<int>, pivot int")
+        sizes = index.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        sizes = scratch.write(sizes, "pivot-lists")
+        members = index.join(sizes, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = tiles.select("label", "dim", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "v", "n", "lists")
+        tiles = tiles.repartition("label", "dim", "pivot", "i", "j").sortWithinPartitions("label", "dim", "pivot", "i", "j")
+        met = scratch.write(tiles.mapInPandas(lean(_compare_tiles(threshold)), "node long, links long, root long"), "pivot-links")
+        found = connected_components(met, "node", "root", scratch)
+        counts = met.groupBy("node").agg(F.sum("links").alias("links"))
+        known = classes.select("node", "check", "rep", "n").join(found, "node", "left").join(counts, "node", "left")
+        known = scratch.write(known.select("node", "check", "rep", "n", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "pivot-known")
+        groups = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+        answers = scratch.write(known.join(groups, "component").select("node", "check", "n", "links", "component_id"), "pivot-answers")
+        component = F.coalesce("component_id", "vec_id")
+        return scratch.keep(
+            join_groups(ids, answers, ["node", "check"], "n").select(
+                "vec_id",
+                F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
+                component.alias("component_id"),
+                F.col("vec_id").eqNullSafe(component).alias("kept"),
+            ),
+            "pivot-result",
+        )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
