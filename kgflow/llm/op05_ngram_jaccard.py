@@ -1,41 +1,44 @@
 """N-gram Jaccard join: all documents whose shingle sets have at least a given Jaccard similarity.
 
-Sets are laid into size bands, so that only sets of comparable size meet.  Within a
-band every set is cut into as many hash segments as two similar sets of that size
-can differ in, and a few more; two similar sets then agree in a whole segment
-(pigeonhole), and the band's tiles are the sets that share a segment.  Tiles that
-overlap form a cluster.  In a cluster, hashed bitmaps come first: the bits in which
-two of them differ are a lower bound of the sets' difference, so they bound the
-overlap from above; exact intersection of the sorted arrays decides what is left.
-
-Equal sets are one node throughout.  Tiles are combined within each input partition
-before they are shuffled, and large clusters are dealt into blocks, so that neither
-a text with very many copies nor a family of near copies falls to one task.
+Shingles are ranked by the number of sets that hold them, rare ones first.  Two similar
+sets share a shingle among the first few of either, as many as they can differ in and one
+more, so the tiles of a size band are the sets that have such a shingle in common; one
+that no other set holds needs no tile, nor does a passage that many documents share while
+the documents have enough of their own.  Tiles that overlap form a cluster.  In a cluster,
+hashed bitmaps come first: the bits in which two of them differ are a lower bound of the
+sets' difference, so they bound the overlap from above; exact intersection of the sorted
+arrays decides what is left.  No step loses a link.
+
+Equal sets are one node throughout, named by a 64-bit print.  Documents are counted in
+chunks: a chunk tells each shingle once, however many of its documents hold it, and gets
+back one number for it.  So neither a passage that a third of all documents share nor a
+text with very many copies falls to one task; large clusters are dealt into blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
-from kgflow.llm.common import connected_components, distinct, lean, mix64, sorted_groups, table, written
+from kgflow.llm.common import Scratch, connected_components, distinct, join_groups, lean, mix64, sorted_groups, table
 
 BAND_RATIO = 1.6
 #: Rows of a cluster that one task compares at once.
 BLOCK = 512
 #: Blocks whose bitmaps one task compares with as many others.
-TILE = 16
+TILE = 4
 #: Bits of the bitmap signatures within a block.
 BITS = 2048
-#: Segment signatures that a task holds before it passes them on.
-CHUNK = 1 << 19
+#: Shingles of a chunk of documents, if it does not hold a single longer document.
+CHUNK = 1 << 20
 _REMEMBERED = 1 << 17
 
 
@@ -60,145 +63,256 @@ def shingle_set(text: str | None, k: int, hashes: dict) -> np.ndarray:
     return distinct(acc)
 
 
-class Bands:
-    """Size bands and, for each, how many hash segments sets of its sizes are cut into."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.tops, self.plans = num, den, [1], []
-
-    def _grow(self, size: int) -> None:
-        while self.tops[-1] * self.den < size * self.den or len(self.plans) < len(self.tops):
-            if len(self.plans) == len(self.tops):
-                self.tops.append(int(self.tops[-1] * BAND_RATIO) + 1)
-            top = self.tops[len(self.plans)]
-            low = self.tops[len(self.plans) - 1] + 1 if self.plans else 1
-            differ = top * (self.den - self.num) // self.num  # most elements in which similar sets can differ
-            spare = 0
-            for _ in range(20):  # segments that may be empty without harm
-                m = differ + 1 + spare
-                expected = m * math.exp(-low / m) if differ else 0
-                spare = max(spare, math.ceil(expected + 3 * math.sqrt(expected)))
-            self.plans.append((differ + 1 + spare, spare))
-
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, segments, spare) of the bands in which a set of this size looks for partners."""
-        self._grow(size)
-        band = next(i for i, top in enumerate(self.tops) if size <= top)
-        out = [(band, *self.plans[band])]
-        if band and size * self.num <= self.tops[band - 1] * self.den:
-            out.append((band - 1, *self.plans[band - 1]))
-        return out
-
-
-def segment_signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """One 64-bit signature for each segment of the set, in each of its bands.
-
-    A set with no more empty segments than its band spares leaves those out: it agrees
-    with a similar set in more segments than that.  One with more keeps them.
-    """
-    out = []
-    for band, m, spare in bands.of(len(s)):
-        mixed = mix64(s)
-        segment = (mixed % np.uint64(m)).astype(np.int64)
-        total, count = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
-        np.add.at(total, segment, mix64(mixed + np.uint64(0x1234567)))
-        sig = mix64(total + mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)) + count.astype(np.uint64))
-        out.append(sig if (count == 0).sum() > spare else sig[count > 0])
-    return np.concatenate(out)
+def set_print(s: np.ndarray) -> int:
+    """The node of a set: 64 bits of its elements, as a signed number."""
+    return xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _star(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once with its smallest node; and links of the other nodes to that one."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    head = node[first][np.cumsum(first) - 1] if len(sig) else node
-    links = np.unique(np.stack([node, head])[:, node != head], axis=1) if len(sig) else np.zeros((2, 0), np.int64)
-    return sig[first], node[first], links[0], links[1]
+def bands_of(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest and the highest size band in which sets of these sizes meet partners that are not larger."""
+    tops = [1]
+    while len(sizes) and tops[-1] < sizes.max():
+        tops.append(int(tops[-1] * BAND_RATIO) + 1)
+    return np.searchsorted(tops, -(-sizes * num // den)), np.searchsorted(tops, sizes)
 
 
-def _sets_and_tiles(k: int, num: int, den: int, buckets: int):
-    """(doc_id, text) batches: a row for each document's set, and blobs of tiles for each bucket."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("blob", pa.binary())])
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
-    def rows(kind, bucket, doc_id=None, n=None, f1=None, f2=None, blob=None):
-        size = len(bucket)
-        cols = [np.full(size, kind, np.int32), bucket, doc_id, n, f1, f2, blob]
-        return pa.record_batch([pa.array(c, f.type) if c is not None else pa.nulls(size, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    def flush(sigs, nodes):
-        if not sigs:
-            return
-        sig, node, child, head = _star(np.concatenate(sigs), np.concatenate(nodes))
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+#: Rows of the exchange between chunks and buckets.  Kind 0: a chunk's shingles in a bucket; 1: the bucket's answer to
+#: a chunk; 2: the set of a document; 3: a chunk's sets.
+_DDL = "kind int, bucket long, chunk long, doc_id long, n long, node long, keys binary, values binary"
+_TYPES = {"kind": pa.int32(), "bucket": pa.int64(), "chunk": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "keys": pa.binary(), "values": pa.binary()}
+
+
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    made = [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in _TYPES.items()]
+    return pa.record_batch(made, names=list(_TYPES))
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.empty(len(sorted_keys), bool)
+    new[:1] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _chunks(k: int, buckets: int):
+    """(doc_id, text) batches: the set of each document, each chunk's sets, and its shingles by bucket.
+
+    A shingle that one set of the chunk holds is told with the number of the set times
+    two, another with twice their number and one.
+    """
+
+    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nodes, sizes = np.array(list(sets), np.int64), np.fromiter(map(len, sets.values()), np.uint32, len(sets))
+        chunk = xxh3_64_intdigest(nodes.tobytes(), TaskContext.get().partitionId()) - (1 << 63)  # the same when a lost task runs again
+        keys, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        first = _runs(keys)
+        count = np.diff(np.append(first, len(keys))).astype(np.uint32)
+        several = count > 1
+        told = np.where(several, 2 * count + 1, 2 * owner[first])
+        held_keys, holders = keys[first][several], owner[np.repeat(several, count)]
+        yield _rows(1, kind=[3], bucket=[chunk % buckets], chunk=[chunk], n=[len(nodes)], keys=[_pack(np.concatenate([nodes.view(np.uint64), held_keys]))], values=[_pack(np.concatenate([sizes, count[several], holders]))])
+        keys = keys[first]
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sig, node, bucket = sig[order], node[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        blobs = [sig[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(sig)], strict=True)]
-        yield rows(0, bucket[cut], blob=blobs)
-        if len(child):
-            yield rows(1, mix64(child.astype(np.uint64)).astype(np.int64) % buckets, doc_id=child, n=head)
+        keys, told, bucket = keys[order], told[order].astype(np.uint32), bucket[order]
+        cut = _runs(bucket).tolist()
+        parts = list(zip(cut, [*cut[1:], len(keys)], strict=True))
+        yield _rows(len(cut), kind=np.zeros(len(cut), np.int32), bucket=bucket[cut], chunk=np.full(len(cut), chunk), keys=[_pack(keys[a:b]) for a, b in parts], values=[_pack(told[a:b]) for a, b in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, seen, sigs, nodes, held = _WordHashes(), Bands(num, den), set(), [], [], 0
+        hashes, sets, held = _WordHashes(), {}, 0
         for batch in batches:
-            ids, sizes, prints = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sizes, nodes = [], []
+            for text in batch.column(1):
                 s = shingle_set(text.as_py(), k, hashes)
-                ids.append(doc_id)
                 sizes.append(len(s))
-                key = xxh3_128_digest(s.tobytes())
-                prints.append(key)
-                if len(s) and doc_id is not None and key not in seen:
-                    if len(seen) > _REMEMBERED:
-                        seen.clear()
-                    seen.add(key)
-                    sig = segment_signatures(s, bands)
-                    sigs.append(sig)
-                    nodes.append(np.full(len(sig), doc_id, np.int64))
-                    held += len(sig)
+                nodes.append(node := set_print(s) if len(s) else None)
+                if len(s) and node not in sets:
+                    sets[node] = s
+                    held += len(s)
                     if held > CHUNK:
-                        yield from flush(sigs, nodes)
-                        sigs, nodes, held = [], [], 0
-            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            spread = np.abs(f[:, 1] ^ np.array([x or 0 for x in ids], np.int64)) % buckets
-            yield rows(2, spread, ids, sizes, f[:, 0], f[:, 1])
-        yield from flush(sigs, nodes)
+                        yield from flush(sets)
+                        sets, held = {}, 0
+            spread = (np.array([x or 0 for x in nodes], np.int64) ^ np.arange(len(nodes))) % buckets
+            yield _rows(len(nodes), kind=np.full(len(nodes), 2, np.int32), bucket=spread, doc_id=batch.column(0).to_pylist(), n=sizes, node=nodes)
+        if sets:
+            yield from flush(sets)
 
     return run
 
 
-def _merge_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns the tile blobs of whole buckets into links; passes the other rows on."""
-    sigs, nodes = [], []
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: answers each chunk with its shingles that other sets hold too, and the number of sets."""
+    at, held = None, []
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        keys = np.concatenate([x[1] for x in held])
+        told = np.concatenate([x[2] for x in held])
+        source = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        order = np.argsort(keys, kind="stable")
+        keys, told, source = keys[order], told[order], source[order]
+        first = _runs(keys)
+        total = np.add.reduceat(np.where(told & 1, told >> 1, 1).astype(np.int64), first)
+        total = np.repeat(total, np.diff(np.append(first, len(keys))))
+        order = np.flatnonzero(total > 1)
+        order = order[np.argsort(source[order], kind="stable")]
+        keys, told, source, total = keys[order], told[order], source[order], np.minimum(total[order], 0xFFFFFFFF).astype(np.uint32)
+        cut = _runs(source).tolist()
+        for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
+            yield _rows(1, kind=[1], chunk=[held[source[a]][0]], keys=[_pack(keys[a:b])], values=[_pack(np.concatenate([told[a:b], total[a:b]]))])
+
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        for blob in batch.filter(pa.array(kind == 0)).column("blob").to_pylist():
-            half = len(blob) // 2
-            sigs.append(np.frombuffer(blob, np.uint64, half // 8))
-            nodes.append(np.frombuffer(blob, np.int64, half // 8, half))
         rest = batch.filter(pa.array(kind != 0))
         if rest.num_rows:
-            yield rest.select(["kind", "doc_id", "n", "f1", "f2"])
+            yield rest
+        batch = batch.filter(pa.array(kind == 0))
+        for bucket, chunk, keys, told in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("keys"), batch.column("values"), strict=True):
+            if bucket != at:
+                yield from answers()
+                at, held = bucket, []
+            held.append((chunk, _unpack(keys.as_py(), "<u8"), _unpack(told.as_py(), "<u4")))
+    yield from answers()
+
+
+def prefix_tiles(sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray, total: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, sets) of the tiles of sets of these sizes.
+
+    (owner, keys, total) are the shingles that several sets hold: the rest are rarer and
+    come first.  A set of n shingles looks at its n - ceil(n * num / den) + 1 rarest.
+    """
+    sizes = sizes.astype(np.int64)
+    take = np.bincount(owner, minlength=len(sizes)) + 1 - -(-sizes * num // den)
+    order = np.lexsort((keys, total, owner))
+    owner, keys = owner[order], keys[order]
+    first = _runs(owner)
+    rank = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    owner, keys = owner[chosen := rank < take[owner]], keys[chosen]
+    low, high = bands_of(sizes, num, den)
+    times = (high - low + 1)[owner]
+    band = np.repeat(low[owner], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mix64(np.repeat(keys, times) + mix64(band.astype(np.uint64))), np.repeat(owner, times)
+
+
+def _star(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once with its smallest node; and links of the other nodes to that one."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = _runs(sig)
+    head = np.repeat(node[first], np.diff(np.append(first, len(sig))))
+    return sig[first], node[first], np.unique(np.stack([node, head])[:, node != head], axis=1)
+
+
+_TILE_DDL = "bucket long, a long, b long, keys binary, nodes binary"
+
+
+def _tile_rows(bucket, a=None, b=None, keys=None, nodes=None) -> pa.RecordBatch:
+    cols = [(bucket, pa.int64()), (a, pa.int64()), (b, pa.int64()), (keys, pa.binary()), (nodes, pa.binary())]
+    return pa.record_batch([pa.nulls(len(bucket), t) if c is None else pa.array(c, t) for c, t in cols], names=["bucket", "a", "b", "keys", "nodes"])
+
+
+def _tiles(num: int, den: int, buckets: int):
+    """Rows sorted by chunk, its sets and the answers to it: links within the task and tiles by bucket."""
+
+    def chunk_tiles(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
+        sets = next((r for r in rows if r[0] == 3), None)
+        answers = [(_unpack(r[2], "<u8"), _unpack(r[3], "<u4").reshape(2, -1)) for r in rows if r[0] == 1]
+        if sets is None or not answers:
+            return None
+        n, known, numbers = sets[1], _unpack(sets[2], "<u8"), _unpack(sets[3], "<u4").astype(np.int64)
+        nodes, held = known[:n].view(np.int64), known[n:]
+        sizes, count, holders = numbers[:n], numbers[n : n + len(held)], numbers[n + len(held) :]
+        keys, told, total = np.concatenate([a[0] for a in answers]), *np.concatenate([a[1] for a in answers], axis=1).astype(np.int64)
+        one = told & 1 == 0
+        at = np.searchsorted(held, keys[~one])
+        times, start = count[at], (np.cumsum(count) - count)[at]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        owner = np.concatenate([told[one] >> 1, holders[np.repeat(start, times) + within]])
+        sig, of = prefix_tiles(sizes, owner, np.concatenate([keys[one], np.repeat(keys[~one], times)]), np.concatenate([total[one], np.repeat(total[~one], times)]), num, den)
+        return sig, nodes[of]
+
+    def flush(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sig, node, links = _star(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]))
+        if links.size:
+            yield _tile_rows(links[0] % buckets, a=links[0], b=links[1])
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, node, bucket = sig[order], node[order], bucket[order]
+        cut = _runs(bucket).tolist()
+        parts = list(zip(cut, [*cut[1:], len(sig)], strict=True))
+        yield _tile_rows(bucket[cut], keys=[_pack(sig[a:b]) for a, b in parts], nodes=[_pack(node[a:b]) for a, b in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, made, size = None, [], [], 0
+        for batch in batches:
+            for chunk, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "n", "keys", "values")), strict=True):
+                if chunk != at:
+                    if got := chunk_tiles(rows):
+                        made.append(got)
+                        size += len(got[0])
+                    at, rows = chunk, []
+                    if size > CHUNK:
+                        yield from flush(made)
+                        made, size = [], 0
+                rows.append(tuple(row))
+        if got := chunk_tiles(rows):
+            made.append(got)
+        if made:
+            yield from flush(made)
+
+    return run
+
+
+def _merge_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns the tiles of whole buckets into links; passes the links on."""
+    sigs, nodes = [], []
+    for batch in batches:
+        tiles = batch.filter(batch.column("keys").is_valid())
+        sigs += [_unpack(x, "<u8") for x in tiles.column("keys").to_pylist()]
+        nodes += [_unpack(x, "<i8") for x in tiles.column("nodes").to_pylist()]
+        links = batch.filter(batch.column("keys").is_null())
+        if links.num_rows:
+            yield links.select(["a", "b"])
     if sigs:
-        _, _, child, head = _star(np.concatenate(sigs), np.concatenate(nodes))
-        if len(child):
-            none = pa.nulls(len(child), pa.int64())
-            yield pa.record_batch([pa.array(np.ones(len(child), np.int32)), pa.array(child), pa.array(head), none, none], names=["kind", "doc_id", "n", "f1", "f2"])
+        links = _star(np.concatenate(sigs), np.concatenate(nodes))[2]
+        if links.size:
+            yield pa.record_batch([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
 
 
 def _features(k: int):
+    """(node, cluster, text): the shingles of the texts whose set the node is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), k, hashes).tobytes() for t in part.column("text")]
-                yield pa.record_batch([part.column("cluster"), part.column("doc_id"), pa.array(sets, pa.binary())], names=["cluster", "doc_id", "shingles"])
+                sets = [shingle_set(t.as_py(), k, hashes) for t in part.column("text")]
+                part = part.append_column("shingles", pa.array([x.tobytes() for x in sets], pa.binary()))
+                right = [set_print(x) == n for x, n in zip(sets, part.column("node").to_pylist(), strict=True)]  # a repeated id may have other texts
+                yield part.filter(pa.array(right, pa.bool_())).select(["cluster", "node", "shingles"])
 
     return run
 
 
+
+
 def bitmap(s: np.ndarray, width: int = BITS) -> np.ndarray:
     bits = np.zeros(width, np.uint8)
     bits[(s % np.uint64(width)).astype(np.int64)] = 1
@@ -219,14 +333,14 @@ def linked(i: int, others: np.ndarray, sets: list, sizes: np.ndarray, maps: np.n
     return out
 
 
-def _unpack(shingles: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+def _arrays(shingles: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
     sets = [np.frombuffer(x, np.uint64) for x in shingles]
     return sets, np.fromiter(map(len, sets), np.int64, len(sets)), np.stack([bitmap(s) for s in sets])
 
 
 def spanning_links(shingles: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
     """Links that span the components of a block.  Each search compares with rows not reached yet only."""
-    sets, sizes, maps = _unpack(shingles)
+    sets, sizes, maps = _arrays(shingles)
     todo, links = np.arange(len(sets)), []
     while len(todo):
         queue, todo = [int(todo[0])], todo[1:]
@@ -242,7 +356,7 @@ def spanning_links(shingles: list[bytes], num: int, den: int) -> list[tuple[int,
 def _compare_blocks(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["cluster", "block"]):
-            ids = g["doc_id"].to_numpy()
+            ids = g["node"].to_numpy()
             links = spanning_links(g["shingles"].tolist(), num, den)
             yield pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
@@ -254,14 +368,14 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
         maps = [bitmap(s, max(1024, 1 << (4 * len(s) - 1).bit_length())).tobytes() for s in sets]
-        yield pa.record_batch([batch.column("cluster"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary())], names=["cluster", "doc_id", "n", "bits"])
+        yield pa.record_batch([batch.column("cluster"), batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary())], names=["cluster", "node", "n", "bits"])
 
 
 def _by_width(g: pd.DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """(words, (ids, sizes, components, bitmaps)) of rows with bitmaps of one width, by size."""
     for width, rows in g.sort_values("n").groupby(g["bits"].map(len)):
         maps = np.stack([np.frombuffer(x, np.uint64) for x in rows["bits"]])
-        yield width // 8, (rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), maps)
+        yield width // 8, (rows["node"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), maps)
 
 
 def _possible_pairs(num: int, den: int):
@@ -274,8 +388,6 @@ def _possible_pairs(num: int, den: int):
             for wl, left in _by_width(g[g["own"] == i]):
                 for wr, (ids, sizes, component, maps) in _by_width(g[g["own"] == j]):
                     w = min(wl, wr)
-                    if max(wl, wr) > 2 * w:
-                        continue  # such sizes are no match
                     maps = np.bitwise_or.reduce(maps.reshape(len(maps), -1, w), axis=1)
                     for doc, n, c, m in zip(*left, strict=True):
                         lo, hi = np.searchsorted(sizes, -(-n * num // den), "left"), np.searchsorted(sizes, n * den // num, "right")
@@ -304,53 +416,48 @@ def _exact(num: int, den: int):
     return run
 
 
-def _in_blocks(rows: DataFrame, seed: int, block: int) -> DataFrame:
-    """Adds block: clusters of more than ``block`` rows are dealt into blocks of about that many.
-
-    Only ids meet by cluster; the sets themselves meet their blocks by id, so a large cluster's sets are never in one task.
-    """
-    ids = rows.select("cluster", "doc_id").distinct()
+def _in_blocks(ids: DataFrame, seed: int, block: int) -> DataFrame:
+    """ids(cluster, node): adds blocks and block; clusters of more than ``block`` nodes are dealt into blocks of about that many."""
     n = ids.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = ids.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
-    return rows.join(dealt.select("doc_id", "blocks", "block"), "doc_id")
+    return ids.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int"))
 
 
-def _links_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    dealt = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    return dealt.select("cluster", "block", "doc_id", "shingles").mapInPandas(lean(_compare_blocks(num, den)), "a long, b long")
+def _links_in_blocks(dealt: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """Only ids meet by cluster; the sets meet their blocks by id, so a large cluster's sets are never in one task."""
+    rows = features.select("node", "shingles").join(dealt, "node").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    return rows.select("cluster", "block", "node", "shingles").mapInPandas(lean(_compare_blocks(num, den)), "a long, b long")
 
 
-def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """features(cluster, doc_id, shingles): links (a, b) that span the components of each cluster.
+def verified_links(features: DataFrame, num: int, den: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """features(cluster, node, shingles): links (a, b) that span the components of each cluster.
 
     A cluster of one block is compared whole.  A larger one is compared block by block,
-    then the smallest rows of its components in blocks of their own as long as that
+    then the smallest nodes of its components in blocks of their own as long as that
     halves their number.  Then the bitmaps of the whole cluster meet tile by tile, and
     the pairs of different components that they allow are checked exactly, so that no
     link between components is missed.
     """
-    dealt, _ = written(_in_blocks(features, 0, block), "ngram-blocks")
-    links, _ = written(_links_in_blocks(dealt, num, den), "ngram-links")
-    large = dealt.where("blocks > 1").select("cluster", "doc_id", "shingles")
-    if large.isEmpty():
+    dealt = scratch.write(_in_blocks(features.select("cluster", "node"), 0, block), "ngram-blocks")
+    links = scratch.write(_links_in_blocks(dealt, features, num, den), "ngram-links")
+    ids = scratch.write(dealt.where("blocks > 1").select("cluster", "node"), "ngram-large")
+    if ids.isEmpty():
         return links
 
     def components(of: DataFrame) -> DataFrame:
-        found = connected_components(of)
-        named = large.select("cluster", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return written(named.select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-components")[0]
+        found = connected_components(of, scratch=scratch)
+        named = ids.join(found, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+        return scratch.write(named, "ngram-components")
 
     known, seed, before = components(links), 1, None
     while True:
-        heads = known.where("doc_id = component").select("cluster", "doc_id")
+        heads = known.where("node = component").select("cluster", "node")
         many = heads.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-        heads, _ = written(heads.join(many, "cluster").select("doc_id"), "ngram-heads")
+        heads = scratch.write(heads.join(many, "cluster"), "ngram-heads")
         left = heads.count()
         if before is not None and 2 * left > before:
             break
         before = left
-        again = large.join(heads, "doc_id").select("cluster", "doc_id", "shingles")
-        more, _ = written(_links_in_blocks(_in_blocks(again, seed, block), num, den), "ngram-links")
+        more = scratch.write(_links_in_blocks(_in_blocks(heads, seed, block), features, num, den), "ngram-links")
         if more.isEmpty():
             break
         links, seed = links.union(more), seed + 1
@@ -358,16 +465,16 @@ def verified_links(features: DataFrame, num: int, den: int, block: int = BLOCK)
     if not left:
         return links
     parts = known.groupBy("cluster").agg(F.count_distinct("component").alias("parts"), F.ceil(F.count("*") / (TILE * block)).cast("int").alias("tiles"))
-    ids, _ = written(known.join(parts.where("parts > 1"), "cluster").select("doc_id", "component", "tiles"), "ngram-ids")
-    maps = large.join(ids, "doc_id").select("cluster", "doc_id", "shingles").mapInArrow(lean(_bitmaps), "cluster long, doc_id long, n long, bits binary")
-    maps = maps.join(ids, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(0)), "tiles").cast("int"))
+    open_ids = scratch.write(known.join(parts.where("parts > 1"), "cluster").select("node", "component", "tiles"), "ngram-ids")
+    maps = features.join(open_ids, "node").select("cluster", "node", "shingles").mapInArrow(lean(_bitmaps), "cluster long, node long, n long, bits binary")
+    maps = maps.join(open_ids, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(0)), "tiles").cast("int"))
     maps = maps.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    maps = maps.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "bits")
+    maps = maps.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits")
     met = maps.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    pairs, _ = written(met.mapInPandas(lean(_possible_pairs(num, den)), "a long, b long"), "ngram-pairs")
-    sets = large.select("doc_id", "shingles")
-    checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    last, _ = written(checked.select("a", "b", "sa", "sb").mapInArrow(lean(_exact(num, den)), "a long, b long"), "ngram-links")
+    pairs = scratch.write(met.mapInPandas(lean(_possible_pairs(num, den)), "a long, b long"), "ngram-pairs")
+    sets = features.select("node", "shingles")
+    checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    last = scratch.write(checked.select("a", "b", "sa", "sb").mapInArrow(lean(_exact(num, den)), "a long, b long"), "ngram-links")
     return links.union(last)
 
 
@@ -377,29 +484,36 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents link when den * |A and B| >= num * |A or B| for their sets of k-word
     shingles; component_id is the smallest id reachable by links.  A null or empty text,
     or one without words, has no shingles and links with nothing; one with fewer than k
-    words is one shingle.  Ids are integers; a row whose id is null links with nothing.
-    Rows that repeat an id are one node and come out once each.  An empty table gives an
+    words is one shingle; very long texts are taken whole.  Ids are integers.  A row whose
+    id is null lends no id to others and gets their component.  Rows that repeat an id
+    come out once each, each with the component of its own text.  An empty table gives an
     empty table; other columns of docs do not matter.
     """
+    if not 0 < num <= den:
+        raise ValueError("a similarity is above 0 and at most 1")
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = source.mapInArrow(lean(_sets_and_tiles(k, num, den, buckets)), "kind int, bucket long, doc_id long, n long, f1 long, f2 long, blob binary")
-    made = made.repartition("bucket").mapInArrow(lean(_merge_tiles), "kind int, doc_id long, n long, f1 long, f2 long")
-    made, _ = written(made, "ngram-tiles")
-    sets = made.where("kind = 2").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-    classes = sets.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    sets, _ = written(sets.join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "ngram-sets")
-    rep = sets.where("rep <> doc_id").select("doc_id", "rep").distinct()
-    tiles = made.where("kind = 1").select(F.col("doc_id").alias("a"), F.col("n").alias("b")).distinct()
-    for side in ("a", "b"):
-        tiles = tiles.join(rep.withColumnRenamed("doc_id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
-    clusters = connected_components(tiles).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = source.hint("merge").join(clusters, "doc_id")  # the clusters grow with the corpus and are not broadcast
-    features, _ = written(members.select("cluster", "doc_id", "text").mapInArrow(lean(_features(k)), "cluster long, doc_id long, shingles binary"), "ngram-features")
-    found = connected_components(verified_links(features, num, den))
-    named = sets.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    with Scratch(spark) as scratch:
+        made = source.mapInArrow(lean(_chunks(k, buckets)), _DDL).repartition("bucket").sortWithinPartitions("bucket")
+        made = scratch.write(made.mapInArrow(lean(_frequencies), _DDL), "ngram-chunks")
+        sets = made.where("kind = 2").select("doc_id", F.col("n").alias("n_shingles"), "node")
+        tiles = made.where("kind IN (1, 3)").select("chunk", "kind", "n", "keys", "values").repartition("chunk").sortWithinPartitions("chunk")
+        tiles = tiles.mapInArrow(lean(_tiles(num, den, buckets)), _TILE_DDL).repartition("bucket").mapInArrow(lean(_merge_tiles), "a long, b long")
+        tiles = scratch.write(tiles.distinct(), "ngram-tiles")
+        clusters = connected_components(tiles, scratch=scratch).withColumnRenamed("component", "cluster")
+        classes = scratch.write(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "ngram-classes")
+        wanted = scratch.write(classes.where("rep IS NOT NULL").join(clusters, "node").select("rep", "node", "cluster"), "ngram-wanted")
+        members = source.hint("merge").join(wanted, F.col("doc_id") == F.col("rep"))  # the clusters grow with the corpus and are not broadcast
+        features = members.select("cluster", "node", "text").mapInArrow(lean(_features(k)), "cluster long, node long, shingles binary").dropDuplicates(["node"])
+        features = scratch.write(features, "ngram-features")
+        found = connected_components(verified_links(features, num, den, scratch), scratch=scratch)
+        named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        groups = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+        answers = scratch.write(named.join(groups, "component").select("node", "n", "component_id"), "ngram-answers")
+        return scratch.keep(
+            join_groups(sets, answers, ["node"], "n").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-result"
+        )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,10 +64,11 @@ def brute_jaccard(rows, k, num, den):
     return {i: (len(s), c[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num", "words", "block"), [(3, 90, 120, 512), (5, 80, 60, 512), (5, 80, 60, 4), (3, 90, 200, 3)])
+@pytest.mark.parametrize(("k", "num", "words", "block"), [(3, 90, 120, 512), (5, 80, 60, 512), (5, 80, 60, 4), (3, 90, 200, 3), (2, 50, 40, 5), (1, 30, 40, 512), (3, 100, 60, 512)])
 def test_ngram_jaccard(spark, monkeypatch, k, num, words, block):
     whole = op05_ngram_jaccard.verified_links
-    monkeypatch.setattr(op05_ngram_jaccard, "verified_links", lambda f, a, b: whole(f, a, b, block))
+    monkeypatch.setattr(op05_ngram_jaccard, "verified_links", lambda f, a, b, scratch: whole(f, a, b, scratch, block))
+    monkeypatch.setattr(op05_ngram_jaccard, "CHUNK", 3000)
     rows = near_copies(700, words, k + block)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cluster string, n long")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op05_ngram_jaccard.ngram_jaccard(df, k=k, num=num).collect()}
@@ -133,6 +134,16 @@ def test_pivot_dedup_recall_on_the_table(spark):
     assert got == brute_cosine(rows, 0.93)
 
 
+def test_pivot_dedup_edge_cases(spark):
+    df = spark.createDataFrame([(7, [1.0, 0.0], 1, "a"), (7, [2.0, 0.0], 1, "b"), (7, [0.0, 1.0], 1, "c"), (3, [0.0, 3.0], 1, "d"), (None, [1.0, 0.0], 1, "e"), (9, [3.0, 4.0], 1, "f"), (8, [4.0, 3.0], 1, "g")], "vec_id long, embedding array<double>, label int, node string")
+    got = sorted(tuple(r) for r in op03_pivot_dedup.pivot_dedup(df).collect() if r.vec_id is not None)
+    assert got == [(3, 1, 3, True), (7, 1, 3, False), (7, 2, 7, True), (7, 2, 7, True), (8, 1, 8, True), (9, 1, 8, False)]  # 24 / 25 is 0.96
+    assert [(r.n_links, r.component_id) for r in op03_pivot_dedup.pivot_dedup(df).where("vec_id IS NULL").collect()] == [(2, 7)]
+    at = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [0.93, 0.93**2 - 1], 1), (3, [0.6, 0.8], 1), (4, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    tie = {r.vec_id: r.n_links for r in op03_pivot_dedup.pivot_dedup(at, threshold=0.6).collect()}
+    assert tie == {1: 3, 2: 2, 3: 2, 4: 3}  # the cosine of 3 and 1 is the threshold
+
+
 def test_pivot_dedup_finds_all_links_of_dense_topics(spark):
     rng, dim, rows = np.random.default_rng(5), 64, []
     for _ in range(2):
@@ -148,11 +159,12 @@ def test_pivot_dedup_finds_all_links_of_dense_topics(spark):
         assert got == want
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_chars=1):
     seen = {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            if len(line := op07_line_dedup.normal(line)) >= op07_line_dedup.MIN_CHARS:
+            line = line.strip(" \t\n\r\x0b\x0c").translate({c: c + 32 for c in range(65, 91)})
+            if len(line) >= min_chars and any(c.isalnum() for c in line):
                 seen.setdefault(line, []).append((i, n))
     lines, k = list(seen), op07_line_dedup.SHINGLE
     sets, where, links = [], {}, []
@@ -181,6 +193,7 @@ def test_line_dedup(spark, sf):
         rows.append((i, "\n".join(x.upper() if rng.random() < 0.1 else x.replace("an", "en", 1) if rng.random() < 0.2 else x for x in lines)))
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, node string")
     assert {r.doc_id: r.text for r in op07_line_dedup.line_dedup(df).collect()} == brute_lines(rows)
+    assert {r.doc_id: r.text for r in op07_line_dedup.line_dedup(df, min_chars=20).collect()} == brute_lines(rows, 20)
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     assert {r.doc_id: r.text for r in op07_line_dedup.query(spark, sf).collect()} == brute_lines(docs)
     assert op07_line_dedup.line_dedup(df.limit(0)).collect() == []
@@ -194,14 +207,23 @@ def test_line_dedup_compares_all_lines_of_a_family(spark):
         field = own(15)
         lines += [shared + field, shared + field[:7] + "#" + field[8:]]
     rng.shuffle(lines)
-    rows = [(i, f"{line}\nshort") for i, line in enumerate(lines)]
+    rows = [(i, f"{line}\n--") for i, line in enumerate(lines)]
     want = brute_lines(rows)
-    assert 600 <= sum(t == "short" for t in want.values()) < 620
+    assert 600 <= sum(t == "--" for t in want.values()) < 620
     for parts in (2, 24):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert {r.doc_id: r.text for r in op07_line_dedup.line_dedup(df).collect()} == want
 
 
+def test_line_dedup_edge_cases(spark):
+    line = "a line of the corpus that comes twice or more"
+    rows = [(2, f"{line}\nown two", 9, "u"), (2, f"own two\n{line.upper()} \n}}\n}}", 9, "v"), (2, f"{line}\nown two", 9, "w"), (1, None, 9, "x"), (None, line, 9, "y"), (3, "", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, k string")
+    got = {r.k: (r.text, r.n_lines, r.n_removed) for r in op07_line_dedup.line_dedup(df).collect()}
+    assert got["u"] == got["w"] and {got["x"], got["y"], got["z"]} == {(None, 0, 0), (line, 1, 0), ("", 1, 0)}
+    assert sorted([got["u"], got["v"]]) in ([("", 2, 2), (rows[1][1], 4, 0)], [(rows[0][1], 2, 0), ("}\n}", 4, 2)])
+
+
 def test_band_signatures_estimate_similarity():
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400))
@@ -210,7 +232,7 @@ def test_band_signatures_estimate_similarity():
     assert (a == b).any() and not (op07_line_dedup.band_signatures(["".join(rng.choice("xyz ") for _ in range(400))])[0] == a).any()
 
 
-@pytest.mark.parametrize(("fan_in", "rounds"), [(8, 2), (2, 3), (3, 1)])
+@pytest.mark.parametrize(("fan_in", "rounds"), [(8, 2), (2, 3), (4, 1), (8, None)])
 def test_exact_dedup(spark, fan_in, rounds):
     rng = random.Random(rounds)
     rows = [(i, rng.choice([None, "", "Hot", "hot", "HOT", "É", "é", f"t{rng.randrange(40)}", "long " * 2000]), "x") for i in range(300)]
@@ -224,6 +246,34 @@ def test_exact_dedup(spark, fan_in, rounds):
     assert op10_exact_dedup.exact_dedup(df.limit(0)).collect() == []
 
 
+def test_runs_are_sorted_and_merge_at_every_level(spark):
+    rng = np.random.default_rng(8)
+
+    def records(n):
+        out = np.zeros(n, op10_exact_dedup.RECORD)
+        out["digest"], out["check"] = rng.integers(0, 40, (n, 1)).astype("u8") << np.uint64(58), 7
+        out["digest"][:, 1] = rng.integers(0, 2, n)
+        out["id"], out["known"], out["n"] = rng.integers(0, 1000, n), rng.random(n) < 0.9, 1
+        return out
+
+    key = lambda r: [tuple(d) for d in r["digest"].tolist()]
+    parts = [records(300) for _ in range(5)]
+    runs = [op10_exact_dedup.collapse(p) for p in parts]
+    merged = op10_exact_dedup.collapse(np.concatenate(runs))
+    for run in [*runs, merged]:
+        assert key(run) == sorted(set(key(run)))
+    whole, want = np.concatenate(parts), {}
+    for k, i, known in zip(key(whole), whole["id"].tolist(), whole["known"].tolist(), strict=True):
+        have = want.setdefault(k, [0, None])
+        want[k] = [have[0] + 1, max(have[1] if have[1] is not None else -1, i) if known else have[1]]
+    assert {k: [n, i if known else None] for k, n, i, known in zip(key(merged), merged["n"].tolist(), merged["id"].tolist(), merged["known"].tolist(), strict=True)} == want
+    place = dict(op10_exact_dedup.exchange(merged, 0b010101, 0, 2, 3))
+    assert sum(map(len, place.values())) == len(merged) and all(n & 7 == 0b101 and (p["digest"][:, 0] >> np.uint64(61) == n >> 3).all() for n, p in place.items())
+    df = spark.createDataFrame([(1, b"\0" * 32, 1)], "doc_id long, digest binary, check long")
+    plan = op10_exact_dedup.merge_runs(df, fan_in=2, rounds=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and plan.count("Sort [run") == 3
+
+
 def test_exact_dedup_repeats_and_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
     rows = sorted(((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in op10_exact_dedup.exact_dedup(df, keep="min").collect()))
