@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import html as html_lib
+import json as json_lib
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE_ENDS = "。！？.!?"
@@ -21,26 +24,37 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, trim_all), lambda s: s != "")
 
 
+#: The characters of the Unicode property White_Space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def pack_sentences(sentences: Iterable[str], size: int, overlap: int) -> list[tuple[str, int, int]]:
+    """(text, char_start, char_end) of the chunks of one text; see ``chunk_text``."""
+    out, cur, length, start = [], "", 0, 0
+    for s in sentences:
+        if cur and length + len(s) > size:
+            out.append((cur.strip(_WHITE), start, start + length))
+            start += length - overlap if length > overlap else start
+            cur = (cur[-overlap:] if len(cur) > overlap else cur) + " " + s
+            length = len(cur)
+        else:
+            cur = f"{cur} {s}" if cur else s
+            length += len(s) + 1
+    if cur.strip(_WHITE):
+        out.append((cur.strip(_WHITE), start, start + length))
+    return out
+
+
 def chunk_text(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     """array<struct(text, char_start, char_end)>: sentences packed up to ``size``, each chunk led by the last
     ``overlap`` characters of the one before.  Offsets count one for every joint, and the start doubles
-    where a chunk is no longer than the overlap."""
-    empty = F.array().cast("array<struct<text:string,char_start:bigint,char_end:bigint>>")
-    zero = F.struct(F.lit("").alias("cur"), F.lit(0).cast("bigint").alias("len"), F.lit(0).cast("bigint").alias("start"), empty.alias("out"))
-
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.struct(trim_all(acc["cur"]).alias("text"), acc["start"].alias("char_start"), (acc["start"] + acc["len"]).alias("char_end"))))
+    where a chunk is no longer than the overlap.  A fold over sentences, so batches of texts run in Arrow."""
 
-    def step(acc: Column, s: Column) -> Column:
-        n = F.length(s).cast("bigint")
-        full = (acc["len"] + n > size) & (acc["cur"] != "")
-        led = F.concat(F.when(F.length(acc["cur"]) > overlap, F.right(acc["cur"], F.lit(overlap))).otherwise(acc["cur"]), F.lit(" "), s)
-        start = acc["start"] + F.when(acc["len"] > overlap, acc["len"] - overlap).otherwise(acc["start"])
-        begun = F.struct(led.alias("cur"), F.length(led).cast("bigint").alias("len"), start.alias("start"), closed(acc).alias("out"))
-        more = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        return F.when(full, begun).otherwise(F.struct(more.alias("cur"), (acc["len"] + n + 1).alias("len"), acc["start"].alias("start"), acc["out"].alias("out")))
+    @F.pandas_udf("array<struct<text:string,char_start:bigint,char_end:bigint>>")
+    def chunks(sentences: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else [{"text": t, "char_start": a, "char_end": b} for t, a, b in pack_sentences(s, size, overlap)] for s in sentences], dtype=object)
 
-    return F.aggregate(split_sentences(text), zero, step, lambda acc: F.when(trim_all(acc["cur"]) != "", closed(acc)).otherwise(acc["out"]))
+    return chunks(split_sentences(text))
 
 
 def classify_by_content(text: Column, rules: Sequence[tuple[str, Sequence[str]]], unknown: str = "unknown") -> Column:
@@ -77,11 +91,14 @@ def method_from_path(path: Column, survey: str) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """HTML without scripts, styles, comments and tags, with the common references decoded and single spaces."""
+    """HTML without scripts, styles, comments and tags, with all character references decoded and single spaces."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else html_lib.unescape(t).replace("\xa0", " ") for t in texts], dtype=object)
+
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(decoded(text), r"\s+", " "))
 
 
 def json_path_get(json: Column, path: str) -> Column:
@@ -89,6 +106,36 @@ def json_path_get(json: Column, path: str) -> Column:
     return F.get_json_object(json, f"$.{path}")
 
 
+def find_key(record: str | None, key: str) -> str | None:
+    """The value of the first key of that name in a JSON text: an object's own keys come before what is inside
+    them, and those in the order of the text, through objects and arrays of any depth.  Scalars as they are
+    written, objects and arrays as JSON; NULL if there is none, or the text is no JSON."""
+    try:
+        todo = [json_lib.loads(record or "", parse_int=str, parse_float=str)]
+    except (ValueError, RecursionError):
+        return None
+    while todo:
+        at = todo.pop()
+        if isinstance(at, dict):
+            if key in at:
+                v = at[key]
+                return v if isinstance(v, str) or v is None else json_lib.dumps(v, ensure_ascii=False, separators=(",", ":"))
+            todo += reversed(at.values())
+        elif isinstance(at, list):
+            todo += reversed(at)
+    return None
+
+
+def json_find_key(json: Column, key: str) -> Column:
+    """``find_key`` of a column, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def found(records: pd.Series) -> pd.Series:
+        return pd.Series([find_key(r, key) for r in records], dtype=object)
+
+    return found(json)
+
+
 def json_collect_remaining(json: Column, mapped: Sequence[str]) -> Column:
     """The scalar fields that no mapping takes, as ``k:v；k:v`` in document order; no lists, objects, links or blanks."""
     entries = F.map_entries(F.from_json(json, "map<string,string>"))
@@ -143,19 +190,34 @@ def node_text(columns: Sequence[Column], arrays: Sequence[Column] = ()) -> Colum
 
 
 def entities_to_text(entities: Column) -> Column:
-    return F.array_join(F.transform(entities, lambda e: e["text"]), " ")
+    """The texts of array<struct(text, ...)> that are not empty, joined by spaces; empty without any."""
+    texts = F.filter(F.transform(entities, lambda e: e["text"]), lambda t: t.isNotNull() & (t != ""))
+    return F.coalesce(F.array_join(texts, " "), F.lit(""))
+
+
+def prefix_format(sides: Mapping[str, Mapping[str, Column]]) -> list[Column]:
+    """Columns ``side_name`` of what was found for each side; an empty list becomes NULL."""
+    full = lambda c: F.when(F.size(c) > 0, c)
+    return [full(c).alias(f"{side}_{name}") for side, found in sides.items() for name, c in found.items()]
+
+
+def serialize_nested(df: DataFrame) -> DataFrame:
+    """Objects, maps and arrays of a table as JSON text; other columns stay."""
+    nested = {f.name for f in df.schema if f.dataType.typeName() in ("struct", "map", "array")}
+    return df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
 
 
 def render(template: Column, variables: Column) -> Column:
-    """A template's ``{name}`` from map entries; missing values are empty."""
-    filled = F.aggregate(F.map_entries(variables), template, lambda t, v: F.replace(t, F.concat(F.lit("{"), v["key"], F.lit("}")), F.coalesce(v["value"], F.lit(""))))
-    return F.regexp_replace(filled, r"\{\w+\}", "")
+    """A template's ``{name}`` from map entries; missing values are empty.  Braces inside values stay."""
+    parts = F.regexp_extract_all(template, F.lit(r"(?s)(\{\w+\}|[^{]+|\{)"), F.lit(1))
+    value = lambda t: F.coalesce(F.try_element_at(variables, F.regexp_extract(t, r"^\{(\w+)\}$", 1)), F.lit(""))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"^\{\w+\}$"), value(t)).otherwise(t)), "")
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 for a zero vector."""
+    """0 for a zero vector; NULL for vectors of different length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
 
 
 def parse_vector(text: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgflow.operators.embed import rank_by_hash
+
 
-def scan_labeled_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lines(value) ``<text> <int>``, cut at the last space: (rows of text and label, rejected lines)."""
+def scan_labeled_lines(lines: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """lines(value, keep ...) ``<text> <int>``, cut at the last space: (rows of text, label and keep; rejected lines)."""
     pattern = r"(?s)^(.*) (-?\d+)$"
     ok = lines.where(F.col("value").rlike(pattern))
-    rows = ok.select(F.regexp_extract("value", pattern, 1).alias("text"), F.regexp_extract("value", pattern, 2).cast("int").alias("label"))
+    rows = ok.select(F.regexp_extract("value", pattern, 1).alias("text"), F.regexp_extract("value", pattern, 2).cast("int").alias("label"), *keep)
     return rows, lines.where(~F.coalesce(F.col("value").rlike(pattern), F.lit(False)))
 
 
@@ -32,10 +36,10 @@ def corpus_balance(rows: DataFrame, n: int, seed: str) -> DataFrame:
 
 def stratified_split(rows: DataFrame, seed: str, train: float = 0.6, val: float = 0.2) -> DataFrame:
     """Adds split: per label round(n * train) rows, round(n * val) rows and the rest, halves rounded to even."""
-    w = Window.partitionBy("label")
-    n, rn = F.count("*").over(w), F.row_number().over(w.orderBy(hash_order("text", seed), "text"))
-    a, b = F.bround(n * F.lit(train), 0), F.bround(n * F.lit(val), 0)
-    return rows.withColumn("split", F.when(rn <= a, "train").when(rn <= a + b, "val").otherwise("test"))
+    ranked = rank_by_hash(rows.withColumn("__h", hash_order("text", seed)), "__h", ["label"], "text").drop("__h")
+    a, b = F.bround(F.col("rank_of") * F.lit(train), 0), F.bround(F.col("rank_of") * F.lit(val), 0)
+    split = F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test")
+    return ranked.withColumn("split", split).drop("rank", "rank_of")
 
 
 def leakage_check(split: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +14,27 @@ def content_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def number_rows(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    """Adds number, dense from 1 in the order of hexadecimal ids, and a label of it.
+def rank_by_hash(rows: DataFrame, order: str, keys: Sequence[str] = (), tie: str | None = None, digits: int = 4) -> DataFrame:
+    """Adds ``rank``, dense from 1 within keys in the order of hexadecimal digests, and ``rank_of``, the number of rows.
 
-    Ids fall into 4096 buckets by their first digits; each is numbered by itself and moved by what stands before it.
+    Digests fall into buckets by their first digits; each is ranked by itself and moved by what stands
+    before it, so no task sorts all rows of a key.
     """
-    b = rows.withColumn("__b", F.substring(id_col, 1, 3))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # over at most 4096 rows
-    offsets = b.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    own = b.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(id_col)))
-    numbered = own.join(offsets, "__b").withColumn("number", F.col("__off") + F.col("__rn")).drop("__b", "__rn", "__off")
+    b = rows.withColumn("__b", F.substring(order, 1, digits))
+    w = Window.partitionBy(*keys)
+    counts = b.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))  # at most 16 ** digits rows for a key
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__at"), before.alias("__off"), F.sum("__n").over(w).alias("rank_of"))
+    own = b.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order, *([tie] if tie else []))))
+    same = F.col("__b") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return own.join(offsets, same).select(*rows.columns, (F.col("__off") + F.col("__rn")).alias("rank"), "rank_of")
+
+
+def number_rows(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """Adds number, dense from 1 in the order of hexadecimal ids, and a label of it."""
+    numbered = rank_by_hash(rows, id_col).withColumnRenamed("rank", "number").drop("rank_of")
     return numbered.withColumn("label", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 6, "0")))
 
 

@@ -6,8 +6,10 @@ equi-join of the text's windows with it, so any number of terms costs one join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,32 +33,66 @@ def assert_disjoint(root: DataFrame, attr: DataFrame) -> DataFrame:
     return root.select("term").intersect(attr.select("term"))
 
 
-def lexicon_match(docs: DataFrame, lexicon: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """(doc_id, start, end, term) of every occurrence; ``lengths`` are those that terms have."""
-    found = [docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).alias("start", "term")) for n in lengths]
-    windows = found[0]
-    for more in found[1:]:
-        windows = windows.union(more)
-    hits = windows.join(lexicon.select("term").distinct(), "term")
+def lexicon_match(docs: DataFrame, lexicon: DataFrame, lengths: Sequence[int], starts: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, start, end, term) of every occurrence; ``lengths`` are those that terms have.
+
+    ``starts`` are terms, or the first two characters of all of them: windows that begin
+    otherwise are left out before any row is made.  The rest meet the lexicon by term, so
+    it may have any size.
+    """
+    heads = "|".join(sorted({re.escape(x[:2]) for x in starts})) if starts else ""
+    at = re.compile(f"(?s)(?={heads or '.'})")
+
+    @F.pandas_udf("array<struct<start:int,term:string>>")
+    def windows(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            places = [m.start() for m in at.finditer(t or "")]
+            out.append([{"start": i, "term": t[i : i + n]} for i in places for n in lengths if i + n <= len(t)])
+        return pd.Series(out, dtype=object)
+
+    rows = docs.select("doc_id", F.explode(windows("text")).alias("w")).select("doc_id", "w.start", "w.term")
+    hits = rows.join(lexicon.select("term").distinct(), "term")
     return hits.select("doc_id", "start", (F.col("start") + F.length("term")).alias("end"), "term")
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """Greedy from the left: the longest span at the earliest start stays, what overlaps it goes."""
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") - F.col("end")).alias("neg"), "term"))).alias("s"))
-    zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = (x["start"] - x["neg"]).cast("int")
-        kept = F.struct(end.alias("last"), F.array_append(acc["out"], F.struct(x["start"].cast("int").alias("start"), end.alias("end"), x["term"].alias("term"))).alias("out"))
-        return F.when(x["start"] >= acc["last"], kept).otherwise(acc)
+    @F.pandas_udf("array<int>")
+    def kept(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for s, e in zip(starts, ends, strict=True):
+            last, stay = 0, []
+            for i, (a, b) in enumerate(zip(s.tolist(), e.tolist(), strict=True)):
+                if a >= last:
+                    stay.append(i)
+                    last = b
+            out.append(stay)
+        return pd.Series(out, dtype=object)
+
+    first = spans.groupBy("doc_id", "start").agg(F.min(F.struct((F.col("start") - F.col("end")).alias("neg"), "term")).alias("s"))
+    docs = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") - F.col("s.neg")).alias("end"), "s.term"))).alias("s"))
+    places = F.explode(kept(F.transform("s", lambda x: x["start"].cast("int")), F.transform("s", lambda x: x["end"].cast("int"))))
+    return docs.select("doc_id", "s", places.alias("i")).select("doc_id", F.get("s", F.col("i")).alias("x")).select("doc_id", F.col("x.start").cast("int").alias("start"), F.col("x.end").cast("int").alias("end"), "x.term")
 
-    return spans.select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.start", "x.end", "x.term")
+
+def sentence_ids(rows: DataFrame, docs: DataFrame, at: Column) -> DataFrame:
+    """Adds ``sid``: how many sentence ends stand before the position ``at`` of each row(doc_id, ...).
+
+    The ends of a text are found once; rows and ends then pass in the order of their places, so long texts cost no more a row.
+    """
+    ended = F.regexp_extract_all("text", F.lit(f"[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]"), F.lit(0))
+    pieces = docs.select("doc_id", F.posexplode(F.transform(ended, F.length)).alias("i", "n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = pieces.select("doc_id", (upto - 1).cast("double").alias("__at"), F.lit(1).alias("__end"))
+    both = rows.select("*", F.floor(at).cast("double").alias("__at"), F.lit(0).alias("__end")).unionByName(ends, allowMissingColumns=True)
+    before = Window.partitionBy("doc_id").orderBy("__at", "__end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("sid", F.sum("__end").over(before)).where("__end = 0").drop("__at", "__end")
 
 
-def sentence_id(text: Column, pos: Column) -> Column:
-    """How many sentence ends stand before a position."""
-    return F.length(F.regexp_replace(F.substring(text, F.lit(1), pos.cast("int")), f"[^{SENTENCE_ENDS}]", ""))
+#: Characters of a position bin in which attributes meet roots.
+BIN = 64
 
 
 def assign_nearest(roots: DataFrame, attrs: DataFrame, docs: DataFrame, window: int = 12) -> DataFrame:
@@ -66,9 +102,11 @@ def assign_nearest(roots: DataFrame, attrs: DataFrame, docs: DataFrame, window:
     The nearest centre wins; of equals one of the same sentence, then the earliest.
     """
     centre = (F.col("start") + F.col("end")) / 2
-    placed = attrs.join(docs, "doc_id").select("doc_id", "start", "end", "term", centre.alias("c"), sentence_id(F.col("text"), F.floor(centre)).alias("sid"), F.length("text").alias("n"))
-    r = roots.join(docs, "doc_id").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), ((F.col("start") + F.col("end")) / 2).alias("rc"), sentence_id(F.col("text"), F.col("start")).alias("rsid"))
-    met = placed.join(r, "doc_id").where((F.col("c") >= F.col("r_start") - window) & (F.col("c") <= F.col("r_end") + window))
+    bin_of = lambda c: F.floor(c / BIN)
+    placed = sentence_ids(attrs.select("doc_id", "start", "end", "term", centre.alias("c")), docs, F.col("c")).withColumn("bin", bin_of(F.col("c")))
+    r = sentence_ids(roots.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), centre.alias("rc")), docs, F.col("r_start")).withColumnRenamed("sid", "rsid")
+    r = r.withColumn("bin", F.explode(F.sequence(bin_of(F.col("r_start") - window), bin_of(F.col("r_end") + window))))
+    met = placed.join(r, ["doc_id", "bin"]).where((F.col("c") >= F.col("r_start") - window) & (F.col("c") <= F.col("r_end") + window))
     best = met.groupBy("doc_id", "start").agg(F.min(F.struct(F.abs(F.col("c") - F.col("rc")).alias("dist"), (F.col("sid") != F.col("rsid")).alias("other"), "r_start")).alias("b"))
     return attrs.join(best.select("doc_id", "start", F.col("b.r_start").alias("root_start")), ["doc_id", "start"], "left").select("doc_id", "start", "end", "term", "root_start")
 
@@ -85,9 +123,10 @@ def aggregate_attrs(assigned: DataFrame, categories: DataFrame) -> DataFrame:
 def assemble_phrases(roots: DataFrame, docs: DataFrame, connectors: Sequence[str], rock: str, layer: str, gap: int = 6) -> DataFrame:
     """roots(doc_id, start, end, term, category): per sentence the first two neighbouring rocks with a connector
     between them, led by the sentence's first layer where that ends at most ``gap`` characters before."""
-    placed = roots.join(docs, "doc_id").withColumn("sid", sentence_id(F.col("text"), F.col("start")))
+    placed = sentence_ids(roots, docs, F.col("start"))
     w = Window.partitionBy("doc_id", "sid").orderBy("start")
     rocks = placed.where(F.col("category") == rock).select("*", F.lead("start").over(w).alias("b_start"), F.lead("term").over(w).alias("b_term"))
+    rocks = rocks.where("b_start IS NOT NULL").join(docs.select("doc_id", "text"), "doc_id")
     between = F.substring("text", F.col("end") + 1, F.col("b_start") - F.col("end"))
     conn = F.coalesce(*[F.when(F.contains(between, F.lit(c)), F.lit(c)) for c in connectors])
     pairs = rocks.withColumn("conn", conn).where("conn IS NOT NULL")

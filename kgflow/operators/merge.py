@@ -43,9 +43,12 @@ def ordered_distinct(rows: DataFrame, keys: list[str], value: str, name: str) ->
 
 def merge_global(nodes: DataFrame) -> DataFrame:
     """One node per merge_key: first attributes and id, highest confidence, ordered distinct chunks and node ids."""
-    one = nodes.groupBy("merge_key").agg(F.min_by("node_id", "ord").alias("node_id"), F.min_by("attributes", "ord").alias("attributes"), F.max("confidence").alias("confidence"))
-    chunks, ids = ordered_distinct(nodes, ["merge_key"], "chunk_id", "source_chunks"), ordered_distinct(nodes, ["merge_key"], "node_id", "all_node_ids")
-    return one.join(chunks, "merge_key").join(ids, "merge_key")
+    once = nodes.groupBy("merge_key", "chunk_id", "node_id").agg(F.min("ord").alias("o"), F.min_by("attributes", "ord").alias("attributes"), F.max("confidence").alias("confidence"))
+    listed = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(c).alias("v")))), lambda x: x["v"]))
+    return once.groupBy("merge_key").agg(
+        F.min_by("node_id", "o").alias("node_id"), F.min_by("attributes", "o").alias("attributes"), F.max("confidence").alias("confidence"),
+        listed("chunk_id").alias("source_chunks"), listed("node_id").alias("all_node_ids"),
+    )
 
 
 def dedup_by_property(nodes: DataFrame, key: str) -> DataFrame:
@@ -88,11 +91,19 @@ def agg_select_earliest(nodes: DataFrame, attr: str) -> DataFrame:
 
 
 def agg_select_most_common(nodes: DataFrame) -> DataFrame:
-    """The most frequent value of each attribute, the first seen of equals; confidence 0.9, or a single node's own."""
-    counts = _values(nodes).where("value IS NOT NULL").groupBy(*DOC, "attr", "value").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    best = counts.groupBy(*DOC, "attr").agg(F.min_by("value", F.struct(-F.col("n"), "first")).alias("value"))
-    confidence = nodes.groupBy(*DOC).agg(F.when(F.count("*") == 1, F.max("confidence")).otherwise(0.9).alias("confidence"))
-    return _as_map(best).join(confidence, list(DOC))
+    """The most frequent value of each attribute, the first seen of equals; confidence 0.9, or a single node's own.
+
+    Each node adds a row without attribute, which counts it and carries its confidence.
+    """
+    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    entries = F.concat(F.filter(F.map_entries("attributes"), lambda e: e["value"].isNotNull()), own)
+    rows = nodes.select(*DOC, "ord", "confidence", F.explode(entries).alias("e")).select(*DOC, "ord", "confidence", F.col("e.key").alias("attr"), "e.value")
+    counts = rows.groupBy(*DOC, "attr", "value").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("confidence").alias("confidence"))
+    best = counts.groupBy(*DOC, "attr").agg(F.min_by("value", F.struct(-F.col("n"), "first")).alias("value"), F.max("n").alias("n"), F.max("confidence").alias("confidence"))
+    node = F.col("attr").isNull()
+    listed = F.filter(F.array_sort(F.collect_list(F.struct("attr", "value"))), lambda e: e["attr"].isNotNull())
+    confidence = F.when(F.max(F.when(node, F.col("n"))) == 1, F.max(F.when(node, F.col("confidence")))).otherwise(0.9)
+    return best.groupBy(*DOC).agg(F.map_from_entries(listed).alias("attributes"), confidence.alias("confidence")).where(F.size("attributes") > 0)
 
 
 def agg_create_single(nodes: DataFrame) -> DataFrame:
@@ -118,7 +129,7 @@ def aggregate_documents(nodes: DataFrame, strategies: Mapping[str, str], date_at
         "merge_descriptions": agg_merge_descriptions, "merge_attributes": agg_merge_attributes, "select_most_common": agg_select_most_common,
         "create_single": agg_create_single, "merge_unique": agg_merge_unique, "select_earliest": lambda n: agg_select_earliest(n, date_attr),
     }
-    out = nodes.where(~F.col("node_type").isin(*strategies)).select(*DOC, "attributes")
+    out = nodes.where(~F.coalesce(F.col("node_type").isin(*strategies), F.lit(False))).select(*DOC, "attributes")
     for name in sorted(set(strategies.values())):
         types = [t for t, s in strategies.items() if s == name]
         out = out.union(policies[name](nodes.where(F.col("node_type").isin(*types))).select(*DOC, "attributes"))

@@ -59,19 +59,6 @@ def scan_json_records(files: DataFrame) -> DataFrame:
     return files.select("source_file", F.posexplode(F.when(one, F.array("text")).otherwise(array)).alias("pos", "json"))
 
 
-def json_find_key(records: DataFrame, key: str, depth: int = 3) -> DataFrame:
-    """records(chunk_id, json): the value of the shallowest key of that name, the first by path; NULL if there is none."""
-    level = records.select("chunk_id", F.lit("").alias("path"), F.from_json("json", "map<string,string>").alias("m"))
-    found = None
-    for d in range(depth):
-        pairs = level.select("chunk_id", "path", F.explode("m").alias("k", "v"))
-        hit = pairs.where(F.col("k") == key).select("chunk_id", F.struct(F.lit(d).alias("d"), "path", "v").alias("h"))
-        found = hit if found is None else found.union(hit)
-        level = pairs.where(F.col("v").startswith("{")).select("chunk_id", F.concat("path", F.lit("/"), "k").alias("path"), F.from_json("v", "map<string,string>").alias("m"))
-    best = found.groupBy("chunk_id").agg(F.min("h").alias("h"))
-    return records.select("chunk_id").join(best, "chunk_id", "left").select("chunk_id", F.col("h.v").alias("value"))
-
-
 _RESPONSE = "struct<nodes:array<struct<node_type:string,attributes:map<string,string>>>,relations:array<struct<head_type:string,tail_type:string,relation_type:string>>,attributes:map<string,string>>"
 
 
@@ -102,21 +89,57 @@ def render_prompts(templates: DataFrame, contexts: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
-def extract_chunks(chunks: DataFrame, mappings: Mapping[str, Sequence[NodeMapping]], patterns: Mapping[str, Sequence[tuple[str, str, str]]]) -> tuple[DataFrame, DataFrame]:
+def extract_chunks(
+    chunks: DataFrame,
+    mappings: Mapping[str, Sequence[NodeMapping]],
+    patterns: Mapping[str, Sequence[tuple[str, str, str]]],
+    lexicons: Mapping[str, tuple[str, Sequence[str]]] | None = None,
+    responses: DataFrame | None = None,
+    response_types: Mapping[str, Sequence[str]] | None = None,
+    sections: Mapping[tuple[str, str], str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """chunks(chunk_id, document_type, file_type, text, metadata): (nodes, rejects).
 
-    Records go through the mapping of their document type, texts through its patterns; chunks without either are rejected.
+    Records go through the mapping of their document type.  Texts go through its patterns
+    and, besides, its lexicon (node type and terms) or the responses(chunk_id, response)
+    of a model, from which ``response_types`` keeps node types.  A chunk whose metadata
+    name a section goes by ``sections`` of (document type, section_id) instead: 'regex',
+    'response' or 'none'.  Chunks without any route are rejected.
     """
+    from kgflow.operators.lexicon import lexicon_match, normalise
     from kgflow.operators.segment import regex_extract_nodes
 
-    out = None
-    for kind, maps in mappings.items():
-        rows = chunks.where((F.col("file_type") == "json") & (F.col("document_type") == kind)).select("chunk_id", F.col("text").alias("json"), "metadata")
-        n = map_json_nodes(rows, maps).select("chunk_id", "node_type", "attributes")
-        out = n if out is None else out.unionByName(n)
-    for kind, pats in patterns.items():
-        rows = chunks.where((F.col("file_type") != "json") & (F.col("document_type") == kind)).select(F.col("chunk_id").alias("doc_id"), "text")
-        n = regex_extract_nodes(rows, pats).dropDuplicates(["doc_id", "node_type", "attribute", "value"]).select(F.col("doc_id").alias("chunk_id"), "node_type", F.create_map("attribute", "value").alias("attributes"))
-        out = n if out is None else out.unionByName(n)
-    routed = ((F.col("file_type") == "json") & F.col("document_type").isin(*mappings)) | ((F.col("file_type") != "json") & F.col("document_type").isin(*patterns))
-    return out, chunks.where(~F.coalesce(routed, F.lit(False))).select("chunk_id", F.lit("no extractor").alias("reason"))
+    lexicons, response_types = lexicons or {}, response_types or {}
+    section = F.try_element_at("metadata", F.lit("section_id"))
+    plan = F.lit(None).cast("string")
+    for (kind, name), how in (sections or {}).items():
+        plan = F.when((F.col("document_type") == kind) & (section == name), how).otherwise(plan)
+    is_json, kind = F.col("file_type") == "json", F.col("document_type")
+    by_section = section.isNotNull()
+    allow = lambda names, how: kind.isin(*names) & F.when(by_section, plan == how).otherwise(~is_json)
+    routed = {
+        "json": ~by_section & is_json & kind.isin(*mappings), "regex": allow(patterns, "regex"),
+        "lexicon": ~by_section & ~is_json & kind.isin(*lexicons), "response": allow(response_types, "response"),
+    }
+    rows = chunks.select("*", *[F.coalesce(c, F.lit(False)).alias(f"__{r}") for r, c in routed.items()])
+    parts = []
+    for name, maps in mappings.items():
+        own = rows.where(F.col("__json") & (kind == name)).select("chunk_id", F.col("text").alias("json"), "metadata")
+        parts.append(map_json_nodes(own, maps).select("chunk_id", "node_type", "attributes"))
+    for name, pats in patterns.items():
+        own = rows.where(F.col("__regex") & (kind == name)).select(F.col("chunk_id").alias("doc_id"), "text")
+        n = regex_extract_nodes(own, pats).dropDuplicates(["doc_id", "node_type", "attribute", "value"])
+        parts.append(n.select(F.col("doc_id").alias("chunk_id"), "node_type", F.create_map("attribute", "value").alias("attributes")))
+    for name, (node_type, terms) in lexicons.items():
+        own = rows.where(F.col("__lexicon") & (kind == name)).select(F.col("chunk_id").alias("doc_id"), "text")
+        lexicon = chunks.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        n = lexicon_match(normalise(own), lexicon, sorted({len(t) for t in terms})).select("doc_id", "term").distinct()
+        parts.append(n.select(F.col("doc_id").alias("chunk_id"), F.lit(node_type).alias("node_type"), F.create_map(F.lit("term"), "term").alias("attributes")))
+    for name, types in response_types.items():
+        own = responses.join(rows.where(F.col("__response") & (kind == name)).select("chunk_id"), "chunk_id", "left_semi")
+        parts.append(nodes_from_response(own, types).select("chunk_id", "node_type", "attributes"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    lost = ~F.col("__json") & ~F.col("__regex") & ~F.col("__lexicon") & ~F.col("__response")
+    return out, rows.where(lost).select("chunk_id", F.lit("no extractor").alias("reason"))

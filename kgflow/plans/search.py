@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,55 @@ def top_k(rows: DataFrame, by: str, score: str, k: int, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def check_vectors(rows: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose vector has ``dim`` numbers, the others)."""
+    ok = F.coalesce(F.size(vector) == dim, F.lit(False))
+    return rows.where(ok), rows.where(~ok)
+
+
+#: Queries and vectors of a category that one task compares.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), float)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, on: str, threshold: float = 0.6, k: int = 10) -> DataFrame:
-    """queries(query_id, on, q), vectors(node_id, on, v): the k nearest of the same category above the threshold."""
-    met = queries.join(vectors, on).withColumn("similarity", cosine(F.col("q"), F.col("v")))
-    return top_k(met.where(F.col("similarity") > threshold).select("query_id", "node_id", "similarity"), "query_id", "similarity", k, "node_id")
+    """queries(query_id, on, q), vectors(node_id, on, v): the k nearest of the same category above the threshold.
+
+    A category is dealt into blocks of queries and of vectors; every pair of blocks is one
+    matrix product, of which each query keeps its k best, so a hot category is many tasks.
+    Vectors meet those of their own length only; NULL ones meet none, zero ones have similarity 0.
+    """
+
+    def dealt(rows: DataFrame, id_col: str, v: str, side: str, block: int) -> DataFrame:
+        rows = rows.where(F.col(v).isNotNull() & F.col(on).isNotNull()).select(F.col(id_col).alias("id"), on, F.col(v).cast("array<double>").alias("v"), F.size(v).alias("dim"))
+        n = rows.groupBy(on, "dim").agg(F.ceil(F.count("*") / block).cast("int").alias(f"{side}_n"))
+        return rows, n
+
+    (q, nq), (v, nv) = dealt(queries, "query_id", "q", "a", QUERY_BLOCK), dealt(vectors, "node_id", "v", "b", VECTOR_BLOCK)
+    plan = nq.join(nv, [on, "dim"])
+    q = q.join(plan, [on, "dim"]).select("id", on, "dim", "v", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), "a_n").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("b_n") - 1)).alias("b"))
+    v = v.join(plan, [on, "dim"]).select("id", on, "dim", "v", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("a_n") - 1)).alias("a"), F.pmod(F.xxhash64("id"), "b_n").cast("int").alias("b"))
+    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["node_id"]
+    rows = q.select("*", F.col("id").alias("query_id"), F.lit(None).cast(types[1]).alias("node_id")).drop("id").unionByName(v.select("*", F.lit(None).cast(types[0]).alias("query_id"), F.col("id").alias("node_id")).drop("id"))
+
+    def best(g: pd.DataFrame) -> pd.DataFrame:
+        asks, have = g[g["asks"]], g[~g["asks"]].sort_values("node_id")
+        ids, out = have["node_id"].to_numpy(), []
+        if len(asks) and len(have):
+            x, y = _unit_rows(asks["v"]), _unit_rows(have["v"])
+            for query_id, row in zip(asks["query_id"].tolist(), x @ y.T, strict=True):
+                near = np.flatnonzero(row > threshold)
+                near = near[np.argsort(-row[near], kind="stable")[:k]]
+                out.append(pd.DataFrame({"query_id": query_id, "node_id": ids[near], "similarity": row[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
+
+    found = rows.groupBy(on, "dim", "a", "b").applyInPandas(best, f"query_id {types[0]}, node_id {types[1]}, similarity double")
+    return top_k(found, "query_id", "similarity", k, "node_id")
 
 
 def weight_gate(key: Column, semantic: Column, hidden: Sequence[Sequence[float]], out: Sequence[Sequence[float]]) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from kgflow.operators import corpus as C
 from kgflow.operators import merge as M
+from kgflow.operators import sets as X
 from kgflow.queries.graph import table
+from kgflow.sources.files import sink_training_split as sink
+from kgflow.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -74,6 +77,11 @@ def dedup_by_property(spark, d):
     return found.withColumn("node_ids", F.array_join("node_ids", "|"))
 
 
+@query(f"WITH {_N} SELECT merge_key, count(*) AS n FROM n GROUP BY 1 HAVING count(*) > 1")
+def dup_order(spark, d):
+    return X.dup_order(nodes(spark, d).groupBy("merge_key").agg(F.count("*").alias("n")), "merge_key")
+
+
 @query(f"WITH {_N} SELECT source_file, node_type, string_agg(DISTINCT status, '；' ORDER BY status) AS status, string_agg(DISTINCT qty, '；' ORDER BY qty) FILTER (qty <> '') AS qty, string_agg(DISTINCT day, '；' ORDER BY day) AS day FROM n GROUP BY ALL")
 def agg_merge_descriptions(spark, d):
     return _flat(M.agg_merge_descriptions(nodes(spark, d)))
@@ -180,6 +188,15 @@ def split_report(spark, d):
     return C.split_report(_split(spark, d))
 
 
+@query(rf"WITH {_S} SELECT split, label, count(*) AS n, sum(length(regexp_replace(text, '[\r\n]+', ' ', 'g')))::BIGINT AS n_chars FROM x GROUP BY ALL")
+def sink_training_split(spark, d):
+    path = scratch_path(spark, "split")
+    sink(_split(spark, d), path)
+    lines = spark.read.text(path)
+    rows, _ = C.scan_labeled_lines(lines, ["split"])
+    return rows.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("""WITH t AS (SELECT quality = 1 AS y, length(text) > 600 AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (y AND p)::BIGINT AS tp, count(*) FILTER (NOT y AND p)::BIGINT AS fp, count(*) FILTER (y AND NOT p)::BIGINT AS fn, count(*) FILTER (NOT y AND NOT p)::BIGINT AS tn FROM t)
 SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c""")
 def confusion_metrics(spark, d):

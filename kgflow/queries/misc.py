@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgflow.functions import text as T
 from kgflow.operators import dialog as D
 from kgflow.operators import records as R
+from kgflow.operators import sets as X
 from kgflow.plans import search as V
 from kgflow.queries.graph import table
 from kgflow.sources import files as S
@@ -39,9 +40,12 @@ def json_path_get(spark, d):
     return records(spark, d).select("chunk_id", T.json_path_get(F.col("json"), "head.status").alias("status"), T.json_path_get(F.col("json"), "head.cust.key").alias("cust"))
 
 
-@query("SELECT o_orderkey AS chunk_id, o_custkey::VARCHAR AS value FROM orders")
+@query("""SELECT o_orderkey AS chunk_id, o_custkey::VARCHAR AS value, part, o_orderstatus AS deep, NULL::VARCHAR AS missing
+FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey)::VARCHAR AS part FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def json_find_key(spark, d):
-    return R.json_find_key(records(spark, d), "key")
+    r = records(spark, d)
+    deep = F.concat(F.lit('{"a":[1,[{"b":{"c":{"d":[{"e":'), "json", F.lit("}]}}}]]}"))
+    return r.select("chunk_id", T.json_find_key(F.col("json"), "key").alias("value"), T.json_find_key(F.col("json"), "part").alias("part"), T.json_find_key(deep, "status").alias("deep"), T.json_find_key(deep, "none").alias("missing"))
 
 
 @query("SELECT o_orderkey AS chunk_id, 'priority:' || o_orderpriority AS rest FROM orders")
@@ -77,10 +81,25 @@ def scan_json_records(spark, d):
     return R.scan_json_records(arrays).groupBy("source_file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, 'I' AS grade, 'HIGH' AS level FROM customer")
+@query("""SELECT c_custkey, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][c_nationkey % 10 + 1] || CASE WHEN c_custkey % 3 = 0 THEN '-' || c_mktsegment ELSE '' END AS grade,
+CASE c_mktsegment WHEN 'BUILDING' THEN 'HIGH' WHEN 'MACHINERY' THEN 'LOW' ELSE c_mktsegment END AS level FROM customer""")
 def normalize_grade(spark, d):
     c = table(spark, d, "customer")
-    return c.select("c_custkey", T.normalize_grade(F.lit("　Ⅰ级 "), {}).alias("grade"), T.normalize_grade(F.concat(F.lit(" red"), F.lit("级")), {"red": "HIGH"}).alias("level"))
+    sign = F.get(F.split(F.lit("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"), ""), (F.col("c_nationkey") % 10).cast("int"))
+    grade = F.concat(F.lit("　"), sign, F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("-"), "c_mktsegment")).otherwise(F.lit("级")), F.lit(" "))
+    return c.select("c_custkey", T.normalize_grade(grade, {"none": "NONE"}).alias("grade"), T.normalize_grade(F.concat(F.lit(" "), "c_mktsegment", F.lit("级")), {"BUILDING": "HIGH", "MACHINERY": "LOW"}).alias("level"))
+
+
+@query("""SELECT c_custkey, '{"name":"' || c_name || '","nation":' || c_nationkey || '}' AS who, '["' || c_mktsegment || '","x"]' AS tags, '{"k":"' || c_mktsegment || '"}' AS attrs FROM customer""")
+def serialize_nested(spark, d):
+    c = table(spark, d, "customer")
+    return T.serialize_nested(c.select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("who"), F.array("c_mktsegment", F.lit("x")).alias("tags"), F.create_map(F.lit("k"), "c_mktsegment").alias("attrs")))
+
+
+@query("SELECT c_mktsegment AS node_type, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 999 END AS priority FROM customer GROUP BY 1")
+def type_priority(spark, d):
+    order = F.when(F.col("c_mktsegment") == "MACHINERY", 1).when(F.col("c_mktsegment") == "BUILDING", 2)
+    return X.type_priority(table(spark, d, "customer").select(F.col("c_mktsegment").alias("node_type"), order.alias("priority")).distinct())
 
 
 @query("SELECT c_custkey, 2::BIGINT AS n, c_name AS name, true AS declared, c_mktsegment AS last FROM customer")
@@ -121,18 +140,19 @@ def render_prompt(spark, d):
     return R.render_prompts(t, ctx)
 
 
-@query("SELECT doc_id AS id, md5('Extract from: ' || text || chr(10) || '- name: who') AS prompt_md5 FROM documents WHERE NOT contains(text, '{')")
+@query("SELECT doc_id AS id, md5('Extract from: ' || coalesce(text, '') || chr(10) || '- name: who') AS prompt_md5 FROM documents")
 def build_extraction_prompt(spark, d):
     t = spark.createDataFrame([("x", 1, "Extract from: {text}"), ("x", 2, "- name: who")], "scenario string, ord int, content string")
-    ctx = table(spark, d, "documents").where("NOT contains(text, '{')").select(F.col("doc_id").alias("id"), F.lit("x").alias("scenario"), F.create_map(F.lit("text"), "text").alias("variables"))
+    ctx = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("x").alias("scenario"), F.create_map(F.lit("text"), "text").alias("variables"))
     return R.render_prompts(t, ctx).select("id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("SELECT c_custkey, 'plan-' || c_custkey AS history_plan, n_name AS current_site FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'plan-' || c_custkey END AS history_plan, n_name AS current_site FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def prefix_format(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    found = {"history": {"plan": F.concat(F.lit("plan-"), "c_custkey")}, "current": {"site": F.col("n_name")}}
-    return c.select("c_custkey", *[v.alias(f"{side}_{k}") for side, cols in found.items() for k, v in cols.items()])
+    plans = F.when(F.col("c_custkey") % 2 == 0, F.array(F.concat(F.lit("plan-"), "c_custkey"))).otherwise(F.array().cast("array<string>"))
+    rows = c.select("c_custkey", *T.prefix_format({"history": {"plan": plans}, "current": {"site": F.array("n_name")}}))
+    return rows.select("c_custkey", F.array_join("history_plan", "|").alias("history_plan"), F.array_join("current_site", "|").alias("current_site"))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
@@ -232,10 +252,13 @@ def feedback_suggestions(spark, d):
     return D.feedback_suggestions(rows, spark.createDataFrame([("cost", ["ask", "cut"])], "reason string, items array<string>")).select("conv_id", "turn", "summary")
 
 
-@query("SELECT conv_id, turn, row_number() OVER w > 1 AND role IS DISTINCT FROM lag(role) OVER w AS changed FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations ORDER BY conv_id, turn, role) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("""WITH s AS (SELECT conv_id, turn, min(role) AS role, max(contains(text, 'the')) AS the, max(length(text)) > 200 AS long, list_sort(list_distinct(flatten(list(regexp_extract_all(text, '[A-Z][a-z]+'))))) AS names FROM conversations GROUP BY ALL)
+SELECT conv_id, turn, row_number() OVER w > 1 AND (role IS DISTINCT FROM lag(role) OVER w OR the IS DISTINCT FROM lag(the) OVER w OR long IS DISTINCT FROM lag(long) OVER w OR names IS DISTINCT FROM lag(names) OVER w) AS changed
+FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def detect_topic_change(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    return D.detect_topic_change(turns, ["role"]).select("conv_id", "turn", "changed")
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))))))
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max(F.contains("text", F.lit("the"))).alias("the"), (F.max(F.length("text")) > 200).alias("long"), names.alias("names"))
+    return D.detect_topic_change(turns, ["role", "the", "long", "names"]).select("conv_id", "turn", "changed")
 
 
 # --- streams, sources, sinks ----------------------------------------------------------------------------------------
@@ -314,6 +337,9 @@ def purge_results(spark, d):
     return S.purge_results(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "document_type"), "F").select("o_orderkey")
 
 
-@query()
+@query("SELECT lang AS folder, true AS filled FROM documents GROUP BY 1")
 def scan_files(spark, d):
-    return S.scan_files(spark, d, "*.parquet").select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "length")
+    path = scratch_path(spark, "files")
+    table(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").json(path)
+    files = S.scan_files(spark, path, "*.json")
+    return files.groupBy(F.regexp_extract("source_file", "/lang=([^/]*)/", 1).alias("folder")).agg((F.sum("length") > 0).alias("filled"))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from kgflow.functions import text as T
 from kgflow.operators import embed as E
 from kgflow.operators import records as R
+from kgflow.operators import segment as G
+from kgflow.operators import sets as X
 from kgflow.plans import search as V
 from kgflow.queries import misc
 from kgflow.queries.graph import position_text, table
+from kgflow.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -52,13 +55,17 @@ def number_chunks(spark, d):
     return E.number_rows(rows, "id", "chunk_").drop("id")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE doc_id % 2 = 1), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, count(*) AS n FROM w GROUP BY ALL)
-SELECT d.doc_id AS node_id, coalesce(round(max(n) / sqrt(sum(n * n)), 6), 0) AS top, count(n) AS used FROM documents d LEFT JOIN c USING (doc_id) WHERE doc_id % 2 = 1 GROUP BY 1""")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, count(*) AS n FROM w GROUP BY ALL)
+SELECT d.doc_id AS node_id, coalesce(round(max(n) / sqrt(sum(n * n)), 6), 0) AS top, count(n) AS used, any_value(lang) IS DISTINCT FROM 'en' AS later FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def embed_table(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    done = rows.where("node_id % 2 = 0").select("node_id", F.lit("embed").alias("stage"), F.lit("done").alias("status"))
-    e = E.embed_table(rows, done, "text")
-    return e.select("node_id", F.round(F.array_max("embedding"), 6).alias("top"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"))
+    """English texts first; a second run over all, by the ledger of the first, embeds the rest."""
+    rows, path = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text", "lang"), scratch_path(spark, "embedded")
+    none = spark.createDataFrame([], "node_id long, stage string, status string")
+    E.embed_table(rows.where("lang = 'en'"), none, "text").write.parquet(path)
+    first = spark.read.parquet(path)
+    rest = E.embed_table(rows, first.select("node_id", F.lit("embed").alias("stage"), F.lit("done").alias("status")), "text")
+    both = first.withColumn("later", F.lit(False)).union(rest.withColumn("later", F.lit(True)))
+    return both.select("node_id", F.round(F.array_max("embedding"), 6).alias("top"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"), "later")
 
 
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END, ''), CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END, 'q') AS text FROM customer")
@@ -75,35 +82,51 @@ def recommend(spark, d):
     return r.select("query_id", F.size("results").cast("long").alias("n"), F.get("results", F.lit(0))["node_id"].alias("best"), F.element_at("results", -1)["rank"].alias("last"))
 
 
-@query("""SELECT o_orderkey AS chunk_id, 'order' AS node_type, o_orderstatus AS value FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'key', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 3 = 1
-UNION ALL SELECT o_orderkey, 'rejected', 'no extractor' FROM orders WHERE o_orderkey % 3 = 2""")
+@query("""SELECT o_orderkey AS chunk_id, 'order' AS node_type, o_orderstatus AS value FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 'key', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 6 IN (1, 4)
+UNION ALL SELECT o_orderkey, 'site', 'tunnel' FROM orders WHERE o_orderkey % 6 = 1 UNION ALL SELECT o_orderkey, 'answer', o_orderstatus FROM orders WHERE o_orderkey % 6 = 3 UNION ALL SELECT o_orderkey, 'rejected', 'no extractor' FROM orders WHERE o_orderkey % 6 IN (2, 5)""")
 def extract_chunks(spark, d):
-    kind = F.col("chunk_id") % 3
-    recs = misc.records(spark, d)
-    text = F.when(kind == 0, F.col("json")).otherwise(F.concat(F.lit("number "), "chunk_id"))
-    chunks = recs.select("chunk_id", F.when(kind == 0, "rec").when(kind == 1, "txt").otherwise("odd").alias("document_type"), F.when(kind == 0, "json").otherwise("text").alias("file_type"), text.alias("text"), "metadata")
-    nodes, rejects = R.extract_chunks(chunks, {"rec": [R.NodeMapping("order", {"value": "head.status"})]}, {"txt": [("key", "value", r"\d+")]})
-    return nodes.select("chunk_id", "node_type", F.col("attributes")["value"].alias("value")).union(rejects.select("chunk_id", F.lit("rejected"), "reason"))
-
-
-@query("SELECT doc_id, 'a' AS part FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0")
+    """Records, texts with patterns and a lexicon, sections by pattern, responses, a section without a route, and a type without any."""
+    kind = F.col("chunk_id") % 6
+    recs = misc.records(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_orderstatus"), "chunk_id")
+    text = F.when(kind == 0, F.col("json")).otherwise(F.concat(F.lit("number "), "chunk_id", F.when(kind == 1, " of a tunnel").otherwise("")))
+    section = F.when(kind == 4, "1").when(kind == 5, "2")
+    metadata = F.when(section.isNull(), F.col("metadata")).otherwise(F.create_map(F.lit("section_id"), section))
+    doc_type = F.when(kind == 0, "rec").when(kind == 1, "txt").when(kind == 2, "odd").when(kind == 3, "model").otherwise("titled")
+    chunks = recs.select("chunk_id", doc_type.alias("document_type"), F.when(kind == 0, "json").otherwise("text").alias("file_type"), text.alias("text"), metadata.alias("metadata"))
+    responses = recs.select("chunk_id", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("value")).alias("attributes"))).alias("response"))
+    nodes, rejects = R.extract_chunks(
+        chunks, {"rec": [R.NodeMapping("order", {"value": "head.status"})]}, {"txt": [("key", "value", r"\d+")], "titled": [("key", "value", r"\d+")]},
+        {"txt": ("site", ["tunnel", "bridge"])}, responses, {"model": ["answer"]}, {("titled", "1"): "regex", ("titled", "2"): "none"},
+    )
+    value = F.coalesce(F.col("attributes")["value"], F.col("attributes")["term"])
+    return nodes.select("chunk_id", "node_type", value.alias("value")).union(rejects.select("chunk_id", F.lit("rejected"), "reason"))
+
+
+_MAIL = r"[a-z0-9.]+@[a-z0-9.]+"
+
+
+@query(rf"""SELECT doc_id, 'contact' AS node_type, unnest(regexp_extract_all(text, '{_MAIL}')) AS value, NULL AS keyword FROM documents
+UNION ALL SELECT doc_id, 'license', NULL, 'License' FROM documents WHERE contains(text, 'License')""")
 def union_extractions(spark, d):
-    t = table(spark, d, "documents").select("doc_id")
-    return t.where("doc_id % 2 = 0").withColumn("part", F.lit("a")).unionByName(t.where("doc_id % 3 = 0").withColumn("part", F.lit("b")), allowMissingColumns=True)
+    t = table(spark, d, "documents").select("doc_id", "text")
+    mails = G.regex_extract_nodes(t, [("contact", "mail", _MAIL)]).select("doc_id", "node_type", "value")
+    return X.union_extractions(mails, G.keyword_nodes(t, spark.createDataFrame([("license", "License")], "node_type string, keyword string")))
 
 
-@query("SELECT md5(text) AS h FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)")
+@query("SELECT md5(text) AS h FROM (SELECT text FROM documents JOIN labels USING (doc_id) INTERSECT SELECT text FROM documents ANTI JOIN labels USING (doc_id))")
 def intersect_texts(spark, d):
-    t = table(spark, d, "documents")
-    return t.where("doc_id % 2 = 0").select("text").intersect(t.where("doc_id % 2 = 1").select("text")).select(F.md5("text").alias("h"))
+    t, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return X.intersect_texts(t.join(labels, "doc_id", "left_semi"), t.join(labels, "doc_id", "left_anti")).select(F.md5("text").alias("h"))
 
 
-@query("SELECT source FROM documents EXCEPT ALL SELECT source FROM documents WHERE lang <> 'en'")
+@query("SELECT 'f' || c_custkey AS source_file FROM customer EXCEPT SELECT 'f' || o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def except_processed(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("source").exceptAll(t.where("lang <> 'en'").select("source"))
+    items = table(spark, d, "customer").select(F.concat(F.lit("f"), "c_custkey").alias("source_file"))
+    done = F.when(F.col("o_orderstatus") == "F", "done").otherwise("failed")
+    ledger = table(spark, d, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("source_file"), F.lit("extract").alias("stage"), done.alias("status"))
+    return X.except_processed(items, ledger, "source_file", "extract")
 
 
 @query("SELECT lang, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM documents GROUP BY 1")
 def distinct_values(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))
+    return X.distinct_values(table(spark, d, "documents"), ["lang"], "source").select("lang", F.array_join("values", "|").alias("sources"))

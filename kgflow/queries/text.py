@@ -39,12 +39,28 @@ def split_sentences(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("n_chars"))
 
 
-@query()
+def _chunk_sql(source: str, keys: str) -> str:
+    """Tables that fold the sentences of source(keys, text) into chunks: c has (keys, i, text, a, b) of each."""
+    by = " AND ".join(f"f.{k} = s.{k}" for k in keys.split(", "))
+    return rf"""RECURSIVE u AS (SELECT {keys}, unnest(regexp_extract_all(text, '([^。！？.!?]+|[。！？.!?]+)')) AS s, generate_subscripts(regexp_extract_all(text, '([^。！？.!?]+|[。！？.!?]+)'), 1) AS j FROM {source}),
+s AS (SELECT {keys}, s, length(s)::BIGINT AS n, row_number() OVER (PARTITION BY {keys} ORDER BY j) AS i, count(*) OVER (PARTITION BY {keys}) AS total FROM (SELECT {keys}, j, regexp_replace(s, '^[\s]+|[\s]+$', '', 'g') AS s FROM u) WHERE s <> ''),
+f AS (SELECT {keys}, 1::BIGINT AS i, total, s AS cur, n + 1 AS len, 0::BIGINT AS start, NULL::VARCHAR AS text, NULL::BIGINT AS a, NULL::BIGINT AS b FROM s WHERE i = 1 UNION ALL
+SELECT {", ".join("s." + k for k in keys.split(", "))}, s.i, s.total, CASE WHEN f.len + n > 2000 THEN right(cur, 200) || ' ' || s ELSE cur || ' ' || s END, CASE WHEN f.len + n > 2000 THEN least(length(cur), 200) + 1 + n ELSE f.len + n + 1 END,
+CASE WHEN f.len + n > 2000 THEN start + CASE WHEN f.len > 200 THEN f.len - 200 ELSE start END ELSE start END,
+CASE WHEN f.len + n > 2000 THEN regexp_replace(cur, '^[\s]+|[\s]+$', '', 'g') END, start, start + f.len FROM f JOIN s ON {by} AND s.i = f.i + 1),
+c AS (SELECT {keys}, i, text, a, b FROM f WHERE text IS NOT NULL UNION ALL SELECT {keys}, i + 1, regexp_replace(cur, '^[\s]+|[\s]+$', '', 'g'), start, start + len FROM f WHERE i = total)"""
+
+
+@query(f"WITH {_chunk_sql('documents', 'doc_id')} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, text, a AS char_start, b AS char_end FROM c")
 def chunk_text(spark, d):
     return S.chunk_documents(docs(spark, d), 2000, 200)
 
 
-@query()
+_PAGES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page_no FROM documents)"
+
+
+@query(f"""WITH {_chunk_sql(_PAGES, 'doc_id, page_no')} SELECT doc_id, page_no, (row_number() OVER w - 1)::INT AS chunk_index, text, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start,
+sum(length(text)) OVER w::BIGINT AS char_end FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, i)""")
 def chunk_pages(spark, d):
     return S.chunk_pages(_lines(spark, d), 2000, 200)
 
@@ -55,8 +71,8 @@ def scan_pages(spark, d):
     return S.scan_pages(_lines(spark, d)).select("doc_id", F.md5("text").alias("text_md5"), "n_pages")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def scan_html_pages(spark, d):
     return table(spark, d, "pages").select("page_id", T.visible_text(F.col("html")).alias("text"))
 
@@ -137,7 +153,7 @@ def _lengths(terms):
 
 def _hits(spark, d, terms):
     lex = spark.createDataFrame([(t,) for t in terms], "term string")
-    return L.lexicon_match(L.normalise(docs(spark, d)), lex, _lengths(terms))
+    return L.lexicon_match(L.normalise(docs(spark, d)), lex, _lengths(terms), terms)
 
 
 @query(f"WITH {_TEXT} SELECT doc_id, s AS start, e AS \"end\", term FROM {_match_sql(_ROOTS_SQL, _lengths(ROOTS))}")
@@ -191,12 +207,21 @@ def _phrases(spark, d, roots):
     return L.assemble_phrases(named, L.normalise(docs(spark, d)), ["and", "of"], "rock", "layer")
 
 
-@query()
+_PHRASES = f"""w_k AS (SELECT r.doc_id, r.s, r.e, r.term, t, {_SID.format("r.s")} AS sid FROM r JOIN x USING (doc_id)),
+w_o AS (SELECT *, lead(s) OVER w AS bs, lead(term) OVER w AS bt FROM w_k WHERE length(term) <= 5 WINDOW w AS (PARTITION BY doc_id, sid ORDER BY s)),
+w_c AS (SELECT *, substr(t, e + 1, bs - e) AS gap FROM w_o WHERE bs IS NOT NULL), w_d AS (SELECT *, CASE WHEN contains(gap, 'and') THEN 'and' WHEN contains(gap, 'of') THEN 'of' END AS conn FROM w_c),
+w_p AS (SELECT DISTINCT ON (doc_id, sid) * FROM w_d WHERE conn IS NOT NULL ORDER BY doc_id, sid, s), w_y AS (SELECT DISTINCT ON (doc_id, sid) doc_id, sid, e AS le, term AS lt FROM w_k WHERE length(term) > 5 ORDER BY doc_id, sid, s),
+phrases AS (SELECT p.doc_id, p.sid, CASE WHEN p.s - le BETWEEN 0 AND 6 THEN lt ELSE '' END || p.term || conn || bt AS phrase FROM w_p p LEFT JOIN w_y y ON p.doc_id = y.doc_id AND p.sid = y.sid)"""
+
+
+@query(f"{_WALK}, {_PHRASES} SELECT * FROM phrases")
 def assemble_phrases(spark, d):
     return _phrases(spark, d, _assigned(spark, d)[0])
 
 
-@query()
+@query(f"""{_NEAR}, {_PHRASES}, tags AS (SELECT doc_id, [0, sid, 0] AS k, phrase AS tag FROM phrases UNION ALL SELECT doc_id, [1, s, -1], term FROM r
+UNION ALL SELECT doc_id, CASE WHEN root_start IS NULL THEN [2, s, 0] ELSE [1, root_start, s] END, term FROM z WHERE rn = 1), once AS (SELECT doc_id, tag, min(k) AS k FROM tags GROUP BY ALL)
+SELECT doc_id, string_agg(tag, '|' ORDER BY k) AS tags FROM once GROUP BY 1""")
 def render_tags(spark, d):
     roots, assigned = _assigned(spark, d)
     return L.render_tags(_phrases(spark, d, roots), roots, assigned).withColumn("tags", F.array_join("tags", "|"))
@@ -210,7 +235,13 @@ def scan_lexicon(spark, d):
     return many.join(one, "term").select("term", "canonical", F.array_join("categories", "|").alias("categories"))
 
 
-@query("SELECT lang AS term FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT lang AS term FROM documents JOIN labels USING (doc_id) INTERSECT SELECT lang FROM documents ANTI JOIN labels USING (doc_id)")
 def assert_disjoint(spark, d):
-    t = table(spark, d, "documents")
-    return L.assert_disjoint(t.where("doc_id % 2 = 0").select(F.col("lang").alias("term")), t.where("doc_id % 2 = 1").select(F.col("lang").alias("term")))
+    t, labels = table(spark, d, "documents").withColumnRenamed("lang", "term"), table(spark, d, "labels")
+    return L.assert_disjoint(t.join(labels, "doc_id", "left_semi"), t.join(labels, "doc_id", "left_anti"))
+
+
+@query(rf"SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, '{_MAIL}'), ' '), '') AS entities FROM documents")
+def entities_to_text(spark, d):
+    found = F.transform(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0)), lambda m: F.struct(m.alias("text"), F.lit("MAIL").alias("label")))
+    return docs(spark, d).select("doc_id", T.entities_to_text(found).alias("entities"))

@@ -30,7 +30,9 @@ def sink_graph(existing: DataFrame | None, changes: DataFrame, keys: list[str],
 
 
 def sink_training_split(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+    """rows(text, label, split): text files of lines ``<text> <label>``, a folder a split; line feeds in a text become spaces."""
+    line = F.concat_ws(" ", F.regexp_replace("text", r"[\r\n]+", " "), F.col("label").cast("string"))
+    rows.select("split", line.alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
 def scan_extraction_results(tiers: DataFrame) -> DataFrame:
