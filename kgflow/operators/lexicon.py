@@ -6,9 +6,9 @@ equi-join of the text's windows with it, so any number of terms costs one join.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,16 +40,20 @@ def lexicon_match(docs: DataFrame, lexicon: DataFrame, lengths: Sequence[int], s
     otherwise are left out before any row is made.  The rest meet the lexicon by term, so
     it may have any size.
     """
-    heads = "|".join(sorted({re.escape(x[:2]) for x in starts})) if starts else ""
-    at = re.compile(f"(?s)(?={heads or '.'})")
+    pairs = np.array(sorted({(ord(x[0]) << 32) + ord(x[1]) for x in starts or () if len(x) > 1}), np.uint64)
+    ones = np.array(sorted({ord(x) for x in starts or () if len(x) == 1}), np.uint64)
+
+    def places(text: str) -> list[int]:
+        if not starts:
+            return range(len(text))
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        found = np.isin(chars, ones)
+        found[:-1] |= np.isin((chars[:-1] << np.uint64(32)) + chars[1:], pairs)
+        return np.flatnonzero(found).tolist()
 
     @F.pandas_udf("array<struct<start:int,term:string>>")
     def windows(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            places = [m.start() for m in at.finditer(t or "")]
-            out.append([{"start": i, "term": t[i : i + n]} for i in places for n in lengths if i + n <= len(t)])
-        return pd.Series(out, dtype=object)
+        return pd.Series([[{"start": i, "term": t[i : i + n]} for i in places(t) for n in lengths if i + n <= len(t)] if t else [] for t in texts], dtype=object)
 
     rows = docs.select("doc_id", F.explode(windows("text")).alias("w")).select("doc_id", "w.start", "w.term")
     hits = rows.join(lexicon.select("term").distinct(), "term")
@@ -82,8 +86,8 @@ def sentence_ids(rows: DataFrame, docs: DataFrame, at: Column) -> DataFrame:
 
     The ends of a text are found once; rows and ends then pass in the order of their places, so long texts cost no more a row.
     """
-    ended = F.regexp_extract_all("text", F.lit(f"[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]"), F.lit(0))
-    pieces = docs.select("doc_id", F.posexplode(F.transform(ended, F.length)).alias("i", "n"))
+    between = F.transform(F.split("text", f"[{SENTENCE_ENDS}]"), lambda x: F.length(x) + 1)
+    pieces = docs.select("doc_id", F.posexplode(F.slice(between, F.lit(1), F.size(between) - 1)).alias("i", "n"))
     upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = pieces.select("doc_id", (upto - 1).cast("double").alias("__at"), F.lit(1).alias("__end"))
     both = rows.select("*", F.floor(at).cast("double").alias("__at"), F.lit(0).alias("__end")).unionByName(ends, allowMissingColumns=True)
