@@ -1,18 +1,24 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags.  Words score by the element they stand
-in, tags cost; the weights come from pages that declare their article by an
-``article`` or ``main`` element, so that its inside and outside label what they hold.
+A page becomes a sequence of words and tags.  Words score by the elements they stand in,
+tags cost.  The weights are learned from pages that declare their article by an ``article``
+or ``main`` element: its inside and outside label the words, and so the block elements,
+class names, ids and roles around them.  The declaration itself is a label only; a page is
+scored alike with and without it.  Before anything is learned, or where the pages do not
+speak, a prior on element and class names decides, which counts of words outvote.
+
 One linear scan finds the contiguous region of the highest total.  Within it, elements
-that are no article text - menus, asides, forms, adverts, reader comments - are left
-out, and the rest is joined block by block.
+whose weight says that they hold no article text - menus, asides, forms, adverts, reader
+comments - are left out, and the rest is joined block by block.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +28,10 @@ from kgflow.llm.common import table
 
 #: Pages that the weights are learned from: those with the smallest hashes of their ids.
 MOST_LABELLED = 2_000
+#: Class names, ids and roles that weights are learned for: those around the most words of these pages.
+MOST_FEATURES = 10_000
+#: Words that a prior counts for, and the weight from which on down an element's text is left out.
+PRIOR, LEFT_OUT = 20, -0.5
 
 # Names of HTML elements, by what they mean for text, and ARIA roles.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -38,7 +48,7 @@ BLOCKS = {
 #: Elements that hold running text; before anything is learned, they cost little.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "figure", "figcaption", "br"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-#: Parts of class names and ids that tell what is no article text.
+#: Parts of class names and ids that are no article text by the prior.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "footer", "masthead", "topbar",
@@ -56,37 +66,51 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"(
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _told_off(attrs: str) -> bool:
-    """Whether the attributes of an element say that it holds no article text."""
+def markers(name: str, attrs: str) -> list[str]:
+    """What an element says of its text: its name, if that tells anything, the parts of its class names and id, its role, that it is hidden."""
+    out = [f"t:{name}"] if name in NO_TEXT or name == "header" else []
+    if name in ("html", "body", "article", "main"):
+        return out
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
             for one in value.split():
                 parts = [x.lower() for x in _PART.findall(one)]
-                if parts and parts[0] not in ("has", "no", "with", "without", "is") and not NAMES.isdisjoint(parts):
-                    return True
-        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+                if parts and parts[0] not in ("has", "no", "with", "without", "is"):
+                    out += [f"c:{x}" for x in parts]
+        elif key == "role":
+            out.append(f"r:{value.lower()}")
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            out.append("hidden")
+    return out
 
 
-def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
-    """(kind, value, context, excluded, declared) of a page in order.
+class Token(NamedTuple):
+    """A piece of text with its references decoded, or a tag by name.
 
-    kind 'text' has text with its references decoded, 'tag' a tag's name.  context is
-    the innermost block element, with 'a:' before it inside links.  excluded: in an
-    element that holds no article text.  declared: inside article or main.
+    block is the innermost block element, link whether it stands in a link, around the
+    (element number, marker) pairs of all elements around, inside whether an article is declared there.
     """
-    out: list[tuple[str, str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # name, excluded, context so far
-    declared, links, pos = 0, 0, 0
-    state = (False, "body")
+
+    text: bool
+    value: str
+    block: str
+    link: bool
+    around: tuple[tuple[int, str], ...]
+    inside: bool
+
+
+def tokens(page: str) -> tuple[list[Token], set[int]]:
+    """The tokens of a page in order, and the numbers of the elements that hold a declared article."""
+    out: list[Token] = []
+    stack: list[tuple[str, tuple, str, int]] = []  # name, markers around, block, number
+    holders: set[int] = set()
+    declared, links, pos, number = 0, False, 0, 0
+    around, block = (), "body"
 
     def text(chunk: str) -> None:
         if chunk:
-            out.append(("text", html.unescape(chunk), ("a:" if links else "") + state[1], state[0], declared > 0))
+            out.append(Token(True, html.unescape(chunk), block, links, around, declared > 0))
 
     while pos < len(page):
         m = _TAG.search(page, pos)
@@ -102,14 +126,13 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
             continue
         end = (m["end"] or m["end2"]) == "/"
         attrs = m["attrs"] or m["attrs2"] or ""
+        out.append(Token(False, name, block, links, around, declared > 0))
         if not end and name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = close.end() if close else len(page)
-            out.append(("tag", name, state[1], True, declared > 0))
             continue
-        out.append(("tag", name, state[1], state[0], declared > 0))
         if name == "a":
-            links = 0 if end else 1
+            links = not end
         if name in VOID:
             continue
         if end:
@@ -120,41 +143,68 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
         else:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            off = (stack[-1][1] if stack else False) or name in NO_TEXT or (name == "header" and not declared)
-            if name not in ("html", "body", "article", "main"):
-                off = off or (bool(attrs) and _told_off(attrs))
-            if name in INLINE and off == (stack[-1][1] if stack else False):
-                continue  # inline elements that change nothing are often left open
-            context = name if name in BLOCKS else (stack[-1][2] if stack else "body")
-            stack.append((name, off, context))
-            declared += name in ("article", "main")
-        state = (stack[-1][1], stack[-1][2]) if stack else (False, "body")
-    return out
+            own = markers(name, attrs)
+            if name in INLINE and not own:
+                continue  # inline elements that say nothing are often left open
+            if name in ("article", "main"):
+                declared += 1
+                holders.update(s[3] for s in stack)
+            number += 1
+            before = stack[-1][1] if stack else ()
+            stack.append((name, before + tuple((number, x) for x in own), name if name in BLOCKS else (stack[-1][2] if stack else "body"), number))
+        around, block = (stack[-1][1], stack[-1][2]) if stack else ((), "body")
+    return out, holders
+
+
+def _prior(feature: str) -> float | None:
+    """The share of words in article text that is taken for granted; None for what has to be learned."""
+    kind, _, name = feature.partition(":")
+    if kind == "b":
+        return 0.9
+    if kind == "a":
+        return 0.4
+    if kind == "t" or kind == "hidden":
+        return 0.02
+    return 0.05 if kind == "r" and name in ROLES or kind == "c" and name in NAMES else None
 
 
 class Weights:
-    """What a word in a context adds and what a tag costs, from counts inside and outside of declared articles."""
+    """What a word adds and a tag costs, from counts of words (in article text, elsewhere) for each feature.
+
+    Features are b: and a: with a block element, for words in it outside and inside of
+    links, and the markers of elements.  Tags have the prefix 'tag:'.
+    """
+
+    def __init__(self, counts: Mapping[str, tuple[int, int]] | None = None):
+        self.counts, self.known = dict(counts or {}), {}
+        share = lambda t: (n := self.counts.get(f"tag:{t}", (0, 0))) and (n[0] + PRIOR * (0.95 if t in PROSE or t in INLINE else 0.6)) / (n[0] + n[1] + PRIOR)
+        self.tag = {t: -0.02 - 0.3 * (1 - share(t)) for t in BLOCKS | INLINE | NO_TEXT | VOID}
 
-    def __init__(self, counts: dict[tuple[str, str], tuple[int, int]] | None = None):
-        counts = counts or {}
-        share = lambda kind, key, prior: (n := counts.get((kind, key), (0, 0))) and (n[0] + 10 * prior) / (n[0] + n[1] + 10)
-        self.word = {c: 2 * share("text", c, 0.9 if not c.startswith("a:") else 0.4) - 1 for c in [*BLOCKS, *("a:" + b for b in BLOCKS)]}
-        self.tag = {t: -0.05 - 0.95 * (1 - share("tag", t, 0.95 if t in PROSE or t in INLINE else 0.6)) for t in BLOCKS | INLINE | NO_TEXT | VOID}
+    def __getitem__(self, feature: str) -> float:
+        """From -1, elsewhere, to 1, in article text; 1 for what is neither known nor learned, so that it decides nothing."""
+        if (w := self.known.get(feature)) is None:
+            (yes, no), prior = self.counts.get(feature, (0, 0)), _prior(feature)
+            w = 1.0 if prior is None and yes + no < PRIOR else 2 * (yes + PRIOR * (0.5 if prior is None else prior)) / (yes + no + PRIOR) - 1
+            self.known[feature] = w
+        return w
 
-    def scores(self, seq: list[tuple[str, str, str, bool, bool]]) -> list[float]:
-        known = any(x[4] for x in seq)  # the page declares its article
+    def of_elements(self, token: Token) -> float:
+        """The lowest weight of the elements around a token."""
+        return min((self[x] for _, x in token.around), default=1.0)
+
+    def left_out(self, token: Token) -> bool:
+        return self.of_elements(token) < LEFT_OUT or self[f"b:{token.block}"] < LEFT_OUT
+
+    def scores(self, seq: list[Token]) -> list[float]:
+        """A tenth of a point off for each word that is left out anyway, so that an advert does not part an article."""
         out = []
-        for kind, value, context, excluded, declared in seq:
-            if kind == "tag":
-                out.append(-1.0 if known and not declared else 0.1 * self.tag.get(value, -1.0) if declared else self.tag.get(value, -1.0))
-                continue
-            n = len(value.split())
-            if excluded:
-                out.append(-0.02 * n if declared else -1.0 * n)
-            elif known:
-                out.append(1.0 * n if declared else -1.0 * n)
+        for t in seq:
+            if not t.text:
+                out.append(self.tag.get(t.value, -0.3))
+            elif self.left_out(t):
+                out.append(-0.1 * len(t.value.split()))
             else:
-                out.append(self.word.get(context, 0.0) * n)
+                out.append(min(self.of_elements(t), self[f"{'a' if t.link else 'b'}:{t.block}"]) * len(t.value.split()))
         return out
 
 
@@ -172,41 +222,61 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page: its blocks, each with single spaces, joined by one space; empty if there is none."""
-    seq = tokens(page or "")
+    seq, _ = tokens(page or "")
     a, b = best_region(weights.scores(seq))
     blocks, held = [], []
-    for kind, value, _, excluded, _ in seq[a:b]:
-        if kind == "text":
-            if not excluded:
-                held.append(value)
-        elif value == "br":
+    for t in seq[a:b]:
+        if t.text:
+            if not weights.left_out(t):
+                held.append(t.value)
+        elif t.value == "br":
             held.append(" ")
-        elif value not in INLINE:
+        elif t.value not in INLINE:
             blocks.append(" ".join("".join(held).split()))
             held = []
     blocks.append(" ".join("".join(held).split()))
     return " ".join(x for x in blocks if x)
 
 
-def learn(pages: DataFrame, most: int = MOST_LABELLED) -> Weights:
+def observed(page: str) -> Counter:
+    """(feature, inside) to words, or tags, of a page that declares its article; of another, nothing.
+
+    Elements that hold the article itself say nothing, and a block element answers only for
+    words that no marker with a prior explains.
+    """
+    seq, holders = tokens(page)
+    out: Counter = Counter()
+    if not any(t.inside for t in seq):
+        return out
+    for t in seq:
+        if not t.text:
+            out[f"tag:{t.value}", t.inside] += 1
+            continue
+        n = len(t.value.split())
+        around = {x for number, x in t.around if number not in holders}
+        for x in around:
+            out[x, t.inside] += n
+        if all(_prior(x) is None for x in around):
+            out[f"{'a' if t.link else 'b'}:{t.block}", t.inside] += n
+    return out
+
+
+def learn(pages: DataFrame, most: int = MOST_LABELLED, html_col: str = "html") -> Weights:
     """Weights from at most ``most`` pages, of which those that declare an article count."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page in pdf["html"]:
-                seq = tokens(page or "")
-                if any(x[4] for x in seq):
-                    rows += [(k, v if k == "tag" else c, len(v.split()) if k == "text" else 1, d and not x) for k, v, c, x, d in seq]
-            got = pd.DataFrame(rows, columns=["kind", "key", "n", "inside"])
-            yield got.groupby(["kind", "key", "inside"], as_index=False)["n"].sum()
-
-    known = BLOCKS | INLINE | NO_TEXT | VOID
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").select("page_id").limit(most).distinct()
-    rows = pages.select("page_id", "html").join(F.broadcast(sample), "page_id").select("html").mapInPandas(counted, "kind string, key string, n long, inside boolean")
-    rows = rows.where(F.regexp_replace("key", "^a:", "").isin(sorted(known)))  # so that few names reach the driver
-    sums = rows.groupBy("kind", "key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"))
-    return Weights({(r.kind, r.key): (r.i, r.n - r.i) for r in sums.collect()})
+            total: Counter = Counter()
+            for page in pdf["page"]:
+                total += observed(page or "")
+            yield pd.DataFrame([(f, n if i else 0, 0 if i else n) for (f, i), n in total.items()], columns=["feature", "yes", "no"]).astype({"yes": "int64", "no": "int64"})
+
+    numbered = pages.select("page_id", F.xxhash64("page_id").alias("h"))
+    sample = numbered.orderBy("h", "page_id").limit(most).select("page_id").distinct()
+    rows = pages.select("page_id", F.col(html_col).alias("page")).join(F.broadcast(sample), "page_id").dropDuplicates(["page_id"]).select("page")
+    sums = rows.mapInPandas(counted, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    kept = sums.where((F.col("yes") + F.col("no") >= PRIOR) & (F.length("feature") < 64)).orderBy(F.desc(F.col("yes") + F.col("no")), "feature").limit(MOST_FEATURES)
+    return Weights({r.feature: (r.yes, r.no) for r in kept.collect()})
 
 
 def text_column(weights: Weights, page: Column) -> Column:
@@ -221,7 +291,9 @@ def text_column(weights: Weights, page: Column) -> Column:
 def extract_pages(pages: DataFrame, weights: Weights, html_col: str = "html") -> DataFrame:
     """Adds text and n_chars (code points) to every row, instead of columns of those names.
 
-    A null or empty page, and one without article text, has an empty text.
+    A null or empty page, and one without article text, has an empty text; very long pages
+    are taken whole; rows that repeat a page come out once each, and equal pages alike.  An
+    empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     return pages.select(*kept, text_column(weights, F.col(html_col)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

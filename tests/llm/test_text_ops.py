@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from kgflow.llm import op01_bpe, op02_html_extraction, op08_quality_gam, op09_url_filters
 from kgflow.llm.common import table
 
@@ -57,23 +59,44 @@ def test_extract(page, text):
     assert op02_html_extraction.extract(page, op02_html_extraction.Weights()) == text
 
 
-def test_extract_pages_takes_the_declared_article(spark, sf):
+def _article(page):
     import html
     import re
 
+    inside = re.sub(r"</?b>", "", page.split("<article>")[1].split("</article>")[0])
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "\n", inside)).split())
+
+
+def test_extract_pages(spark, sf):
     rows = op02_html_extraction.query(spark, sf).collect()
     pages = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
-    for r in rows:
-        inside = re.sub(r"</?b>", "", pages[r.page_id].split("<article>")[1].split("</article>")[0])
-        assert r.text == " ".join(html.unescape(re.sub(r"<[^>]+>", "\n", inside)).split())
-        assert r.n_chars == len(r.text)
-    assert len(rows) == len(pages)
+    assert {r.page_id: (r.text, r.n_chars) for r in rows} == {i: (t := _article(p), len(t)) for i, p in pages.items()}
+
+
+def test_extract_by_learned_weights_alone(spark, sf):
+    pages = table(spark, sf, "pages")
+    hidden = lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>")
+    plain = lambda p: p.replace(' class="ad"', "")
+    html = [r.html for r in pages.collect()]
+    weights = op02_html_extraction.learn(pages)
+    assert [op02_html_extraction.extract(hidden(p), weights) for p in html] == [_article(p) for p in html]
+    bare = op02_html_extraction.learn(pages.withColumn("html", F.replace("html", F.lit(' class="ad"'), F.lit(""))))
+    for made in (plain, lambda p: hidden(plain(p))):
+        assert [op02_html_extraction.extract(made(p), bare) for p in html] == [_article(p) for p in html]
+    odd = [p.replace('class="ad"', 'class="xq7"') for p in html]  # a class name that no list has
+    taught = op02_html_extraction.learn(spark.createDataFrame(list(enumerate(odd)), "page_id long, html string"))
+    inner = [hidden(p.replace("<p>", '<span class="xq7">Buy now here</span><p>', 2)) for p in odd]
+    assert [op02_html_extraction.extract(p, taught) for p in inner] == [_article(p) for p in html]
+    assert taught["c:xq"] < -0.9 and op02_html_extraction.Weights()["c:xq"] == 1
 
 
 def test_extract_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<p>one two three</p>", "old", 9)], "page_id long, html string, text string, n_chars long")
     weights = op02_html_extraction.learn(df)
     assert [tuple(r) for r in op02_html_extraction.extract_pages(df, weights).select("page_id", "text", "n_chars").collect()] == [(1, "one two three", 13)]
+    again = spark.createDataFrame([(1, "<p>one two</p>"), (1, "<p>one two</p>"), (1, None), (2, "<p>" + "word " * 300_000 + "</p>")], "page_id long, html string")
+    rows = op02_html_extraction.extract_pages(again, op02_html_extraction.learn(again)).collect()
+    assert sorted((r.page_id, r.n_chars) for r in rows) == [(1, 0), (1, 7), (1, 7), (2, 1_499_999)]
     assert op02_html_extraction.extract_pages(df.limit(0), op02_html_extraction.learn(df.limit(0))).collect() == []
 
 
