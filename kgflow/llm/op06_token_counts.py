@@ -1,25 +1,33 @@
 """Token counts as delta-maintained rollups.
 
-A batch of changes - inserts, deletes, revised counts - becomes signed sums by
-source, language and tokenizer version, and is committed under its batch number.
-Totals are the sums over committed batches, so a batch costs what it changes and
-never a scan of what was counted before.
+A batch of changes - inserts, deletes, revised counts - becomes signed sums by source,
+language and tokenizer version, and is committed under its batch number.  Current totals
+are a compacted total and the deltas committed since, so neither a batch nor a look at
+the totals scans what was counted before.
+
+Tokens are those of BPE vocabularies.  No token reaches across the words that a text is
+split into, so a task encodes each distinct word once and adds up lengths.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgflow.llm.common import WORD_PATTERN, scratch_path, table, written
+from kgflow.llm.common import ascii_lower, drop_path, scratch_path, table, written
+from kgflow.llm.op01_bpe import load, split_words
 
 KEYS = ("source", "lang", "tokenizer")
-#: Patterns of the counted tokenizer versions: white-space words; runs of letters or digits, and single other signs.
-TOKENIZERS = {"words-1": WORD_PATTERN, "runs-2": r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
-#: The counts that a revision of the first version gives: words of letters only.
-REVISED = r"[A-Za-z]+"
+#: Tokenizer versions: files of the tokenizers library, and where texts may be cut for them.
+TOKENIZERS: dict[str, Callable[[str], list[str]]] = {"byte_bpe_50k": split_words, "word_bpe_49k": lambda text: text.split(" ")}
+#: Distinct words that a task remembers.
+CACHE = 1_000_000
+_DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def signed_deltas(changes: DataFrame) -> DataFrame:
@@ -27,79 +35,173 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
 
     op 'insert' adds a document and its tokens, 'delete' takes them away, 'revise' adds
     tokens - old_tokens and no document.  Null counts are 0; null keys are a group;
-    any other op changes nothing.
+    any other op changes nothing.  Rows that repeat count each.
     """
     new, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
     n = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
     tokens = F.when(F.col("op") == "revise", new - old).otherwise(new * n)
-    return changes.groupBy(*KEYS).agg(F.sum(n).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
+    sums = changes.groupBy(*KEYS).agg(F.sum(n).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
+    return sums.select(*[F.col(k).cast("string").alias(k) for k in KEYS], "n_docs", "n_tokens")
+
+
+def _netted(sums: DataFrame) -> DataFrame:
+    total = sums.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return total.where("n_docs <> 0 OR n_tokens <> 0")
 
 
 class TokenRollup:
-    """Totals below ``root``, a folder that driver and executors share."""
+    """Totals below ``root``, a folder that driver and executors share.
+
+    Deltas are written first, each to a folder of its own; a small file of the batch's
+    name, moved into place by a rename that fails if there is one, is the commit.  So of
+    two drivers that commit one batch at once, one wins and the other gets False, and a
+    batch that broke off before leaves nothing that counts.  Compactions are numbered and
+    committed alike; each tells the batches that it holds.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def _path(self, name: str):
+        return self._fs_of.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _claim(self, name: str, content: dict) -> bool:
+        """Puts a file in place, whole and only if it is not there."""
+        gateway, draft = self.spark.sparkContext._gateway, self._path(f"drafts/{uuid.uuid4().hex}")
+        out = self._fs().create(draft, True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        self._fs().mkdirs(self._path(name).getParent())
+        context = self._fs_of.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, self._path(name), gateway.new_array(getattr(self._fs_of, "Options$Rename"), 0))
+        except Exception:
+            self._fs().delete(draft, False)
+            if self._fs().exists(self._path(name)):
+                return False
+            raise
+        return True
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _claims(self, kind: str) -> dict[int, dict]:
+        """The committed files of a kind by number: one a batch or compaction, so few."""
+        fs, folder = self._fs(), self._path(kind)
+        if not fs.exists(folder):
+            return {}
+        names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
+        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        out = {}
+        for p in names:
+            stream = fs.open(p)
+            out[int(p.getName())] = json.loads(read.toString(stream, "UTF-8"))
+            stream.close()
+        return out
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Applies a batch once: a batch number that is committed already changes nothing and gives False.
-
-        The writer's _SUCCESS file is the commit; a batch that broke off before it is
-        overwritten by the next try.
-        """
-        path = f"{self.root}/batch={int(batch)}"
-        if self._exists(f"{path}/_SUCCESS"):
+        """Applies a batch once: a batch number that is committed already changes nothing and gives False."""
+        if self._fs().exists(self._path(f"batches/{int(batch)}")):
             return False
-        signed_deltas(changes).write.mode("overwrite").parquet(path)
-        return True
+        path = f"{self.root}/deltas/{uuid.uuid4().hex}"
+        signed_deltas(changes).write.parquet(path)
+        if self._claim(f"batches/{int(batch)}", {"path": path}):
+            return True
+        drop_path(self.spark, path)
+        return False
+
+    def _state(self) -> tuple[int, dict | None, dict[int, dict]]:
+        """Number and content of the last compaction, and the batches committed since."""
+        totals, batches = self._claims("totals"), self._claims("batches")
+        last = max(totals, default=0)
+        held = set(totals[last]["batches"]) if last else set()
+        return last, totals.get(last), {b: c for b, c in batches.items() if b not in held}
 
     def totals(self) -> DataFrame:
-        """Current totals by source, lang and tokenizer; groups that have come to nothing are absent."""
-        deltas = self.spark.read.option("basePath", self.root).parquet(f"{self.root}/batch=*")
-        sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 OR n_tokens <> 0")
+        """Current totals by source, lang and tokenizer; groups that have come to nothing are absent; none before the first commit."""
+        _, total, since = self._state()
+        paths = [c["path"] for c in since.values()] + ([total["path"]] if total else [])
+        return _netted(self.spark.read.schema(_DELTA).parquet(*paths)) if paths else self.spark.createDataFrame([], _DELTA)
+
+    def compact(self) -> bool:
+        """Folds the batches committed since the last compaction into the total; False if there are none, or another driver was first."""
+        last, total, since = self._state()
+        if not since:
+            return False
+        path = f"{self.root}/compacted/{uuid.uuid4().hex}"
+        self.totals().write.parquet(path)
+        if self._claim(f"totals/{last + 1}", {"path": path, "batches": sorted([*since, *(total["batches"] if total else [])])}):
+            return True
+        drop_path(self.spark, path)
+        return False
+
+
+def _counter(path: str, cut: Callable[[str], list[str]]):
+    """A function from a text to its number of tokens, which encodes each distinct word once."""
+    tokenizer, known = load(path), {}
 
+    def count(text: str | None) -> int:
+        words = cut(text) if text else []
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = len(e.ids)
+        return sum(map(known.__getitem__, words))
 
-def count_tokens(docs: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
-    """docs(doc_id, source, lang, text): doc_id, source, lang and one count column per pattern; null text counts 0."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", "lang", *[F.regexp_count(text, F.lit(p)).cast("long").alias(name) for name, p in patterns.items()])
+    return count
+
+
+def count_tokens(docs: DataFrame, tokenizers: Mapping[str, Callable[[str], list[str]]] = TOKENIZERS, folder: Callable[[str], str] | None = None) -> DataFrame:
+    """docs(doc_id, source, lang, text): doc_id, source, lang and one count column per tokenizer version.
+
+    A null or empty text counts 0; very long texts are counted whole; every row comes out once.
+    ``folder`` gives the file of a tokenizer from its name with the ending .json.
+    """
+    if folder is None:
+        from public_tokenizers import path as folder
+
+    def column(name: str, cut: Callable[[str], list[str]]) -> Column:
+        file = folder(f"{name}.json")
+
+        @F.pandas_udf("long")
+        def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            one = _counter(file, cut)
+            for t in texts:
+                yield pd.Series([one(x) for x in t], dtype="int64")
+
+        return count("text").alias(name)
+
+    columns = [column(*t) for t in tokenizers.items()]
+    return docs.select("doc_id", "source", "lang", *columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: all are inserted under both versions; those labelled
-    toxic are deleted; those labelled of low quality and not toxic get revised counts.
-    The second batch comes twice, as after a retry, and counts once."""
-    counts, _ = written(count_tokens(table(spark, sf_dir, "documents"), TOKENIZERS | {"revised": REVISED}), "token-counts")
+    """Three batches over all documents: all are inserted under both versions; those labelled toxic
+    are deleted, in a batch that comes twice, as after a retry, and counts once; those labelled of
+    low quality and not toxic get the counts of their lower-cased texts.  The first two are compacted."""
+    docs, first = table(spark, sf_dir, "documents"), next(iter(TOKENIZERS))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    counts, path = written(count_tokens(docs), "token-counts")
     none = F.lit(None).cast("long")
 
-    def changes(op: str, rows: DataFrame, of: tuple[str, ...], new: str | None = None) -> DataFrame:
-        made = [rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(v).alias("tokenizer"), F.col(new or v).alias("tokens"), (F.col(v) if new else none).alias("old_tokens")) for v in of]
-        out = made[0]
-        for m in made[1:]:
-            out = out.union(m)
-        return out
+    def changes(op: str, rows: DataFrame) -> DataFrame:
+        versions = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("tokens")) for v in TOKENIZERS])).alias("v")
+        return rows.select("source", "lang", versions).select(F.lit(op).alias("op"), "source", "lang", "v.tokenizer", "v.tokens", none.alias("old_tokens"))
 
     known = counts.join(labels, "doc_id", "left")
-    rollup, both = TokenRollup(spark, scratch_path(spark, "token-rollup")), tuple(TOKENIZERS)
-    rollup.commit(1, changes("insert", counts, both))
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    rollup.commit(1, changes("insert", counts))
     for _ in range(2):
-        rollup.commit(2, changes("delete", known.where("toxic = 1"), both))
-    rollup.commit(3, changes("revise", known.where("quality = 0 AND coalesce(toxic, 0) <> 1"), ("words-1",), "revised"))
+        rollup.commit(2, changes("delete", known.where("toxic = 1")))
+    rollup.compact()
+    low = docs.join(labels.where("quality = 0 AND coalesce(toxic, 0) <> 1").select("doc_id"), "doc_id", "left_semi")
+    # the old count is taken from the same rows, so a repeated id needs no match between tables
+    both = low.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit(1).alias("sign"), ascii_lower(F.col("text")).alias("text")), F.struct(F.lit(-1).alias("sign"), F.col("text")))).alias("x"))
+    recounted = count_tokens(both.select(F.struct("doc_id", "x.sign").alias("doc_id"), "source", "lang", "x.text"), {first: TOKENIZERS[first]})
+    sign, n = F.col("doc_id.sign"), F.col(first)
+    rollup.commit(3, recounted.select(F.lit("revise").alias("op"), "source", "lang", F.lit(first).alias("tokenizer"), F.when(sign > 0, n).alias("tokens"), F.when(sign < 0, n).alias("old_tokens")))
+    drop_path(spark, path)
     return rollup.totals()
-
-
-_COUNT = "len(regexp_extract_all(coalesce(text, ''), '{}'))::BIGINT"
-SQL = f"""
-WITH l AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id),
-d AS (SELECT source, lang, {_COUNT.format(TOKENIZERS["words-1"])} AS a, {_COUNT.format(TOKENIZERS["runs-2"])} AS b, {_COUNT.format(REVISED)} AS r, toxic, quality
-      FROM documents LEFT JOIN l USING (doc_id)),
-c AS (SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN quality = 0 THEN r ELSE a END AS n FROM d WHERE toxic IS DISTINCT FROM 1
-      UNION ALL SELECT source, lang, 'runs-2', b FROM d WHERE toxic IS DISTINCT FROM 1)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL
-"""

@@ -43,45 +43,51 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Globs over ``.host NUL path`` that block a URL which no rule decides: registrations of throw-away kinds.
-BLOCK_GLOBS = ("*casino*\0*", "*.free-bets*\0*", "*.cheap-pills*\0*", "*.spam-farm*\0*", "*.adult-*\0*", "*.ads-track*\0*")
+#: Rules of either kind that a filter takes: they are sent to every task.
+MOST_RULES = 100_000
+#: Bytes of automaton states that move at once.
+STATES = 1 << 25
 
 
 class GlobAutomaton:
-    """Glob patterns ('*' any bytes, '?' one byte) as multiword Shift-And masks.
+    """Glob patterns ('*' any characters, '?' one character) as multiword Shift-And masks over UTF-8.
 
     Bit 0 of a pattern's field stands for "nothing read yet"; bit k for "the first k
     units match".  A unit is a byte or '?'; a '*' after unit k lets bit k loop on
-    any byte.  The last bit tells a match of the whole string.
+    any byte, a '?' loops on the further bytes of its character.  The last bit tells
+    a match of the whole string.
     """
 
     def __init__(self, globs: Sequence[str]):
-        bits: list[tuple[frozenset | None, bool]] = []  # (bytes that lead into the bit, loops)
+        bits: list[tuple[frozenset, str]] = []  # (bytes that lead into the bit, what it loops on)
+        first_bytes = frozenset(range(0x80)) | frozenset(range(0xC0, 0x100))
         starts, self.ends = [], []
         for glob in globs:
             starts.append(len(bits))
-            bits.append((frozenset(), False))
+            bits.append((frozenset(), ""))
             for byte in glob.encode():
                 if byte == ord("*"):
-                    bits[-1] = (bits[-1][0], True)
+                    bits[-1] = (bits[-1][0], "*")
                 else:
-                    bits.append((None if byte == ord("?") else frozenset([byte]), False))
+                    bits.append((first_bytes, "?") if byte == ord("?") else (frozenset([byte]), ""))
             self.ends.append(len(bits) - 1)
         self.words = max(1, -(-len(bits) // 64))
         self.into = np.zeros((256, self.words), np.uint64)
-        self.loop = np.zeros(self.words, np.uint64)
+        self.loop = np.zeros((256, self.words), np.uint64)
         self.first = np.zeros(self.words, np.uint64)
         for i, (chars, loops) in enumerate(bits):
             word, bit = divmod(i, 64)
-            if loops:
-                self.loop[word] |= np.uint64(1 << bit)
-            for c in range(256) if chars is None else chars:
-                self.into[c, word] |= np.uint64(1 << bit)
+            on = slice(None) if loops == "*" else slice(0x80, 0xC0) if loops == "?" else slice(0)
+            self.loop[on, word] |= np.uint64(1 << bit)
+            self.into[sorted(chars), word] |= np.uint64(1 << bit)
         for i in starts:
             self.first[i // 64] |= np.uint64(1 << i % 64)
 
     def match(self, strings: Sequence[bytes]) -> np.ndarray:
         """Boolean matrix: strings by patterns."""
+        at_once = max(1, STATES // (8 * self.words))
+        if len(strings) > at_once:
+            return np.concatenate([self.match(strings[i : i + at_once]) for i in range(0, len(strings), at_once)])
         n = len(strings)
         lengths = np.fromiter(map(len, strings), np.int64, n)
         order = np.argsort(-lengths, kind="stable")  # those that still have bytes come first
@@ -97,39 +103,58 @@ class GlobAutomaton:
             moved = s << one
             if self.words > 1:
                 moved[:, 1:] |= s[:, :-1] >> top  # the carry from word to word
-            state[:live] = (moved & self.into[flat[at[:live] + step]]) | (s & self.loop)
+            byte = flat[at[:live] + step]
+            state[:live] = (moved & self.into[byte]) | (s & self.loop[byte])
         out = np.empty((n, len(self.ends)), bool)
         for k, end in enumerate(self.ends):
             out[order, k] = (state[:, end // 64] >> np.uint64(end % 64)) & one != 0
         return out
 
 
-def url_filter(urls: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES, block_globs: Sequence[str] = BLOCK_GLOBS) -> DataFrame:
+def rules_of(table: DataFrame) -> list[Rule]:
+    """table(verdict, host, path) as rules; more than MOST_RULES are refused, as every task holds them."""
+    rows = table.select("verdict", "host", "path").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted((Rule(*r) for r in rows), key=lambda r: (r.name, r.verdict))
+
+
+def globs_of(table: DataFrame) -> list[tuple[str, str]]:
+    """table(verdict, glob) as pairs, likewise."""
+    rows = table.select("verdict", "glob").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} globs")
+    return sorted(map(tuple, rows))
+
+
+def url_filter(urls: DataFrame, url_col: str = "url", rules: DataFrame | Sequence[Rule] = RULES, globs: DataFrame | Sequence[tuple[str, str]] = (), default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row.
 
-    The longest rule that fits decides (equally long ones by name); else any of
-    ``block_globs`` blocks; else the URL is allowed.  A null URL, or one without
-    ``://``, has an empty host and path and is allowed.  Columns of the input that
-    have the names of added ones are replaced.
+    The longest rule that fits decides (equally long ones by name); else the globs
+    (verdict, glob over ``.host NUL path``) that match, of which a block goes before
+    others; else ``default``.  Rules and globs may be tables of a bounded number of rows.
+    A null URL, or one without ``://``, has an empty host and path.  Very long URLs are
+    read whole, rows that repeat come out once each, and an empty table gives an empty
+    one.  Columns of the input that have the names of added ones are replaced.
     """
+    rules = rules_of(rules) if isinstance(rules, DataFrame) else list(rules)
+    loose = globs_of(globs) if isinstance(globs, DataFrame) else list(globs)
+    loose.sort(key=lambda g: (g[0] != "block", g))
     names, verdicts = [r.name for r in rules], [r.verdict for r in rules]
     ranked = sorted(range(len(rules)), key=lambda i: (-len(names[i]), names[i]))
-    globs = [rules[i].glob for i in ranked] + list(block_globs)
+    patterns = [rules[i].glob for i in ranked] + [g for _, g in loose]
+    by_rank = np.array([verdicts[i] for i in ranked] + [v for v, _ in loose] + [default], object)
 
     @F.pandas_udf("rule string, verdict string")
     def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        automaton = GlobAutomaton(globs)
+        automaton = GlobAutomaton(patterns)
         for host, path in parts:
-            hit = automaton.match([b"." + h.encode() + b"\0" + p.encode() for h, p in zip(host, path, strict=True)])
-            ruled = hit[:, : len(ranked)]
-            best = np.where(ruled.any(axis=1), ruled.argmax(axis=1), -1)
-            blocked = hit[:, len(ranked) :].any(axis=1)
-            yield pd.DataFrame(
-                {
-                    "rule": [names[ranked[b]] if b >= 0 else None for b in best],
-                    "verdict": [verdicts[ranked[b]] if b >= 0 else "block" if x else "allow" for b, x in zip(best, blocked, strict=True)],
-                }
-            )
+            strings = [b"." + h.encode() + b"\0" + p.encode() for h, p in zip(host, path, strict=True)]
+            at_once, best = max(1, STATES // (8 * automaton.words)), np.zeros(len(strings), np.int64)
+            for i in range(0, len(strings), at_once):
+                hit = automaton.match(strings[i : i + at_once])
+                best[i : i + at_once] = np.where(hit.any(axis=1), hit.argmax(axis=1) if hit.shape[1] else 0, len(patterns))
+            yield pd.DataFrame({"rule": [names[ranked[b]] if b < len(ranked) else None for b in best.tolist()], "verdict": by_rank[best]})
 
     added = ("host", "path", "rule", "verdict")
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substr(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
@@ -147,10 +172,9 @@ _FITS = "('.' || host) LIKE '%.{host}' AND starts_with(path, '{path}')"
 _RANKED = sorted(RULES, key=lambda r: (-len(r.name), r.name))
 _CASES = " ".join(f"WHEN {_FITS.format(host=r.host, path=r.path)} THEN '{r.name}'" for r in _RANKED)
 _VERDICTS = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in RULES)
-_GLOBS = " OR ".join(f"('.' || host) LIKE '{g.split(chr(0))[0].replace('*', '%')}'" for g in BLOCK_GLOBS)
 SQL = f"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(url[strpos(url, '://') + 3:], '^[^?#]*') ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, url, {sql_ascii_lower("regexp_extract(rest, '^[^/]*')")} AS host, regexp_extract(rest, '/.*$', 0, 's') AS path FROM a),
 c AS (SELECT *, CASE {_CASES} END AS rule FROM b)
-SELECT page_id, url, host, path, rule, CASE {_VERDICTS} WHEN {_GLOBS} THEN 'block' ELSE 'allow' END AS verdict FROM c
+SELECT page_id, url, host, path, rule, CASE {_VERDICTS} ELSE 'allow' END AS verdict FROM c
 """

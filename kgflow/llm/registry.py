@@ -16,7 +16,6 @@ QUERIES = {
 }
 SQL = {
     "op4_mixing": op04_mixing.SQL,
-    "op6_token_counts": op06_token_counts.SQL,
     "op9_url_filters": op09_url_filters.SQL,
     "op10_exact_dedup": op10_exact_dedup.SQL,
 }

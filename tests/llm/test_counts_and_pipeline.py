@@ -72,16 +72,66 @@ def test_mixing_prefers_quality(spark):
     assert picked and sum(picked) / len(picked) > 0.55
 
 
+SCHEMA = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+
+
 def test_rollup_commits_once_and_nets_out(spark):
-    root = scratch_path(spark, "rollup-test")
-    roll = op06_token_counts.TokenRollup(spark, root)
-    schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
-    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    roll = op06_token_counts.TokenRollup(spark, scratch_path(spark, "rollup-test"))
+    batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    assert roll.totals().collect() == [] and not roll.compact()
     assert roll.commit(1, batch(("insert", "a", "en", "v1", 10, None), ("insert", "a", "en", "v1", 5, None), ("insert", None, "en", "v1", None, None), ("noise", "a", "en", "v1", 99, 1)))
     assert not roll.commit(1, batch(("insert", "a", "en", "v1", 10, None)))
-    assert roll.commit(2, batch(("revise", "a", "en", "v1", 7, 10), ("delete", "a", "en", "v1", 5, None), ("insert", "b", "en", "v1", 1, None), ("delete", "b", "en", "v1", 1, None)))
-    assert roll.commit(3, spark.createDataFrame([], schema))
-    assert {tuple(r) for r in roll.totals().collect()} == {("a", "en", "v1", 1, 7), (None, "en", "v1", 1, 0)}
+    assert roll.commit(5, batch(("revise", "a", "en", "v1", 7, 10), ("delete", "a", "en", "v1", 5, None), ("insert", "b", "en", "v1", 1, None), ("delete", "b", "en", "v1", 1, None)))
+    want = {("a", "en", "v1", 1, 7), (None, "en", "v1", 1, 0)}
+    assert {tuple(r) for r in roll.totals().collect()} == want
+    assert roll.compact() and not roll.compact()
+    assert not roll.commit(5, batch(("insert", "a", "en", "v1", 10, None)))
+    assert roll.commit(3, spark.createDataFrame([], SCHEMA)) and {tuple(r) for r in roll.totals().collect()} == want
+    assert roll.commit(4, batch(("insert", "a", "en", "v1", 1, None))) and roll.compact()
+    other = op06_token_counts.TokenRollup(spark, roll.root)
+    assert {tuple(r) for r in other.totals().collect()} == {("a", "en", "v1", 2, 8), (None, "en", "v1", 1, 0)}
+
+
+def test_rollup_takes_one_of_two_commits_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch_path(spark, "rollup-race")
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], SCHEMA)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: op06_token_counts.TokenRollup(spark, root).commit(1, rows), range(4)))
+    assert sum(done) == 1
+    assert [tuple(r) for r in op06_token_counts.TokenRollup(spark, root).totals().collect()] == [("a", "en", "v1", 1, 10)]
+
+
+def test_token_counts_equal_the_library(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    odd = ["", None, "  a  b ", "A<|endoftext|>b <|startoftext|> c", "tab\tand\nline\r\n", "é\u0301 ﬁ ½ 日本", "x" * 3000, "don't we'll  1234"]
+    docs = [(r.doc_id, r.source, r.lang, r.text) for r in table(spark, sf, "documents").collect()] + [(10**6 + i, None, "xx", t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    plain = {}
+    for name in op06_token_counts.TOKENIZERS:
+        t = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        t.no_truncation()
+        t.no_padding()
+        plain[name] = lambda text, t=t: len(t.encode(text or "", add_special_tokens=False).ids)
+    for r in op06_token_counts.count_tokens(df).collect():
+        text = next(d[3] for d in docs if d[0] == r.doc_id)
+        assert {n: r[n] for n in plain} == {n: f(text) for n, f in plain.items()}, text
+    assert op06_token_counts.count_tokens(df.limit(0)).collect() == []
+    labels = {r.doc_id: r for r in table(spark, sf, "labels").collect()}
+    want = {}
+    for i, source, lang, text in docs[: -len(odd)]:
+        l = labels.get(i)
+        for n, f in plain.items():
+            if l is None or l.toxic != 1:
+                lower = n == "byte_bpe_50k" and l is not None and l.quality == 0
+                text_now = text.translate({c: c + 32 for c in range(65, 91)}) if lower else text
+                have = want.setdefault((source, lang, n), [0, 0])
+                have[0], have[1] = have[0] + 1, have[1] + f(text_now)
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in op06_token_counts.query(spark, sf).collect()}
+    assert got == want
 
 
 def test_pipeline(spark):
