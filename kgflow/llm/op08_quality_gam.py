@@ -28,6 +28,9 @@ MOST_LABELLED = 20_000
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
 
+#: Read from UTF-8 bytes, so they mean the same in any language: lengths; shares of capitals, signs and digits; how much
+#: words and lines repeat (templates, scraped lists); words that end in an odd sign or stand in capitals, and bars between
+#: words (tables, menus and keyword stuffing flattened to text).
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper_share", "sign_share", "digit_share", "distinct_share", "top_word_share",
     "log_lines", "words_a_line", "distinct_line_share", "same_as_last_share", "sign_end_share", "pipe_share", "capital_word_share",
@@ -167,10 +170,15 @@ def features_column(text: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> AdditiveModel:
-    """Fits on at most ``most`` labelled documents outside the held-out fold; a null label teaches nothing."""
+    """Fits on at most ``most`` labelled documents outside the held-out fold; a null label teaches nothing.
+
+    An id that several rows have teaches once, by the first of its texts in their order,
+    so no more than ``most`` rows reach the driver.
+    """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", features_column("text").alias("x"))
+    taught = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = taught.select("doc_id", "quality", features_column("text").alias("x"))
     got = sorted((r.doc_id, r.quality, r.x) for r in rows.collect())  # at most ``most`` rows of a few numbers
     return fit(np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float))
 
@@ -188,7 +196,9 @@ def score_column(model: AdditiveModel, text: Column) -> Column:
 def classify(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from ``threshold`` on) to every row; columns of those names are replaced.
 
-    Null and empty texts are scored like a text without words.  Equal texts score alike.
+    Null and empty texts are scored like a text without words, very long ones whole.  Equal
+    texts score alike, rows that repeat come out once each, and an empty table gives an
+    empty one.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     scored = docs.select(*kept, score_column(model, F.col(text_col)).alias("score"))

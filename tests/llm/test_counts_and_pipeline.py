@@ -1,13 +1,17 @@
 """Operators 4 and 6, the registry and the pipeline."""
 
+import hashlib
+import math
 import os
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from kgflow.llm import op04_mixing, op06_token_counts, registry
+from kgflow.llm import op01_bpe, op04_mixing, op06_token_counts, op08_quality_gam, registry
 from kgflow.llm.common import scratch_path, table
 
 TABLES = "documents embeddings pages labels".split()
@@ -134,26 +138,108 @@ def test_token_counts_equal_the_library(spark, sf):
     assert got == want
 
 
-def test_pipeline(spark):
+def plain_mix(docs, quality):
+    """How often each of (doc_id, source, text) is taken, by the rules of op4 in plain Python."""
+    sized = {}
+    for i, source, text in docs:
+        u = (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        sized.setdefault(source, []).append((-math.log(u) / {1: 2.0, 0: 0.5}.get(quality.get(i), 1.0), i, len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))))
+    sources = sorted(sized, key=lambda s: (s is None, s or ""))
+    size, weight = {s: sum(x[2] for x in sized[s]) for s in sources}, {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(sources)}
+    target, free, left = {}, set(sources), 1.5 * sum(size.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > 2 * size[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        left, free = left - sum(target[s] for s in full), free - full
+    copies = {}
+    for s in sources:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        rest, upto, rows = target[s] - epochs * size[s], 0, sorted(sized[s])
+        taken = 0
+        while taken < len(rows) and upto + rows[taken][2] <= rest:
+            upto, taken = upto + rows[taken][2], taken + 1
+        chosen, gap = {x[1] for x in rows[:taken]}, rest - upto
+        more = [(abs(gap - n), key, i) for key, i, n in rows[taken:] if abs(gap - n) < gap]
+        if more:
+            chosen.add(min(more)[2])
+        copies |= {i: min(2, epochs + (i in chosen)) for _, i, _ in rows}
+    return copies
+
+
+def plain_score(model, text):
+    x, total = op08_quality_gam.features(text), model.base
+    bins = [sum(v >= c for c in cuts) for v, cuts in zip(x, model.cuts)]
+    for b, t in zip(bins, model.tables):
+        total += t[b]
+    for (i, j), t in zip(model.pairs, model.pair_tables):
+        total += t[bins[i]][bins[j]]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_pipeline_equals_a_plain_version(spark, sf):
+    from tests.llm.test_dedup_ops import brute_jaccard, brute_lines
+
+    docs = [(r.doc_id, r.source, r.text) for r in table(spark, sf, "documents").collect()]
+    quality = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    taught = sorted((i, quality[i], op08_quality_gam.features(t)) for i, _, t in docs if i in quality and zlib.crc32(str(i).encode()) % 5)
+    model = op08_quality_gam.fit(np.array([t[2] for t in taught], float), np.array([t[1] for t in taught], float))
+    kept = [d for d in docs if plain_score(model, d[2]) >= 0.3]
+    cut = brute_lines([(i, t) for i, _, t in kept])
+    kept = [(i, s, cut[i]) for i, s, t in kept if cut[i] == t or cut[i].strip(" ")]
+    groups = brute_jaccard([(i, t) for i, _, t in kept], 5, 80, 100)
+    kept = [d for d in kept if groups[d[0]][1] == d[0]]
+    copies = plain_mix(kept, quality)
+    tokenizer, want = op01_bpe.load(op01_bpe.default_path()), []
+    for i, _, t in kept:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want += [(i, len(ids), ids, hashlib.sha256(t.encode()).hexdigest())] * copies[i]
+    assert 0 < len(kept) < len(docs) and len(set(copies.values())) > 1
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids", "decoded_sha256").collect()) == sorted(want)
+
+
+def test_pipeline_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
-    docs, sizes = table(spark, sf, "documents"), []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        path = scratch_path(spark, "stage")
-        stage(spark, docs, sf).write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert docs.columns == table(spark, sf, "documents").columns
-        sizes.append(docs.count())
-    assert 1000 > sizes[0] > sizes[1] > sizes[2] and sizes[3] > 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id", "n_tokens", "decoded_sha256")
-    assert last.count() == sizes[3]
-    run = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "decoded_sha256")
-    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, last.collect()))
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     first = {r.doc_id for r in corpus_pipeline.quality(spark, table(spark, sf, "documents"), sf).select("doc_id").collect()}
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in first for i in good) / len(good) > 0.98
 
 
+def test_stages_take_odd_rows(spark, sf):
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_removed int, predicted string, component_id string, copies string"
+    text = "the same five words in a row and then some more of them to fill a line"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text.upper(), "en", None), (3, None, None, "b"), (4, "", "en", "b"), (None, "no id here", "en", "b"), (5, "w " * 60_000, "en", "c")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, "p", "q", "r") for r in rows], names)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        if stage is not corpus_pipeline.tokens:
+            assert got.columns == docs.columns, name
+            assert {tuple(r[c] for c in ("n_removed", "predicted", "component_id", "copies")) for r in got.collect()} <= {(7, "p", "q", "r")}, name
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.lines(spark, docs, sf).where("doc_id IN (1, 2)").collect()) == [(1, text), (1, text)]
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {1, 3, 4, None, 5}
+    assert corpus_pipeline.tokens(spark, docs, sf).count() == len(rows)
+
+
+def test_empty_documents_are_taken_twice_at_most(spark):
+    _, got = _mix(spark, [(1, "w", "a", ""), (2, "", "a", ""), (3, "w " * 500, "b", "")])
+    assert max(r.copies for r in got) <= 2
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 40 + [(2, "x"), (2, "y"), (3, "z z z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    model = op08_quality_gam.train(docs, labels)
+    known = sorted((i, q, op08_quality_gam.features(t)) for i, q, t in [(1, 1, "a b c"), (2, 0, "x"), (3, 1, "z z z")] if zlib.crc32(str(i).encode()) % 5)
+    want = op08_quality_gam.fit(np.array([k[2] for k in known], float), np.array([k[1] for k in known], float))
+    scores = op08_quality_gam.classify(docs, model).collect()
+    assert len(scores) == 43 and all(abs(r.score - plain_score(want, r.text)) < 1e-12 for r in scores)
+
+
 def test_vocabularies_are_not_in_the_repository():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for d, _, fs in os.walk(top) for f in fs if f.endswith((".tiktoken", ".model")) or f.startswith("byte_bpe")]
