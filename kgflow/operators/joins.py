@@ -6,42 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bin_width(*sides: DataFrame, iv: str = "iv") -> float:
-    """Twice the mean length of the intervals, 1 at least: then an interval falls into 1.5 bins on average."""
+#: Bins that an interval falls into at most on its level; a level's bins are as many times as wide as those of the one below.
+_FAN = 64
+
+
+def bin_width(*sides: DataFrame, iv: str = "iv") -> Column:
+    """struct(width, top): twice the mean length of the intervals, 1 at least, so that an interval falls into 1.5 bins
+    on average; and the level of the longest.  A subquery of the plan it is used in."""
     both = sides[0].select(iv)
     for s in sides[1:]:
         both = both.union(s.select(iv))
-    mean = both.where(F.col(f"{iv}.start") <= F.col(f"{iv}.end")).agg(F.avg(F.col(f"{iv}.end") - F.col(f"{iv}.start"))).first()[0]
-    return max(1.0, 2.0 * (mean or 0.0))
+    length = F.col(f"{iv}.end") - F.col(f"{iv}.start")
+    found = both.where(length >= 0).agg(F.avg(length).alias("mean"), F.max(length).alias("most"))
+    width = F.greatest(F.lit(1.0), 2.0 * F.coalesce("mean", F.lit(0.0)))
+    return found.select(F.struct(width.alias("width"), _level(F.coalesce("most", F.lit(0.0)) / width).alias("top"))).scalar()
+
+
+def _level(span: Column) -> Column:
+    """The level of an interval that is ``span`` bins long."""
+    return F.when(span < _FAN, 0).otherwise(F.floor(F.log(F.greatest(span, F.lit(1.0))) / F.log(F.lit(float(_FAN))) + 1e-9)).cast("int")
 
 
-def _bins(df: DataFrame, iv: str, width: float) -> DataFrame:
-    lo, hi = F.floor(F.col(f"{iv}.start") / width), F.floor(F.col(f"{iv}.end") / width)
-    return df.where(F.col(f"{iv}.start") <= F.col(f"{iv}.end")).withColumn("__bin", F.explode(F.sequence(lo, hi)))
+def _bins(df: DataFrame, iv: str, bins: Column, up: str, met: str) -> DataFrame:
+    """Rows by (__level, __role, __bin): an interval is in all bins of its own level, to meet others of that level
+    (role 'own') and, above the lowest, shorter ones (``met``); and on all higher levels there are, to meet longer ones (``up``)."""
+    start, end = F.col(f"{iv}.start"), F.col(f"{iv}.end")
+    df, bins = df.withColumn("__bins", bins), F.col("__bins")
+    role = lambda level, name: F.struct(level.cast("int").alias("level"), F.lit(name).alias("role"))
+    own = F.least(_level((end - start) / bins["width"]), bins["top"])
+    roles = F.concat(F.array(role(own, "own")), F.when(own > 0, F.array(role(own, met))).otherwise(F.array().cast("array<struct<level:int,role:string>>")), F.when(own < bins["top"], F.transform(F.sequence(own + 1, bins["top"]), lambda x: role(x, up))).otherwise(F.array().cast("array<struct<level:int,role:string>>")))
+    rows = df.where(start <= end).select("*", F.inline(roles).alias("__l", "__r"))
+    width = bins["width"] * F.pow(F.lit(float(_FAN)), F.col("__l"))
+    return rows.withColumn("__bin", F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))).withColumn("__width", width)
 
 
 def interval_overlap_join(left: DataFrame, right: DataFrame, width: float | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs of rows, as structs ``a`` and ``b``, whose closed intervals ``iv`` share a prefix and a point.
 
     Both sides fall into bins; a pair is kept in the bin of the larger start only, so it comes
-    once.  Equal work for equal bins: no row meets the rows of a whole prefix.  Reversed and
-    NULL intervals meet nothing.
+    once.  Equal work for equal bins: no row meets the rows of a whole prefix.  Intervals far
+    longer than most lie on a level of wider bins, where shorter ones meet them, so none
+    becomes many rows.  ``width`` fixes one width for all.  Reversed and NULL intervals meet nothing.
     """
-    width = width or bin_width(left, right)
-    le = _bins(left, "iv", width).select(F.struct(*left.columns).alias(a), F.col("iv.prefix").alias("__p"), "__bin")
-    ri = _bins(right, "iv", width).select(F.struct(*right.columns).alias(b), F.col("iv.prefix").alias("__p"), "__bin")
+    bins = F.struct(F.lit(float(width)).alias("width"), F.lit(0).alias("top")) if width else bin_width(left, right)
+    key = [F.col("iv.prefix").alias("__p"), "__l", "__r", "__bin"]
+    le = _bins(left, "iv", bins, "left", "right").select(F.struct(*left.columns).alias(a), *key, "__width")
+    ri = _bins(right, "iv", bins, "right", "left").select(F.struct(*right.columns).alias(b), *key)
     start = F.greatest(F.col(f"{a}.iv.start"), F.col(f"{b}.iv.start"))
-    met = le.join(ri, ["__p", "__bin"]).where((F.col(f"{a}.iv.start") <= F.col(f"{b}.iv.end")) & (F.col(f"{b}.iv.start") <= F.col(f"{a}.iv.end")))
-    return met.where(F.floor(start / width) == F.col("__bin")).select(a, b)
+    met = le.join(ri, ["__p", "__l", "__r", "__bin"]).where((F.col(f"{a}.iv.start") <= F.col(f"{b}.iv.end")) & (F.col(f"{b}.iv.start") <= F.col(f"{a}.iv.end")))
+    return met.where(F.floor(start / F.col("__width")) == F.col("__bin")).select(a, b)
 
 
 def interval_contains_join(containers: DataFrame, contained: DataFrame, width: float | None = None, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs in which a's interval contains b's.  Only the containers fall into several bins."""
-    width = width or bin_width(containers)
-    le = _bins(containers, "iv", width).select(F.struct(*containers.columns).alias(a), F.col("iv.prefix").alias("__p"), "__bin")
-    ri = contained.where("iv.start <= iv.end").select(F.struct(*contained.columns).alias(b), F.col("iv.prefix").alias("__p"), F.floor(F.col("iv.start") / width).alias("__bin"))
+    """Pairs in which a's interval contains b's.  Only the containers fall into several bins, each on the level of its length."""
+    bins = F.struct(F.lit(float(width)).alias("width"), F.lit(0).alias("top")) if width else bin_width(containers)
+    key = [F.col("iv.prefix").alias("__p"), "__l", "__bin"]
+    le = _bins(containers, "iv", bins, "none", "none").where("__r = 'own'").select(F.struct(*containers.columns).alias(a), *key)
+    ri = contained.where("iv.start <= iv.end").withColumn("__bins", bins).withColumn("__l", F.explode(F.sequence(F.lit(0), F.col("__bins.top"))))
+    at = F.floor(F.col("iv.start") / (F.col("__bins.width") * F.pow(F.lit(float(_FAN)), F.col("__l"))))
+    ri = ri.select(F.struct(*contained.columns).alias(b), F.col("iv.prefix").alias("__p"), "__l", at.alias("__bin"))
     inside = (F.col(f"{a}.iv.start") <= F.col(f"{b}.iv.start")) & (F.col(f"{b}.iv.end") <= F.col(f"{a}.iv.end"))
-    return le.join(ri, ["__p", "__bin"]).where(inside).select(a, b)
+    return le.join(ri, ["__p", "__l", "__bin"]).where(inside).select(a, b)
 
 
 def key_match_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, a: str = "a", b: str = "b") -> DataFrame:

@@ -15,4 +15,5 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
         master = spark.sparkContext.master
         local = master.startswith("local") and "cluster" not in master
         root = tempfile.mkdtemp(prefix="spark-kgflow-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", root)  # one folder a session
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

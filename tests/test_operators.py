@@ -9,11 +9,13 @@ from kgflow.functions import intervals as V
 from kgflow.functions import text as T
 from kgflow.operators import corpus as C
 from kgflow.operators import dialog as D
+from kgflow.operators import embed as E
 from kgflow.operators import joins as J
 from kgflow.operators import lexicon as L
 from kgflow.operators import merge as M
 from kgflow.operators import records as R
 from kgflow.operators import segment as S
+from kgflow.operators import sets as X
 from kgflow.plans import assoc as A
 from kgflow.plans import infer as I
 from kgflow.plans import search as Q
@@ -53,15 +55,21 @@ def test_interval_predicates(spark):
     assert list(got) == [w for _, w in cases]
 
 
-@pytest.mark.parametrize("width", [1.0, 7.0, 100.0])
+@pytest.mark.parametrize("width", [1.0, 7.0, 100.0, None, 0.0])
 def test_interval_joins_equal_nested_loops(spark, width):
     import random
 
-    rng = random.Random(int(width))
+    rng = random.Random(int(width or 5))
     rows = [(f"n{i}", "DK" if rng.random() < 0.7 else "K", float(a := rng.randrange(300)), float(a + rng.randrange(-3, 40))) for i in range(150)]
+    if width == 0.0:  # a few intervals that are thousands of times as long as the others
+        rows += [("x0", "DK", -1e6, 2e6), ("x1", "DK", 100.0, 30000.0), ("x2", "K", 0.0, 1e9), ("x3", "DK", 29000.0, 31000.0), ("x4", "DK", 5e5, 5e5)]
     df = spark.createDataFrame(rows, "node_id string, p string, s double, e double").select("node_id", F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.col("p").alias("prefix")).alias("iv"))
     ok = [r for r in rows if r[2] <= r[3]]
     pairs = lambda d: sorted((r.a.node_id, r.b.node_id) for r in d.collect())
+    if width == 0.0:
+        bins = F.struct(F.lit(2.0).alias("width"), F.lit(5).alias("top"))
+        assert J._bins(df, "iv", bins, "left", "right").groupBy("node_id").count().agg(F.max("count")).collect()[0][0] < 150
+    width = width or None
     assert pairs(J.interval_overlap_join(df, df, width)) == sorted((a[0], b[0]) for a in ok for b in ok if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
     assert pairs(J.interval_contains_join(df, df, width)) == sorted((a[0], b[0]) for a in ok for b in ok if a[1] == b[1] and a[2] <= b[2] and b[3] <= a[3])
 
@@ -149,12 +157,69 @@ def test_json_mapping_counts(spark):
 
 
 def test_json_helpers(spark):
-    df = spark.createDataFrame([("a", '{"x":{"k":"deep"},"y":{"z":{"k":"deeper"}}}'), ("b", '{"k":"top","x":{"k":"deep"}}'), ("c", '{"q":1}')], "chunk_id string, json string")
-    assert {r.chunk_id: r.value for r in R.json_find_key(df, "k").collect()} == {"a": "deep", "b": "top", "c": None}
+    cases = {
+        '{"x":{"z":{"k":"deep"}},"y":{"k":"later"}}': "deep", '{"x":{"k":"deep"},"k":"top"}': "top", '{"q":1}': None, '{"a":[1,[{"b":{"c":{"d":{"e":{"k":1.50}}}}}]]}': "1.50",
+        '[{"k":{"n":[1,"é"]}}]': '{"n":["1","é"]}', '{"k":null}': None, "no json": None, "": None, "[" * 100_000: None,
+    }
+    df = spark.createDataFrame([(x,) for x in [*cases, None]], "json string")
+    assert {r.json: r.v for r in df.select("json", T.json_find_key(F.col("json"), "k").alias("v")).collect()} == cases | {None: None}
     assert one(spark, T.composite_field([F.lit("a"), F.lit(None).cast("string")], "~")) is None
     assert one(spark, T.extract_json(F.lit('say {"a": 1} ok'))) == '{"a": 1}' and one(spark, T.extract_json(F.lit("say {oops"))) is None
 
 
+def test_templates_keep_what_values_hold(spark):
+    values = F.create_map(F.lit("text"), F.lit("use {foo} and {id} {"), F.lit("id"), F.lit("7"), F.lit("none"), F.lit(None).cast("string"))
+    assert one(spark, T.render(F.lit("{id}: {text}|{none}|{missing}| { {x y} }"), values)) == "7: use {foo} and {id} {||| { {x y} }"
+
+
+def test_visible_text_decodes_all_references(spark):
+    assert one(spark, T.visible_text(F.lit("<p>a&nbsp;&copy; &eacute;&#x41;</p><script>x</script> &amp;lt; &bogus;"))) == "a © éA &lt; &bogus;"
+
+
+def test_nested_values_prefixes_and_entities(spark):
+    df = spark.createDataFrame([(1, {"b": "é"}, ["x", None], "s")], "id int, m map<string,string>, a array<string>, s string")
+    assert tuple(T.serialize_nested(df).collect()[0]) == (1, '{"b":"é"}', '["x",null]', "s")
+    row = df.select(*T.prefix_format({"history": {"plan": F.col("a")}, "current": {"plan": F.slice("a", 1, 0)}})).collect()[0]
+    assert (row.history_plan, row.current_plan) == (["x", None], None)
+    entity = lambda *t: F.array(*[F.struct(F.lit(x).cast("string").alias("text")) for x in t])
+    assert one(spark, T.entities_to_text(entity("a", "", None, "b"))) == "a b" and one(spark, T.entities_to_text(F.lit(None).cast("array<struct<text:string>>"))) == ""
+
+
+def test_orders_and_sets(spark):
+    types = spark.createDataFrame([("b", None), ("a", None), ("c", 5)], "node_type string, priority int")
+    assert [tuple(r) for r in X.type_priority(types).collect()] == [("c", 5), ("a", 999), ("b", 999)]
+    groups = spark.createDataFrame([("x", 2), ("y", 9), ("z", 1), ("w", 2)], "key string, n long")
+    assert [r.key for r in X.dup_order(groups, "key").collect()] == ["y", "w", "x"]
+    ledger = spark.createDataFrame([("f1", "s", "done"), ("f2", "s", "failed"), ("f3", "t", "done")], "key string, stage string, status string")
+    items = spark.createDataFrame([("f1",), ("f2",), ("f2",), ("f3",)], "key string")
+    assert sorted(r.key for r in X.except_processed(items, ledger, "key", "s").collect()) == ["f2", "f3"]
+    one_, two = spark.createDataFrame([("a", 1)], "text string, x int"), spark.createDataFrame([("a",), ("b",)], "text string")
+    assert sorted(map(tuple, X.union_extractions(one_, two).collect()), key=repr) == [("a", 1), ("a", None), ("b", None)]
+    assert [r.text for r in X.intersect_texts(one_, two).collect()] == ["a"]
+
+
+def test_embedding_with_a_model_of_ones_own(spark):
+    import pandas as pd
+
+    sizes = []
+
+    def embed(rows, id_col, text_col):
+        def run(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), 32):  # the model's batch
+                    part = pdf.iloc[at : at + 32]
+                    assert len(part) <= 32
+                    yield pd.DataFrame({id_col: part[id_col], "embedding": [[float(len(t)), 1.0] for t in part[text_col]]})
+
+        sizes.append(1)
+        return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} long, embedding array<double>")
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(100)], "node_id long, text string")
+    done = spark.createDataFrame([(3, "embed", "done"), (4, "embed", "failed")], "node_id long, stage string, status string")
+    got = {r.node_id: r.embedding for r in E.embed_table(rows, done, "text", embed).collect()}
+    assert sizes == [1] and got == {i: [float(i), 1.0] for i in range(100) if i != 3}
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "source_file string, node_type string, node_id string, chunk_id string, attributes map<string,string>, confidence double, ord int")
 
@@ -207,10 +272,33 @@ def test_vectors(spark):
     v = lambda *x: F.array(*[F.lit(float(y)) for y in x])
     assert one(spark, T.cosine(v(1, 0), v(1, 0))) == 1.0 and one(spark, T.cosine(v(0, 0), v(1, 0))) == 0.0
     assert one(spark, T.parse_vector(F.lit("0.5,1,x"))) == [0.5, 1.0, None]
+    assert one(spark, T.cosine(v(1, 0), v(1, 0, 0))) is None
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id long, v array<double>")
+    ok, bad = Q.check_vectors(rows, "v", 2)
+    assert [r.id for r in ok.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3]
     w = one(spark, Q.weight_gate(F.lit(None).cast("double"), F.lit(0.5), ((1.0, 1.0, 0.0),), ((1.0, 0.0), (0.0, 0.0))))
     assert (w.alpha, w.beta) == (0.5, 0.5)
 
 
+def test_cosine_topk_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(Q, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(Q, "VECTOR_BLOCK", 10)
+    rng = np.random.default_rng(3)
+    vs = [(i, "hot" if i % 4 else "cold", rng.normal(size=4).tolist()) for i in range(80)] + [(80, "hot", [0.0] * 4), (81, "hot", [1.0]), (82, "hot", None), (83, None, [1.0] * 4)]
+    df = spark.createDataFrame(vs, "node_id long, c string, v array<double>")
+    q = df.where("node_id % 10 = 0").select(F.col("node_id").alias("query_id"), "c", F.col("v").alias("q"))
+    got = {}
+    for r in Q.cosine_topk(q, df, "c", 0.2, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.node_id, round(r.similarity, 9))
+    want = {}
+    for i, c, x in vs[:80:10]:
+        cos = [(-np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y), j) for j, k, y in vs[:80] if k == c]
+        want[i] = {n + 1: (j, round(-s, 9)) for n, (s, j) in enumerate(sorted(x for x in cos if -x[0] > 0.2)[:5])}
+    assert got == want
+
+
 def test_splits_are_partitions(spark):
     rows = spark.createDataFrame([(f"t{i}", i % 3, i) for i in range(100)], "text string, label int, ord int")
     split = C.stratified_split(rows, "s")
