@@ -115,6 +115,22 @@ def brute_cosine(rows, threshold):
     return {r[0]: (n[r[0]], c[r[0]], c[r[0]] == r[0]) for r in rows}
 
 
+def test_pivot_dedup_recall_at_the_threshold(spark):
+    """Vectors without any structure and, for each, one of a cosine just above the threshold: the hardest links."""
+    rng, rows = np.random.default_rng(12), []
+    unit = lambda v: v / np.linalg.norm(v)
+    for i in range(2500):
+        x = unit(rng.normal(size=64))
+        g = rng.normal(size=64)
+        y = 0.931 * x + np.sqrt(1 - 0.931**2) * unit(g - (g @ x) * x)
+        rows += [(2 * i, x.tolist(), i % 2), (2 * i + 1, y.tolist(), i % 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for pivots in (256, 1024):
+        found = op03_pivot_dedup.pivot_dedup(df, pivots=pivots).where("n_links > 0").count() / len(rows)
+        print(f"recall with {pivots} pivots: {found:.4f}")
+        assert found >= 0.99
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_pivot_dedup(spark, block):
     rows = vectors(block)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgflow.llm import op01_bpe, op02_html_extraction, op08_quality_gam, op09_url_filters
-from kgflow.llm.common import table
+from kgflow.llm.common import Scratch, table
 
 TEXTS = [
     "", None, " ", "\n", " a", "a ", "a  b", "a   b", "a\n\nb", "a \n b\t c\r\nd", "<|endoftext|>", "a <|endoftext|> b", "x\0y \0 z", "don't we'll",
@@ -35,9 +35,14 @@ def test_bpe_equals_the_library(spark):
 def test_bpe_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, ids string, block string")
     assert op01_bpe.bpe_round_trip(empty).collect() == []
-    one = spark.createDataFrame([(None, "hi", "x", "y"), (4, None, None, None)], empty.schema)
-    rows = {r.doc_id: (r.decoded, len(r.ids)) for r in op01_bpe.bpe_round_trip(one).collect()}
-    assert rows == {None: ("hi", 1), 4: ("", 0)}
+    one = spark.createDataFrame([(None, "hi", "x", "y"), (4, None, None, None), (4, "hi", "", ""), (4, "hi", "", "")], empty.schema)
+    rows = sorted((r.doc_id or 0, r.decoded, len(r.ids)) for r in op01_bpe.bpe_round_trip(one).collect())
+    assert rows == [(0, "hi", 1), (4, "", 0), (4, "hi", 1), (4, "hi", 1)]
+    with Scratch(spark) as scratch:
+        assert op01_bpe.bpe_round_trip(one, scratch=scratch).count() == 4
+        name = next(iter(scratch.paths.values()))
+        assert spark.catalog.tableExists(name)
+    assert not spark.catalog.tableExists(name)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><a href=x>Home</a></nav>
