@@ -36,20 +36,24 @@ def assert_disjoint(root: DataFrame, attr: DataFrame) -> DataFrame:
 def lexicon_match(docs: DataFrame, lexicon: DataFrame, lengths: Sequence[int], starts: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, start, end, term) of every occurrence; ``lengths`` are those that terms have.
 
-    ``starts`` are terms, or the first two characters of all of them: windows that begin
-    otherwise are left out before any row is made.  The rest meet the lexicon by term, so
-    it may have any size.
+    ``starts`` are terms, or beginnings of all of them: windows that begin otherwise are
+    left out before any row is made.  The rest meet the lexicon by term, so it may have
+    any size.
     """
-    pairs = np.array(sorted({(ord(x[0]) << 32) + ord(x[1]) for x in starts or () if len(x) > 1}), np.uint64)
-    ones = np.array(sorted({ord(x) for x in starts or () if len(x) == 1}), np.uint64)
+    width = min(map(len, starts)) if starts else 0
+
+    def codes(chars: np.ndarray) -> np.ndarray:
+        """A number for each window of ``width`` characters; equal windows have equal ones."""
+        out = np.zeros(max(0, len(chars) - width + 1), np.uint64)
+        for j in range(width):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + chars[j : j + len(out)]
+        return out
+
+    chars_of = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.uint64)
+    known = np.unique(np.concatenate([codes(chars_of(x[:width])) for x in starts])) if starts else None
 
     def places(text: str) -> list[int]:
-        if not starts:
-            return range(len(text))
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-        found = np.isin(chars, ones)
-        found[:-1] |= np.isin((chars[:-1] << np.uint64(32)) + chars[1:], pairs)
-        return np.flatnonzero(found).tolist()
+        return np.flatnonzero(np.isin(codes(chars_of(text)), known)).tolist() if starts else range(len(text))
 
     @F.pandas_udf("array<struct<start:int,term:string>>")
     def windows(texts: pd.Series) -> pd.Series:
