@@ -19,7 +19,8 @@ from kgflow.llm.common import WORD_PATTERN, Scratch, table
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
-BUCKETS = 1024
+#: Key buckets of a source: the rows of one, a 16,384th of a source or so, are sorted in a task.
+BUCKETS = 1 << 14
 SEED = "mix-1"
 
 
