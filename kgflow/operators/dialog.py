@@ -33,7 +33,7 @@ def feedback_suggestions(classified: DataFrame, suggestions: DataFrame) -> DataF
 
 
 def detect_topic_change(turns: DataFrame, slots: Sequence[str]) -> DataFrame:
-    """Adds changed: some slot differs from the turn before; false in the first turn."""
+    """Adds changed: some slot differs from the turn before; false in the first turn.  Slots that are sets come as sorted arrays."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     changed = F.lit(False)
     for s in slots:

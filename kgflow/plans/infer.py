@@ -61,7 +61,12 @@ def infer_single_hop(nodes: DataFrame, rule: SingleHop) -> DataFrame:
 def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataFrame:
     """Edges from a path's first node to its last.  No node occurs twice on a path; at most
     ``max_paths`` paths of a source count, the first in the order of their nodes.
-    confidence 'last' is the last edge's, 'product' all edges' product to 4 places."""
+    confidence 'last' is the last edge's, 'product' all edges' product to 4 places.
+
+    All paths of a source are built before the first are taken, since a path that may not
+    visit a node again can end early: a source's work is the product of the degrees along
+    its steps, so a rule through a hub (IN over a country) costs its whole degree.
+    """
     types = nodes.select("node_id", "node_type")
     paths = types.where(F.col("node_type") == rule.head_type).select(F.array("node_id").alias("path"), F.col("node_id").alias("at"), F.lit(1.0).alias("confidence"))
     for relation, direction in rule.steps:
