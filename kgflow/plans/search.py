@@ -42,7 +42,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, on: str, threshold: floa
     Vectors meet those of their own length only; NULL ones meet none, zero ones have similarity 0.
     """
 
-    def dealt(rows: DataFrame, id_col: str, v: str, side: str, block: int) -> DataFrame:
+    def dealt(rows: DataFrame, id_col: str, v: str, side: str, block: int) -> tuple[DataFrame, DataFrame]:
         rows = rows.where(F.col(v).isNotNull() & F.col(on).isNotNull()).select(F.col(id_col).alias("id"), on, F.col(v).cast("array<double>").alias("v"), F.size(v).alias("dim"))
         n = rows.groupBy(on, "dim").agg(F.ceil(F.count("*") / block).cast("int").alias(f"{side}_n"))
         return rows, n
