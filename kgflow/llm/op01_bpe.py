@@ -13,6 +13,7 @@ packed; no row is shuffled for a single word occurrence.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -78,8 +79,15 @@ _SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa
 _DDL = "block long, bucket int, words binary, homes binary, codes binary, ids binary, sizes binary, nulls binary"
 
 
-def _split(buckets: int):
-    def pack(ids: list, codes: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
+_TAGGED = _SCHEMA.append(pa.field("tags", pa.binary()))
+_TAGGED_DDL = _DDL + ", tags binary"
+
+
+def _split(buckets: int, tagged: bool = False):
+    """(doc_id, text) batches, with a third column of strings if ``tagged``: blocks, whose documents keep that column."""
+    schema = _TAGGED if tagged else _SCHEMA
+
+    def pack(ids: list, codes: list[np.ndarray], numbers: _Numbers, tags: list) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
@@ -91,7 +99,7 @@ def _split(buckets: int):
         block = int.from_bytes(os.urandom(7), "little")
         by_home = np.argsort(home, kind="stable")
         cuts = np.searchsorted(home[by_home], np.arange(buckets + 1))
-        rows: dict[str, list] = {f.name: [] for f in _SCHEMA}
+        rows: dict[str, list] = {f.name: [] for f in schema}
 
         def add(**row):
             for name, col in rows.items():
@@ -106,23 +114,27 @@ def _split(buckets: int):
                 blob = b"\0" + listed.encode()
             add(block=block, bucket=k, words=zstandard.compress(blob, 9))
         none = np.array([x is None for x in ids], np.uint8)
-        add(block=block, bucket=buckets, homes=_pack(home), codes=_pack(rank[flat]), ids=np.array([x or 0 for x in ids], "<i8").tobytes(), sizes=_pack(sizes), nulls=none.tobytes())
-        return pa.record_batch([pa.array(rows[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
+        add(block=block, bucket=buckets, homes=_pack(home), codes=_pack(rank[flat]), ids=np.array([x or 0 for x in ids], "<i8").tobytes(), sizes=_pack(sizes), nulls=none.tobytes(), tags=zstandard.compress(json.dumps(tags).encode(), 1))
+        return pa.record_batch([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, numbers, chars = [], [], _Numbers(), 0
+        ids, codes, numbers, chars, tags = [], [], _Numbers(), 0, []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if tagged:
+                waiting = batch.column(2).to_pylist()
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 text = text.as_py() or ""
                 words = split_words(text) if text else []
                 ids.append(doc_id)
+                if tagged:
+                    tags.append(waiting[i])
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 chars += len(text)
                 if chars > BLOCK_CHARS or len(ids) >= 1 << 20:
-                    yield pack(ids, codes, numbers)
-                    ids, codes, numbers, chars = [], [], _Numbers(), 0
+                    yield pack(ids, codes, numbers, tags)
+                    ids, codes, numbers, chars, tags = [], [], _Numbers(), 0, []
         if ids:
-            yield pack(ids, codes, numbers)
+            yield pack(ids, codes, numbers, tags)
 
     return run
 
@@ -230,6 +242,18 @@ def _join_back(path: str):
     return run
 
 
+def _blocks(source: DataFrame, buckets: int, scratch: Scratch | None, tagged: bool = False) -> DataFrame:
+    """The blocks of source(doc_id, text) as a table that is laid out by block."""
+    spark, name = source.sparkSession, f"bpe_blocks_{uuid.uuid4().hex}"
+    blocks = source.mapInArrow(lean(_split(buckets, tagged)), _TAGGED_DDL if tagged else _DDL)
+    where = scratch_path(spark, "bpe-blocks")
+    if scratch:
+        scratch.own(where, name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(parts, "block").option("path", where).saveAsTable(name)
+    return spark.table(name)
+
+
 def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, ids (token ids of the whole text) and decoded (the text of those ids) for every row of docs.
 
@@ -245,14 +269,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     spark, path = docs.sparkSession, path or default_path()
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = source.mapInArrow(lean(_split(buckets)), _DDL)
-    name = f"bpe_blocks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where = scratch_path(spark, "bpe-blocks")
-    if scratch:
-        scratch.own(where, name)
-    blocks.write.bucketBy(parts, "block").option("path", where).saveAsTable(name)
-    made = spark.table(name)
+    made = _blocks(source, buckets, scratch)
     lists = made.where(F.col("bucket") < buckets).select("block", "bucket", "words")
     encoded = lists.repartition("bucket").mapInArrow(lean(_encode(path)), "block long, bucket int, counts binary, tokens binary")
     answers = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "tokens")).alias("answers"))
@@ -261,6 +278,64 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     return held.hint("merge").join(answers, "block", "left").mapInArrow(lean(_join_back(path)), "doc_id long, ids array<int>, decoded string")
 
 
+def _lengths(paths: list[str]):
+    """Word lists of whole buckets: the numbers of tokens of each distinct word under each tokenizer, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizers, known = [load(p) for p in paths], {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _listed(batch.column("words")[i].as_py())
+                if len(known) > CACHE:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for w, *encoded in zip(new, *(t.encode_batch(new, add_special_tokens=False) for t in tokenizers), strict=True):
+                    known[w] = [len(e.ids) for e in encoded]
+                counts = np.array([known[w] for w in words], np.uint32).T.ravel()
+                yield pa.record_batch([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), pa.array([_pack(counts)], pa.binary())], names=["block", "bucket", "counts"])
+
+    return run
+
+
+def _sum_back(n: int):
+    """Blocks with the lengths of their words: the number of tokens of every document under each of n tokenizers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                answers = {a["bucket"]: _unpack(a["counts"]).reshape(n, -1) for a in row["answers"] or []}
+                home, codes, sizes = _unpack(row["homes"]), _unpack(row["codes"]), _unpack(row["sizes"]).astype(np.int64)
+                counts = np.zeros((n, len(home)), np.int64)
+                if answers:
+                    counts[:, np.argsort(home, kind="stable")] = np.concatenate([answers[k] for k in sorted(answers)], axis=1)
+                ends, null = np.cumsum(sizes), np.frombuffer(row["nulls"], np.uint8).astype(bool)
+                sums = []
+                for c in counts:
+                    upto = np.concatenate([[0], np.cumsum(c[codes])])
+                    sums.append(upto[ends] - upto[ends - sizes])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * n), pa.array(np.stack(sums, axis=1).ravel()))
+                tags = json.loads(zstandard.decompress(row["tags"]))
+                yield pa.record_batch([pa.array(np.frombuffer(row["ids"], "<i8"), mask=null), pa.array(tags, pa.string()), lists], names=["doc_id", "tag", "counts"])
+
+    return run
+
+
+def token_counts(docs: DataFrame, paths: list[str], scratch: Scratch) -> DataFrame:
+    """docs(doc_id, text, tag): doc_id, tag and the array of token counts under the tokenizer of each path.
+
+    Each distinct word is encoded once for all documents.  Words part at white space, which
+    no token of these tokenizers spans except as a run that ``split_words`` keeps whole.
+    """
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("tag").cast("string").alias("tag"))
+    made = _blocks(source, buckets, scratch, True)
+    lists = made.where(F.col("bucket") < buckets).select("block", "bucket", "words").repartition("bucket")
+    lengths = lists.mapInArrow(lean(_lengths(paths)), "block long, bucket int, counts binary")
+    answers = lengths.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
+    held = made.where(F.col("bucket") == buckets).select("block", "homes", "codes", "ids", "sizes", "nulls", "tags")
+    return held.hint("merge").join(answers, "block", "left").mapInArrow(lean(_sum_back(len(paths))), "doc_id long, tag string, counts array<long>")
+
+
 def digests(coded: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,27 +6,25 @@ are a compacted total and the deltas committed since, so neither a batch nor a l
 the totals scans what was counted before.
 
 Tokens are those of BPE vocabularies.  No token reaches across the words that a text is
-split into, so a task encodes each distinct word once and adds up lengths.
+split into, so each distinct word is encoded once, for all documents, and its lengths come
+back to where it stands.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgflow.llm.common import ascii_lower, drop_path, scratch_path, table, written
-from kgflow.llm.op01_bpe import load, split_words
+from kgflow.llm.common import Scratch, drop_path, scratch_path, table
+from kgflow.llm.op01_bpe import token_counts
 
 KEYS = ("source", "lang", "tokenizer")
-#: Tokenizer versions: files of the tokenizers library, and where texts may be cut for them.
-TOKENIZERS: dict[str, Callable[[str], list[str]]] = {"byte_bpe_50k": split_words, "word_bpe_49k": lambda text: text.split(" ")}
-#: Distinct words that a task remembers.
-CACHE = 1_000_000
+#: Tokenizer versions: files of the tokenizers library whose tokens span no white space but runs of it.
+TOKENIZERS = ("byte_bpe_50k", "word_bpe_49k")
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -137,24 +135,7 @@ class TokenRollup:
         return False
 
 
-def _counter(path: str, cut: Callable[[str], list[str]]):
-    """A function from a text to its number of tokens, which encodes each distinct word once."""
-    tokenizer, known = load(path), {}
-
-    def count(text: str | None) -> int:
-        words = cut(text) if text else []
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = len(e.ids)
-        return sum(map(known.__getitem__, words))
-
-    return count
-
-
-def count_tokens(docs: DataFrame, tokenizers: Mapping[str, Callable[[str], list[str]]] = TOKENIZERS, folder: Callable[[str], str] | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizers: Sequence[str] = TOKENIZERS, folder: Callable[[str], str] | None = None) -> DataFrame:
     """docs(doc_id, source, lang, text): doc_id, source, lang and one count column per tokenizer version.
 
     A null or empty text counts 0; very long texts are counted whole; every row comes out once.
@@ -162,29 +143,21 @@ def count_tokens(docs: DataFrame, tokenizers: Mapping[str, Callable[[str], list[
     """
     if folder is None:
         from public_tokenizers import path as folder
-
-    def column(name: str, cut: Callable[[str], list[str]]) -> Column:
-        file = folder(f"{name}.json")
-
-        @F.pandas_udf("long")
-        def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            one = _counter(file, cut)
-            for t in texts:
-                yield pd.Series([one(x) for x in t], dtype="int64")
-
-        return count("text").alias(name)
-
-    columns = [column(*t) for t in tokenizers.items()]
-    return docs.select("doc_id", "source", "lang", *columns)
+    tag = F.to_json(F.struct(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")))
+    with Scratch(docs.sparkSession) as scratch:
+        counted = token_counts(docs.select("doc_id", "text", tag.alias("tag")), [folder(f"{t}.json") for t in tokenizers], scratch)
+        of = F.from_json("tag", "source string, lang string")
+        return scratch.keep(counted.select("doc_id", of["source"].alias("source"), of["lang"].alias("lang"), *[F.get("counts", F.lit(i)).alias(t) for i, t in enumerate(tokenizers)]), "token-counts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: all are inserted under both versions; those labelled toxic
-    are deleted, in a batch that comes twice, as after a retry, and counts once; those labelled of
-    low quality and not toxic get the counts of their lower-cased texts.  The first two are compacted."""
-    docs, first = table(spark, sf_dir, "documents"), next(iter(TOKENIZERS))
+    are deleted, in a batch that comes twice, as after a retry, and counts once; the counts of those
+    labelled of low quality and not toxic are revised to include an end-of-text token under the
+    first version.  The first two batches are compacted."""
+    first = TOKENIZERS[0]
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    counts, path = written(count_tokens(docs), "token-counts")
+    counts = count_tokens(table(spark, sf_dir, "documents"))
     none = F.lit(None).cast("long")
 
     def changes(op: str, rows: DataFrame) -> DataFrame:
@@ -197,11 +170,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         rollup.commit(2, changes("delete", known.where("toxic = 1")))
     rollup.compact()
-    low = docs.join(labels.where("quality = 0 AND coalesce(toxic, 0) <> 1").select("doc_id"), "doc_id", "left_semi")
-    # the old count is taken from the same rows, so a repeated id needs no match between tables
-    both = low.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit(1).alias("sign"), ascii_lower(F.col("text")).alias("text")), F.struct(F.lit(-1).alias("sign"), F.col("text")))).alias("x"))
-    recounted = count_tokens(both.select(F.struct("doc_id", "x.sign").alias("doc_id"), "source", "lang", "x.text"), {first: TOKENIZERS[first]})
-    sign, n = F.col("doc_id.sign"), F.col(first)
-    rollup.commit(3, recounted.select(F.lit("revise").alias("op"), "source", "lang", F.lit(first).alias("tokenizer"), F.when(sign > 0, n).alias("tokens"), F.when(sign < 0, n).alias("old_tokens")))
-    drop_path(spark, path)
+    low = known.where("quality = 0 AND coalesce(toxic, 0) <> 1")
+    rollup.commit(3, low.select(F.lit("revise").alias("op"), "source", "lang", F.lit(first).alias("tokenizer"), (F.col(first) + 1).alias("tokens"), F.col(first).alias("old_tokens")))
     return rollup.totals()
