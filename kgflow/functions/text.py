@@ -106,12 +106,21 @@ def json_path_get(json: Column, path: str) -> Column:
     return F.get_json_object(json, f"$.{path}")
 
 
+class _Written(float):
+    """A number of a JSON text that remembers how it is written."""
+
+    def __new__(cls, text: str) -> _Written:
+        number = super().__new__(cls, text)
+        number.text = text
+        return number
+
+
 def find_key(record: str | None, key: str) -> str | None:
     """The value of the first key of that name in a JSON text: an object's own keys come before what is inside
     them, and those in the order of the text, through objects and arrays of any depth.  Scalars as they are
     written, objects and arrays as JSON; NULL if there is none, or the text is no JSON."""
     try:
-        todo = [json_lib.loads(record or "", parse_int=str, parse_float=str)]
+        todo = [json_lib.loads(record or "", parse_float=_Written)]
     except (ValueError, RecursionError):
         return None
     while todo:
@@ -119,6 +128,8 @@ def find_key(record: str | None, key: str) -> str | None:
         if isinstance(at, dict):
             if key in at:
                 v = at[key]
+                if isinstance(v, _Written):
+                    return v.text
                 return v if isinstance(v, str) or v is None else json_lib.dumps(v, ensure_ascii=False, separators=(",", ":"))
             todo += reversed(at.values())
         elif isinstance(at, list):

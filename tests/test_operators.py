@@ -159,7 +159,7 @@ def test_json_mapping_counts(spark):
 def test_json_helpers(spark):
     cases = {
         '{"x":{"z":{"k":"deep"}},"y":{"k":"later"}}': "deep", '{"x":{"k":"deep"},"k":"top"}': "top", '{"q":1}': None, '{"a":[1,[{"b":{"c":{"d":{"e":{"k":1.50}}}}}]]}': "1.50",
-        '[{"k":{"n":[1,"é"]}}]': '{"n":["1","é"]}', '{"k":null}': None, "no json": None, "": None, "[" * 100_000: None,
+        '[{"k":{"n":[1,2.5,true,"é"]}}]': '{"n":[1,2.5,true,"é"]}', '{"k":12}': "12", '{"k":true}': "true", '{"k":null}': None, "no json": None, "": None, "[" * 100_000: None,
     }
     df = spark.createDataFrame([(x,) for x in [*cases, None]], "json string")
     assert {r.json: r.v for r in df.select("json", T.json_find_key(F.col("json"), "k").alias("v")).collect()} == cases | {None: None}
