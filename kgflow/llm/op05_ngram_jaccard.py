@@ -172,6 +172,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.repeat(total, np.diff(np.append(first, len(keys))))
         order = np.flatnonzero(total > 1)
         order = order[np.argsort(source[order], kind="stable")]
+        if not len(order):  # no set shares any of the bucket's shingles
+            return
         keys, told, source, total = keys[order], told[order], source[order], np.minimum(total[order], 0xFFFFFFFF).astype(np.uint32)
         cut = _runs(source).tolist()
         for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
@@ -251,6 +253,8 @@ def _tiles(num: int, den: int, buckets: int):
         sig, node, links = _star(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]))
         if links.size:
             yield _tile_rows(links[0] % buckets, a=links[0], b=links[1])
+        if not len(sig):  # no set has a shared shingle among its rarest
+            return
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sig, node, bucket = sig[order], node[order], bucket[order]
