@@ -29,7 +29,7 @@ from kgflow.llm.common import Scratch, lean, table
 from kgflow.llm.op01_bpe import _BREAK, _Numbers, _starts, _take, load, pieces
 
 #: Characters of text that a block holds, if it does not hold a single longer document.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 #: Words that go to a tokenizer at once.
 WORDS = 20_000
 #: Word occurrences of a block that are looked up at once, if they are not of a single document.
