@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as html_lib
 import json as json_lib
-from collections.abc import Iterable, Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,27 +30,37 @@ def split_sentences(text: Column) -> Column:
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def pack_sentences(sentences: Iterable[str], size: int, overlap: int) -> list[tuple[str, int, int]]:
-    """(text, char_start, char_end) of the chunks of one text; see ``chunk_text``."""
-    out, cur, length, start = [], "", 0, 0
-    for s in sentences:
-        if cur and length + len(s) > size:
-            out.append((cur.strip(_WHITE), start, start + length))
-            start += length - overlap if length > overlap else start
-            cur = (cur[-overlap:] if len(cur) > overlap else cur) + " " + s
-            length = len(cur)
-        else:
-            cur = f"{cur} {s}" if cur else s
-            length += len(s) + 1
-    if cur.strip(_WHITE):
-        out.append((cur.strip(_WHITE), start, start + length))
-    return out
+def chunk_bounds(lengths: Sequence[int], size: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, char_start, char_end) of the chunks of sentences of these lengths; see ``chunk_text``.
+
+    ``from`` and ``to`` are places in the sentences joined by single characters.  Sentence j begins at the j-th prefix
+    sum of the lengths with their joints; a chunk that begins with sentence i and carries c characters along is full
+    before the first sentence whose end lies more than size - c behind i's beginning, at the earliest after i itself.
+    """
+    begins = [0, *accumulate(n + 1 for n in lengths)]
+    bounds, first, carried, start = [], 0, 0, 0
+    while first < len(lengths):
+        full = bisect_right(begins, begins[first] + size - carried + 1) - 1
+        after = max(full, first + 1)
+        lead = begins[first] - 1 - carried if first else 0
+        counted = carried + begins[after] - begins[first]
+        bounds.append((lead, begins[after] - 1, start, start + counted))
+        start += counted - overlap if counted > overlap else start
+        kept = begins[after] - 1 - lead
+        first, carried = after, min(kept, overlap or kept)
+    return bounds
+
+
+def pack_sentences(sentences: Sequence[str], size: int, overlap: int) -> list[tuple[str, int, int]]:
+    """(text, char_start, char_end) of the chunks of one text, cut out of its sentences joined by spaces."""
+    joined = " ".join(sentences)
+    return [(joined[a:b].strip(_WHITE), x, y) for a, b, x, y in chunk_bounds([*map(len, sentences)], size, overlap)]
 
 
 def chunk_text(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     """array<struct(text, char_start, char_end)>: sentences packed up to ``size``, each chunk led by the last
-    ``overlap`` characters of the one before.  Offsets count one for every joint, and the start doubles
-    where a chunk is no longer than the overlap.  A fold over sentences, so batches of texts run in Arrow."""
+    ``overlap`` characters of the one before, or by all of it if that is 0.  Offsets count one for every joint, and
+    the start doubles where a chunk is no longer than the overlap.  Bounds depend on those before: batches run in Arrow."""
 
     @F.pandas_udf("array<struct<text:string,char_start:bigint,char_end:bigint>>")
     def chunks(sentences: pd.Series) -> pd.Series:
