@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgflow.operators.joins import interval_overlap_join
+from kgflow.sources.scratch import written
 
 
 @dataclass(frozen=True)
 class Step:
+    """From a node along edges of a relation (direction OUT, IN or BOTH) to nodes of a type, or of any."""
+
     relation_type: str
     direction: str = "OUT"
     optional: bool = False
+    node_type: str | None = None
 
 
 @dataclass(frozen=True)
@@ -38,15 +42,68 @@ class Association:
     node_type: str | None = None
 
 
-def _hop(edges: DataFrame, step: Step) -> DataFrame:
+    def step_of(self, field: Field) -> int:
+        return field.step if field.step >= 0 else len(self.steps)
+
+    @property
+    def row(self) -> Column:
+        """The struct of the query's fields."""
+        return F.struct(*[F.coalesce(F.col(f"__a{self.step_of(f)}")[f.attribute], F.lit(f.fallback)).alias(f.alias) for f in self.fields])
+
+
+def _named(nodes: DataFrame, queries: list[Association], k: int, node_type: str | None) -> DataFrame:
+    """(__n<k>, __a<k>): nodes of a type with those attributes that some query asks of its k-th step."""
+    wanted = sorted({f.attribute for q in queries for f in q.fields if q.step_of(f) == k})
+    typed = nodes.where(F.col("node_type") == node_type) if node_type else nodes
+    attributes = F.struct(*[F.col("attributes")[a].alias(a) for a in wanted] or [F.lit(True).alias("known")])
+    return typed.select(F.col("node_id").alias(f"__n{k}"), attributes.alias(f"__a{k}"))
+
+
+def _grow(rows: DataFrame, nodes: DataFrame, edges: DataFrame, step: Step, k: int, queries: list[Association]) -> DataFrame:
+    """rows that are at their k-th node, moved along a step."""
     e = edges.where(F.col("relation_type") == step.relation_type)
-    out, into = e.select(F.col("head").alias("__from"), F.col("tail").alias("__to")), e.select(F.col("tail").alias("__from"), F.col("head").alias("__to"))
-    return {"OUT": out, "IN": into}.get(step.direction, out.union(into))
+    out, into = (e.select(F.col(a).alias(f"__n{k}"), F.col(b).alias(f"__n{k + 1}")) for a, b in (("head", "tail"), ("tail", "head")))
+    hop = {"OUT": out, "IN": into}.get(step.direction, out.union(into))
+    return rows.join(hop.join(_named(nodes, queries, k + 1, step.node_type), f"__n{k + 1}"), f"__n{k}", "left" if step.optional else "inner")
+
 
+def _roots(anchors: DataFrame, nodes: DataFrame, query: Association, queries: list[Association]) -> DataFrame:
+    """(__anchor, __n0, __a0): where the paths of queries of one kind begin."""
+    known = _named(nodes, queries, 0, query.node_type if query.kind == "interval" else None)
+    if query.kind == "interval":
+        typed = nodes.where(F.col("node_type") == query.node_type) if query.node_type else nodes
+        met = interval_overlap_join(anchors.withColumnRenamed("__anchor", "iv"), typed.select("node_id", "iv"))
+        return met.select(F.col("a.iv").alias("__anchor"), F.col("b.node_id").alias("__n0")).join(known, "__n0")
+    return anchors.withColumn("__n0", F.col("__anchor")).join(known, "__n0", "left" if query.kind == "direct" else "inner")
 
-def _field(f: Field, n_steps: int) -> Column:
-    at = f.step if f.step >= 0 else n_steps
-    return F.coalesce(F.col(f"__a{at}")[f.attribute], F.lit(f.fallback)).alias(f.alias)
+
+def _found(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, queries: list[Association]) -> list[DataFrame]:
+    """The rows of each query, by the tree that their steps make: a place that several ways lead on from is written once."""
+    out: dict[int, DataFrame] = {}
+
+    def walk(rows: DataFrame, at: tuple[Step, ...], through: list[Association]) -> None:
+        ending = [q for q in through if q.steps == at]
+        on = dict.fromkeys(q.steps[: len(at) + 1] for q in through if q.steps != at)
+        if len(ending) + len(on) > 1:
+            rows = written(rows, "association")
+        for q in ending:
+            out[queries.index(q)] = rows
+        for steps in on:
+            further = [q for q in through if q.steps[: len(steps)] == steps]
+            walk(_grow(rows, nodes, edges, steps[-1], len(at), further), steps, further)
+
+    for root in dict.fromkeys((q.kind, q.node_type if q.kind == "interval" else None) for q in queries):
+        own = [q for q in queries if (q.kind, q.node_type if q.kind == "interval" else None) == root]
+        walk(_roots(anchors, nodes, own[0], own), (), own)
+    return [out[i] for i in range(len(queries))]
+
+
+def _anchor(queries: list[Association]) -> str:
+    """The column of requests that the queries start from; all are about nodes or all about positions."""
+    by = {q.kind == "interval" for q in queries}
+    if len(by) > 1:
+        raise ValueError("look-ups of nodes and of positions cannot share requests")
+    return "iv" if by == {True} else "node_id"
 
 
 def associate(requests: DataFrame, nodes: DataFrame, edges: DataFrame, query: Association) -> DataFrame:
@@ -56,28 +113,22 @@ def associate(requests: DataFrame, nodes: DataFrame, edges: DataFrame, query: As
     so a filter on the anchor never depends on an optional match.  A direct look-up gives a
     row for every request, of fallbacks if its node is unknown.
     """
-    attributes = nodes.select("node_id", "attributes")
-    if query.kind == "direct":
-        found = requests.join(attributes, "node_id", "left").withColumnRenamed("attributes", "__a0")
-        return found.select("request_id", *[_field(f, 0) for f in query.fields])
-    if query.kind == "interval":
-        typed = nodes.where(F.col("node_type") == query.node_type) if query.node_type else nodes
-        met = interval_overlap_join(requests.select("request_id", "iv"), typed.select("node_id", "iv"))
-        rows = met.select(F.col("a.request_id").alias("request_id"), F.col("b.node_id").alias("__n0"))
-    else:
-        rows = requests.select("request_id", F.col("node_id").alias("__n0"))
-    rows = rows.join(attributes.select(F.col("node_id").alias("__n0"), F.col("attributes").alias("__a0")), "__n0")
-    for k, step in enumerate(query.steps):
-        hop = _hop(edges, step).join(attributes.withColumnRenamed("node_id", "__to"), "__to").select(F.col("__from").alias(f"__n{k}"), F.col("__to").alias(f"__n{k + 1}"), F.col("attributes").alias(f"__a{k + 1}"))
-        rows = rows.join(hop, f"__n{k}", "left" if step.optional else "inner")
-    return rows.select("request_id", *[_field(f, len(query.steps)) for f in query.fields])
+    by = F.col(_anchor([query])).alias("__anchor")
+    rows = _found(requests.select(by).distinct(), nodes, edges, [query])[0].select("__anchor", query.row.alias("__row"))
+    return requests.select("request_id", by).join(rows, "__anchor").select("request_id", "__row.*")
 
 
 def associate_all(requests: DataFrame, nodes: DataFrame, edges: DataFrame, queries: list[Association]) -> DataFrame:
-    """One row per request: for each query an array of its rows, sorted, empty where it found none."""
-    out = requests.select("request_id").distinct()
-    for q in queries:
-        found = associate(requests, nodes, edges, q)
-        row = F.struct(*[f.alias for f in q.fields])
-        out = out.join(found.groupBy("request_id").agg(F.sort_array(F.collect_list(row)).alias(q.name)), "request_id", "left")
-    return out
+    """One row per request and anchor: for each query an array of its rows, sorted, empty where it found none.
+
+    Equal anchors are looked up once, and so is every step that queries have in common from the start: the edges of a
+    relation are joined once for each place in the tree of steps.  All rows are gathered by anchor in one shuffle.
+    """
+    by = F.col(_anchor(queries)).alias("__anchor")
+    asked = requests.select("request_id", by).distinct()
+    found = None
+    for q, rows in zip(queries, _found(asked.select("__anchor").distinct(), nodes, edges, queries), strict=True):
+        own = rows.select("__anchor", q.row.alias(q.name))
+        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+    lists = found.groupBy("__anchor").agg(*[F.sort_array(F.collect_list(q.name)).alias(q.name) for q in queries])
+    return asked.join(lists, "__anchor", "left").select("request_id", *[F.coalesce(q.name, F.array()).alias(q.name) for q in queries])

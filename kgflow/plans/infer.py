@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +24,42 @@ class SingleHop:
     confidence: float = 0.9
 
 
+@dataclass(frozen=True)
+class Step:
+    """One step of a chain between nodes of two types.
+
+    kind 'edge' follows stored edges of ``relation``, from head to tail (direction OUT) or back (IN), with their
+    confidence; the other kinds are those of ``SingleHop``, with the step's own.
+    """
+
+    kind: str
+    from_type: str
+    to_type: str
+    relation: str = ""
+    direction: str = "OUT"
+    from_key: str = "node_id"
+    to_key: str = "node_id"
+    confidence: float = 0.9
+
+
 @dataclass(frozen=True)
 class MultiHop:
-    """A chain of edge types; steps are (relation_type, direction) with direction OUT or IN."""
+    """A chain of steps, each from the type that the one before it leads to; kinds may be mixed."""
 
     relation_type: str
-    head_type: str
-    tail_type: str
-    steps: tuple[tuple[str, str], ...]
+    steps: tuple[Step, ...]
     confidence: str = "last"
     max_paths: int = 3
 
+    def __post_init__(self):
+        if not self.steps or any(x.to_type != y.from_type for x, y in pairwise(self.steps)):
+            raise ValueError(f"the steps of {self.relation_type} make no chain")
+
+    @property
+    def types(self) -> list[str]:
+        """The node type of each place on a path."""
+        return [self.steps[0].from_type, *(s.to_type for s in self.steps)]
+
 
 def match_step(heads: DataFrame, tails: DataFrame, rule: SingleHop) -> DataFrame:
     """Pairs (a, b) of the rule's kind of step."""
@@ -58,30 +84,57 @@ def infer_single_hop(nodes: DataFrame, rule: SingleHop) -> DataFrame:
     )
 
 
+def step_pairs(nodes: DataFrame, edges: DataFrame, step: Step, ends: DataFrame) -> DataFrame:
+    """(at, to, c): where one step leads, from nodes of its first type to those of its second that ``ends`` (to) has."""
+    first, second = (nodes.where(F.col("node_type") == t) for t in (step.from_type, step.to_type))
+    if step.kind == "edge":
+        at, to = ("head", "tail") if step.direction == "OUT" else ("tail", "head")
+        led = edges.where(F.col("relation_type") == step.relation).select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("confidence").alias("c"))
+        return led.join(ends, "to", "left_semi").join(first.select(F.col("node_id").alias("at")), "at", "left_semi").select("at", "to", "c")
+    wanted = second.join(ends.select(F.col("to").alias("node_id")), "node_id", "left_semi")
+    rule = SingleHop("", step.from_type, step.to_type, step.kind, step.from_key, step.to_key)
+    met = match_step(first, wanted, rule).select(F.col("a.node_id").alias("at"), F.col("b.node_id").alias("to"))
+    return met.where("at <> to").withColumn("c", F.lit(step.confidence))
+
+
 def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataFrame:
-    """Edges from a path's first node to its last.  No node occurs twice on a path; at most
-    ``max_paths`` paths of a source count, the first in the order of their nodes.
-    confidence 'last' is the last edge's, 'product' all edges' product to 4 places.
+    """Edges (relation_type, head, tail, confidence, method, evidence) from a path's first node to its last.
+
+    No node occurs twice on a path; at most ``max_paths`` paths of a source count, the first in the order of their
+    nodes.  confidence 'last' is the last step's, 'product' that of all steps to 4 places; of parallel edges the highest.
 
-    All paths of a source are built before the first are taken, since a path that may not
-    visit a node again can end early: a source's work is the product of the degrees along
-    its steps, so a rule through a hub (IN over a country) costs its whole degree.
+    From the last step backwards, each step keeps only what leads to a node from which the rest of the chain can be
+    walked, so no path is begun that cannot end.  Going forward, paths are cut as soon as none of the places to come has
+    the type of an earlier one: then every path ends, a source needs no more than its first ``max_paths``, and a node no
+    more than that many next ones and one for each node it may not visit again.  So a rule through a hub costs its
+    edges and its result, not the square of the hub; a type that comes back later is followed in full until it has come.
     """
-    types = nodes.select("node_id", "node_type")
-    paths = types.where(F.col("node_type") == rule.head_type).select(F.array("node_id").alias("path"), F.col("node_id").alias("at"), F.lit(1.0).alias("confidence"))
-    for relation, direction in rule.steps:
-        a, b = ("head", "tail") if direction == "OUT" else ("tail", "head")
-        step = edges.where(F.col("relation_type") == relation).select(F.col(a).alias("at"), F.col(b).alias("to"), F.col("confidence").alias("c"))
-        confidence = F.col("c") if rule.confidence == "last" else F.col("confidence") * F.col("c")
-        paths = paths.join(step, "at").where(~F.array_contains("path", F.col("to")))
-        paths = paths.select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"), confidence.alias("confidence"))
-    ends = types.where(F.col("node_type") == rule.tail_type).select(F.col("node_id").alias("at"))
-    paths = paths.join(ends, "at", "left_semi")
-    order = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
-    first = paths.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rule.max_paths)
-    return first.select(
+    types, k = rule.types, rule.max_paths
+    pairs: list[DataFrame] = []
+    ends = nodes.where(F.col("node_type") == types[-1]).select(F.col("node_id").alias("to"))
+    for step in reversed(rule.steps):
+        pairs.insert(0, step_pairs(nodes, edges, step, ends))
+        ends = pairs[0].select(F.col("at").alias("to")).distinct()
+    paths = None
+    for i, led in enumerate(pairs):
+        place = i + 1
+        certain = all(types[j] not in types[:j] for j in range(place + 1, len(types)))
+        if certain:
+            nth = F.dense_rank().over(Window.partitionBy("at").orderBy("to"))
+            led = led.withColumn("nth", nth).where(F.col("nth") <= k + types[:place].count(types[place]))
+        led = led.groupBy("at", "to").agg(F.max("c").alias("c"))
+        if paths is None:
+            paths = led.where("at <> to").select(F.array("at", "to").alias("path"), F.col("to").alias("at"), "c")
+        else:
+            c = F.col("c") if rule.confidence == "last" else F.col("before") * F.col("c")
+            met = paths.withColumnRenamed("c", "before").join(led, "at").where(~F.array_contains("path", F.col("to")))
+            paths = met.select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"), c.alias("c"))
+        if certain:
+            order = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
+            paths = paths.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
+    return paths.select(
         F.lit(rule.relation_type).alias("relation_type"), F.element_at("path", 1).alias("head"), F.col("at").alias("tail"),
-        F.round("confidence", 4).alias("confidence"), F.lit("multi_hop").alias("method"), F.array_join("path", " > ").alias("evidence"),
+        F.round("c", 4).alias("confidence"), F.lit("multi_hop").alias("method"), F.array_join("path", " > ").alias("evidence"),
     )
 
 

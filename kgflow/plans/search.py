@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.functions.text import cosine
+from kgflow.operators.joins import restrict_subgraph
+from kgflow.plans.assoc import Association, associate_all
+from kgflow.sources.scratch import written
 
 
 def top_k(rows: DataFrame, by: str, score: str, k: int, tie: str) -> DataFrame:
@@ -56,14 +59,16 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, on: str, threshold: floa
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         asks, have = g[g["asks"]], g[~g["asks"]].sort_values("node_id")
-        ids, out = have["node_id"].to_numpy(), []
-        if len(asks) and len(have):
-            x, y = _unit_rows(asks["v"]), _unit_rows(have["v"])
-            for query_id, row in zip(asks["query_id"].tolist(), x @ y.T, strict=True):
-                near = np.flatnonzero(row > threshold)
-                near = near[np.argsort(-row[near], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": query_id, "node_id": ids[near], "similarity": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
+        if not len(asks) or not len(have):
+            return pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
+        scores = _unit_rows(asks["v"]) @ _unit_rows(have["v"]).T
+        i, j = np.nonzero(scores > threshold)
+        order = np.lexsort((j, -scores[i, j], i))  # of a query the nearest first, of equals the smallest id
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(asks)))
+        kept = np.arange(len(i)) - first[i] < k
+        i, j = i[kept], j[kept]
+        return pd.DataFrame({"query_id": asks["query_id"].to_numpy()[i], "node_id": have["node_id"].to_numpy()[j], "similarity": scores[i, j]})
 
     found = rows.groupBy(on, "dim", "a", "b").applyInPandas(best, f"query_id {types[0]}, node_id {types[1]}, similarity double")
     return top_k(found, "query_id", "similarity", k, "node_id")
@@ -92,15 +97,39 @@ def fuse_scores(rows: DataFrame, coarse: str, key: str, weights: str) -> DataFra
 def hybrid_search(queries: DataFrame, vectors: DataFrame, on: str, hidden, out, threshold: float = 0.6, coarse_k: int = 10, k: int = 4) -> DataFrame:
     """Coarse top by the semantic vectors, fused with the similarity of the key vectors, final top k.
 
-    queries(query_id, on, q, q_key), vectors(node_id, on, v, v_key).  The limits come before anything is looked up for a result.
+    queries(query_id, on, q, q_key), vectors(node_id, on, v, v_key), a node once for each value of ``on`` it belongs to.
+    The limits come before anything is looked up for a result.
     """
     coarse = cosine_topk(queries.select("query_id", on, "q"), vectors.select("node_id", on, "v"), on, threshold, coarse_k).drop("rank")
-    rows = coarse.join(queries.select("query_id", "q_key"), "query_id").join(vectors.select("node_id", "v_key"), "node_id")
+    rows = coarse.join(queries.select("query_id", on, "q_key"), "query_id").join(vectors.select("node_id", on, "v_key"), ["node_id", on])
     rows = rows.withColumn("key_score", cosine(F.col("q_key"), F.col("v_key")))
     rows = fuse_scores(rows.withColumn("w", weight_gate(F.col("key_score"), F.col("similarity"), hidden, out)), "similarity", "key_score", "w")
     return top_k(rows.select("query_id", "node_id", "similarity", "key_score", "score"), "query_id", "score", k, "node_id")
 
 
+def search(requests: DataFrame, nodes: DataFrame, vectors: DataFrame, edges: DataFrame, relation: str, lookups: Sequence[Association], positions: Sequence[Association], hidden, out, threshold: float = 0.6, coarse_k: int = 10, k: int = 4) -> DataFrame:
+    """A table of questions answered end to end: sub-graph, coarse search, fused scores, final top k, associations.
+
+    requests(query_id, category, iv, q, q_key) have the slots of a question and its two vectors; nodes(node_id,
+    node_type, attributes, iv), vectors(node_id, v, v_key), edges.  A request is compared with the nodes of its category
+    that have a vector, or all of them if the category is blank (``restrict_subgraph``).  Its row has ``results``, an array by
+    rank of what was found with the rows of each of ``lookups``, and an array for each of ``positions`` about its iv.
+    A node that many requests find is looked up once, and so is a position.  Requests that find nothing keep an empty array.
+    """
+    asked, members = restrict_subgraph(vectors.select("node_id"), edges, requests, relation)
+    asked = asked.join(requests.select("query_id", "q", "q_key"), "query_id")
+    found = hybrid_search(asked, members.join(vectors, "node_id"), "category", hidden, out, threshold, coarse_k, k).select("query_id", "node_id", "score", "rank")
+    found = written(found, "found")
+    about = associate_all(found.select(F.col("node_id").alias("request_id"), "node_id").distinct(), nodes, edges, list(lookups))
+    rows = found.join(about.withColumnRenamed("request_id", "node_id"), "node_id")
+    results = F.array_sort(F.collect_list(F.struct("rank", "node_id", "score", *[q.name for q in lookups]))).alias("results")
+    answers = requests.select("query_id").join(rows.groupBy("query_id").agg(results), "query_id", "left")
+    answers = answers.withColumn("results", F.coalesce("results", F.array()))
+    if not positions:
+        return answers
+    return answers.join(associate_all(requests.select(F.col("query_id").alias("request_id"), "iv"), nodes, edges, list(positions)).withColumnRenamed("request_id", "query_id"), "query_id")
+
+
 def lexicon_fallback(entities: Column, tagged: Column, text: Column) -> Column:
     """The text to embed for a question: its entities, else its lexicon terms, else itself."""
     return F.coalesce(F.nullif(entities, F.lit("")), F.nullif(tagged, F.lit("")), text)

@@ -89,7 +89,7 @@ FROM g_edges a JOIN g_edges b ON a.tail = b.head WHERE a.relation_type = 'PLACED
 q AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY path) AS rn FROM p)
 SELECT 'BOUGHT' AS relation_type, head, part AS tail, confidence, 'multi_hop' AS method, array_to_string(path, ' > ') AS evidence FROM q WHERE rn <= 3""")
 def infer_multi_hop(spark, d):
-    return I.infer_multi_hop(G.nodes(spark, d), G.edges(spark, d), I.MultiHop("BOUGHT", "customer", "part", (("PLACED", "OUT"), ("CONTAINS", "OUT"))))
+    return I.infer_multi_hop(G.nodes(spark, d), G.edges(spark, d), I.MultiHop("BOUGHT", (I.Step("edge", "customer", "orders", "PLACED"), I.Step("edge", "orders", "part", "CONTAINS"))))
 
 
 @query(f"""WITH {SQL_EDGES}, p AS (SELECT a.head, c.tail AS r, [a.head, a.tail, c.head, c.tail] AS path, 0.7 * 1.0 * 1.0 AS confidence
@@ -97,8 +97,33 @@ FROM g_edges a JOIN g_edges b ON a.tail = b.head JOIN g_edges c ON b.tail = c.he
 q AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY path) AS rn FROM p)
 SELECT 'FROM_REGION' AS relation_type, head, r AS tail, round(confidence, 4)::DOUBLE AS confidence, 'multi_hop' AS method, array_to_string(path, ' > ') AS evidence FROM q WHERE rn <= 5""")
 def max_paths_per_source(spark, d):
-    steps = (("SUPPLIED_BY", "OUT"), ("IN_NATION", "OUT"), ("IN_REGION", "OUT"))
-    return I.infer_multi_hop(G.nodes(spark, d), G.edges(spark, d), I.MultiHop("FROM_REGION", "orders", "region", steps, "product", 5))
+    steps = (I.Step("edge", "orders", "supplier", "SUPPLIED_BY"), I.Step("edge", "supplier", "nation", "IN_NATION"), I.Step("edge", "nation", "region", "IN_REGION"))
+    return I.infer_multi_hop(G.nodes(spark, d), G.edges(spark, d), I.MultiHop("FROM_REGION", steps, "product", 5))
+
+
+@query(f"""WITH {SQL_INTERVALS}, p AS (
+SELECT 'c' || x.o_custkey AS head, 'c' || y.o_custkey AS tail, ['c' || x.o_custkey, a.node_id, b.node_id, 'c' || y.o_custkey] AS path
+FROM orders x JOIN g_intervals a ON x.o_orderkey = a.o_orderkey JOIN g_intervals b ON b.s <= a.s AND a.e <= b.e AND a.node_id <> b.node_id
+JOIN orders y ON b.o_orderkey = y.o_orderkey WHERE x.o_custkey <> y.o_custkey AND x.o_custkey IN (SELECT c_custkey FROM customer) AND y.o_custkey IN (SELECT c_custkey FROM customer)),
+q AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY path) AS rn FROM p)
+SELECT 'WORKS_WITHIN' AS relation_type, head, tail, 0.648::DOUBLE AS confidence, 'multi_hop' AS method, array_to_string(path, ' > ') AS evidence FROM q WHERE rn <= 3""")
+def infer_mixed_chain(spark, d):
+    """A stored edge, a containment of intervals and a match of keys in one chain."""
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("owner"))
+    orders = G.order_intervals(spark, d).join(o, "o_orderkey").select("node_id", F.lit("orders").alias("node_type"), "iv", "owner")
+    customers = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.lit("customer").alias("node_type"))
+    steps = (I.Step("edge", "customer", "orders", "PLACED"), I.Step("contained_by", "orders", "orders", confidence=0.8), I.Step("id_match", "orders", "customer", from_key="owner", confidence=0.9))
+    return I.infer_multi_hop(orders.unionByName(customers, allowMissingColumns=True), G.edges(spark, d), I.MultiHop("WORKS_WITHIN", steps, "product"))
+
+
+@query("""WITH p AS (SELECT 'c' || a.c_custkey AS head, 'c' || b.c_custkey AS tail, ['c' || a.c_custkey, 'n' || a.c_nationkey, 'c' || b.c_custkey] AS path
+FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey),
+q AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY path) AS rn FROM p)
+SELECT 'COMPATRIOT' AS relation_type, head, tail, 1.0::DOUBLE AS confidence, 'multi_hop' AS method, array_to_string(path, ' > ') AS evidence FROM q WHERE rn <= 3""")
+def infer_through_hub(spark, d):
+    """Back and forth over a nation, which a 25th of all customers share."""
+    steps = (I.Step("edge", "customer", "nation", "IN_NATION"), I.Step("edge", "nation", "customer", "IN_NATION", "IN"))
+    return I.infer_multi_hop(G.nodes(spark, d), G.edges(spark, d), I.MultiHop("COMPATRIOT", steps))
 
 
 @query(f"WITH {SQL_EDGES} SELECT relation_type, count(DISTINCT head) AS n_sources, count(DISTINCT tail) AS n_targets, count(*) AS n_edges FROM g_edges GROUP BY 1")
@@ -190,13 +215,97 @@ def associate_positions(spark, d):
     return got.select("request_id", n("sites").alias("n_orders"), n("parts").alias("n_parts"))
 
 
-@query("""SELECT n_nationkey AS request_id, 's' || s_suppkey AS node_id FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT n_nationkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION ALL SELECT -1 - r_regionkey, 's' || s_suppkey FROM region, supplier UNION ALL SELECT -1 - r_regionkey, 'c' || c_custkey FROM region, customer""")
+_NATION, _REGION, _PLACED, _PARTS, _SUPPLIER = A.Step("IN_NATION"), A.Step("IN_REGION"), A.Step("PLACED"), A.Step("CONTAINS"), A.Step("SUPPLIED_BY")
+_PLAN_LOOKUPS = [
+    A.Association("own", (A.Field("name", "name", "unknown"),), kind="direct"),
+    A.Association("nation", (A.Field("name", "name"),), (_NATION,)),
+    A.Association("region", (A.Field("name", "name"),), (_NATION, _REGION)),
+    A.Association("neighbours", (A.Field("name", "name"),), (_NATION, A.Step("IN_NATION", "IN", node_type="supplier"))),
+    A.Association("orders", (A.Field("name", "name"),), (_PLACED,)),
+    A.Association("parts", (A.Field("name", "name"), A.Field("name", "status", step=1)), (_PLACED, _PARTS)),
+    A.Association("suppliers", (A.Field("name", "name"),), (_PLACED, _SUPPLIER)),
+    A.Association("origins", (A.Field("name", "name"), A.Field("name", "supplier", step=2)), (_PLACED, _SUPPLIER, _NATION)),
+    A.Association("continents", (A.Field("name", "name"),), (_PLACED, _SUPPLIER, _NATION, _REGION)),
+    A.Association("supplied", (A.Field("name", "name", "nobody"),), (_PLACED, A.Step("SUPPLIED_BY", optional=True, node_type="supplier"))),
+]
+_POSITION_LOOKUPS = [
+    A.Association("sites", (A.Field("name", "name"),), (), "interval", "orders"),
+    A.Association("parts", (A.Field("name", "name"),), (_PARTS,), "interval", "orders"),
+    A.Association("suppliers", (A.Field("name", "name"),), (_SUPPLIER,), "interval", "orders"),
+    A.Association("origins", (A.Field("name", "name"),), (_SUPPLIER, _NATION), "interval", "orders"),
+    A.Association("continents", (A.Field("name", "name"),), (_SUPPLIER, _NATION, _REGION), "interval", "orders"),
+    A.Association("owners", (A.Field("name", "name"),), (A.Step("PLACED", "IN"),), "interval", "orders"),
+    A.Association("homes", (A.Field("name", "name"),), (A.Step("PLACED", "IN"), _NATION), "interval", "orders"),
+    A.Association("regions", (A.Field("name", "name"),), (A.Step("PLACED", "IN"), _NATION, _REGION), "interval", "orders"),
+]
+
+
+def _ends(found, lookups):
+    """Per look-up the number of its rows, and the first and the last name."""
+    ends = [(F.size(q.name).cast("long").alias(f"{q.name}_n"), F.get(q.name, F.lit(0))["name"].alias(f"{q.name}_first"), F.try_element_at(q.name, F.lit(-1))["name"].alias(f"{q.name}_last")) for q in lookups]
+    return found.select("request_id", *[c for e in ends for c in e])
+
+
+def _ends_sql(requests: str, parts: dict[str, str]) -> str:
+    """The same of parts, SQL for rows (request_id, name) of each look-up, for the requests of a table."""
+    found = ", ".join(f"x_{k} AS (SELECT request_id, count(*) AS n, min(name) AS a, max(name) AS b FROM ({v}) GROUP BY 1)" for k, v in parts.items())
+    columns = ", ".join(f"coalesce(x_{k}.n, 0) AS {k}_n, x_{k}.a AS {k}_first, x_{k}.b AS {k}_last" for k in parts)
+    return f"{found} SELECT r.request_id, {columns} FROM {requests} r " + " ".join(f"LEFT JOIN x_{k} ON x_{k}.request_id = r.request_id" for k in parts)
+
+
+_LINES = "p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)"
+_CUST = "SELECT c_custkey AS request_id, {} AS name FROM customer"
+_ORDERS = f"{_CUST} JOIN orders ON o_custkey = c_custkey"
+_SUPPLIED = f"{_ORDERS} JOIN s ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"
+
+
+@query("WITH " + _LINES + ", r AS (SELECT c_custkey AS request_id FROM customer UNION ALL SELECT -1 - c_custkey FROM customer), " + _ends_sql("r", {
+    "own": "SELECT request_id, coalesce(c_name, 'unknown') AS name FROM r LEFT JOIN customer ON c_custkey = request_id",
+    "nation": f"{_CUST} JOIN nation ON n_nationkey = c_nationkey".format("n_name"),
+    "region": f"{_CUST} JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey".format("r_name"),
+    "neighbours": f"{_CUST} JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey".format("s_name"),
+    "orders": _ORDERS.format("o_orderstatus"),
+    "parts": f"{_ORDERS} JOIN p ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey".format("p_name"),
+    "suppliers": _SUPPLIED.format("s_name"),
+    "origins": f"{_SUPPLIED} JOIN nation ON n_nationkey = s_nationkey".format("n_name"),
+    "continents": f"{_SUPPLIED} JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey".format("r_name"),
+    "supplied": f"{_ORDERS} LEFT JOIN s ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey".format("coalesce(s_name, 'nobody')"),
+}))
+def associate_plan_lookups(spark, d):
+    """Ten look-ups of every customer in one tree: four relations begin at it or one step on, and are joined once a place."""
+    return _ends(A.associate_all(_requests(spark, d), G.nodes(spark, d), G.edges(spark, d), _PLAN_LOOKUPS), _PLAN_LOOKUPS)
+
+
+_AT = "SELECT request_id, {} AS name FROM k JOIN g_intervals ON s <= request_id * 1000 + 999 AND request_id * 1000 + 900 <= e"
+_AT_SUPPLIER = f"{_AT} JOIN s ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"
+_AT_OWNER = f"{_AT} JOIN orders USING (o_orderkey) JOIN customer ON c_custkey = o_custkey"
+
+
+@query(f"WITH {SQL_INTERVALS}, {_SITES}, {_LINES}, " + _ends_sql("k", {
+    "sites": _AT.format("status"),
+    "parts": f"{_AT} JOIN p ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey".format("p_name"),
+    "suppliers": _AT_SUPPLIER.format("s_name"),
+    "origins": f"{_AT_SUPPLIER} JOIN nation ON n_nationkey = s_nationkey".format("n_name"),
+    "continents": f"{_AT_SUPPLIER} JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey".format("r_name"),
+    "owners": _AT_OWNER.format("c_name"),
+    "homes": f"{_AT_OWNER} JOIN nation ON n_nationkey = c_nationkey".format("n_name"),
+    "regions": f"{_AT_OWNER} JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey".format("r_name"),
+}))
+def associate_position_lookups(spark, d):
+    """Eight look-ups of every position: the intervals are met once, what lies there leads on along a tree."""
+    return _ends(A.associate_all(_sites(spark, d), _placed_nodes(spark, d), G.edges(spark, d), _POSITION_LOOKUPS), _POSITION_LOOKUPS)
+
+
+@query("""WITH m AS (SELECT 's' || s_suppkey AS node_id, s_nationkey AS nation FROM supplier UNION ALL SELECT 'c' || c_custkey, c_nationkey FROM customer)
+SELECT n_nationkey AS query_id, count(*) AS n, min(node_id) AS first, max(node_id) AS last FROM nation JOIN m ON nation = n_nationkey GROUP BY 1
+UNION ALL SELECT -1 - r_regionkey, n, first, last FROM region, (SELECT count(*) AS n, min(node_id) AS first, max(node_id) AS last FROM m)""")
 def restrict_subgraph(spark, d):
-    named = table(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), F.concat(F.lit("n"), "n_nationkey").alias("category"))
+    """A request for every nation, and a blank one for every region; what their members are, told by number and ends."""
+    named = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("n"), "n_nationkey").alias("category"))
     blank = table(spark, d, "region").select(-1 - F.col("r_regionkey"), F.lit(" "))
-    return J.restrict_subgraph(G.nodes(spark, d).where("node_type IN ('customer', 'supplier')"), G.edges(spark, d), named.union(blank), "IN_NATION")
+    asked, members = J.restrict_subgraph(G.nodes(spark, d).where("node_type IN ('customer', 'supplier')"), G.edges(spark, d), named.union(blank), "IN_NATION")
+    of = members.groupBy("category").agg(F.count("*").alias("n"), F.min("node_id").alias("first"), F.max("node_id").alias("last"))
+    return asked.join(of, "category").drop("category")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
@@ -230,11 +339,12 @@ def resolve_singletons(spark, d):
     return ok.withColumn("resolved", F.lit(True)).union(lost.withColumn("resolved", F.lit(False)))
 
 
-@query(f"""WITH {SQL_EDGES} SELECT DISTINCT CASE WHEN head LIKE 's%' THEN 's' || (substr(head, 2)::BIGINT % 7) ELSE head END AS head, relation_type,
-CASE WHEN tail LIKE 's%' THEN 's' || (substr(tail, 2)::BIGINT % 7) ELSE tail END AS tail FROM g_edges""")
+@query(f"""WITH {SQL_EDGES} SELECT DISTINCT CASE WHEN head LIKE 's%' THEN 's' || (substr(head, 2)::BIGINT // 10 * 10) ELSE head END AS head, relation_type,
+CASE WHEN tail LIKE 's%' THEN 's' || (substr(tail, 2)::BIGINT // 10 * 10) ELSE tail END AS tail FROM g_edges""")
 def remap_edges(spark, d):
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.concat(F.lit("s"), F.col("s_suppkey") % 7).alias("kept_id"))
-    return J.remap_edges(G.edges(spark, d), s)
+    """A supplier is an alias of the one before it, in chains that end at every tenth."""
+    s = table(spark, d, "supplier").where("s_suppkey % 10 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.concat(F.lit("s"), F.col("s_suppkey") - 1).alias("kept_id"))
+    return J.remap_edges(G.edges(spark, d), s)[0]
 
 
 @query("""WITH h AS (SELECT o_custkey AS chunk_id, o_orderkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus = 'F'),

@@ -1,6 +1,7 @@
 """Operators of the graph toolkit: documented behaviour and small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from kgflow.operators import sets as X
 from kgflow.plans import assoc as A
 from kgflow.plans import infer as I
 from kgflow.plans import search as Q
-from kgflow.streaming.streams import step
+from kgflow.streaming.dialogs import step
 
 
 def one(spark, column):
@@ -125,9 +126,9 @@ def test_segment_by_titles(spark):
 def test_lexicon_tagging(spark):
     docs = L.normalise(spark.createDataFrame([(1, "red sand stone with clay。 soft sand")], "doc_id long, text string"))
     lex = spark.createDataFrame([("sand",), ("sandstone",), ("clay",)], "term string")
-    roots = L.resolve_overlaps(L.lexicon_match(docs, lex, [4, 9]))
+    roots = L.resolve_overlaps(L.lexicon_match(docs, lex))
     assert sorted((r.start, r.end, r.term) for r in roots.collect()) == [(3, 12, "sandstone"), (16, 20, "clay"), (25, 29, "sand")]
-    attrs = L.lexicon_match(docs, spark.createDataFrame([("red",), ("soft",)], "term string"), [3, 4])
+    attrs = L.lexicon_match(docs, spark.createDataFrame([("red",), ("soft",)], "term string"))
     placed = L.assign_nearest(roots, attrs, docs)
     assert sorted((r.term, r.root_start) for r in placed.collect()) == [("red", 3), ("soft", 25)]
     far = L.assign_nearest(roots.where("term = 'sandstone'"), attrs, docs, 2)
@@ -244,9 +245,68 @@ def test_merge_policies(spark):
 def test_inference_paths_are_simple_and_bounded(spark):
     n = spark.createDataFrame([(x, x[0]) for x in ("a1", "b1", "b2", "c1", "c2", "c3", "a2")], "node_id string, node_type string")
     e = spark.createDataFrame([("R", "a1", "b1", 0.5), ("R", "a1", "b2", 0.5), ("S", "b1", "c1", 0.8), ("S", "b1", "c2", 0.8), ("S", "b2", "c3", 0.8), ("S", "b2", "c1", 0.8), ("S", "b1", "a1", 0.8)], "relation_type string, head string, tail string, confidence double")
-    got = I.infer_multi_hop(n, e, I.MultiHop("T", "a", "c", (("R", "OUT"), ("S", "OUT")), "product", 3)).collect()
+    r, back = I.Step("edge", "a", "b", "R"), I.Step("edge", "b", "a", "S")
+    got = I.infer_multi_hop(n, e, I.MultiHop("T", (r, I.Step("edge", "b", "c", "S")), "product", 3)).collect()
     assert [(r.head, r.tail, r.confidence) for r in sorted(got, key=lambda r: r.evidence)] == [("a1", "c1", 0.4), ("a1", "c2", 0.4), ("a1", "c1", 0.4)]
-    assert I.infer_multi_hop(n, e, I.MultiHop("T", "a", "a", (("R", "OUT"), ("S", "OUT")))).count() == 0
+    assert I.infer_multi_hop(n, e, I.MultiHop("T", (r, back))).count() == 0
+    with pytest.raises(ValueError):
+        I.MultiHop("T", (r, r))
+
+
+def _plain_paths(nodes, edges, rule):
+    """All simple paths of a rule by depth-first search, the first of each source: {(path, confidence)}."""
+
+    def next_nodes(x, step):
+        for y in nodes.values():
+            if nodes[x]["node_type"] != step.from_type or y["node_type"] != step.to_type:
+                continue
+            a, b = nodes[x]["iv"], y["iv"]
+            if step.kind == "edge":
+                ends = (x, y["node_id"]) if step.direction == "OUT" else (y["node_id"], x)
+                if found := [c for r, h, t, c in edges if (r, h, t) == (step.relation, *ends)]:
+                    yield y["node_id"], max(found)
+                continue
+            if step.kind == "attribute_match":
+                met = nodes[x]["key"] is not None and nodes[x]["key"] == y["key"]
+            else:
+                met = a and b and {"overlap": a[1] <= b[2] and b[1] <= a[2], "contains": a[1] <= b[1] and b[2] <= a[2], "contained_by": b[1] <= a[1] and a[2] <= b[2]}[step.kind]
+            if met:
+                yield y["node_id"], step.confidence
+
+    out = set()
+    for x in nodes.values():
+        paths = [((x["node_id"],), 1.0)] if x["node_type"] == rule.types[0] else []
+        for step in rule.steps:
+            paths = [((*p, y), (d if rule.confidence == "last" else c * d)) for p, c in paths for y, d in next_nodes(p[-1], step) if y not in p]
+        out.update((" > ".join(p), round(c, 4)) for p, c in sorted(paths)[: rule.max_paths])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixed_chains_equal_a_search(spark, seed):
+    rnd = random.Random(seed)
+    nodes = {f"{t}{i}": {"node_id": f"{t}{i}", "node_type": t, "key": rnd.choice(["x", "y", "z", None]), "iv": rnd.choice([None, ("K", float(s := rnd.randint(0, 20)), float(s + rnd.randint(0, 9)))])} for t in "abc" for i in range(7)}
+    edges = [(rnd.choice("RS"), rnd.choice([*nodes]), rnd.choice([*nodes]), rnd.choice([0.5, 0.75])) for _ in range(150)]
+    n = spark.createDataFrame([(*(v[c] for c in ("node_id", "node_type", "key", "iv")), 1) for v in nodes.values()], "node_id string, node_type string, key string, iv struct<prefix: string, start: double, end: double>, at int")
+    e = spark.createDataFrame(edges, "relation_type string, head string, tail string, confidence double")
+    chain, at = [], rnd.choice("abc")
+    for kind in rnd.sample(["edge", "edge", "overlap", "contains", "contained_by", "attribute_match"], rnd.randint(2, 4)):
+        to = rnd.choice("abc")
+        chain.append(I.Step(kind, at, to, rnd.choice("RS"), rnd.choice(["OUT", "IN"]), "key", "key", 0.5))
+        at = to
+    for k in (1, 3, 1000):
+        rule = I.MultiHop("T", tuple(chain), rnd.choice(["last", "product"]), k)
+        assert {(r.evidence, r.confidence) for r in I.infer_multi_hop(n, e, rule).collect()} == _plain_paths(nodes, edges, rule)
+
+
+def test_a_rule_through_a_hub_is_linear(spark):
+    """30,000 nodes around one: all pairs would be 900 million rows."""
+    n = spark.range(30_000).select(F.concat(F.lit("a"), F.col("id")).alias("node_id"), F.lit("a").alias("node_type"))
+    e = n.select(F.lit("R").alias("relation_type"), F.col("node_id").alias("head"), F.lit("hub").alias("tail"), F.lit(1.0).alias("confidence"))
+    n = n.union(spark.createDataFrame([("hub", "h")], n.schema))
+    rule = I.MultiHop("T", (I.Step("edge", "a", "h", "R"), I.Step("edge", "h", "a", "R", "IN")))
+    got = I.infer_multi_hop(n, e, rule).groupBy("head").count().groupBy("count").count().collect()
+    assert [tuple(r) for r in got] == [(3, 30_000)]
 
 
 def test_association_anchor_comes_first(spark):
