@@ -27,9 +27,9 @@ def classify_feedback(text: Column, groups: Sequence[tuple[str, Sequence[str]]])
 
 
 def feedback_suggestions(classified: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """suggestions(reason, items array), a short table: adds a numbered list of what to do."""
+    """suggestions(reason, items array): adds a numbered list of what to do."""
     numbered = F.array_join(F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    return classified.join(F.broadcast(suggestions.select("reason", numbered.alias("summary"))), "reason", "left")
+    return classified.join(suggestions.select("reason", numbered.alias("summary")), "reason", "left")
 
 
 def detect_topic_change(turns: DataFrame, slots: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.operators.joins import unprocessed
+from kgflow.sources.manifest import claim_numbers
 
 
 def content_id(*parts: Column) -> Column:
@@ -32,10 +33,18 @@ def rank_by_hash(rows: DataFrame, order: str, keys: Sequence[str] = (), tie: str
     return own.join(offsets, same).select(*rows.columns, (F.col("__off") + F.col("__rn")).alias("rank"), "rank_of")
 
 
-def number_rows(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    """Adds number, dense from 1 in the order of hexadecimal ids, and a label of it."""
-    numbered = rank_by_hash(rows, id_col).withColumnRenamed("rank", "number").drop("rank_of")
-    return numbered.withColumn("label", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 6, "0")))
+def number_rows(rows: DataFrame, id_col: str, prefix: str, ledger: str | None = None) -> DataFrame:
+    """Adds number, dense from 1 in the order of hexadecimal ids, and a label of it, six digits or more.
+
+    With a ``ledger`` (a folder that drivers share) the rows are counted, and take that many numbers which no run that
+    uses the ledger has had or will have: dense within a run, in the order of the runs' claims.
+    """
+    before = 0
+    if ledger:
+        before = claim_numbers(rows.sparkSession, ledger, n) - 1 if (n := rows.count()) else 0
+    numbered = rank_by_hash(rows, id_col).withColumn("number", F.col("rank") + F.lit(before)).drop("rank", "rank_of")
+    digits = F.col("number").cast("string")
+    return numbered.withColumn("label", F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))))
 
 
 def hashed_embedding(rows: DataFrame, id_col: str, text_col: str, dims: int = 32) -> DataFrame:

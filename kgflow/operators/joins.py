@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgflow.sources.scratch import written
+
 
 #: Bins that an interval falls into at most on its level; a level's bins are as many times as wide as those of the one below.
 _FAN = 64
@@ -84,13 +86,18 @@ def unprocessed(items: DataFrame, ledger: DataFrame, key: str, stage: str, force
     return items.join(done, key, "left_anti")
 
 
-def restrict_subgraph(nodes: DataFrame, edges: DataFrame, requests: DataFrame, relation: str) -> DataFrame:
-    """(request_id, node_id): nodes with an edge of the relation to the request's category; every node if that is blank."""
-    blank = F.coalesce(F.trim("category"), F.lit("")) == ""
-    linked = edges.where(F.col("relation_type") == relation).select(F.col("head").alias("node_id"), F.col("tail").alias("category")).distinct()
-    named = requests.where(~blank).select("request_id", "category").join(linked, "category").select("request_id", "node_id")
-    named = named.join(nodes.select("node_id"), "node_id", "left_semi").select("request_id", "node_id")
-    return named.union(requests.where(blank).select("request_id").join(nodes.select("node_id")))
+def restrict_subgraph(nodes: DataFrame, edges: DataFrame, requests: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:
+    """(requests as (query_id, category), members as (category, node_id)): the nodes that a request may find are the
+    members of its category: those with an edge of the relation to it, or every node where it is blank, which is ''.
+
+    nodes(node_id) are those that count, such as the ones that have a vector.  Requests share the members of a category,
+    so nothing here grows with requests times nodes; '' has members only if some request is blank.
+    """
+    asked = requests.select("query_id", F.coalesce(F.trim("category"), F.lit("")).alias("category"))
+    linked = edges.where((F.col("relation_type") == relation) & (F.trim("tail") != "")).select(F.col("head").alias("node_id"), F.col("tail").alias("category")).distinct()
+    named = linked.join(nodes.select("node_id"), "node_id", "left_semi").select("category", "node_id")
+    everything = nodes.select(F.lit("").alias("category"), "node_id")
+    return asked, named.union(everything).join(asked.select("category").distinct(), "category", "left_semi")
 
 
 def validate_domain(rows: DataFrame, allowed: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +130,12 @@ def relate_by_cardinality(heads: DataFrame, tails: DataFrame) -> DataFrame:
         w = Window.partitionBy("chunk_id")
         return df.select("chunk_id", F.col("node_id").alias(side), F.row_number().over(w.orderBy("pos", "node_id")).alias(f"{side}_rn"), F.count("*").over(w).alias(f"{side}_n"))
 
-    met = placed(heads, "head").join(placed(tails, "tail"), "chunk_id")
-    return met.where("head_n = 1 OR tail_n = 1 OR head_rn = tail_rn").select("chunk_id", "head", "tail")
+    h, t = placed(heads, "head"), placed(tails, "tail")
+    # a side of one meets every row of the other; of two longer sides each row meets at most one
+    ones = h.where("head_n = 1").join(t, "chunk_id").select("chunk_id", "head", "tail")
+    ones = ones.union(h.where("head_n > 1").join(t.where("tail_n = 1"), "chunk_id").select("chunk_id", "head", "tail"))
+    both = h.where("head_n > 1").withColumnRenamed("head_rn", "rn").join(t.where("tail_n > 1").withColumnRenamed("tail_rn", "rn"), ["chunk_id", "rn"])
+    return ones.union(both.select("chunk_id", "head", "tail"))
 
 
 def relate_array_groups(heads: DataFrame, tails: DataFrame) -> DataFrame:
@@ -132,19 +143,37 @@ def relate_array_groups(heads: DataFrame, tails: DataFrame) -> DataFrame:
     return heads.select("chunk_id", "element", F.col("node_id").alias("head")).join(tails.select("chunk_id", "element", F.col("node_id").alias("tail")), ["chunk_id", "element"])
 
 
-def remap_edges(edges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """aliases(node_id, kept_id): edges between the kept nodes, each (head, relation_type, tail) once."""
+def resolve_aliases(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """aliases(node_id, kept_id), of which a node's smallest kept_id counts: (node_id, the node that its chain of aliases ends at; rows of cycles).
+
+    Pointer jumping: each round halves the chains, over a table written in shared scratch space.  A node that is kept
+    itself, or is its own alias, ends a chain.  Aliases that end nowhere go round a cycle or lead into one.
+    """
+    at = written(aliases.where("node_id <> kept_id").groupBy("node_id").agg(F.min("kept_id").alias("kept_id")), "aliases")
+    rounds = max(1, at.count()).bit_length() + 1  # a longer chain has come back to where it was
+    for _ in range(rounds):
+        up = at.select(F.col("node_id").alias("kept_id"), F.col("kept_id").alias("above"))
+        at = written(at.drop("moved").join(up, "kept_id", "left").select("node_id", F.coalesce("above", "kept_id").alias("kept_id"), F.col("above").isNotNull().alias("moved")), "aliases")
+        if at.where("moved").isEmpty():
+            break
+    return at.where("NOT moved").drop("moved"), at.where("moved").select("node_id").join(aliases, "node_id").select("node_id", "kept_id")
+
+
+def remap_edges(edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """aliases(node_id, kept_id): (edges between the nodes that are kept in the end, each (head, relation_type, tail)
+    once; the aliases that go round a cycle).  Edges of nodes in a cycle stay where they are."""
+    ends, cycles = resolve_aliases(aliases)
     for side in ("head", "tail"):
-        alias = aliases.select(F.col("node_id").alias(side), F.col("kept_id").alias("__kept"))
+        alias = ends.select(F.col("node_id").alias(side), F.col("kept_id").alias("__kept"))
         edges = edges.join(alias, side, "left").withColumn(side, F.coalesce("__kept", side)).drop("__kept")
-    return edges.select("head", "relation_type", "tail").distinct()
+    return edges.select("head", "relation_type", "tail").distinct(), cycles
 
 
 def rebuild_relations(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """nodes(source_file, node_type, node_id), relations(relation_type, head_type, tail_type): all pairs within a file."""
     h = nodes.select("source_file", F.col("node_type").alias("head_type"), F.col("node_id").alias("head"))
     t = nodes.select("source_file", F.col("node_type").alias("tail_type"), F.col("node_id").alias("tail"))
-    return h.join(F.broadcast(relations), "head_type").join(t, ["source_file", "tail_type"]).select("source_file", "relation_type", "head", "tail")
+    return h.join(relations, "head_type").join(t, ["source_file", "tail_type"]).select("source_file", "relation_type", "head", "tail")
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -1,16 +1,16 @@
 """Lexicon tagging: matches, overlaps, nearest roots, attributes, phrases, tags.
 
-Texts lose all white space first; positions count what is left.  A lexicon is a table of terms, and matching is an
-equi-join of the text's windows with it, so any number of terms costs one join.
+Texts lose all white space first; positions count what is left.  A lexicon is a table of terms.  One of a bounded size
+becomes an automaton that reads each text once; a larger one meets the windows of the texts in a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-import numpy as np
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgflow.functions.text import SENTENCE_ENDS
@@ -33,35 +33,67 @@ def assert_disjoint(root: DataFrame, attr: DataFrame) -> DataFrame:
     return root.select("term").intersect(attr.select("term"))
 
 
-def lexicon_match(docs: DataFrame, lexicon: DataFrame, lengths: Sequence[int], starts: Sequence[str] | None = None) -> DataFrame:
-    """(doc_id, start, end, term) of every occurrence; ``lengths`` are those that terms have.
+#: Characters of all terms together up to which a lexicon becomes an automaton: some 60 MB, which every worker holds.
+AUTOMATON_CHARS = 1_000_000
 
-    ``starts`` are terms, or beginnings of all of them: windows that begin otherwise are
-    left out before any row is made.  The rest meet the lexicon by term, so it may have
-    any size.
-    """
-    width = min(map(len, starts)) if starts else 0
 
-    def codes(chars: np.ndarray) -> np.ndarray:
-        """A number for each window of ``width`` characters; equal windows have equal ones."""
-        out = np.zeros(max(0, len(chars) - width + 1), np.uint64)
-        for j in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + chars[j : j + len(out)]
-        return out
+class Automaton:
+    """Terms as a trie with failure links: one pass over a text finds all of them, however many and however long."""
+
+    def __init__(self, spark: SparkSession, terms: Iterable[str]):
+        made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for term in terms:
+            made.add_word(term)
+        made.make_automaton()
+        self.shared = spark.sparkContext.broadcast(made) if len(made) else None
+
+    def matches(self, text: Column) -> Column:
+        """array<struct(start, term)> of every occurrence, by where it ends, longer terms first."""
+        shared = self.shared
+
+        @F.pandas_udf("array<struct<start:int,term:string>>")
+        def found(texts: pd.Series) -> pd.Series:
+            hits = shared.value.iter if shared else lambda t: ()
+            return pd.Series([[{"start": end + 1 - n, "term": t[end + 1 - n : end + 1]} for end, n in hits(t)] if t else [] for t in texts], dtype=object)
+
+        return found(text)
+
+    def terms_in(self, text: Column) -> Column:
+        """The distinct terms that a text has."""
+        return F.array_distinct(F.transform(self.matches(text), lambda m: m["term"]))
+
+
+def automaton(lexicon: DataFrame, most: int = AUTOMATON_CHARS) -> Automaton | None:
+    """The automaton of lexicon(term), if its terms have ``most`` characters or fewer together; they go to the driver then."""
+    terms = lexicon.select("term").where("term <> ''").distinct()
+    if (terms.agg(F.sum(F.length("term"))).first()[0] or 0) > most:
+        return None
+    return Automaton(lexicon.sparkSession, [r.term for r in terms.collect()])
+
+
+def lexicon_match(docs: DataFrame, lexicon: DataFrame, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """docs(doc_id, text), lexicon(term): (doc_id, start, end, term) of every occurrence, overlapping ones too.
+
+    A lexicon of ``most`` characters or fewer goes to every worker as an automaton, and each text is read once.  One
+    beyond that stays a table: texts become windows of the lengths that terms have, which meet it by term.  Empty terms
+    and null texts match nothing.
+    """
+    known = automaton(lexicon, most)
+    rows = docs.select("doc_id", F.explode((known.matches if known else _windows(lexicon))(F.col("text"))).alias("w")).select("doc_id", "w.start", "w.term")
+    if not known:
+        rows = rows.join(lexicon.select("term").distinct(), "term")
+    return rows.select("doc_id", "start", (F.col("start") + F.length("term")).alias("end"), "term")
 
-    chars_of = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.uint64)
-    known = np.unique(np.concatenate([codes(chars_of(x[:width])) for x in starts])) if starts else None
 
-    def places(text: str) -> list[int]:
-        return np.flatnonzero(np.isin(codes(chars_of(text)), known)).tolist() if starts else range(len(text))
+def _windows(lexicon: DataFrame) -> Callable[[Column], Column]:
+    """The windows of a text that are as long as some term; there are as many lengths as the longest term has characters at most."""
+    lengths = [r[0] for r in lexicon.where("term <> ''").select(F.length("term")).distinct().collect()]
 
     @F.pandas_udf("array<struct<start:int,term:string>>")
     def windows(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": i, "term": t[i : i + n]} for i in places(t) for n in lengths if i + n <= len(t)] if t else [] for t in texts], dtype=object)
+        return pd.Series([[{"start": i, "term": t[i : i + n]} for i in range(len(t)) for n in lengths if i + n <= len(t)] if t else [] for t in texts], dtype=object)
 
-    rows = docs.select("doc_id", F.explode(windows("text")).alias("w")).select("doc_id", "w.start", "w.term")
-    hits = rows.join(lexicon.select("term").distinct(), "term")
-    return hits.select("doc_id", "start", (F.col("start") + F.length("term")).alias("end"), "term")
+    return windows
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:

@@ -82,10 +82,10 @@ def edges_from_response(responses: DataFrame, nodes: DataFrame, synonyms: Mappin
 
 
 def render_prompts(templates: DataFrame, contexts: DataFrame) -> DataFrame:
-    """templates(scenario, ord, content), a short table; contexts(id, scenario, variables map): the filled sections by line."""
+    """templates(scenario, ord, content); contexts(id, scenario, variables map): the filled sections by line."""
     from kgflow.functions.text import render
 
-    rows = contexts.join(F.broadcast(templates), "scenario").select("id", "ord", render(F.col("content"), F.col("variables")).alias("line"))
+    rows = contexts.join(templates, "scenario").select("id", "ord", render(F.col("content"), F.col("variables")).alias("line"))
     return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
@@ -106,7 +106,7 @@ def extract_chunks(
     name a section goes by ``sections`` of (document type, section_id) instead: 'regex',
     'response' or 'none'.  Chunks without any route are rejected.
     """
-    from kgflow.operators.lexicon import lexicon_match, normalise
+    from kgflow.operators.lexicon import Automaton, normalise
     from kgflow.operators.segment import regex_extract_nodes
 
     lexicons, response_types = lexicons or {}, response_types or {}
@@ -132,8 +132,8 @@ def extract_chunks(
         parts.append(n.select(F.col("doc_id").alias("chunk_id"), "node_type", F.create_map("attribute", "value").alias("attributes")))
     for name, (node_type, terms) in lexicons.items():
         own = rows.where(F.col("__lexicon") & (kind == name)).select(F.col("chunk_id").alias("doc_id"), "text")
-        lexicon = chunks.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-        n = lexicon_match(normalise(own), lexicon, sorted({len(t) for t in terms})).select("doc_id", "term").distinct()
+        known = Automaton(chunks.sparkSession, terms)
+        n = normalise(own).select("doc_id", F.explode(known.terms_in(F.col("text"))).alias("term")).distinct()
         parts.append(n.select(F.col("doc_id").alias("chunk_id"), F.lit(node_type).alias("node_type"), F.create_map(F.lit("term"), "term").alias("attributes")))
     for name, types in response_types.items():
         own = responses.join(rows.where(F.col("__response") & (kind == name)).select("chunk_id"), "chunk_id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.functions.text import chunk_text
+from kgflow.operators.lexicon import automaton, lexicon_match
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
@@ -66,5 +67,14 @@ def extract_first(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def keyword_nodes(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """keywords(node_type, keyword), a short list: one node per keyword that a text contains."""
-    return docs.join(F.broadcast(keywords), F.contains(docs.text, F.col("keyword"))).select("doc_id", "node_type", "keyword")
+    """docs(doc_id, text), keywords(node_type, keyword): one node for each row and keyword that its text contains.
+
+    An empty keyword is in no text.  A keyword of several types makes a node of each.
+    """
+    known = automaton(terms := keywords.select(F.col("keyword").alias("term")))
+    if known:
+        found = docs.select("doc_id", F.explode(known.terms_in(F.col("text"))).alias("keyword"))
+    else:
+        rows = docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id()))
+        found = lexicon_match(rows, terms).select("doc_id", F.col("term").alias("keyword")).distinct().select("doc_id.doc_id", "keyword")
+    return found.join(keywords, "keyword").select("doc_id", "node_type", "keyword")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgflow.functions import text as T
+from kgflow.functions.intervals import parse_interval_query
 from kgflow.operators import dialog as D
 from kgflow.operators import records as R
 from kgflow.operators import sets as X
+from kgflow.plans import assoc as A
 from kgflow.plans import search as V
-from kgflow.queries.graph import table
+from kgflow.queries import graph as G
+from kgflow.queries.graph import SQL_INTERVALS, table
 from kgflow.sources import files as S
+from kgflow.sources.keyed import GraphStore, KeyedTable
 from kgflow.sources.scratch import scratch_path
+from kgflow.streaming import dialogs as DS
 from kgflow.streaming import streams as ST
 
 QUERIES, SQL = {}, {}
@@ -200,6 +205,42 @@ def hybrid_search(spark, d):
     return got.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
+_SYNONYMS = {"and": "L1", "und ": "L2", "que": "L3"}
+_SEARCH_LOOKUPS = [A.Association("risks", (A.Field("name", "name"),), (A.Step("RESPONDS_TO"),)), A.Association("nations", (A.Field("name", "name"),), (A.Step("USED_IN"),)), A.Association("regions", (A.Field("name", "name"),), (A.Step("USED_IN"), A.Step("IN_REGION")))]
+_SEARCH_POSITIONS = [A.Association("sites", (A.Field("name", "name"),), kind="interval", node_type="orders")]
+
+
+@query(f"""WITH {SQL_INTERVALS}, q AS (SELECT conv_id * 100 + turn AS query_id, CASE WHEN contains(text, 'und ') THEN 1 + 1 WHEN contains(text, 'and') THEN 1 WHEN contains(text, 'que') THEN 3 END AS category, conv_id * 1000 + turn * 100 AS place,
+(conv_id * 31 + turn) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations WHERE role = 'user'),
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (embedding[1:16])::DOUBLE[] AS k FROM embeddings),
+s AS (SELECT query_id, b.vec_id AS node_id, list_cosine_similarity(a.e, b.e) AS similarity, list_cosine_similarity(a.k, b.k) AS key_score FROM q JOIN v a ON a.vec_id = q.vec_id JOIN v b ON q.category IS NULL OR q.category = b.label),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, 'v' || node_id) AS rank FROM s WHERE similarity > 0.1), {_GATE},
+f AS (SELECT *, alpha * similarity + (1 - alpha) * key_score AS score, row_number() OVER (PARTITION BY query_id ORDER BY alpha * similarity + (1 - alpha) * key_score DESC, 'v' || node_id) AS r FROM w),
+x AS (SELECT query_id, r, 'v' || node_id AS node, round(score, 6) AS score, 'L' || label AS risk, n_name AS nation, r_name AS region FROM f JOIN embeddings ON vec_id = node_id JOIN nation ON n_nationkey = node_id % 25 JOIN region ON r_regionkey = n_regionkey WHERE r <= 4),
+p AS (SELECT query_id, count(*) AS n FROM q JOIN g_intervals ON s <= place + 50 AND place <= e GROUP BY 1)
+SELECT query_id, count(x.r) AS n_results, string_agg(node, '|' ORDER BY r) AS found, max(score) FILTER (r = 1) AS best, string_agg(risk, '|' ORDER BY r) AS risks, string_agg(nation, '|' ORDER BY r) AS nations, string_agg(region, '|' ORDER BY r) AS regions, coalesce(any_value(p.n), 0) AS n_sites
+FROM q LEFT JOIN x USING (query_id) LEFT JOIN p USING (query_id) GROUP BY 1""")
+def search(spark, d):
+    """Every question of the conversations: slots, sub-graph, vectors, fused scores, associations of results and position."""
+    said = table(spark, d, "conversations").where("role = 'user'")
+    text = F.concat("text", F.lit(" at DK"), "conv_id", F.lit("+"), F.col("turn") * 100, F.lit("~DK"), "conv_id", F.lit("+"), F.col("turn") * 100 + 50)
+    slots = said.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), T.extract_slots(text, _SYNONYMS, ["left"], "main").alias("slots"), (F.col("conv_id") * 31 + F.col("turn")).alias("asked"))
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    vectors = e.select(F.concat(F.lit("v"), "vec_id").alias("node_id"), F.col("embedding").alias("v"), F.slice("embedding", 1, 16).alias("v_key"))
+    requests = slots.join(e, F.col("asked") % n == F.col("vec_id")).select("query_id", "slots.category", parse_interval_query(F.col("slots.position")).alias("iv"), F.col("embedding").alias("q"), F.slice("embedding", 1, 16).alias("q_key"))
+    name = lambda c: F.create_map(F.lit("name"), c.cast("string")).alias("attributes")
+    of = lambda c: F.concat(F.lit("L"), c)
+    nodes = e.select(F.concat(F.lit("v"), "vec_id").alias("node_id"), F.lit("plan").alias("node_type"), name(F.col("vec_id"))).union(e.select("label").distinct().select(of("label"), F.lit("risk"), name(of("label"))))
+    nodes = G.nodes(spark, d).union(nodes).join(G.order_intervals(spark, d).select("node_id", "iv"), "node_id", "left")
+    link = lambda relation, to: e.select(F.lit(relation).alias("relation_type"), F.concat(F.lit("v"), "vec_id").alias("head"), to.alias("tail"), F.lit(1.0).alias("confidence"))
+    edges = G.edges(spark, d).union(link("RESPONDS_TO", of("label"))).union(link("USED_IN", F.concat(F.lit("n"), F.col("vec_id") % 25)))
+    got = V.search(requests, nodes, vectors, edges, "RESPONDS_TO", _SEARCH_LOOKUPS, _SEARCH_POSITIONS, _HIDDEN, _OUT, 0.1)
+    told = lambda f: F.nullif(F.array_join(F.transform("results", f), "|"), F.lit(""))
+    first = lambda q: told(lambda r: F.get(r[q], F.lit(0))["name"]).alias(q)
+    return got.select("query_id", F.size("results").cast("long").alias("n_results"), told(lambda r: r["node_id"]).alias("found"), F.round(F.get("results", F.lit(0))["score"], 6).alias("best"), *map(first, ("risks", "nations", "regions")), F.size("sites").cast("long").alias("n_sites"))
+
+
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 3")
 def topk_final(spark, d):
     return V.top_k(table(spark, d, "part"), "p_brand", "p_retailprice", 3, "p_partkey").select("p_partkey", "rank")
@@ -296,18 +337,58 @@ def event_windows(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS ord FROM events GROUP BY 1")
 def stream_upsert_graph(spark, d):
-    root = scratch_path(spark, "upsert")
-    ST.stream_upsert_graph(_event_stream(spark, d).select("user_id", "event_type", F.col("event_id").alias("ord")), f"{root}/deltas", f"{root}/checkpoint", ["user_id"])
-    return ST.current_graph(spark.read.parquet(f"{root}/deltas"), ["user_id"])
-
-
-@query(_FOLD)
+    table = KeyedTable(spark, scratch_path(spark, "upsert"), "user_id long, event_type string, ord long", ["user_id"], 8)
+    ST.stream_upsert_graph(_event_stream(spark, d).select("user_id", "event_type", F.col("event_id").alias("ord")), table, f"{table.root}/checkpoint")
+    return table.read()
+
+
+def _graph_parts(batch):
+    """Users who signed up or bought something are nodes, and so are types of events; an event is an edge."""
+    users = batch.where("event_type IN ('signup', 'purchase')").select(F.concat(F.lit("u"), "user_id").alias("node_id"), F.lit("user").alias("node_type"), F.col("event_id").alias("ord"))
+    types = batch.select(F.concat(F.lit("t_"), "event_type").alias("node_id"), F.lit("type").alias("node_type"), F.col("event_id").alias("ord"))
+    edges = batch.select(F.concat(F.lit("u"), "user_id").alias("head"), F.lit("DID").alias("relation_type"), F.concat(F.lit("t_"), "event_type").alias("tail"), "value", F.col("event_id").alias("ord"))
+    return users.union(types), edges
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'purchase')), e AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2)
+SELECT 'u' || user_id AS head, 't_' || event_type AS tail, value, user_id IN (FROM u) AS kept FROM e""")
+def stream_merge_graph(spark, d):
+    """Nodes and edges of the event stream; an edge without its node is told."""
+    store = GraphStore(spark, root := scratch_path(spark, "merge"), "node_id string, node_type string, ord long", "head string, relation_type string, tail string, value double, ord long", 8)
+    ST.stream_merge_graph(_event_stream(spark, d), store, _graph_parts, f"{root}/checkpoint")
+    edges = store.edges.read().withColumn("kept", F.lit(True)).union(store.rejects.read().withColumn("kept", F.lit(False)))
+    return edges.select("head", "tail", "value", "kept")
+
+
+@query("""WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), i AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 4 HOUR) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM i GROUP BY user_id, island
+HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def event_sessions(spark, d):
+    """The sessions of each user, which 4 hours without an event end, up to the watermark."""
+    root = scratch_path(spark, "sessions")
+    ST.run_available(ST.event_sessions(_event_stream(spark, d), "ts", "user_id", "4 hours", "1 day"), lambda b, n: b.write.mode("overwrite").parquet(f"{root}/batch={n}"), f"{root}-checkpoint")
+    rows = spark.read.parquet(root)
+    return rows.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("start"), F.col("session.end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+_IDLE = 12 * 3600
+_SESSION_FOLD = (
+    _FOLD.replace("WITH RECURSIVE t AS (SELECT user_id AS conv_id,", f"""WITH RECURSIVE e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+i AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > INTERVAL {_IDLE} SECOND) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
+t AS (SELECT (user_id, min(ts) OVER (PARTITION BY user_id, island)) AS conv_id,""")
+    .replace("PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events", "PARTITION BY user_id, island ORDER BY ts, event_id) AS rn FROM i")
+    .replace("SELECT conv_id, rn AS n_turns", "SELECT conv_id[1] AS conv_id, conv_id[2] AS started, rn AS n_turns")
+)
+
+
+@query(_SESSION_FOLD)
 def stream_dialog_state(spark, d):
+    """Every conversation, which 12 hours without an event end."""
     root = scratch_path(spark, "dialog")
-    e = _event_stream(spark, d).select(F.col("user_id").alias("conv_id"), (F.unix_micros("ts") * 1000 + F.col("event_id") % 1000).alias("turn"), F.expr(_KIND).alias("kind"), (F.col("event_id") % 4).cast("int").alias("n_plans"))
-    ST.run_available(ST.stream_dialog_state(e), lambda b, n: b.write.mode("overwrite").parquet(f"{root}/batch={n}"), f"{root}-checkpoint", "update")
-    rows = spark.read.parquet(root).select("batch", "conv_id", F.struct("n_turns", "state", "idx", "rejections", "plans").alias("row"))
-    return ST.current_graph(rows, ["conv_id"])
+    e = _event_stream(spark, d).select(F.col("user_id").alias("conv_id"), "ts", F.col("event_id").alias("turn"), F.expr(_KIND).alias("kind"), (F.col("event_id") % 4).alias("n_plans"))
+    ST.run_available(DS.stream_dialog_state(e, _IDLE, "1 hour"), lambda b, n: b.write.mode("overwrite").parquet(f"{root}/batch={n}"), f"{root}-checkpoint", "update")
+    told = DS.current_dialogs(spark.read.parquet(root))
+    return told.select("conv_id", F.col("started").cast("timestamp_ntz").alias("started"), "n_turns", "state", "idx", "rejections", "plans")
 
 
 @query("SELECT lang AS document_type, source AS file_type, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
@@ -319,10 +400,11 @@ def sink_summary(spark, d):
 
 @query("SELECT c_custkey AS node_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name FROM customer")
 def sink_graph(spark, d):
-    c, path = table(spark, d, "customer"), scratch_path(spark, "graph")
-    old = c.select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("name"), F.lit(0).alias("ord"))
-    S.sink_graph(old, old.where("node_id % 3 = 0").select("node_id", F.lit("new").alias("name"), F.lit(1).alias("ord")), ["node_id"], path)
-    return spark.read.parquet(path).select("node_id", "name")
+    c = table(spark, d, "customer")
+    graph = KeyedTable(spark, scratch_path(spark, "graph"), "node_id long, name string, ord int", ["node_id"], 8)
+    S.sink_graph(graph, c.select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("name"), F.lit(0).alias("ord")))
+    S.sink_graph(graph, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node_id"), F.lit("new").alias("name"), F.lit(1).alias("ord")))
+    return graph.read().select("node_id", "name")
 
 
 @query("SELECT o_custkey AS source_file, min(t) AS tier, count(*) FILTER (t = m) AS n FROM (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS t, min(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) OVER (PARTITION BY o_custkey) AS m FROM orders) GROUP BY 1")

@@ -12,6 +12,7 @@ from kgflow.operators import sets as X
 from kgflow.plans import search as V
 from kgflow.queries import misc
 from kgflow.queries.graph import position_text, table
+from kgflow.sources.manifest import claim_numbers
 from kgflow.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -49,10 +50,15 @@ def filter_assessment_by_type(spark, d):
     return c.select("c_custkey", T.filter_assessment_by_type(items, F.concat(F.lit("k"), F.col("c_nationkey") % 2), "type")["level"].alias("level"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || chr(31) || text)) AS number, 'chunk_' || lpad((row_number() OVER (ORDER BY sha256(doc_id || chr(31) || text)))::VARCHAR, 6, '0') AS label FROM documents")
+@query("""WITH n AS (SELECT doc_id, lang = 'en' AS first, sha256(doc_id || chr(31) || text) AS id FROM documents),
+c AS (SELECT doc_id, 999000 + row_number() OVER (ORDER BY NOT first, id) AS number FROM n) SELECT doc_id, number, 'chunk_' || printf('%06d', number) AS label FROM c""")
 def number_chunks(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", E.content_id(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
-    return E.number_rows(rows, "id", "chunk_").drop("id")
+    """English texts in one run, the others in the next, after 999,000 numbers that earlier runs took."""
+    ledger = scratch_path(spark, "numbers")
+    claim_numbers(spark, ledger, 999_000)
+    rows = table(spark, d, "documents").select("doc_id", "lang", E.content_id(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
+    english = F.col("lang").eqNullSafe("en")
+    return E.number_rows(rows.where(english), "id", "chunk_", ledger).union(E.number_rows(rows.where(~english), "id", "chunk_", ledger)).drop("id", "lang")
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, count(*) AS n FROM w GROUP BY ALL)

@@ -153,7 +153,7 @@ def _lengths(terms):
 
 def _hits(spark, d, terms):
     lex = spark.createDataFrame([(t,) for t in terms], "term string")
-    return L.lexicon_match(L.normalise(docs(spark, d)), lex, _lengths(terms), terms)
+    return L.lexicon_match(L.normalise(docs(spark, d)), lex)
 
 
 @query(f"WITH {_TEXT} SELECT doc_id, s AS start, e AS \"end\", term FROM {_match_sql(_ROOTS_SQL, _lengths(ROOTS))}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgflow.operators.joins import latest
+from kgflow.sources.keyed import KeyedTable
 
 
 def scan_files(spark: SparkSession, root: str, glob: str, recursive: bool = True) -> DataFrame:
@@ -23,10 +23,10 @@ def sink_summary(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("document_type", "file_type").agg(F.count("*").alias("n"))
 
 
-def sink_graph(existing: DataFrame | None, changes: DataFrame, keys: list[str], path: str) -> None:
-    """Upserts changes (ordered by ord) over existing rows by key, and writes the result to a new place."""
-    rows = changes if existing is None else existing.unionByName(changes, allowMissingColumns=True)
-    latest(rows, keys, F.col("ord")).write.mode("overwrite").parquet(path)
+def sink_graph(table: KeyedTable, changes: DataFrame, most: int = 8) -> None:
+    """Upserts changes (ordered by ord) by key: files of the buckets that they touch are added, others stay."""
+    table.upsert(changes)
+    table.compact(most)
 
 
 def sink_training_split(rows: DataFrame, path: str) -> None:

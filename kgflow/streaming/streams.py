@@ -1,18 +1,32 @@
-"""Streaming forms: ingest with a ledger, dedup, windows, upserts and dialog state per conversation."""
+"""Streaming forms: ingest with a ledger, dedup, windows and upserts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
+from kgflow.sources.keyed import GraphStore, KeyedTable
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Processes what is there and stops; the checkpoint makes a later run go on from there."""
-    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[StreamingQueryProgress]:
+    """Processes what is there and stops; the checkpoint makes a later run go on from there.  State is kept in RocksDB.
+
+    Gives what Spark tells of the last batches.
+    """
+    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(_STORE, None)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress
+    finally:
+        conf.set(_STORE, before) if before else conf.unset(_STORE)
 
 
 def stream_ingest(stream: DataFrame, out: str, ledger: str, checkpoint: str, stage: str, key: str) -> None:
@@ -34,45 +48,41 @@ def event_windows(stream: DataFrame, time: str, by: str, width: str, late: str)
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def stream_upsert_graph(stream: DataFrame, out: str, checkpoint: str, keys: list[str]) -> None:
-    """Each batch becomes a delta of its latest rows by key; readers take the delta of the highest batch for a key."""
+def stream_upsert_graph(stream: DataFrame, table: KeyedTable, checkpoint: str, most: int = 8) -> None:
+    """Upserts each batch into a keyed table, and compacts buckets of more than ``most`` files; a batch that comes again changes nothing."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), "ord").alias("row")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        table.upsert(batch, checkpoint, number)
+        table.compact(most)
 
     run_available(stream, sink, checkpoint)
 
 
-def current_graph(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    return deltas.groupBy(*keys).agg(F.max_by("row", "batch").alias("row")).select(*keys, "row.*")
+def stream_merge_graph(stream: DataFrame, store: GraphStore, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, most: int = 8) -> None:
+    """Merges the nodes and edges that ``split`` makes of each batch into a graph, nodes first."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        store.upsert(*split(batch), checkpoint, number)
+        store.compact(most)
 
+    run_available(stream, sink, checkpoint)
 
-def step(state: tuple, kind: str, n_plans: int, most: int = 3) -> tuple:
-    """One turn: (state, idx, rejections, plans), as kgflow.operators.dialog.next_state has it."""
-    name, idx, rejections, plans = state
-    if name == "REFUSED":
-        return "PRESENTING", idx, rejections, plans
-    if name in ("IDLE", "COMPLETED") or kind == "change":
-        return ("PRESENTING" if n_plans > 0 else "COMPLETED"), 0, 0, n_plans
-    if kind == "accept":
-        return "COMPLETED", idx, rejections, plans
-    if kind == "reject":
-        ended = rejections + 1 >= most or idx >= plans - 1
-        return ("COMPLETED" if ended else "REFUSED"), (idx if ended else idx + 1), rejections + 1, plans
-    return state
-
-
-def stream_dialog_state(turns: DataFrame, most: int = 3) -> DataFrame:
-    """turns(conv_id, turn, kind, n_plans): after each batch the state of the conversations that it had turns of."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, seen = ((*state.get[:4],), state.get[4]) if state.exists else (("IDLE", 0, 0, 0), 0)
-        rows = pd.concat(list(batches)).sort_values("turn")
-        for kind, n in zip(rows["kind"], rows["n_plans"], strict=True):
-            now, seen = step(now, kind, int(n), most), seen + 1
-        state.update((*now, seen))
-        yield pd.DataFrame([(key[0], seen, *now)], columns=["conv_id", "n_turns", "state", "idx", "rejections", "plans"])
-
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        fold, "conv_id long, n_turns long, state string, idx int, rejections int, plans int", "state string, idx int, rejections int, plans int, seen long", "update", GroupStateTimeout.NoTimeout
-    )
+
+def event_sessions(stream: DataFrame, time: str, by: str, gap: str, late: str) -> DataFrame:
+    """(session, key, n, total) for a query in append mode: the events of a key between gaps of that length.
+
+    An event that comes late joins sessions that are open, and may merge two.  A session is told once the watermark,
+    ``late`` behind the latest event, has passed its end; events whose own gap ends before it are dropped, and
+    ``dropped_late`` counts those.
+    """
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def dropped_late(progress: list[StreamingQueryProgress]) -> int:
+    """Rows that the batches dropped because they came behind the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)
+
+
+def current_graph(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key from its highest batch."""
+    return deltas.groupBy(*keys).agg(F.max_by("row", "batch").alias("row")).select(*keys, "row.*")
