@@ -151,10 +151,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(k: int = CENTROIDS, rounds: int = ROUNDS, dims: int = DIMS, salt: int = SALT) -> str:
-    square = "list_sum(list_transform(list_zip(p, m), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    square = "list_sum(list_transform(list_zip(p, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     parts = [
-        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS p
-            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)""",
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)""",
         f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}:' || vec_id), p) - 1 AS c, p AS m FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})""",
     ]
     for i in range(rounds + 1):
