@@ -28,8 +28,6 @@ from kgflow.llm.common import table
 
 #: Pages that the weights are learned from: those with the smallest hashes of their ids.
 MOST_LABELLED = 2_000
-#: Class names, ids and roles that weights are learned for: those around the most words of these pages.
-MOST_FEATURES = 10_000
 #: Words that a prior counts for, and the weight from which on down an element's text is left out.
 PRIOR, LEFT_OUT = 20, -0.5
 
@@ -85,32 +83,53 @@ def markers(name: str, attrs: str) -> list[str]:
     return out
 
 
+class Element:
+    """An element with the one around it, so that a token names all that it stands in by one reference.
+
+    own are its markers, block the innermost block element, holder whether an article is declared inside it.
+    """
+
+    __slots__ = ("block", "holder", "lowest", "number", "own", "parent")
+
+    def __init__(self, number: int, parent: Element | None, own: list[str], block: str):
+        self.number, self.parent, self.own, self.block = number, parent, own, block
+        self.holder, self.lowest = False, None
+
+
 class Token(NamedTuple):
     """A piece of text with its references decoded, or a tag by name.
 
-    block is the innermost block element, link whether it stands in a link, around the
-    (element number, marker) pairs of all elements around, inside whether an article is declared there.
+    link is whether it stands in a link, within the innermost element around, inside whether an article is declared there.
     """
 
     text: bool
     value: str
-    block: str
     link: bool
-    around: tuple[tuple[int, str], ...]
+    within: Element | None
     inside: bool
 
+    @property
+    def block(self) -> str:
+        return self.within.block if self.within else "body"
+
 
-def tokens(page: str) -> tuple[list[Token], set[int]]:
-    """The tokens of a page in order, and the numbers of the elements that hold a declared article."""
+def tokens(page: str) -> tuple[list[Token], list[Element]]:
+    """The tokens of a page in order, and its elements in the order of their beginnings.  The work is linear in the page."""
     out: list[Token] = []
-    stack: list[tuple[str, tuple, str, int]] = []  # name, markers around, block, number
-    holders: set[int] = set()
-    declared, links, pos, number = 0, False, 0, 0
-    around, block = (), "body"
+    stack: list[tuple[str, Element]] = []
+    elements: list[Element] = []
+    opened: Counter = Counter()  # elements on the stack by name
+    declared, links, pos = 0, False, 0
+    within: Element | None = None
 
     def text(chunk: str) -> None:
         if chunk:
-            out.append(Token(True, html.unescape(chunk), block, links, around, declared > 0))
+            out.append(Token(True, html.unescape(chunk), links, within, declared > 0))
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
 
     while pos < len(page):
         m = _TAG.search(page, pos)
@@ -126,7 +145,7 @@ def tokens(page: str) -> tuple[list[Token], set[int]]:
             continue
         end = (m["end"] or m["end2"]) == "/"
         attrs = m["attrs"] or m["attrs2"] or ""
-        out.append(Token(False, name, block, links, around, declared > 0))
+        out.append(Token(False, name, links, within, declared > 0))
         if not end and name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = close.end() if close else len(page)
@@ -136,24 +155,27 @@ def tokens(page: str) -> tuple[list[Token], set[int]]:
         if name in VOID:
             continue
         if end:
-            if any(s[0] == name for s in stack):
-                while (popped := stack.pop()[0]) != name:
+            if opened[name]:
+                while (popped := leave()) != name:
                     declared -= popped in ("article", "main")
                 declared -= name in ("article", "main")
         else:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                leave()
             own = markers(name, attrs)
             if name in INLINE and not own:
                 continue  # inline elements that say nothing are often left open
+            parent = stack[-1][1] if stack else None
             if name in ("article", "main"):
                 declared += 1
-                holders.update(s[3] for s in stack)
-            number += 1
-            before = stack[-1][1] if stack else ()
-            stack.append((name, before + tuple((number, x) for x in own), name if name in BLOCKS else (stack[-1][2] if stack else "body"), number))
-        around, block = (stack[-1][1], stack[-1][2]) if stack else ((), "body")
-    return out, holders
+                at = parent
+                while at and not at.holder:
+                    at.holder, at = True, at.parent
+            elements.append(Element(len(elements), parent, own, name if name in BLOCKS else parent.block if parent else "body"))
+            stack.append((name, elements[-1]))
+            opened[name] += 1
+        within = stack[-1][1] if stack else None
+    return out, elements
 
 
 def _prior(feature: str) -> float | None:
@@ -189,8 +211,15 @@ class Weights:
         return w
 
     def of_elements(self, token: Token) -> float:
-        """The lowest weight of the elements around a token."""
-        return min((self[x] for _, x in token.around), default=1.0)
+        """The lowest weight of the elements around a token; each element remembers it, for one Weights a page."""
+        at, path = token.within, []
+        while at and at.lowest is None:
+            path.append(at)
+            at = at.parent
+        low = at.lowest if at else 1.0
+        for e in reversed(path):
+            low = e.lowest = min([low, *(self[x] for x in e.own)])
+        return low
 
     def left_out(self, token: Token) -> bool:
         return self.of_elements(token) < LEFT_OUT or self[f"b:{token.block}"] < LEFT_OUT
@@ -244,25 +273,46 @@ def observed(page: str) -> Counter:
     Elements that hold the article itself say nothing, and a block element answers only for
     words that no marker with a prior explains.
     """
-    seq, holders = tokens(page)
+    seq, elements = tokens(page)
     out: Counter = Counter()
     if not any(t.inside for t in seq):
         return out
+    explained = [False] * len(elements)  # whether a marker around has a prior
+    fresh: list[list[str]] = []  # markers of an element that none around it has
+    around, path = Counter(), []
+    for e in elements:
+        while path and path[-1] is not e.parent:
+            around.subtract(fresh[path.pop().number])
+        own = [] if e.holder else list(dict.fromkeys(e.own))
+        explained[e.number] = (explained[e.parent.number] if e.parent else False) or any(_prior(x) is not None for x in own)
+        fresh.append([x for x in own if not around[x]])
+        around.update(fresh[-1])
+        path.append(e)
+    words = [[0, 0] for _ in elements]  # outside and inside of the article, in an element and all elements inside it
     for t in seq:
         if not t.text:
             out[f"tag:{t.value}", t.inside] += 1
             continue
         n = len(t.value.split())
-        around = {x for number, x in t.around if number not in holders}
-        for x in around:
-            out[x, t.inside] += n
-        if all(_prior(x) is None for x in around):
+        if t.within:
+            words[t.within.number][t.inside] += n
+        if not (t.within and explained[t.within.number]):
             out[f"{'a' if t.link else 'b'}:{t.block}", t.inside] += n
+    for e in reversed(elements):
+        for inside, n in enumerate(words[e.number]):
+            for x in fresh[e.number] if n else ():
+                out[x, bool(inside)] += n
+            if e.parent:
+                words[e.parent.number][inside] += n
     return out
 
 
 def learn(pages: DataFrame, most: int = MOST_LABELLED, html_col: str = "html") -> Weights:
-    """Weights from at most ``most`` pages, of which those that declare an article count."""
+    """Weights from at most ``most`` pages, of which those that declare an article count.
+
+    Every feature that as many words as a prior speak of is learned, whatever its length; there are as many as these
+    pages have.  Of rows that repeat a page_id the smallest text counts, so reruns learn the same.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -273,9 +323,9 @@ def learn(pages: DataFrame, most: int = MOST_LABELLED, html_col: str = "html") -
 
     numbered = pages.select("page_id", F.xxhash64("page_id").alias("h"))
     sample = numbered.orderBy("h", "page_id").limit(most).select("page_id").distinct()
-    rows = pages.select("page_id", F.col(html_col).alias("page")).join(F.broadcast(sample), "page_id").dropDuplicates(["page_id"]).select("page")
+    rows = pages.select("page_id", F.col(html_col).alias("page")).join(F.broadcast(sample), "page_id").groupBy("page_id").agg(F.min("page").alias("page"))
     sums = rows.mapInPandas(counted, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    kept = sums.where((F.col("yes") + F.col("no") >= PRIOR) & (F.length("feature") < 64)).orderBy(F.desc(F.col("yes") + F.col("no")), "feature").limit(MOST_FEATURES)
+    kept = sums.where(F.col("yes") + F.col("no") >= PRIOR)
     return Weights({r.feature: (r.yes, r.no) for r in kept.collect()})
 
 

@@ -95,6 +95,24 @@ def test_extract_by_learned_weights_alone(spark, sf):
     assert taught["c:xq"] < -0.9 and op02_html_extraction.Weights()["c:xq"] == 1
 
 
+def test_extract_deep_pages():
+    """The work is linear in the depth: 100,000 elements in each other, with markers, and what they hold."""
+    deep = "".join(f'<div class="box{i % 7} part">' for i in range(100_000)) + "the text " * 30 + "</div>" * 100_000
+    weights = op02_html_extraction.Weights({"c:box": (5, 900)})
+    assert op02_html_extraction.extract("<p>" + "words of an article " * 50 + "</p>" + deep, weights) == ("words of an article " * 50).strip()
+    seen = op02_html_extraction.observed("<article>own text</article>" + deep)
+    assert seen["c:box", False] == seen["c:part", False] == 60 and seen["b:article", True] == 2
+    _, elements = op02_html_extraction.tokens(deep)
+    assert len(elements) == 100_000 and elements[-1].parent is elements[-2]
+
+
+def test_learning_takes_one_text_of_a_repeated_page(spark):
+    page = "<article><p class='lead'>" + "good words " * 30 + "</p></article><div class='zone'>" + "bad words " * 30 + "</div>"
+    rows = [(1, page), (1, page.replace("lead", "other")), (2, page)]
+    learned = [op02_html_extraction.learn(spark.createDataFrame(r, "page_id long, html string").repartition(3)).counts for r in (rows, rows[::-1])]
+    assert learned[0] == learned[1] and learned[0]["c:lead"] == (120, 0) and "c:other" not in learned[0]
+
+
 def test_extract_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<p>one two three</p>", "old", 9)], "page_id long, html string, text string, n_chars long")
     weights = op02_html_extraction.learn(df)
