@@ -47,7 +47,9 @@ def _valid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             ok = label is not None and v and None not in v
             a = np.array(v, "<f8") if ok else None
-            ok = ok and np.isfinite(a).all() and np.isfinite(norm := np.linalg.norm(a)) and norm > 0
+            ok = ok and np.isfinite(a).all() and a.any()
+            if ok and not 1e-150 < np.linalg.norm(a) < 1e150:  # its square would over- or underflow: a power of two less changes no cosine
+                a = np.ldexp(a, -np.frexp(np.abs(a).max())[1])
             vs.append(a.tobytes() if ok else None)
             one, two = np.frombuffer(xxh3_128_digest(a.tobytes() + label.encode()), "<i8").tolist() if ok else (None, None)
             h1.append(one)
