@@ -200,6 +200,16 @@ def test_pipeline_equals_a_plain_version(spark, sf):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids", "decoded_sha256").collect()) == sorted(want)
 
 
+def test_pipeline_over_many_partitions(spark, sf):
+    rows = lambda: sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect())
+    few, before = rows(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert rows() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pipeline_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
@@ -221,6 +231,9 @@ def test_stages_take_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).collect() == [], name
     assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.lines(spark, docs, sf).where("doc_id IN (1, 2)").collect()) == [(1, text), (1, text)]
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {1, 3, 4, None, 5}
+    other = "quite another text of more than five words that nobody else has"
+    twice = spark.createDataFrame([(1, text), (2, text), (2, other), (None, text), (None, "no copy of anything at all here"), (3, other)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, twice, sf).collect()), key=str) == [(1, text), (2, other), (None, "no copy of anything at all here")]
     assert corpus_pipeline.tokens(spark, docs, sf).count() == len(rows)
 
 

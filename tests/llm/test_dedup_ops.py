@@ -88,6 +88,33 @@ def test_ngram_jaccard_edge_cases(spark):
     assert op05_ngram_jaccard.ngram_jaccard(df.limit(0)).collect() == []
 
 
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ngram_jaccard_without_shared_shingles(spark, many_partitions):
+    """Buckets and chunks in which no shingle, or no tile, is shared."""
+    schema = "doc_id long, text string"
+    one = op05_ngram_jaccard.ngram_jaccard(spark.createDataFrame([(4, "a b c d e f")], schema), k=3)
+    assert [tuple(r) for r in one.select("doc_id", "n_shingles", "component_id").collect()] == [(4, 4, 4)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)]
+    got = op05_ngram_jaccard.ngram_jaccard(spark.createDataFrame(rows, schema), k=3).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, 18, i) for i in range(40)]
+    rows += [(100 + i, " ".join([f"v{i}x{k}" for k in range(30)] + ["one", "common", "end"])) for i in range(2)]  # shared, but not among the rarest
+    got = op05_ngram_jaccard.ngram_jaccard(spark.createDataFrame(rows, schema), k=3).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 42
+
+
+def test_ngram_jaccard_over_many_partitions(spark, sf, many_partitions):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op05_ngram_jaccard.query(spark, sf).collect()}
+    assert got == brute_jaccard(docs, 3, 90, 100)
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -125,7 +152,7 @@ def test_pivot_dedup_recall_at_the_threshold(spark):
         y = 0.931 * x + np.sqrt(1 - 0.931**2) * unit(g - (g @ x) * x)
         rows += [(2 * i, x.tolist(), i % 2), (2 * i + 1, y.tolist(), i % 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    for pivots in (256, 1024):
+    for pivots in (256, 1024, 2048):
         found = op03_pivot_dedup.pivot_dedup(df, pivots=pivots).where("n_links > 0").count() / len(rows)
         print(f"recall with {pivots} pivots: {found:.4f}")
         assert found >= 0.99
@@ -160,6 +187,12 @@ def test_pivot_dedup_edge_cases(spark):
     assert tie == {1: 3, 2: 2, 3: 2, 4: 3}  # the cosine of 3 and 1 is the threshold
 
 
+def test_pivot_dedup_of_extreme_norms(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.0], 1), (4, [1e308, -1e308], 1), (5, [5e-324, 0.0], 1), (6, [1.0, 0.0], 1), (7, [0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op03_pivot_dedup.pivot_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_pivot_dedup_finds_all_links_of_dense_topics(spark):
     rng, dim, rows = np.random.default_rng(5), 64, []
     for _ in range(2):
