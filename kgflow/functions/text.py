@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as html_lib
 import json as json_lib
+import re
 from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
@@ -127,14 +128,80 @@ class _Written(float):
         return number
 
 
+#: A token of JSON with the white space before it: a mark, a string, a number or a word.
+_TOKEN = re.compile(r'''[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))''')
+
+
+def _deep_find_key(record: str, key: str) -> str | None:
+    """``find_key`` for any depth, token by token: of the objects that have the key, that which opens first."""
+    tokens: list[str] = []
+    opened: list[int] = []  # places of the brackets that are open
+    best: tuple[int, int, int] | None = None  # the object, and the tokens of the value
+    waiting: list[tuple[int, int]] = []  # (depth, place of the value) of a key that has been found
+    state, at, end = "value", 0, len(record.rstrip(" \t\n\r"))
+    while at < end:
+        m = _TOKEN.match(record, at)
+        if m is None or m.end() == m.start():
+            return None
+        at = m.end()
+        mark, text, number, word = m.groups()
+        place, closes = len(tokens), mark in ("}", "]")
+        if closes:
+            if not opened or (tokens[opened[-1]] == "{") != (mark == "}") or state not in ("end", "first"):
+                return None
+            opened.pop()
+        elif mark in (",", ":"):
+            if state != {",": "end", ":": "colon"}[mark] or not opened:
+                return None
+        elif state in ("value", "first") and not (state == "first" and tokens[opened[-1]] == "{"):
+            if mark in ("{", "["):
+                opened.append(place)
+        elif text is None or state not in ("key", "first"):  # no key, or one out of place
+            return None
+        tokens.append(json_lib.dumps(json_lib.loads(text), ensure_ascii=False) if text else (number if number.lstrip("-").isdigit() else repr(float(number))) if number else mark or word)
+        if mark in ("{", "["):
+            state = "first"
+            continue
+        if mark == ",":
+            state = "key" if tokens[opened[-1]] == "{" else "value"
+            continue
+        if mark == ":":
+            state = "value"
+            if json_lib.loads(tokens[place - 1]) == key:
+                waiting.append((len(opened), place + 1))
+            continue
+        if text and (state == "key" or state == "first" and tokens[opened[-1]] == "{"):
+            state = "colon"
+            continue
+        state = "end"
+        if waiting and waiting[-1][0] == len(opened):  # the value of that key is whole
+            found = (opened[-1], waiting.pop()[1], place + 1)
+            if best is None or found[0] <= best[0]:
+                best = found
+        if not opened and at < end:
+            return None
+    if opened or state != "end" or best is None:
+        return None
+    value = tokens[best[1] : best[2]]
+    if len(value) == 1 and value[0][0] == '"':
+        return json_lib.loads(value[0])
+    return None if value == ["null"] else "".join(value)
+
+
 def find_key(record: str | None, key: str) -> str | None:
     """The value of the first key of that name in a JSON text: an object's own keys come before what is inside
     them, and those in the order of the text, through objects and arrays of any depth.  Scalars as they are
     written, objects and arrays as JSON; NULL if there is none, or the text is no JSON."""
     try:
-        todo = [json_lib.loads(record or "", parse_float=_Written)]
-    except (ValueError, RecursionError):
+        return _flat_find_key(json_lib.loads(record or "", parse_float=_Written), key)
+    except RecursionError:
+        return _deep_find_key(record, key)
+    except ValueError:
         return None
+
+
+def _flat_find_key(value: object, key: str) -> str | None:
+    todo = [value]
     while todo:
         at = todo.pop()
         if isinstance(at, dict):

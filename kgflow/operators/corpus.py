@@ -83,7 +83,7 @@ def lexicon_from_labels(corpus: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     rows = rows.withColumn("run", F.sum(F.when(F.col("t").startswith("I-"), 0).otherwise(1)).over(w)).where("t <> 'O'")
     runs = rows.groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("term"), F.min_by("t", "pos").alias("t"))
-    return runs.where(F.col("t").startswith("B-")).groupBy("term", F.substring("t", 3, 100).alias("tag")).agg(F.count("*").alias("n"))
+    return runs.where(F.col("t").startswith("B-")).groupBy("term", F.col("t").substr(F.lit(3), F.length("t")).alias("tag")).agg(F.count("*").alias("n"))
 
 
 def fusion_loss(rows: DataFrame, penalty: float = 0.05) -> DataFrame:

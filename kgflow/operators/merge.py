@@ -42,13 +42,20 @@ def ordered_distinct(rows: DataFrame, keys: list[str], value: str, name: str) ->
 
 
 def merge_global(nodes: DataFrame) -> DataFrame:
-    """One node per merge_key: first attributes and id, highest confidence, ordered distinct chunks and node ids."""
-    once = nodes.groupBy("merge_key", "chunk_id", "node_id").agg(F.min("ord").alias("o"), F.min_by("attributes", "ord").alias("attributes"), F.max("confidence").alias("confidence"))
-    listed = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(c).alias("v")))), lambda x: x["v"]))
-    return once.groupBy("merge_key").agg(
-        F.min_by("node_id", "o").alias("node_id"), F.min_by("attributes", "o").alias("attributes"), F.max("confidence").alias("confidence"),
-        listed("chunk_id").alias("source_chunks"), listed("node_id").alias("all_node_ids"),
+    """One node per merge_key: first attributes and id, highest confidence, ordered distinct chunks and node ids.
+
+    The rows of a key and chunk become one before those of a key meet, so a key of many nodes gathers chunks, each with
+    the sorted list of its own.
+    """
+    entry = F.struct("ord", F.col("node_id").alias("v"))
+    chunks = nodes.groupBy("merge_key", "chunk_id").agg(
+        F.min("ord").alias("o"), F.min_by("attributes", "ord").alias("attributes"), F.min_by("node_id", "ord").alias("node_id"),
+        F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(entry)).alias("ids"),
     )
+    held = F.array_sort(F.collect_list(F.struct("o", "chunk_id", "ids")))
+    merged = chunks.groupBy("merge_key").agg(F.min_by("node_id", "o").alias("node_id"), F.min_by("attributes", "o").alias("attributes"), F.max("confidence").alias("confidence"), held.alias("held"))
+    ids = F.array_distinct(F.transform(F.array_sort(F.flatten(F.transform("held", lambda x: x["ids"]))), lambda x: x["v"]))
+    return merged.select("merge_key", "node_id", "attributes", "confidence", F.transform("held", lambda x: x["chunk_id"]).alias("source_chunks"), ids.alias("all_node_ids"))
 
 
 def dedup_by_property(nodes: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.functions.text import composite_field, extract_json, json_collect_remaining, json_path_get, map_synonyms
+from kgflow.operators.extractors import Find, extract_nodes
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,7 @@ def extract_chunks(
     responses: DataFrame | None = None,
     response_types: Mapping[str, Sequence[str]] | None = None,
     sections: Mapping[tuple[str, str], str] | None = None,
+    extractors: Mapping[str, Callable[[], Find]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """chunks(chunk_id, document_type, file_type, text, metadata): (nodes, rejects).
 
@@ -104,12 +106,13 @@ def extract_chunks(
     and, besides, its lexicon (node type and terms) or the responses(chunk_id, response)
     of a model, from which ``response_types`` keeps node types.  A chunk whose metadata
     name a section goes by ``sections`` of (document type, section_id) instead: 'regex',
-    'response' or 'none'.  Chunks without any route are rejected.
+    'response' or 'none'.  ``extractors`` are Python of the user's for texts of a document type,
+    besides its other routes (``kgflow.operators.extractors``).  Chunks without any route are rejected.
     """
     from kgflow.operators.lexicon import Automaton, normalise
     from kgflow.operators.segment import regex_extract_nodes
 
-    lexicons, response_types = lexicons or {}, response_types or {}
+    lexicons, response_types, extractors = lexicons or {}, response_types or {}, extractors or {}
     section = F.try_element_at("metadata", F.lit("section_id"))
     plan = F.lit(None).cast("string")
     for (kind, name), how in (sections or {}).items():
@@ -120,6 +123,7 @@ def extract_chunks(
     routed = {
         "json": ~by_section & is_json & kind.isin(*mappings), "regex": allow(patterns, "regex"),
         "lexicon": ~by_section & ~is_json & kind.isin(*lexicons), "response": allow(response_types, "response"),
+        "user": ~by_section & ~is_json & kind.isin(*extractors),
     }
     rows = chunks.select("*", *[F.coalesce(c, F.lit(False)).alias(f"__{r}") for r, c in routed.items()])
     parts = []
@@ -138,8 +142,10 @@ def extract_chunks(
     for name, types in response_types.items():
         own = responses.join(rows.where(F.col("__response") & (kind == name)).select("chunk_id"), "chunk_id", "left_semi")
         parts.append(nodes_from_response(own, types).select("chunk_id", "node_type", "attributes"))
+    for name, make in extractors.items():
+        parts.append(extract_nodes(rows.where(F.col("__user") & (kind == name)), make))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    lost = ~F.col("__json") & ~F.col("__regex") & ~F.col("__lexicon") & ~F.col("__response")
+    lost = ~F.col("__user") & ~F.col("__json") & ~F.col("__regex") & ~F.col("__lexicon") & ~F.col("__response")
     return out, rows.where(lost).select("chunk_id", F.lit("no extractor").alias("reason"))

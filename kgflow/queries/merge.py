@@ -219,11 +219,14 @@ def lexicon_from_labels(spark, d):
     return C.lexicon_from_labels(rows.withColumn("labels", tags))
 
 
-@query("SELECT count(*) AS n, sum(least(length(text), 98))::BIGINT AS n_chars, 0::BIGINT AS n_rejects FROM documents WHERE text <> ''")
+@query("""WITH t AS (SELECT length(text) AS n, CASE WHEN doc_id % 11 = 0 THEN 'not json' WHEN coalesce(text, '') = '' THEN 'no text' WHEN doc_id % 7 = 0 THEN 'no labels' END AS reason FROM documents)
+SELECT coalesce(reason, 'ok') AS part, count(*) AS n, (sum(least(n, 98)) FILTER (reason IS NULL))::BIGINT AS n_chars FROM t GROUP BY 1""")
 def prepare_tag_corpus(spark, d):
-    lines = table(spark, d, "documents").where("text <> ''").select(F.to_json(F.struct("text", F.array_repeat(F.lit("X"), F.length("text")).alias("labels"))).alias("value"))
-    ok, bad = C.prepare_tag_corpus(lines, ["B-W"], 100)
-    return ok.agg(F.count("*").alias("n"), F.sum(F.size("chars")).alias("n_chars")).crossJoin(bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rejects")))
+    """Every document as a line; some have no labels, some are no JSON."""
+    labels = F.when(F.col("doc_id") % 7 != 0, F.array_repeat(F.lit("X"), F.length("text")))
+    line = F.when(F.col("doc_id") % 11 == 0, F.lit("{no json")).otherwise(F.to_json(F.struct("text", labels.alias("labels"))))
+    ok, bad = C.prepare_tag_corpus(table(spark, d, "documents").select(line.alias("value")), ["B-W"], 100)
+    return ok.agg(F.count("*").alias("n"), F.sum(F.size("chars")).alias("n_chars")).select(F.lit("ok").alias("part"), "n", "n_chars").where("n > 0").union(bad.select("reason", "n", F.lit(None).cast("long")))
 
 
 @query("""WITH t AS (SELECT l_discount * 10 AS a, 1 - l_discount * 10 AS b, l_tax * 10 AS k, (l_quantity / 50) AS s FROM lineitem)

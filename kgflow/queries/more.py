@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgflow.functions import text as T
 from kgflow.operators import embed as E
+from kgflow.operators import extractors as N
 from kgflow.operators import records as R
 from kgflow.operators import segment as G
 from kgflow.operators import sets as X
@@ -61,7 +62,7 @@ def number_chunks(spark, d):
     return E.number_rows(rows.where(english), "id", "chunk_", ledger).union(E.number_rows(rows.where(~english), "id", "chunk_", ledger)).drop("id", "lang")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, count(*) AS n FROM w GROUP BY ALL)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::INT % 32 AS dim, count(*) AS n FROM w GROUP BY ALL)
 SELECT d.doc_id AS node_id, coalesce(round(max(n) / sqrt(sum(n * n)), 6), 0) AS top, count(n) AS used, any_value(lang) IS DISTINCT FROM 'en' AS later FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def embed_table(spark, d):
     """English texts first; a second run over all, by the ledger of the first, embeds the rest."""
@@ -74,6 +75,66 @@ def embed_table(spark, d):
     return both.select("node_id", F.round(F.array_max("embedding"), 6).alias("top"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"), "later")
 
 
+def _counting_model():
+    """A model that gives three counts of a text, cannot take '!!', and gives too little for licenses."""
+
+    def model(texts):
+        if any("!!" in t for t in texts):
+            raise ValueError("noise")
+        return [[len(t), t.count(" "), t.count("e")][: 2 if "License" in t else 3] for t in texts]
+
+    return model
+
+
+@query("""SELECT doc_id AS node_id, CASE WHEN coalesce(text, '') = '' THEN 'no text' WHEN contains(text, '!!') THEN 'ValueError: noise' WHEN contains(text, 'License') THEN '2 numbers instead of 3' END AS reason,
+CASE WHEN coalesce(text, '') <> '' AND NOT contains(text, '!!') AND NOT contains(text, 'License') THEN 1000000.0 * length(text) + 1000 * (length(text) - length(replace(text, ' ', ''))) + length(text) - length(replace(text, 'e', '')) END::DOUBLE AS told FROM documents""")
+def embed_batches(spark, d):
+    """A model of Python over all documents, in batches; texts that it cannot take are told."""
+    none = spark.createDataFrame([], "node_id long, stage string, status string")
+    ok, bad = E.embed_batches(table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text"), none, "text", _counting_model, 3)
+    told = F.get("embedding", F.lit(0)) * 1000000 + F.get("embedding", F.lit(1)) * 1000 + F.get("embedding", F.lit(2))
+    return ok.select("node_id", F.lit(None).cast("string").alias("reason"), told.alias("told")).union(bad.select("node_id", "reason", F.lit(None).cast("double")))
+
+
+def _mail_extractor():
+    import re
+
+    mail = re.compile(_MAIL)
+    return lambda text, metadata: [("contact", {"mail": m, "lang": metadata.get("lang")}) for m in mail.findall(text)]
+
+
+class _Terms:
+    """Remembers the longest words of a source, which the texts of its documents brought first."""
+
+    def __init__(self):
+        self.seen, self.longest = 0, ""
+
+    def __call__(self, text, metadata):
+        self.seen += 1
+        self.longest = max([self.longest, *text.split(" ")], key=lambda w: len(w.encode()))
+        return ()
+
+    def finish(self):
+        yield "source", {"n": self.seen, "longest": len(self.longest.encode())}
+
+
+@query(r"""SELECT doc_id AS chunk_id, 'contact' AS node_type, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+')) AS mail, lang FROM documents""")
+def user_extractor(spark, d):
+    """A user's Python, which expands each text to rows, beside the other routes of extraction."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("text").alias("document_type"), F.lit("text").alias("file_type"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    nodes, _ = R.extract_chunks(chunks, {}, {}, extractors={"text": _mail_extractor})
+    return nodes.select("chunk_id", "node_type", F.col("attributes")["mail"].alias("mail"), F.col("attributes")["lang"].alias("lang"))
+
+
+@query("""WITH w AS (SELECT source, doc_id, max(strlen(w)) AS n FROM (SELECT source, doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1, 2)
+SELECT source AS source_file, count(*) AS n, max(n) AS longest FROM w GROUP BY 1""")
+def user_document_extractor(spark, d):
+    """A user's Python that reads the documents of a source in order and tells of all at the end."""
+    chunks = table(spark, d, "documents").select(F.col("source").alias("source_file"), "doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    found = N.extract_by_document(chunks, _Terms, "doc_id")
+    return found.select("source_file", F.col("attributes")["n"].cast("long").alias("n"), F.col("attributes")["longest"].cast("long").alias("longest"))
+
+
 @query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END, ''), CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END, 'q') AS text FROM customer")
 def lexicon_fallback(spark, d):
     c = table(spark, d, "customer")

@@ -11,6 +11,7 @@ from kgflow.functions import text as T
 from kgflow.operators import corpus as C
 from kgflow.operators import dialog as D
 from kgflow.operators import embed as E
+from kgflow.operators import extractors as N
 from kgflow.operators import joins as J
 from kgflow.operators import lexicon as L
 from kgflow.operators import merge as M
@@ -395,3 +396,166 @@ def test_feedback(spark):
 def test_normalisation(spark):
     assert one(spark, T.normalize_grade(F.lit(" Ⅲ级 "), {})) == "III"
     assert one(spark, T.render(F.lit("{a} and {b}"), F.create_map(F.lit("a"), F.lit("x")))) == "x and "
+
+
+def _plain_chunks(sentences, size, overlap):
+    """The chunks of ``chunk_text`` by its description, sentence by sentence."""
+    chunks, now = [], []
+    for k, s in enumerate(sentences):
+        carried = chunks[-1][0] if chunks else ""
+        carried = carried[-overlap:] if overlap else carried
+        counted = (len(carried) if chunks else 0) + sum(len(x) + 1 for x in now)
+        if now and counted + len(s) > size:
+            chunks.append((" ".join([carried, *now] if chunks else now), counted))
+            now = []
+        now.append(s)
+    if now:
+        carried = (chunks[-1][0][-overlap:] if overlap else chunks[-1][0]) if chunks else ""
+        chunks.append((" ".join([carried, *now] if chunks else now), (len(carried) if chunks else 0) + sum(len(x) + 1 for x in now)))
+    out, start = [], 0
+    for text, counted in chunks:
+        out.append((text.strip(), start, start + counted))
+        start += counted - overlap if counted > overlap else start
+    return out
+
+
+def test_chunks_follow_their_description():
+    rnd = random.Random(7)
+    for _ in range(3000):
+        sentences = ["".join(rnd.choices("abc", k=rnd.randint(1, rnd.choice([3, 30])))) for _ in range(rnd.randint(0, 12))]
+        size, overlap = rnd.randint(1, 60), rnd.choice([0, 1, 5, 20])
+        assert T.pack_sentences(sentences, size, overlap) == _plain_chunks(sentences, size, overlap)
+
+
+def test_automaton_equals_windows(spark, sf):
+    """100,000 terms of 2 to 12 characters, some of them parts of others."""
+    docs = L.normalise(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "日本語😀日本")], "doc_id long, text string"))
+    rnd, texts = random.Random(2), [r.text for r in docs.collect() if r.text]
+    terms = {"", "日本", "本語", "😀"}
+    while len(terms) < 100_000:
+        t = rnd.choice(texts)
+        i, n = rnd.randrange(len(t)), rnd.randint(2, 12)
+        terms.add(t[i : i + n] if rnd.random() < 0.2 else "".join(rnd.choices("abcdefghijklmnop", k=n)))
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert L.automaton(lexicon) and not L.automaton(lexicon, 1000)
+    rows = [sorted((r.doc_id, r.start, r.end, r.term) for r in L.lexicon_match(docs.where(keep), lexicon, most).collect()) for keep, most in (("doc_id < 20", L.AUTOMATON_CHARS), ("doc_id < 20", 1000))]
+    assert rows[0] == rows[1] and len(rows[0]) > 1000 and (-3, 0, 2, "日本") in rows[0] and (-3, 3, 4, "😀") in rows[0]
+    assert L.lexicon_match(docs, lexicon.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [L.AUTOMATON_CHARS, 0])
+def test_keywords_of_any_number(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "automaton", lambda terms: L.automaton(terms, most))
+    monkeypatch.setattr(S, "lexicon_match", lambda rows, terms: L.lexicon_match(rows, terms, most))
+    docs = spark.createDataFrame([(1, "a rock and rocks"), (1, "no"), (2, None), (3, "rock salt")], "doc_id long, text string")
+    words = spark.createDataFrame([("stone", "rock"), ("music", "rock"), ("food", "salt"), ("none", "")], "node_type string, keyword string")
+    assert sorted(tuple(r) for r in S.keyword_nodes(docs, words).collect()) == [(1, "music", "rock"), (1, "stone", "rock"), (3, "food", "salt"), (3, "music", "rock"), (3, "stone", "rock")]
+
+
+def test_alias_chains_and_cycles(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(100)]
+    cycle = [("x", "y"), ("y", "z"), ("z", "x"), ("into", "x"), ("self", "self"), ("twice", "n0"), ("twice", "n50")]
+    aliases = spark.createDataFrame(chain + cycle, "node_id string, kept_id string")
+    edges = spark.createDataFrame([("n0", "R", "n99"), ("n5", "R", "q"), ("x", "R", "into"), ("self", "R", "twice"), (None, "R", "n1")], "head string, relation_type string, tail string")
+    got, cycles = J.remap_edges(edges, aliases)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([("n100", "R", "n100"), ("n100", "R", "q"), ("x", "R", "into"), ("self", "R", "n100"), (None, "R", "n100")], key=str)
+    assert sorted(tuple(r) for r in cycles.collect()) == [("into", "x"), ("x", "y"), ("y", "z"), ("z", "x")]
+    got, cycles = J.remap_edges(edges, aliases.limit(0))
+    assert got.count() == 5 and cycles.count() == 0
+
+
+def test_pairs_by_cardinality(spark):
+    rows = lambda side: spark.createDataFrame([(c, f"{side}{c}{i}", i) for c, n in enumerate(side_sizes[side]) for i in range(n)], "chunk_id long, node_id string, pos long")
+    side_sizes = {"h": [1, 1, 3, 3, 2, 0], "t": [1, 3, 1, 2, 3, 2]}
+    got = sorted((r.chunk_id, r.head, r.tail) for r in J.relate_by_cardinality(rows("h"), rows("t")).collect())
+    want = []
+    for c, (n, m) in enumerate(zip(*side_sizes.values(), strict=True)):
+        want += [(c, f"h{c}{i}", f"t{c}{j}") for i in range(n) for j in range(m) if n == 1 or m == 1 or i == j]
+    assert got == want
+
+
+def test_a_tree_of_look_ups_equals_each_alone(spark):
+    rnd = random.Random(4)
+    nodes = [(f"{t}{i}", t, {"name": f"{t}-{i}"} if i else {}) for t in "abc" for i in range(5)]
+    edges = list({(rnd.choice("RS"), f"{rnd.choice('abc')}{rnd.randint(0, 5)}", f"{rnd.choice('abc')}{rnd.randint(0, 5)}") for _ in range(60)})
+    n = spark.createDataFrame(nodes, "node_id string, node_type string, attributes map<string,string>")
+    e = spark.createDataFrame(edges, "relation_type string, head string, tail string")
+    requests = spark.createDataFrame([(k, x) for k, x in enumerate([f"a{i}" for i in range(6)] + ["a1", "b2", "zz", None])], "request_id long, node_id string")
+    queries = [A.Association("own", (A.Field("name", "name", "?"),), kind="direct")]
+    for k in range(9):
+        steps = tuple(A.Step(rnd.choice("RS"), rnd.choice(["OUT", "IN", "BOTH"]), rnd.random() < 0.3, rnd.choice([None, "b", "c"])) for _ in range(rnd.randint(1, 3)))
+        queries.append(A.Association(f"q{k}", (A.Field("name", "last"), A.Field("name", "first", "none", rnd.randint(0, 1))), steps))
+    queries += [A.Association(f"{q.name}_more", q.fields, (*q.steps, A.Step("R"))) for q in queries[1:4]]
+    known = {i: a for i, _, a in nodes}
+
+    def plain(anchor, q):
+        if q.kind == "direct":
+            return [(known.get(anchor, {}).get("name", "?"),)]
+        paths = [[anchor]] if anchor in known else []
+        for s in q.steps:
+            longer = []
+            for p in paths:
+                out = [t for r, h, t in edges if s.direction != "IN" and (r, h) == (s.relation_type, p[-1])] + [h for r, h, t in edges if s.direction != "OUT" and (r, t) == (s.relation_type, p[-1])]
+                out = [x for x in out if x in known and s.node_type in (None, x[0])]
+                longer += [[*p, x] for x in out] or ([[*p, None]] if s.optional else [])
+            paths = longer
+        value = lambda p, f: known.get(p[f.step if f.step >= 0 else len(q.steps)], {}).get(f.attribute) or f.fallback
+        return sorted([tuple(value(p, f) for f in q.fields) for p in paths], key=lambda r: tuple((x is not None, x or "") for x in r))
+
+    for r in A.associate_all(requests, n, e, queries).collect():
+        anchor = next(x.node_id for x in requests.collect() if x.request_id == r.request_id)
+        if anchor is not None:
+            assert {q.name: [tuple(x) for x in r[q.name]] for q in queries} == {q.name: plain(anchor, q) for q in queries}, anchor
+    one = queries[4]
+    got = sorted((r.request_id, r.last, r.first) for r in A.associate(requests, n, e, one).select("request_id", F.coalesce("last", F.lit("")).alias("last"), F.coalesce("first", F.lit("")).alias("first")).collect())
+    assert got == sorted((r.request_id, a or "", b or "") for r in requests.collect() for a, b in plain(r.node_id, one))
+
+
+def test_json_values_of_any_depth(spark):
+    deep = '{"a":[' * 50_000 + '{"k":{"z":[1.50,"ü\\n"]}}' + "]}" * 50_000
+    rows = spark.createDataFrame([(1, deep), (2, deep[:-1]), (3, '{"k":null}'), (4, "[" * 60_000 + '{"k":"t","k":-2e3}' + "]" * 60_000), (5, deep.replace('"k"', '"l"'))], "id long, json string")
+    got = {r.id: r.v for r in rows.select("id", T.json_find_key(F.col("json"), "k").alias("v")).collect()}
+    assert got == {1: '{"z":[1.5,"ü\\n"]}', 2: None, 3: None, 4: "-2000.0", 5: None}
+
+
+class _Words:
+    def __init__(self):
+        self.n = 0
+
+    def __call__(self, text, metadata):
+        self.n += 1
+        return [("word", {"w": w, "place": self.n, "from": metadata.get("file")}) for w in text.split()]
+
+    def finish(self):
+        yield "document", {"n": self.n}
+
+
+def test_extractors_of_users(spark):
+    chunks = spark.createDataFrame([(1, "f1", "b c", {"file": "x"}), (0, "f1", "a", None), (2, "f2", None, {}), (3, "f2", "", {})], "chunk_id long, source_file string, text string, metadata map<string,string>")
+    got = [(r.chunk_id, r.node_type, r.attributes["w"], r.attributes["from"]) for r in N.extract_nodes(chunks, _Words).collect()]
+    assert sorted(got, key=str) == [(0, "word", "a", None), (1, "word", "b", "x"), (1, "word", "c", "x")]
+    by = sorted((r.source_file, r.node_type, r.attributes.get("w") or "", r.attributes.get("place") or r.attributes["n"]) for r in N.extract_by_document(chunks, _Words).collect())
+    assert by == [("f1", "document", "", "2"), ("f1", "word", "a", "1"), ("f1", "word", "b", "2"), ("f1", "word", "c", "2"), ("f2", "document", "", "1")]
+    assert N.extract_nodes(chunks.limit(0), _Words).count() == N.extract_by_document(chunks.limit(0), _Words).count() == 0
+    spark.udtf.register("user_words", N.table_function(_Words))
+    chunks.createOrReplaceTempView("user_chunks")
+    assert spark.sql("SELECT chunk_id, attributes['w'] AS w FROM user_chunks, LATERAL user_words(text, metadata)").count() == 3
+
+
+def test_blank_requests_share_members(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    edges = spark.createDataFrame([("R", "a", "x"), ("R", "a", "x"), ("R", "b", "y"), ("R", "gone", "x"), ("S", "c", "x"), ("R", "c", " ")], "relation_type string, head string, tail string")
+    requests = lambda rows: spark.createDataFrame(rows, "query_id long, category string")
+    asked, members = J.restrict_subgraph(nodes, edges, requests([(1, " x "), (2, None), (3, ""), (4, "nothing")]), "R")
+    assert sorted(tuple(r) for r in asked.collect()) == [(1, "x"), (2, ""), (3, ""), (4, "nothing")]
+    assert sorted(tuple(r) for r in members.collect()) == [("", "a"), ("", "b"), ("", "c"), ("x", "a")]
+    assert J.restrict_subgraph(nodes, edges, requests([(1, "y")]), "R")[1].collect() == [("y", "b")]
+
+
+def test_merge_of_one_key_with_many_nodes(spark):
+    rnd = random.Random(6)
+    rows = [("k", f"c{rnd.randint(0, 4)}", f"n{rnd.randint(0, 30)}", {"a": str(i)}, rnd.random(), i) for i in rnd.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "merge_key string, chunk_id string, node_id string, attributes map<string,string>, confidence double, ord long").repartition(4)
+    got, rows = M.merge_global(df).collect(), sorted(rows, key=lambda r: r[5])
+    assert len(got) == 1 and got[0].node_id == rows[0][2] and got[0].attributes == rows[0][3] and got[0].confidence == max(r[4] for r in rows)
+    assert got[0].source_chunks == list(dict.fromkeys(r[1] for r in rows)) and got[0].all_node_ids == list(dict.fromkeys(r[2] for r in rows))
