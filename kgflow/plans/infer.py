@@ -13,7 +13,8 @@ from kgflow.operators.joins import interval_contains_join, interval_overlap_join
 
 @dataclass(frozen=True)
 class SingleHop:
-    """kind: id_match, attribute_match, overlap, contains or contained_by."""
+    """kind: id_match, attribute_match, overlap, contains, contained_by, or explicit_relation, which takes stored edges of
+    ``relation`` as they are."""
 
     relation_type: str
     head_type: str
@@ -22,6 +23,7 @@ class SingleHop:
     head_key: str = "node_id"
     tail_key: str = "node_id"
     confidence: float = 0.9
+    relation: str = ""
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,12 @@ class MultiHop:
         return [self.steps[0].from_type, *(s.to_type for s in self.steps)]
 
 
-def match_step(heads: DataFrame, tails: DataFrame, rule: SingleHop) -> DataFrame:
-    """Pairs (a, b) of the rule's kind of step."""
+def match_step(heads: DataFrame, tails: DataFrame, rule: SingleHop, edges: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of the rule's kind of step; explicit relations are looked up in ``edges``, parallel ones once."""
+    if rule.kind == "explicit_relation":
+        stored = edges.where(F.col("relation_type") == rule.relation).select("head", "tail").distinct()
+        a, b = heads.select(F.struct(*heads.columns).alias("a")), tails.select(F.struct(*tails.columns).alias("b"))
+        return stored.join(a, F.col("head") == F.col("a.node_id")).join(b, F.col("tail") == F.col("b.node_id")).select("a", "b")
     if rule.kind in ("id_match", "attribute_match"):
         return key_match_join(heads, tails, rule.head_key, rule.tail_key)
     if rule.kind == "overlap":
@@ -74,9 +80,9 @@ def match_step(heads: DataFrame, tails: DataFrame, rule: SingleHop) -> DataFrame
     raise ValueError(f"unknown step kind: {rule.kind}")
 
 
-def infer_single_hop(nodes: DataFrame, rule: SingleHop) -> DataFrame:
+def infer_single_hop(nodes: DataFrame, rule: SingleHop, edges: DataFrame | None = None) -> DataFrame:
     """Edges (relation_type, head, tail, confidence, method, evidence) between the rule's two node types."""
-    met = match_step(nodes.where(F.col("node_type") == rule.head_type), nodes.where(F.col("node_type") == rule.tail_type), rule)
+    met = match_step(nodes.where(F.col("node_type") == rule.head_type), nodes.where(F.col("node_type") == rule.tail_type), rule, edges)
     evidence = F.concat(F.lit(f"{rule.kind}: "), F.col("a.node_id"), F.lit(" ~ "), F.col("b.node_id"))
     return met.where("a.node_id <> b.node_id").select(
         F.lit(rule.relation_type).alias("relation_type"), F.col("a.node_id").alias("head"), F.col("b.node_id").alias("tail"),

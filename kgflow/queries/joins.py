@@ -84,6 +84,14 @@ def match_step(spark, d):
     return I.infer_single_hop(iv, I.SingleHop("COVERS", "P", "O", "contained_by"))
 
 
+@query("""SELECT 'BUYS' AS relation_type, 'c' || o_custkey AS head, 'o' || o_orderkey AS tail, 0.95::DOUBLE AS confidence, 'explicit_relation' AS method, 'explicit_relation: c' || o_custkey || ' ~ o' || o_orderkey AS evidence
+FROM orders JOIN customer ON c_custkey = o_custkey""")
+def infer_explicit_relation(spark, d):
+    """Stored edges of one relation, as edges of another."""
+    rule = I.SingleHop("BUYS", "customer", "orders", "explicit_relation", confidence=0.95, relation="PLACED")
+    return I.infer_single_hop(G.nodes(spark, d).drop("attributes"), rule, G.edges(spark, d))
+
+
 @query(f"""WITH {SQL_EDGES}, p AS (SELECT a.head, b.tail AS part, [a.head, a.tail, b.tail] AS path, b.confidence AS confidence
 FROM g_edges a JOIN g_edges b ON a.tail = b.head WHERE a.relation_type = 'PLACED' AND b.relation_type = 'CONTAINS'),
 q AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY path) AS rn FROM p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgflow.functions import text as T
 from kgflow.operators import embed as E
 from kgflow.operators import extractors as N
+from kgflow.operators import merge as M
 from kgflow.operators import records as R
 from kgflow.operators import segment as G
 from kgflow.operators import sets as X
@@ -141,12 +142,31 @@ def lexicon_fallback(spark, d):
     return c.select("c_custkey", V.lexicon_fallback(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(""), F.when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")), F.lit("q")).alias("text"))
 
 
-@query(f"WITH {misc._COS} SELECT query_id, count(*) AS n, arg_min(node_id, rank) AS best, max(rank) AS last FROM c WHERE rank <= 10 GROUP BY 1")
+@query(f"WITH {misc._COS}, {misc._GATE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY alpha * similarity + (1 - alpha) * key_score DESC, node_id) AS r FROM w)"
+       " SELECT query_id, count(*) AS n, string_agg('v' || node_id, '|' ORDER BY r) AS names FROM f WHERE r <= 4 GROUP BY 1")
 def recommend(spark, d):
     v = misc._vectors(spark, d)
-    found = V.cosine_topk(misc._queries(spark, d).select("query_id", "category", "q"), v.select("node_id", "category", "v"), "category", 0.1)
-    r = V.recommend(found.withColumnRenamed("similarity", "score"), v.select("node_id", F.concat(F.lit("v"), "node_id").alias("name")))
-    return r.select("query_id", F.size("results").cast("long").alias("n"), F.get("results", F.lit(0))["node_id"].alias("best"), F.element_at("results", -1)["rank"].alias("last"))
+    found = V.hybrid_search(misc._queries(spark, d), v, "category", misc._HIDDEN, misc._OUT, 0.1)
+    r = V.recommend(found, v.select("node_id", F.concat(F.lit("v"), "node_id").alias("name")))
+    return r.select("query_id", F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda x: x["name"]), "|").alias("names"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 63 ELSE 64 END AS n, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS ok FROM embeddings WHERE vec_id % 7 <> 0
+UNION ALL SELECT vec_id, NULL, false FROM embeddings WHERE vec_id % 7 = 0""")
+def check_vectors(spark, d):
+    """Vectors of another length, and missing ones, are told apart."""
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))).alias("v"))
+    ok, bad = V.check_vectors(e, "v", 64)
+    return ok.select("vec_id", F.size("v").alias("n"), F.lit(True).alias("ok")).union(bad.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")), F.lit(False)))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")
+def parse_date(spark, d):
+    """Dates in texts, in both forms; a thirteenth month is none."""
+    y, m, day = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
+    worded, dashed = F.concat(F.lit("recorded on "), y, F.lit("年"), m, F.lit("月"), day, F.lit("日")), F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), day, F.lit(" 10:00"))
+    text = F.when(F.col("o_orderkey") % 4 == 3, F.concat(y, F.lit("-13-"), day)).when(F.col("o_orderkey") % 2 == 0, worded).otherwise(dashed)
+    return table(spark, d, "orders").select("o_orderkey", M.parse_date(text).alias("day"))
 
 
 @query("""SELECT o_orderkey AS chunk_id, 'order' AS node_type, o_orderstatus AS value FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 'key', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 6 IN (1, 4)
