@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.operators.joins import interval_contains_join, interval_overlap_join, key_match_join
+from kgflow.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -114,28 +115,31 @@ def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataF
     the type of an earlier one: then every path ends, a source needs no more than its first ``max_paths``, and a node no
     more than that many next ones and one for each node it may not visit again.  So a rule through a hub costs its
     edges and its result, not the square of the hub; a type that comes back later is followed in full until it has come.
+    Steps after the first are written in shared scratch space, cut like that.
     """
     types, k = rule.types, rule.max_paths
+    certain = [all(types[j] not in types[:j] for j in range(place + 1, len(types))) for place in range(len(types))]
     pairs: list[DataFrame] = []
     ends = nodes.where(F.col("node_type") == types[-1]).select(F.col("node_id").alias("to"))
-    for step in reversed(rule.steps):
-        pairs.insert(0, step_pairs(nodes, edges, step, ends))
-        ends = pairs[0].select(F.col("at").alias("to")).distinct()
-    paths = None
-    for i, led in enumerate(pairs):
-        place = i + 1
-        certain = all(types[j] not in types[:j] for j in range(place + 1, len(types)))
-        if certain:
+    for place in range(len(rule.steps), 0, -1):
+        led = step_pairs(nodes, edges, rule.steps[place - 1], ends)
+        if certain[place]:
             nth = F.dense_rank().over(Window.partitionBy("at").orderBy("to"))
             led = led.withColumn("nth", nth).where(F.col("nth") <= k + types[:place].count(types[place]))
         led = led.groupBy("at", "to").agg(F.max("c").alias("c"))
+        if place > 1:  # the step before it and the paths read it
+            led = written(led, "step")
+            ends = led.select(F.col("at").alias("to")).distinct()
+        pairs.insert(0, led)
+    paths = None
+    for place, led in enumerate(pairs, 1):
         if paths is None:
             paths = led.where("at <> to").select(F.array("at", "to").alias("path"), F.col("to").alias("at"), "c")
         else:
             c = F.col("c") if rule.confidence == "last" else F.col("before") * F.col("c")
             met = paths.withColumnRenamed("c", "before").join(led, "at").where(~F.array_contains("path", F.col("to")))
             paths = met.select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"), c.alias("c"))
-        if certain:
+        if certain[place]:
             order = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
             paths = paths.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
     return paths.select(
