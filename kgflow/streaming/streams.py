@@ -11,22 +11,29 @@ from pyspark.sql.streaming.listener import StreamingQueryProgress
 from kgflow.sources.keyed import GraphStore, KeyedTable
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: State in RocksDB; a batch stores what it has changed, and snapshots follow in the background.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[StreamingQueryProgress]:
-    """Processes what is there and stops; the checkpoint makes a later run go on from there.  State is kept in RocksDB.
+    """Processes what is there and stops; the checkpoint makes a later run go on from there.
 
     Gives what Spark tells of the last batches.
     """
-    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(_STORE, None)
-    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        conf.set(k, v)
     try:
         query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query.recentProgress
     finally:
-        conf.set(_STORE, before) if before else conf.unset(_STORE)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def stream_ingest(stream: DataFrame, out: str, ledger: str, checkpoint: str, stage: str, key: str) -> None:
