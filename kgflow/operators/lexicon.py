@@ -42,7 +42,7 @@ class Automaton:
 
     def __init__(self, spark: SparkSession, terms: Iterable[str]):
         made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for term in terms:
+        for term in filter(None, terms):
             made.add_word(term)
         made.make_automaton()
         self.shared = spark.sparkContext.broadcast(made) if len(made) else None
@@ -85,6 +85,14 @@ def lexicon_match(docs: DataFrame, lexicon: DataFrame, most: int = AUTOMATON_CHA
     return rows.select("doc_id", "start", (F.col("start") + F.length("term")).alias("end"), "term")
 
 
+def terms_in(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """docs(doc_id, text): (doc_id, term), once for each pair; the terms are a list of the driver's, of any size."""
+    if sum(map(len, terms)) <= AUTOMATON_CHARS:
+        known = Automaton(docs.sparkSession, terms)
+        return docs.select("doc_id", F.explode(known.terms_in(F.col("text"))).alias("term")).distinct()
+    return lexicon_match(docs, docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")).select("doc_id", "term").distinct()
+
+
 def _windows(lexicon: DataFrame) -> Callable[[Column], Column]:
     """The windows of a text that are as long as some term; there are as many lengths as the longest term has characters at most."""
     lengths = [r[0] for r in lexicon.where("term <> ''").select(F.length("term")).distinct().collect()]

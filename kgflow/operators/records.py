@@ -109,7 +109,7 @@ def extract_chunks(
     'response' or 'none'.  ``extractors`` are Python of the user's for texts of a document type,
     besides its other routes (``kgflow.operators.extractors``).  Chunks without any route are rejected.
     """
-    from kgflow.operators.lexicon import Automaton, normalise
+    from kgflow.operators.lexicon import normalise, terms_in
     from kgflow.operators.segment import regex_extract_nodes
 
     lexicons, response_types, extractors = lexicons or {}, response_types or {}, extractors or {}
@@ -136,8 +136,7 @@ def extract_chunks(
         parts.append(n.select(F.col("doc_id").alias("chunk_id"), "node_type", F.create_map("attribute", "value").alias("attributes")))
     for name, (node_type, terms) in lexicons.items():
         own = rows.where(F.col("__lexicon") & (kind == name)).select(F.col("chunk_id").alias("doc_id"), "text")
-        known = Automaton(chunks.sparkSession, terms)
-        n = normalise(own).select("doc_id", F.explode(known.terms_in(F.col("text"))).alias("term")).distinct()
+        n = terms_in(normalise(own), terms)
         parts.append(n.select(F.col("doc_id").alias("chunk_id"), F.lit(node_type).alias("node_type"), F.create_map(F.lit("term"), "term").alias("attributes")))
     for name, types in response_types.items():
         own = responses.join(rows.where(F.col("__response") & (kind == name)).select("chunk_id"), "chunk_id", "left_semi")
