@@ -24,17 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
-def nodes(spark, d):
-    """Every line of an order is a node extracted from the order; forty orders make a file."""
-    li = table(spark, d, "lineitem")
+def nodes(spark, d, by="source_file"):
+    """Every line of an order is a node extracted from the order; forty orders make a file.
+
+    The lines are dealt once, before they have strings and maps, by ``by``: the file, or the chunk, which is the order.
+    An id names its order, so its copies lie together, and what groups by file or by chunk needs no further shuffle.
+    """
+    li = table(spark, d, "lineitem").withColumns({"source_file": F.concat(F.lit("f"), F.floor(F.col("l_orderkey") / 40)), "chunk_id": F.col("l_orderkey")}).repartition(by)
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("long"), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"))
-    status = F.col("l_linestatus")
-    attrs = F.create_map(F.lit("status"), status, F.lit("qty"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int").cast("string")).otherwise(""), F.lit("day"), F.date_format("l_shipdate", "yyyy-MM-dd"))
-    rows = li.select(
-        F.concat(F.lit("f"), F.floor(F.col("l_orderkey") / 40)).alias("source_file"), F.col("l_orderkey").alias("chunk_id"), key.alias("node_id"), F.col("l_returnflag").alias("node_type"),
-        attrs.alias("attributes"), F.col("l_discount").alias("confidence"), key.alias("ord"), (F.col("l_linenumber") % 3).alias("section"),
-    )
-    return rows.dropDuplicates(["node_id"]).withColumn("merge_key", M.merge_key(F.col("node_type"), F.create_map(F.lit("status"), F.col("attributes")["status"], F.lit("qty"), F.col("attributes")["qty"])))
+    rows = li.select("source_file", "chunk_id", key.alias("node_id"), F.col("l_returnflag").alias("node_type"), "l_linestatus", "l_quantity", "l_shipdate", F.col("l_discount").alias("confidence"), (F.col("l_linenumber") % 3).alias("section"))
+    attrs = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("qty"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int").cast("string")).otherwise(""), F.lit("day"), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    rows = rows.dropDuplicates([by, "node_id"]).select("source_file", "chunk_id", "node_id", "node_type", attrs.alias("attributes"), "confidence", F.col("node_id").alias("ord"), "section")
+    return rows.withColumn("merge_key", M.merge_key(F.col("node_type"), F.create_map(F.lit("status"), F.col("attributes")["status"], F.lit("qty"), F.col("attributes")["qty"])))
 
 
 _N = """n AS (SELECT DISTINCT ON (node_id) * FROM (SELECT 'f' || (l_orderkey // 40) AS source_file, l_orderkey AS chunk_id,
@@ -56,7 +57,7 @@ def merge_key(spark, d):
 
 @query(f"WITH {_N} SELECT chunk_id, merge_key, node_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, merge_key ORDER BY confidence DESC, node_id) AS rn FROM n) WHERE rn = 1")
 def dedup_nodes(spark, d):
-    return M.dedup_nodes(nodes(spark, d)).select("chunk_id", "merge_key", "node_id")
+    return M.dedup_nodes(nodes(spark, d, "chunk_id")).select("chunk_id", "merge_key", "node_id")
 
 
 @query("""SELECT chunk_id, head, relation_type, tail, confidence FROM (SELECT l_orderkey % 100 AS chunk_id, 'o' || l_orderkey AS head, 'SUPPLIED_BY' AS relation_type, 's' || l_suppkey AS tail, max(l_discount) AS confidence FROM lineitem GROUP BY ALL)""")
@@ -67,7 +68,7 @@ def dedup_edges(spark, d):
 
 @query(f"WITH {_N} SELECT merge_key, min(node_id) AS node_id, arg_min(day, node_id) AS day, max(confidence) AS confidence, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_ids, arg_min(chunk_id, node_id) AS first_chunk FROM n GROUP BY 1")
 def merge_global(spark, d):
-    m = M.merge_global(nodes(spark, d))
+    m = M.merge_global(nodes(spark, d, "chunk_id"))
     return m.select("merge_key", "node_id", F.col("attributes")["day"].alias("day"), "confidence", F.size("source_chunks").cast("long").alias("n_chunks"), F.size("all_node_ids").cast("long").alias("n_ids"), F.get("source_chunks", F.lit(0)).alias("first_chunk"))
 
 

@@ -563,3 +563,12 @@ def test_merge_of_one_key_with_many_nodes(spark):
     got, rows = M.merge_global(df).collect(), sorted(rows, key=lambda r: r[5])
     assert len(got) == 1 and got[0].node_id == rows[0][2] and got[0].attributes == rows[0][3] and got[0].confidence == max(r[4] for r in rows)
     assert got[0].source_chunks == list(dict.fromkeys(r[1] for r in rows)) and got[0].all_node_ids == list(dict.fromkeys(r[2] for r in rows))
+
+
+@pytest.mark.parametrize(("name", "n"), [("agg_select_most_common", 1), ("agg_merge_attributes", 1), ("agg_merge_descriptions", 2), ("agg_create_single", 1), ("agg_merge_unique", 1), ("agg_select_earliest", 1), ("dedup_nodes", 1), ("merge_global", 2)])
+def test_nodes_of_lines_are_dealt_once(spark, sf, name, n):
+    """The shuffles of a plan: lines are dealt by file or chunk, which everything but keys across files goes by."""
+    from kgflow import catalog
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x]) <= n
