@@ -132,3 +132,73 @@ def associate_all(requests: DataFrame, nodes: DataFrame, edges: DataFrame, queri
         found = own if found is None else found.unionByName(own, allowMissingColumns=True)
     lists = found.groupBy("__anchor").agg(*[F.sort_array(F.collect_list(q.name)).alias(q.name) for q in queries])
     return asked.join(lists, "__anchor", "left").select("request_id", *[F.coalesce(q.name, F.array()).alias(q.name) for q in queries])
+
+
+def _own(query: Association, k: int, ahead: Column | None) -> Column:
+    """The struct of those fields that a query asks of its k-th step, in ``__a<k>``, and of later ones: from ``ahead``, or all missing."""
+    later = lambda f: F.lit(f.fallback) if ahead is None else ahead[f.alias]
+    at = [(f, query.step_of(f)) for f in query.fields]
+    fields = [(F.coalesce(F.col(f"__a{k}")[f.attribute], F.lit(f.fallback)) if j == k else later(f)).alias(f.alias) for f, j in at if j >= k]
+    return F.struct(*fields or [F.lit(True).alias("known")])
+
+
+def _ends(n: Column, first: Column, last: Column) -> Column:
+    return F.struct(n.cast("long").alias("n"), first.alias("first"), last.alias("last"))
+
+
+def _met(rows: DataFrame, by: str, queries: list[Association]) -> DataFrame:
+    """The ends of all rows of each ``by``, per query; NULL where a query has no row."""
+    sums = [_ends(F.sum(f"{q.name}.n"), F.min(f"{q.name}.first"), F.max(f"{q.name}.last")).alias(q.name) for q in queries]
+    found = rows.groupBy(by).agg(*sums, F.lit(True).alias("__met"))
+    return found.withColumns({q.name: F.when(F.col(f"{q.name}.n").isNotNull(), F.col(q.name)) for q in queries})
+
+
+def _summed(nodes: DataFrame, edges: DataFrame, at: tuple[Step, ...], through: list[Association], node_type: str | None) -> DataFrame:
+    """(__n<k>, per query its ends): what each node at a place of the tree leads to, by what the places after it lead to."""
+    k = len(at)
+    rows, ends = _named(nodes, through, k, node_type), {}
+    for q in through:
+        if q.steps == at:
+            ends[q.name] = _ends(F.lit(1), _own(q, k, None), _own(q, k, None))
+    for step in dict.fromkeys(q.steps[k] for q in through if q.steps != at):
+        further = [q for q in through if q.steps[: k + 1] == (*at, step)]
+        e = edges.where(F.col("relation_type") == step.relation_type)
+        out, into = (e.select(F.col(a).alias(f"__n{k}"), F.col(b).alias(f"__n{k + 1}")) for a, b in (("head", "tail"), ("tail", "head")))
+        hop = {"OUT": out, "IN": into}.get(step.direction, out.union(into))
+        ahead = _met(hop.join(_summed(nodes, edges, (*at, step), further, step.node_type), f"__n{k + 1}"), f"__n{k}", further)
+        rows = rows.join(ahead.withColumnRenamed("__met", f"__met{len(ends)}"), f"__n{k}", "left")
+        met = F.col(f"__met{len(ends)}").isNotNull()
+        for q in further:
+            x = F.col(q.name)
+            led = F.when(x.isNotNull(), _ends(x["n"], _own(q, k, x["first"]), _own(q, k, x["last"])))
+            none = _ends(F.lit(1), _own(q, k, None), _own(q, k, None)) if all(s.optional for s in q.steps[k:]) else F.lit(None)
+            ends[q.name] = F.when(met, led).otherwise(none)
+    return rows.select(f"__n{k}", *[ends[q.name].alias(q.name) for q in through])
+
+
+def associate_ends(requests: DataFrame, nodes: DataFrame, edges: DataFrame, queries: list[Association]) -> DataFrame:
+    """One row per request and anchor: for each query struct(n, first, last), the number of its rows and the ends of their order.
+
+    What ``associate_all`` lists, told without listing it.  From the last steps of the tree backwards each node sums up
+    what it leads to, so a node that many paths share is told once: the cost is that of the edges, not of the paths,
+    and a hub that all requests pass is no more than its edges.
+    """
+    by = F.col(_anchor(queries)).alias("__anchor")
+    asked = requests.select("request_id", by).distinct()
+    anchors, out = asked.select("__anchor").distinct(), asked
+    for root in dict.fromkeys((q.kind, q.node_type if q.kind == "interval" else None) for q in queries):
+        own = [q for q in queries if (q.kind, q.node_type if q.kind == "interval" else None) == root]
+        told = _summed(nodes, edges, (), own, root[1])
+        if root[0] == "interval":
+            typed = nodes.where(F.col("node_type") == root[1]) if root[1] else nodes
+            met = interval_overlap_join(anchors.withColumnRenamed("__anchor", "iv"), typed.select("node_id", "iv"))
+            told = met.select(F.col("a.iv").alias("__anchor"), F.col("b.node_id").alias("__n0")).join(told, "__n0").drop("__n0")
+        else:
+            told = told.withColumnRenamed("__n0", "__anchor")
+        out = out.join(_met(told, "__anchor", own).withColumnRenamed("__met", f"__met_{root[0]}_{root[1]}"), "__anchor", "left")
+        if root[0] == "direct":
+            known = F.col("__anchor").isNull() | F.col(f"__met_{root[0]}_{root[1]}").isNotNull()
+            missing = lambda q: F.struct(*[F.lit(f.fallback).alias(f.alias) for f in q.fields])
+            out = out.withColumns({q.name: F.when(known, F.col(q.name)).otherwise(_ends(F.lit(1), missing(q), missing(q))) for q in own if all(s.optional for s in q.steps)})
+    none = lambda q: F.coalesce(q.name, _ends(F.lit(0), F.lit(None), F.lit(None)))
+    return out.select("request_id", *[none(q).alias(q.name) for q in queries])

@@ -581,3 +581,37 @@ def test_restrict_subgraph_gives_every_pair(spark, sf):
     n = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "supplier"))
     assert rows.columns == ["request_id", "node_id"]
     assert rows.count() == rows.distinct().count() == 6 * n
+
+
+def test_ends_are_those_of_the_lists(spark):
+    from kgflow.plans import assoc as A
+
+    node = "node_id string, node_type string, attributes map<string,string>"
+    nodes = spark.createDataFrame([(f"a{i}", "a", {"name": f"A{i}"}) for i in range(4)] + [(f"b{i}", "b", {"name": f"B{i}"} if i else {}) for i in range(3)] + [("c0", "c", {"name": "C"}), ("d", "d", {"name": "D"}), ("d", "d", {"name": "E"})], node)
+    edges = spark.createDataFrame([("R", "a0", "b0"), ("R", "a0", "b1"), ("R", "a1", "b1"), ("R", "a1", "b1"), ("R", "a2", "lost"), ("S", "b1", "c0"), ("S", "b0", "a3"), ("S", "b1", "d")], "relation_type string, head string, tail string")
+    name, r, s = A.Field("name", "name"), A.Step("R"), A.Step("S")
+    queries = [
+        A.Association("own", (A.Field("name", "name", "none"),), kind="direct"),
+        A.Association("one", (name,), (r,)),
+        A.Association("two", (A.Field("name", "name"), A.Field("name", "mid", "?", 1), A.Field("name", "start", step=0)), (r, s)),
+        A.Association("begun", (A.Field("name", "start", step=0),), (r, s)),
+        A.Association("maybe", (A.Field("name", "name", "nobody"),), (A.Step("R", optional=True),)),
+        A.Association("then", (A.Field("name", "name", "x"),), (r, A.Step("S", optional=True, node_type="c"))),
+        A.Association("lost", (A.Field("name", "name", "x"),), (A.Step("R", optional=True), s)),
+        A.Association("back", (name,), (r, A.Step("R", "IN"))),
+        A.Association("both", (name,), (A.Step("R", "BOTH"),)),
+    ]
+    requests = spark.createDataFrame([(1, "a0"), (2, "a1"), (3, "a2"), (4, "b1"), (5, "gone"), (6, "a0"), (7, None), (8, "d")], "request_id int, node_id string")
+    lists = {x.request_id: x for x in A.associate_all(requests, nodes, edges, queries).collect()}
+    ends = {x.request_id: x for x in A.associate_ends(requests, nodes, edges, queries).collect()}
+    assert len(ends) == len(lists) == 8
+    for i, row in lists.items():
+        for q in queries:
+            rows, got = row[q.name], ends[i][q.name]
+            assert (got.n, got.first, got.last) == ((len(rows), rows[0], rows[-1]) if rows else (0, None, None)), (i, q.name)
+
+
+def test_lookups_of_plans_pair_no_customer_with_all_suppliers(spark, sf):
+    from kgflow import catalog
+
+    assert "collect_list" not in catalog.QUERIES["associate_plan_lookups"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
