@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +81,32 @@ def prepare_tag_corpus(lines: DataFrame, tags: list[str], max_len: int) -> tuple
 
 
 def lexicon_from_labels(corpus: DataFrame) -> DataFrame:
-    """corpus(doc_id, chars, labels): (term, tag, n) of the runs that a B- tag begins and I- tags of its kind go on."""
-    rows = corpus.select("doc_id", F.posexplode(F.arrays_zip("chars", "labels")).alias("pos", "x")).select("doc_id", "pos", F.col("x.chars").alias("c"), F.col("x.labels").alias("t"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("run", F.sum(F.when(F.col("t").startswith("I-"), 0).otherwise(1)).over(w)).where("t <> 'O'")
-    runs = rows.groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("term"), F.min_by("t", "pos").alias("t"))
-    return runs.where(F.col("t").startswith("B-")).groupBy("term", F.col("t").substr(F.lit(3), F.length("t")).alias("tag")).agg(F.count("*").alias("n"))
+    """corpus(doc_id, chars, labels): (term, tag, n) of the runs that a B- tag begins and I- tags go on.
+
+    The runs of a batch of rows are cut from its characters at once: no character becomes a row of a shuffle.
+    """
+
+    @F.arrow_udf("array<struct<term:string,tag:string>>")
+    def runs(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        chars, labels = (pc.fill_null(pc.struct_field(flat, [k]), "").cast(pa.string()) for k in (0, 1))
+        row = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+        on, begins = (pc.starts_with(labels, p).to_numpy(zero_copy_only=False) for p in ("I-", "B-"))
+        fresh = ~on | (np.diff(row, prepend=-1) != 0)
+        start = np.flatnonzero(fresh)
+        terms = begins[start]
+        if not terms.any():
+            return pa.array([[]] * len(rows), pa.list_(pa.struct([("term", pa.string()), ("tag", pa.string())])))
+        picked = chars.filter(pa.array(terms[np.cumsum(fresh) - 1]))
+        cuts = np.concatenate([[0], np.cumsum(np.diff(start, append=len(row))[terms])])
+        offsets = np.frombuffer(picked.buffers()[1], np.int32, len(picked) + 1, 4 * picked.offset)
+        text = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(offsets[cuts].copy()), picked.buffers()[2])
+        tags = pc.utf8_slice_codeunits(labels.take(pa.array(start[terms])), 2)
+        held = np.bincount(row[start[terms]], minlength=len(rows))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.StructArray.from_arrays([text, tags], ["term", "tag"]))
+
+    found = corpus.select(F.inline(runs(F.arrays_zip("chars", "labels"))))
+    return found.groupBy("term", "tag").agg(F.count("*").alias("n"))
 
 
 def fusion_loss(rows: DataFrame, penalty: float = 0.05) -> DataFrame:

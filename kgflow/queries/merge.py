@@ -215,7 +215,7 @@ def scan_labeled_corpus(spark, d):
 def lexicon_from_labels(spark, d):
     """Letters are tagged as runs: a letter after a letter goes on, any other begins a term."""
     rows = table(spark, d, "documents").select("doc_id", F.split("text", "").alias("chars"))
-    letter = lambda c: c.rlike("^[A-Za-z]$")
+    letter = lambda c: c.between("A", "Z") | c.between("a", "z")
     tags = F.transform("chars", lambda c, i: F.when(letter(c), F.when((i > 0) & letter(F.get(F.col("chars"), F.greatest(i - 1, F.lit(0)))), "I-W").otherwise("B-W")).otherwise("O"))
     return C.lexicon_from_labels(rows.withColumn("labels", tags))
 

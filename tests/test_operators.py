@@ -615,3 +615,11 @@ def test_lookups_of_plans_pair_no_customer_with_all_suppliers(spark, sf):
     from kgflow import catalog
 
     assert "collect_list" not in catalog.QUERIES["associate_plan_lookups"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexicon_from_labels_makes_no_row_of_a_character(spark):
+    rows = [(1, list("abcd") + [None, "é"], ["B-W", "I-W", "O", "I-W", "B-V", "I-V"]), (2, ["x"], ["I-W"]), (3, [], []), (4, None, None), (5, list("ab"), ["B-W", "B-W"]), (6, list("zab"), [None, "B-W", "I-X"]), (7, list("ab"), ["X", "I-W"])]
+    found = C.lexicon_from_labels(spark.createDataFrame(rows, "doc_id int, chars array<string>, labels array<string>"))
+    assert sorted(map(tuple, found.collect())) == [("a", "W", 1), ("ab", "W", 2), ("b", "W", 1), ("é", "V", 1)]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert C.lexicon_from_labels(spark.createDataFrame(rows[1:4], "doc_id int, chars array<string>, labels array<string>")).collect() == []
