@@ -623,3 +623,14 @@ def test_lexicon_from_labels_makes_no_row_of_a_character(spark):
     assert sorted(map(tuple, found.collect())) == [("a", "W", 1), ("ab", "W", 2), ("b", "W", 1), ("é", "V", 1)]
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert C.lexicon_from_labels(spark.createDataFrame(rows[1:4], "doc_id int, chars array<string>, labels array<string>")).collect() == []
+
+
+def test_key_match_join_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(J, "KEY_BLOCK", 10)
+    left = spark.range(300).selectExpr("id", "CASE WHEN id < 200 THEN 'hot' WHEN id < 290 THEN 'k' || id END AS k", "map('a', id) AS m").drop("m")
+    right = spark.createDataFrame([(i, "hot") for i in range(7)] + [(7, "k250"), (8, "none"), (9, None)], "rid int, k string")
+    met = J.key_match_join(left, right, "k", "k")
+    pairs = met.select("a.id", "b.rid")
+    assert sorted(map(tuple, pairs.collect())) == sorted([(i, r) for i in range(200) for r in range(7)] + [(250, 7)])
+    per_task = [r[0] for r in met.where("a.k = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(per_task) < 1400
