@@ -91,17 +91,29 @@ def infer_single_hop(nodes: DataFrame, rule: SingleHop, edges: DataFrame | None
     )
 
 
-def step_pairs(nodes: DataFrame, edges: DataFrame, step: Step, ends: DataFrame) -> DataFrame:
-    """(at, to, c): where one step leads, from nodes of its first type to those of its second that ``ends`` (to) has."""
+#: Nodes for each task of a chain: the tasks grow with the graph, their rows do not.
+NODE_BLOCK = 50_000
+#: A step of more pairs than this is met by paths that are dealt for it, more ends by pairs that are; fewer move none.
+SMALL_STEP = 100_000
+
+
+def step_pairs(nodes: DataFrame, edges: DataFrame, step: Step, ends: DataFrame, tasks: int) -> DataFrame:
+    """(at, to, c): where one step leads, from nodes of its first type to those of its second that ``ends`` (to) has, dealt
+    by ``at`` into ``tasks``."""
     first, second = (nodes.where(F.col("node_type") == t) for t in (step.from_type, step.to_type))
     if step.kind == "edge":
         at, to = ("head", "tail") if step.direction == "OUT" else ("tail", "head")
         led = edges.where(F.col("relation_type") == step.relation).select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("confidence").alias("c"))
-        return led.join(ends, "to", "left_semi").join(first.select(F.col("node_id").alias("at")), "at", "left_semi").select("at", "to", "c")
-    wanted = second.join(ends.select(F.col("to").alias("node_id")), "node_id", "left_semi")
+        few = ends.count() <= SMALL_STEP
+        led = led.join(F.broadcast(ends.distinct()), "to") if few else led.repartition(tasks, "to").join(ends.repartition(tasks, "to").distinct(), "to")
+        # no semi-joins, which Spark moves below the dealing
+        return led.repartition(tasks, "at").join(first.select(F.col("node_id").alias("at")).repartition(tasks, "at").distinct(), "at").select("at", "to", "c")
+    by_key = step.kind in ("id_match", "attribute_match")
+    a, b = (dict.fromkeys(["node_id", key if by_key else "iv"]) for key in (step.from_key, step.to_key))
+    wanted = second.select(*b).join(ends.select(F.col("to").alias("node_id")), "node_id", "left_semi")
     rule = SingleHop("", step.from_type, step.to_type, step.kind, step.from_key, step.to_key)
-    met = match_step(first, wanted, rule).select(F.col("a.node_id").alias("at"), F.col("b.node_id").alias("to"))
-    return met.where("at <> to").withColumn("c", F.lit(step.confidence))
+    met = match_step(first.select(*a), wanted, rule).select(F.col("a.node_id").alias("at"), F.col("b.node_id").alias("to"))
+    return met.where("at <> to").repartition(tasks, "at").withColumn("c", F.lit(step.confidence))
 
 
 def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataFrame:
@@ -115,15 +127,17 @@ def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataF
     the type of an earlier one: then every path ends, a source needs no more than its first ``max_paths``, and a node no
     more than that many next ones and one for each node it may not visit again.  So a rule through a hub costs its
     edges and its result, not the square of the hub; a type that comes back later is followed in full until it has come.
-    Steps after the first are written in shared scratch space, cut like that.
+    Steps after the first are written in shared scratch space, cut like that.  Pairs are dealt by where they start, paths
+    by the node they have come to, into tasks that grow with the number of nodes; a small step moves no path.
     """
     types, k = rule.types, rule.max_paths
     certain = [all(types[j] not in types[:j] for j in range(place + 1, len(types))) for place in range(len(types))]
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // NODE_BLOCK))
     pairs: list[DataFrame] = []
     ends = nodes.where(F.col("node_type") == types[-1]).select(F.col("node_id").alias("to"))
     for place in range(len(rule.steps), 0, -1):
-        led = step_pairs(nodes, edges, rule.steps[place - 1], ends)
-        if certain[place]:
+        led = step_pairs(nodes, edges, rule.steps[place - 1], ends, tasks)
+        if certain[place] and place > 1:  # those of the first step are paths, which are cut below
             nth = F.dense_rank().over(Window.partitionBy("at").orderBy("to"))
             led = led.withColumn("nth", nth).where(F.col("nth") <= k + types[:place].count(types[place]))
         led = led.groupBy("at", "to").agg(F.max("c").alias("c"))
@@ -131,20 +145,22 @@ def infer_multi_hop(nodes: DataFrame, edges: DataFrame, rule: MultiHop) -> DataF
             led = written(led, "step")
             ends = led.select(F.col("at").alias("to")).distinct()
         pairs.insert(0, led)
-    paths = None
+    paths = None  # path: the nodes before ``at``
     for place, led in enumerate(pairs, 1):
         if paths is None:
-            paths = led.where("at <> to").select(F.array("at", "to").alias("path"), F.col("to").alias("at"), "c")
+            paths = led.where("at <> to").select(F.col("at").alias("head"), F.array("at").alias("path"), F.col("to").alias("at"), "c")
         else:
+            if led.count() > SMALL_STEP:
+                paths = paths.drop("head").repartition(tasks, "at").withColumn("head", F.element_at("path", 1))
             c = F.col("c") if rule.confidence == "last" else F.col("before") * F.col("c")
-            met = paths.withColumnRenamed("c", "before").join(led, "at").where(~F.array_contains("path", F.col("to")))
-            paths = met.select(F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"), c.alias("c"))
+            met = paths.withColumnRenamed("c", "before").join(led, "at").where((F.col("to") != F.col("at")) & ~F.array_contains("path", F.col("to")))
+            paths = met.select("head", F.array_append("path", F.col("at")).alias("path"), F.col("to").alias("at"), c.alias("c"))
         if certain[place]:
-            order = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
+            order = Window.partitionBy("head").orderBy("path", "at")
             paths = paths.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
     return paths.select(
-        F.lit(rule.relation_type).alias("relation_type"), F.element_at("path", 1).alias("head"), F.col("at").alias("tail"),
-        F.round("c", 4).alias("confidence"), F.lit("multi_hop").alias("method"), F.array_join("path", " > ").alias("evidence"),
+        F.lit(rule.relation_type).alias("relation_type"), "head", F.col("at").alias("tail"), F.round("c", 4).alias("confidence"),
+        F.lit("multi_hop").alias("method"), F.array_join(F.array_append("path", F.col("at")), " > ").alias("evidence"),
     )
 
 

@@ -24,14 +24,21 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Lines for each task that makes distinct edges of them.
+LINE_BLOCK = 250_000
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """relation_type, head, tail, confidence."""
+    """relation_type, head, tail, confidence.  Pairs of keys that repeat are dealt by the head, in tasks that grow with the table,
+    and become distinct before they are strings."""
 
     def edge(name, relation, h, t, confidence, distinct=False):
-        e = table(spark, sf_dir, name).select(F.concat(F.lit(h[0]), h[1]).alias("head"), F.concat(F.lit(t[0]), t[1]).alias("tail"))
-        e = e.distinct() if distinct else e
+        e = table(spark, sf_dir, name).select(h[1], t[1])
+        e = e.repartition(tasks, h[1]).distinct() if distinct else e
+        e = e.select(F.concat(F.lit(h[0]), h[1]).alias("head"), F.concat(F.lit(t[0]), t[1]).alias("tail"))
         return e.select(F.lit(relation).alias("relation_type"), "head", "tail", F.lit(confidence).alias("confidence"))
 
+    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINE_BLOCK))
     return (
         edge("orders", "PLACED", ("c", "o_custkey"), ("o", "o_orderkey"), 0.9)
         .union(edge("lineitem", "CONTAINS", ("o", "l_orderkey"), ("p", "l_partkey"), 0.8, True))
@@ -58,8 +65,8 @@ def position_text(key: str = "o_orderkey", cust: str = "o_custkey"):
 
 
 def order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_id, o_orderkey, status and the parsed interval iv of every order."""
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node_id"), "o_orderkey", F.col("o_orderstatus").alias("status"), parse_interval(position_text()).alias("iv"))
+    """node_id, o_orderkey, o_custkey, status and the parsed interval iv of every order."""
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node_id"), "o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), parse_interval(position_text()).alias("iv"))
 
 
 SQL_INTERVALS = "g_intervals AS (SELECT 'o' || o_orderkey AS node_id, o_orderkey, o_orderstatus AS status, o_orderkey::DOUBLE AS s, (o_orderkey + o_custkey % 50)::DOUBLE AS e FROM orders)"

@@ -634,3 +634,17 @@ def test_key_match_join_deals_hot_keys(spark, monkeypatch):
     assert sorted(map(tuple, pairs.collect())) == sorted([(i, r) for i in range(200) for r in range(7)] + [(250, 7)])
     per_task = [r[0] for r in met.where("a.k = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert max(per_task) < 1400
+
+
+def test_chains_are_dealt_into_tasks_that_grow_with_the_graph(spark, monkeypatch):
+    n = spark.range(60).select(F.concat(F.lit("a"), "id").alias("node_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("node_type"))
+    e = spark.range(0, 60, 2).select(F.lit("R").alias("relation_type"), F.concat(F.lit("a"), "id").alias("head"), F.concat(F.lit("a"), F.col("id") + 1).alias("tail"), F.lit(0.5).alias("confidence"))
+    rule = I.MultiHop("T", (I.Step("edge", "x", "y", "R"), I.Step("edge", "y", "x", "R", "IN"), I.Step("edge", "x", "y", "R")))
+    there = I.MultiHop("T", (I.Step("edge", "x", "y", "R"),))
+    want = sorted(I.infer_multi_hop(n, e, there).collect())
+    monkeypatch.setattr(I, "NODE_BLOCK", 1)
+    monkeypatch.setattr(I, "SMALL_STEP", 0)
+    got = I.infer_multi_hop(n, e, there)
+    assert sorted(got.collect()) == want and len(want) == 30
+    assert got.rdd.getNumPartitions() == 60
+    assert I.infer_multi_hop(n, e, rule).count() == 0
