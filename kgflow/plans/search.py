@@ -62,7 +62,10 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, on: str, threshold: floa
         if not len(asks) or not len(have):
             return pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
         scores = _unit_rows(asks["v"]) @ _unit_rows(have["v"]).T
-        i, j = np.nonzero(scores > threshold)
+        near = scores > threshold
+        if scores.shape[1] > k:  # only what is as near as the k-th is sorted
+            near &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+        i, j = np.nonzero(near)
         order = np.lexsort((j, -scores[i, j], i))  # of a query the nearest first, of equals the smallest id
         i, j = i[order], j[order]
         first = np.searchsorted(i, np.arange(len(asks)))

@@ -232,7 +232,8 @@ def search(spark, d):
     name = lambda c: F.create_map(F.lit("name"), c.cast("string")).alias("attributes")
     of = lambda c: F.concat(F.lit("L"), c)
     nodes = e.select(F.concat(F.lit("v"), "vec_id").alias("node_id"), F.lit("plan").alias("node_type"), name(F.col("vec_id"))).union(e.select("label").distinct().select(of("label"), F.lit("risk"), name(of("label"))))
-    nodes = G.nodes(spark, d).union(nodes).join(G.order_intervals(spark, d).select("node_id", "iv"), "node_id", "left")
+    orders = G.order_intervals(spark, d).select("node_id", F.lit("orders").alias("node_type"), name(F.col("status")), "iv")
+    nodes = G.nodes(spark, d).where("node_type <> 'orders'").union(nodes).unionByName(orders, allowMissingColumns=True)
     link = lambda relation, to: e.select(F.lit(relation).alias("relation_type"), F.concat(F.lit("v"), "vec_id").alias("head"), to.alias("tail"), F.lit(1.0).alias("confidence"))
     edges = G.edges(spark, d).union(link("RESPONDS_TO", of("label"))).union(link("USED_IN", F.concat(F.lit("n"), F.col("vec_id") % 25)))
     got = V.search(requests, nodes, vectors, edges, "RESPONDS_TO", _SEARCH_LOOKUPS, _SEARCH_POSITIONS, _HIDDEN, _OUT, 0.1)

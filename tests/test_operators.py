@@ -648,3 +648,19 @@ def test_chains_are_dealt_into_tasks_that_grow_with_the_graph(spark, monkeypatch
     assert sorted(got.collect()) == want and len(want) == 30
     assert got.rdd.getNumPartitions() == 60
     assert I.infer_multi_hop(n, e, rule).count() == 0
+
+
+def test_search_joins_no_positions_to_nodes(spark, monkeypatch, capsys):
+    from kgflow.queries import misc
+
+    class Seen(Exception):
+        pass
+
+    def search(requests, nodes, *rest):
+        nodes.explain()
+        raise Seen
+
+    monkeypatch.setattr(misc.V, "search", search)
+    with pytest.raises(Seen):
+        misc.search(spark, "/root/testdata/sf0.001")
+    assert "Join" not in capsys.readouterr().out
