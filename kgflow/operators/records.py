@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgflow.functions.text import composite_field, extract_json, json_collect_remaining, json_path_get, map_synonyms
@@ -25,32 +25,44 @@ class NodeMapping:
     array: str | None = None
 
 
+def _attributes(doc: Column, metadata: Column, m: NodeMapping) -> Column:
+    """The attributes that a mapping finds in a JSON text; each value is read once."""
+    entries = []
+    for a in dict.fromkeys([*m.fields, *m.metadata, *m.composite]):
+        found = []
+        if a in m.metadata:
+            found.append(metadata[m.metadata[a]])
+        if a in m.composite:
+            paths, sep = m.composite[a]
+            found.append(composite_field([json_path_get(doc, p) for p in paths], sep))
+        if a in m.fields:
+            found.append(json_path_get(doc, m.fields[a]))
+        entries.append(F.struct(F.lit(a).alias("k"), F.coalesce(*found).alias("v")))
+    keep = lambda e: e["v"].isNotNull()
+    if m.remaining:
+        used = [*m.fields.values(), *[p for ps, _ in m.composite.values() for p in ps]]
+        entries.append(F.struct(F.lit(m.remaining).alias("k"), json_collect_remaining(doc, used).alias("v")))
+        keep = lambda e: e["v"].isNotNull() & ((e["k"] != m.remaining) | (e["v"] != ""))
+    return F.map_from_entries(F.filter(F.array(*entries), keep))
+
+
 def map_json_nodes(records: DataFrame, mappings: Sequence[NodeMapping]) -> DataFrame:
-    """records(chunk_id, json, metadata map): (chunk_id, element, node_type, attributes); no node without an attribute."""
-    out = None
-    for m in mappings:
-        rows = records.select("chunk_id", F.lit(0).alias("element"), "json", "metadata")
-        if m.array:
-            rows = records.select("chunk_id", F.posexplode(F.from_json(F.get_json_object("json", f"$.{m.array}"), "array<string>")).alias("element", "json"), "metadata")
-        doc, entries = F.col("json"), []
-        names = list(dict.fromkeys([*m.fields, *m.metadata, *m.composite]))
-        for a in names:
-            v = F.lit(None).cast("string")
-            if a in m.fields:
-                v = json_path_get(doc, m.fields[a])
-            if a in m.composite:
-                paths, sep = m.composite[a]
-                v = F.coalesce(composite_field([json_path_get(doc, p) for p in paths], sep), v)
-            if a in m.metadata:
-                v = F.coalesce(F.col("metadata")[m.metadata[a]], v)
-            entries.append(F.struct(F.lit(a).alias("k"), v.alias("v")))
-        if m.remaining:
-            used = [*m.fields.values(), *[p for ps, _ in m.composite.values() for p in ps]]
-            entries.append(F.struct(F.lit(m.remaining).alias("k"), F.nullif(json_collect_remaining(doc, used), F.lit("")).alias("v")))
-        attrs = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
-        n = rows.select("chunk_id", "element", F.lit(m.node_type).alias("node_type"), attrs.alias("attributes")).where(F.size("attributes") > 0)
-        out = n if out is None else out.union(n)
-    return out
+    """records(chunk_id, json, metadata map): (chunk_id, element, node_type, attributes); no node without an attribute.
+
+    The records are read once: each makes the nodes of all its mappings before they become rows.
+    """
+
+    def node(m: NodeMapping, doc: Column, element: Column) -> Column:
+        return F.struct(element.alias("element"), F.lit(m.node_type).alias("node_type"), _attributes(doc, F.col("metadata"), m).alias("attributes"))
+
+    def nodes(m: NodeMapping) -> Column:
+        if not m.array:
+            return F.array(node(m, F.col("json"), F.lit(0)))
+        elements = F.from_json(F.get_json_object("json", f"$.{m.array}"), "array<string>")
+        return F.transform(F.coalesce(elements, F.array().cast("array<string>")), lambda e, i: node(m, e, i))
+
+    rows = records.select("chunk_id", F.explode(F.concat(*[nodes(m) for m in mappings])).alias("n"))
+    return rows.select("chunk_id", "n.*").where(F.size("attributes") > 0)
 
 
 def scan_json_records(files: DataFrame) -> DataFrame:

@@ -664,3 +664,14 @@ def test_search_joins_no_positions_to_nodes(spark, monkeypatch, capsys):
     with pytest.raises(Seen):
         misc.search(spark, "/root/testdata/sf0.001")
     assert "Join" not in capsys.readouterr().out
+
+
+def test_records_become_nodes_in_one_pass(spark, sf):
+    from kgflow import catalog
+
+    plan = catalog.QUERIES["map_json_nodes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
+    rec = spark.createDataFrame([(1, '{"a":"x","b":{"c":[1]},"l":[{"p":1},2,{"q":" "}],"r":" "}', {"f": "g"}), (2, "no json", {"f": None}), (3, None, None), (4, '{"l":{},"r":"s"}', {})], "chunk_id long, json string, metadata map<string,string>")
+    maps = [R.NodeMapping("whole", {"c": "b.c"}, {"f": "f"}, {"ac": (("a", "b.c[0]"), "/")}), R.NodeMapping("rest", {"a": "a"}, remaining="more"), R.NodeMapping("part", {"p": "p"}, remaining="q", array="l")]
+    got = sorted(((r.chunk_id, r.element, r.node_type, r.attributes) for r in R.map_json_nodes(rec, maps).collect()), key=str)
+    assert got == [(1, 0, "part", {"p": "1"}), (1, 0, "rest", {"a": "x"}), (1, 0, "whole", {"c": "[1]", "f": "g", "ac": "x/1"}), (4, 0, "rest", {"more": "r:s"})]
