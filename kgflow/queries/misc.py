@@ -50,7 +50,8 @@ FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey)::VARCHAR AS part FROM l
 def json_find_key(spark, d):
     r = records(spark, d)
     deep = F.concat(F.lit('{"a":[1,[{"b":{"c":{"d":[{"e":'), "json", F.lit("}]}}}]]}"))
-    return r.select("chunk_id", T.json_find_key(F.col("json"), "key").alias("value"), T.json_find_key(F.col("json"), "part").alias("part"), T.json_find_key(deep, "status").alias("deep"), T.json_find_key(deep, "none").alias("missing"))
+    found = r.select("chunk_id", T.json_find_keys(F.col("json"), ["key", "part"]).alias("own"), T.json_find_keys(deep, ["status", "none"]).alias("deep"))
+    return found.select("chunk_id", F.get("own", F.lit(0)).alias("value"), F.get("own", F.lit(1)).alias("part"), F.get("deep", F.lit(0)).alias("deep"), F.get("deep", F.lit(1)).alias("missing"))
 
 
 @query("SELECT o_orderkey AS chunk_id, 'priority:' || o_orderpriority AS rest FROM orders")

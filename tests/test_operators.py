@@ -675,3 +675,21 @@ def test_records_become_nodes_in_one_pass(spark, sf):
     maps = [R.NodeMapping("whole", {"c": "b.c"}, {"f": "f"}, {"ac": (("a", "b.c[0]"), "/")}), R.NodeMapping("rest", {"a": "a"}, remaining="more"), R.NodeMapping("part", {"p": "p"}, remaining="q", array="l")]
     got = sorted(((r.chunk_id, r.element, r.node_type, r.attributes) for r in R.map_json_nodes(rec, maps).collect()), key=str)
     assert got == [(1, 0, "part", {"p": "1"}), (1, 0, "rest", {"a": "x"}), (1, 0, "whole", {"c": "[1]", "f": "g", "ac": "x/1"}), (4, 0, "rest", {"more": "r:s"})]
+
+
+def test_texts_are_parsed_once_for_several_keys(monkeypatch):
+    parsed = []
+    decoder = T._DECODER
+
+    class Counts:
+        def decode(self, text):
+            parsed.append(text)
+            return decoder.decode(text)
+
+    monkeypatch.setattr(T, "_DECODER", Counts())
+    text = '{"a":{"k":1.50},"\\u006b\\u006b":["x"],"b":"a\\"b"}'
+    assert T.find_keys(text, ["k", "kk", "none", "b", 'a"b']) == ["1.50", '["x"]', None, 'a"b', None] and len(parsed) == 1
+    assert T.find_keys('{"a":1}', ["k", "none"]) == [None, None] and len(parsed) == 1  # neither stands in it
+    assert [T.find_keys(x, ["k"]) for x in (None, "", '"k"', '{"k":1', '{"k":null}')] == [[None]] * 5
+    wide = '{"k":' + "[" * 5000 + "1" + "]" * 5000 + ',"l":2}'
+    assert T.find_keys(wide, ["l", "k"]) == ["2", "[" * 5000 + "1" + "]" * 5000]
