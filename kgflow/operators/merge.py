@@ -73,10 +73,17 @@ def _as_map(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def agg_merge_descriptions(nodes: DataFrame) -> DataFrame:
-    """Distinct values that are not empty, sorted and joined by a full-width semicolon; attributes of the first node only."""
-    first = nodes.groupBy(*DOC).agg(F.min_by(F.map_keys("attributes"), "ord").alias("keys"))
-    rows = _values(nodes).where("value <> ''").groupBy(*DOC, "attr").agg(F.array_join(F.array_sort(F.collect_set("value")), "；").alias("value"))
-    return _as_map(rows.join(first, list(DOC)).where(F.array_contains("keys", F.col("attr"))))
+    """Distinct values that are not empty, sorted and joined by a full-width semicolon; attributes of the first node only.
+
+    Each node adds a row without attribute: the first of those is the first node, which has the attributes that begin there.
+    """
+    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    entries = F.concat(F.coalesce(F.map_entries("attributes"), own), own)
+    rows = nodes.select(*DOC, "ord", F.explode(entries).alias("e")).select(*DOC, "ord", F.col("e.key").alias("attr"), "e.value")
+    found = rows.groupBy(*DOC, "attr").agg(F.array_join(F.array_sort(F.collect_set(F.nullif("value", F.lit("")))), "；").alias("value"), F.min("ord").alias("first"))
+    listed = found.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("attr", "value", "first"))).alias("held"), F.min("first").alias("first"))
+    kept = F.filter("held", lambda e: e["attr"].isNotNull() & (e["value"] != "") & (e["first"] == F.col("first")))
+    return listed.select(*DOC, F.map_from_entries(F.transform(kept, lambda e: F.struct(e["attr"], e["value"]))).alias("attributes")).where(F.size("attributes") > 0)
 
 
 def agg_merge_attributes(nodes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kgflow.operators import corpus as C
 from kgflow.operators import merge as M
 from kgflow.operators import sets as X
-from kgflow.queries.graph import table
+from kgflow.queries.graph import LINE_BLOCK, table
 from kgflow.sources.files import sink_training_split as sink
 from kgflow.sources.scratch import scratch_path
 
@@ -29,8 +29,11 @@ def nodes(spark, d, by="source_file"):
 
     The lines are dealt once, before they have strings and maps, by ``by``: the file, or the chunk, which is the order.
     An id names its order, so its copies lie together, and what groups by file or by chunk needs no further shuffle.
+    Tasks grow with the table, so that each sorts its nodes in memory.
     """
-    li = table(spark, d, "lineitem").withColumns({"source_file": F.concat(F.lit("f"), F.floor(F.col("l_orderkey") / 40)), "chunk_id": F.col("l_orderkey")}).repartition(by)
+    li = table(spark, d, "lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-li.count() // LINE_BLOCK))
+    li = li.withColumns({"source_file": F.concat(F.lit("f"), F.floor(F.col("l_orderkey") / 40)), "chunk_id": F.col("l_orderkey")}).repartition(tasks, by)
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("long"), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"))
     rows = li.select("source_file", "chunk_id", key.alias("node_id"), F.col("l_returnflag").alias("node_type"), "l_linestatus", "l_quantity", "l_shipdate", F.col("l_discount").alias("confidence"), (F.col("l_linenumber") % 3).alias("section"))
     attrs = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("qty"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int").cast("string")).otherwise(""), F.lit("day"), F.date_format("l_shipdate", "yyyy-MM-dd"))

@@ -693,3 +693,23 @@ def test_texts_are_parsed_once_for_several_keys(monkeypatch):
     assert [T.find_keys(x, ["k"]) for x in (None, "", '"k"', '{"k":1', '{"k":null}')] == [[None]] * 5
     wide = '{"k":' + "[" * 5000 + "1" + "]" * 5000 + ',"l":2}'
     assert T.find_keys(wide, ["l", "k"]) == ["2", "[" * 5000 + "1" + "]" * 5000]
+
+
+@pytest.mark.parametrize("name", ["agg_merge_attributes", "agg_merge_descriptions", "agg_create_single"])
+def test_tasks_of_nodes_grow_with_the_lines(spark, sf, monkeypatch, name):
+    from kgflow.queries import merge as Q
+
+    monkeypatch.setattr(Q, "LINE_BLOCK", 500, raising=False)
+    plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    found = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(found) == 1 and f", {tasks})" in found[0]
+
+
+def test_descriptions_are_of_the_attributes_of_the_first_node(spark):
+    schema = "source_file string, chunk_id string, node_id string, node_type string, attributes map<string,string>, confidence double, ord long"
+    rows = [("f", "c", str(i), t, a, 0.5, i) for i, (t, a) in enumerate([
+        ("a", {"x": None, "y": "", "z": "2"}), ("a", {"x": "b", "y": "", "w": "late"}), ("a", {"x": "a", "z": "2"}), ("b", None), ("b", {"x": "1"}), ("c", {}), ("c", {"x": "1"}), ("d", {"x": ""}), ("e", {"x": "1"}), ("e", None),
+    ])]
+    got = {r.node_type: r.attributes for r in M.agg_merge_descriptions(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    assert got == {"a": {"x": "a；b", "z": "2"}, "e": {"x": "1"}}
