@@ -6,10 +6,10 @@ becomes an automaton that reads each text once; a larger one meets the windows o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +37,26 @@ def assert_disjoint(root: DataFrame, attr: DataFrame) -> DataFrame:
 AUTOMATON_CHARS = 1_000_000
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 64
+
+
+def _slices(batch: pa.Array) -> Iterator[list]:
+    for at in range(0, len(batch), SLICE):
+        yield batch.slice(at, SLICE).to_pylist()
+
+
+def _spans(texts: Iterable[list[tuple[int, str]]]) -> pa.Array:
+    """array<struct(start, term)> of a list of (start, term) for each text."""
+    offsets, starts, terms = [0], [], []
+    for found in texts:
+        for start, term in found:
+            starts.append(start)
+            terms.append(term)
+        offsets.append(len(starts))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(terms, pa.string())], ["start", "term"]))
+
+
 class Automaton:
     """Terms as a trie with failure links: one pass over a text finds all of them, however many and however long."""
 
@@ -51,10 +71,12 @@ class Automaton:
         """array<struct(start, term)> of every occurrence, by where it ends, longer terms first."""
         shared = self.shared
 
-        @F.pandas_udf("array<struct<start:int,term:string>>")
-        def found(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<struct<start:int,term:string>>")
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             hits = shared.value.iter if shared else lambda t: ()
-            return pd.Series([[{"start": end + 1 - n, "term": t[end + 1 - n : end + 1]} for end, n in hits(t)] if t else [] for t in texts], dtype=object)
+            for batch in batches:
+                for texts in _slices(batch):
+                    yield _spans([(end + 1 - n, t[end + 1 - n : end + 1]) for end, n in hits(t)] if t else [] for t in texts)
 
         return found(text)
 
@@ -97,9 +119,11 @@ def _windows(lexicon: DataFrame) -> Callable[[Column], Column]:
     """The windows of a text that are as long as some term; there are as many lengths as the longest term has characters at most."""
     lengths = [r[0] for r in lexicon.where("term <> ''").select(F.length("term")).distinct().collect()]
 
-    @F.pandas_udf("array<struct<start:int,term:string>>")
-    def windows(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": i, "term": t[i : i + n]} for i in range(len(t)) for n in lengths if i + n <= len(t)] if t else [] for t in texts], dtype=object)
+    @F.arrow_udf("array<struct<start:int,term:string>>")
+    def windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in _slices(batch):
+                yield _spans([(i, t[i : i + n]) for i in range(len(t)) for n in lengths if i + n <= len(t)] if t else [] for t in texts)
 
     return windows
 
@@ -107,17 +131,19 @@ def _windows(lexicon: DataFrame) -> Callable[[Column], Column]:
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """Greedy from the left: the longest span at the earliest start stays, what overlaps it goes."""
 
-    @F.pandas_udf("array<int>")
-    def kept(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for s, e in zip(starts, ends, strict=True):
-            last, stay = 0, []
-            for i, (a, b) in enumerate(zip(s.tolist(), e.tolist(), strict=True)):
-                if a >= last:
-                    stay.append(i)
-                    last = b
-            out.append(stay)
-        return pd.Series(out, dtype=object)
+    def stay(starts: list[int], ends: list[int]) -> list[int]:
+        last, places = 0, []
+        for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            if a >= last:
+                places.append(i)
+                last = b
+        return places
+
+    @F.arrow_udf("array<int>")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for starts, ends in batches:
+            for s, e in zip(_slices(starts), _slices(ends), strict=True):
+                yield pa.array([stay(*x) for x in zip(s, e, strict=True)], pa.list_(pa.int32()))
 
     first = spans.groupBy("doc_id", "start").agg(F.min(F.struct((F.col("start") - F.col("end")).alias("neg"), "term")).alias("s"))
     docs = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") - F.col("s.neg")).alias("end"), "s.term"))).alias("s"))

@@ -713,3 +713,16 @@ def test_descriptions_are_of_the_attributes_of_the_first_node(spark):
     ])]
     got = {r.node_type: r.attributes for r in M.agg_merge_descriptions(spark.createDataFrame(rows, schema).repartition(3)).collect()}
     assert got == {"a": {"x": "a；b", "z": "2"}, "e": {"x": "1"}}
+
+
+def test_matches_of_a_batch_are_not_held_at_once(spark):
+    """More texts than a slice of a batch has, with many matches each: in their order, null and empty ones among them."""
+    rows = [(i, None if i % 7 == 0 else "" if i % 5 == 0 else "abab" * (i % 40)) for i in range(L.SLICE * 3 + 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lexicon = spark.createDataFrame([("ab",), ("bab",)], "term string")
+    want = sorted((i, s, s + len(w), w) for i, t in rows for w in ("ab", "bab") for s in range(len(t or "")) if t[s:].startswith(w))
+    for most in (L.AUTOMATON_CHARS, 0):
+        found = L.lexicon_match(docs, lexicon, most)
+        assert sorted(map(tuple, found.collect())) == want
+    left = L.resolve_overlaps(found)
+    assert sorted((r.doc_id, r.start, r.end) for r in left.collect()) == [(i, s, s + 2) for i, t in rows for s in range(0, len(t or ""), 2)]
