@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,7 +16,7 @@ def step(state: tuple, kind: str, n_plans: int, most: int = 3) -> tuple:
     if name == "REFUSED":
         return "PRESENTING", idx, rejections, plans
     if name in ("IDLE", "COMPLETED") or kind == "change":
-        return ("PRESENTING" if n_plans > 0 else "COMPLETED"), 0, 0, n_plans
+        return ("PRESENTING" if n_plans is not None and n_plans > 0 else "COMPLETED"), 0, 0, n_plans
     if kind == "accept":
         return "COMPLETED", idx, rejections, plans
     if kind == "reject":
@@ -26,82 +25,99 @@ def step(state: tuple, kind: str, n_plans: int, most: int = 3) -> tuple:
     return state
 
 
-@dataclass
-class _Open:
-    """A conversation since its first turn; times in microseconds."""
-
-    started: int = 0
-    last: int = 0
-    n_turns: int = 0
-    state: str = "IDLE"
-    idx: int = 0
-    rejections: int = 0
-    plans: int = 0
-
-
 _STATE = "started long, last long, n_turns long, state string, idx int, rejections int, plans int"
-_TURNS = "array<struct<ts: long, turn: long, kind: string, n_plans: int>>"
+#: A conversation before its first turn: the values of _STATE; times in microseconds.
+_NEW = (0, 0, 0, "IDLE", 0, 0, 0)
+_TOLD = ["conv_id", "started", "last", "n_turns", "state", "idx", "rejections", "plans", "ended"]
 
 
-def fold(conversation: _Open, turns: list[tuple], idle: int, most: int) -> tuple[_Open, list[_Open]]:
+def fold(conversation: tuple, turns: list[tuple], idle: int, most: int) -> tuple[tuple, list[tuple]]:
     """Takes turns (ts, turn, kind, n_plans) in order: the conversation that is open then, and those that ended by a gap."""
     ended = []
+    started, last, n_turns, *now = conversation
     for ts, _, kind, n_plans in turns:
-        if conversation.n_turns and ts - conversation.last > idle:
-            ended.append(conversation)
-            conversation = _Open()
-        now = step((conversation.state, conversation.idx, conversation.rejections, conversation.plans), kind, n_plans, most)
-        conversation = _Open(ts if not conversation.n_turns else conversation.started, ts, conversation.n_turns + 1, *now)
-    return conversation, ended
+        if n_turns and ts - last > idle:
+            ended.append((started, last, n_turns, *now))
+            n_turns, now = 0, _NEW[3:]
+        started = started if n_turns else ts
+        last, n_turns, now = ts, n_turns + 1, step(now, kind, n_plans, most)
+    return (started, last, n_turns, *now), ended
+
+
+def _order(turn: tuple) -> tuple:
+    ts, number, kind, n_plans = turn
+    return ts, number, kind or "", -1 if n_plans is None else n_plans
+
+
+def _plans(column: pd.Series) -> list:
+    """pandas makes fractions of whole numbers among which some are null."""
+    return [None if pd.isna(n) else int(n) for n in column.tolist()] if column.hasnans else column.astype(int).tolist()
 
 
 class _Dialogs(StatefulProcessor):
-    """Keyed value state (the open conversation and the turns that wait) and one event-time timer a conversation."""
+    """Keyed value state of a group (its open conversations and the turns that wait) and one event-time timer a group."""
 
     def __init__(self, idle: int, most: int):
         self.idle, self.most = idle, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("conversation", f"{_STATE}, timer long, waiting {_TURNS}")
+        held = f"conv_id string, {_STATE}, waiting_id string, ts long, turn long, kind string, n_plans int"
+        lists = ", ".join(f"{name} array<{kind}>" for name, kind in (column.split() for column in held.split(", ")))
+        self.held = handle.getValueState("conversations", f"timer long, {lists}")
 
-    def _advance(self, key: tuple, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        """new: (conv_id, ts, turn, kind, n_plans)."""
         held = self.held.get()
-        conversation, timer, waiting = (_Open(*held[:7]), held[7], [tuple(t) for t in held[8]]) if held else (_Open(), 0, [])
-        waiting = sorted(waiting + new)
-        due = [t for t in waiting if t[0] <= watermark]  # nothing older can come
-        waiting = waiting[len(due) :]
-        conversation, ended = fold(conversation, due, self.idle, self.most)
-        if conversation.n_turns and not waiting and conversation.last + self.idle < watermark:
-            ended.append(conversation)
-            conversation = _Open()
-        if timer:
-            self.handle.deleteTimer(timer)
-        if conversation.n_turns or waiting:
-            timer = -(-(waiting[0][0] if waiting else conversation.last + self.idle + 1) // 1000)
-            self.handle.registerTimer(timer)
-            self.held.update((*astuple(conversation), timer, waiting))
-        else:
+        opened = {conv: tuple(values) for conv, *values in zip(*held[1:9], strict=True)} if held else {}
+        turns: dict = {}
+        for conv, *turn in [*(zip(*held[9:], strict=True) if held else ()), *new]:
+            turns.setdefault(conv, []).append(tuple(turn))
+        fresh = {row[0] for row in new}
+        rows, keep, wait, timer = [], [], [], None
+        for conv in opened.keys() | turns.keys():
+            before, waiting = opened.get(conv, _NEW), sorted(turns.get(conv, ()), key=_order)
+            due = [t for t in waiting if t[0] <= watermark]  # nothing older can come
+            waiting = waiting[len(due) :]
+            now, ended = fold(before, due, self.idle, self.most)
+            if now[2] and not waiting and now[1] + self.idle < watermark:
+                ended.append(now)
+                now = _NEW
+            if now[2]:
+                keep.append((conv, *now))
+            wait += [(conv, *t) for t in waiting]
+            if now[2] or waiting:
+                at = waiting[0][0] if waiting else now[1] + self.idle + 1
+                timer = at if timer is None else min(timer, at)
+            if conv in fresh or due or ended:
+                live, crossed = fold(now, waiting, self.idle, self.most)
+                rows += [(conv, *c, True) for c in ended]
+                if live[2]:
+                    rows += [(conv, *c, False) for c in (*crossed, live)]
+        if held:
+            self.handle.deleteTimer(held[0])
+        if timer is None:
             self.held.clear()
-        live, crossed = fold(replace(conversation), waiting, self.idle, self.most)
-        rows = [(key[0], *astuple(c), True) for c in ended]
-        if live.n_turns:
-            rows += [(key[0], *astuple(c), False) for c in (*crossed, live)]
+        else:
+            timer = -(-timer // 1000)
+            self.handle.registerTimer(timer)
+            lists = [list(c) for part, n in ((keep, 8), (wait, 5)) for c in (zip(*part, strict=True) if part else [()] * n)]
+            self.held.update((timer, *lists))
         if rows:
-            yield pd.DataFrame(rows, columns=["conv_id", "started", "last", "n_turns", "state", "idx", "rejections", "plans", "ended"])
+            yield pd.DataFrame(rows, columns=_TOLD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(ts, turn, kind, n) for pdf in rows for ts, turn, kind, n in zip(pdf["at"].tolist(), pdf["turn"].tolist(), pdf["kind"].tolist(), pdf["n_plans"].tolist(), strict=True)]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs() * 1000)
+        new = [row for pdf in rows for row in zip(*(pdf[c].tolist() for c in ("conv_id", "at", "turn", "kind")), _plans(pdf["n_plans"]), strict=True)]
+        yield from self._advance(new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
-def stream_dialog_state(turns: DataFrame, idle: int, late: str, most: int = 3) -> DataFrame:
+def stream_dialog_state(turns: DataFrame, idle: int, late: str, most: int = 3, groups: int = 4096) -> DataFrame:
     """turns(conv_id, ts, turn, kind, n_plans): the conversations that a batch changed, for a query in update mode.
 
     A conversation ends when no turn follows within ``idle`` seconds; its state goes and a later turn begins a new one.
@@ -109,11 +125,17 @@ def stream_dialog_state(turns: DataFrame, idle: int, late: str, most: int = 3) -
     the latest turn, has passed them, and older ones are dropped, as Spark's watermark says.  Rows with ``ended`` are
     final, one a conversation; the others tell the state as of all turns so far, and the next batch that has rows of
     the conv_id replaces them (``current_dialogs``).  The query needs the RocksDB state store (``run_available`` sets it).
+
+    Conversations are dealt into ``groups`` by hash, and a group is a key of the state: a call of Python, its data frames
+    and its messages to the state store cost the same for one conversation as for a hundred.  A batch writes the state of
+    the groups it has turns of, so a group should stay small; a checkpoint holds the number it began with.
     """
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    timed = turns.withWatermark("ts", late).select("conv_id", "ts", F.unix_micros("ts").alias("at"), F.col("turn").cast("long").alias("turn"), "kind", F.col("n_plans").cast("int").alias("n_plans"))
-    out = f"conv_id {kind}, {_STATE}, ended boolean"
-    return timed.groupBy("conv_id").transformWithStateInPandas(_Dialogs(idle * 1_000_000, most), out, "update", "EventTime")
+    conv = F.col("conv_id").cast("string").alias("conv_id")  # pandas would round large numbers among which some are null
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(2**63 - 1)).alias("turn")  # null last
+    group = F.pmod(F.xxhash64("conv_id"), F.lit(groups)).alias("group")
+    timed = turns.withWatermark("ts", late).select(group, conv, "ts", F.unix_micros("ts").alias("at"), turn, "kind", F.col("n_plans").cast("int").alias("n_plans"))
+    told = timed.groupBy("group").transformWithStateInPandas(_Dialogs(idle * 1_000_000, most), f"conv_id string, {_STATE}, ended boolean", "update", "EventTime")
+    return told.withColumn("conv_id", F.col("conv_id").cast(turns.schema["conv_id"].dataType))
 
 
 def current_dialogs(rows: DataFrame) -> DataFrame:
