@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kgflow.llm import op03_pivot_dedup, op05_ngram_jaccard, op07_line_dedup, op10_exact_dedup
+from kgflow.llm import common, op03_pivot_dedup, op05_ngram_jaccard, op07_line_dedup, op10_exact_dedup
 from kgflow.llm.common import connected_components, table
 
 
@@ -273,6 +273,35 @@ def test_line_dedup_edge_cases(spark):
     assert sorted([got["u"], got["v"]]) in ([("", 2, 2), (rows[1][1], 4, 0)], [(rows[0][1], 2, 0), ("}\n}", 4, 2)])
 
 
+def exchanged(plan):
+    """Bytes that the exchanges of an executed plan have dealt."""
+    name, children = plan.getClass().getSimpleName(), plan.children()
+    own = plan.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name == "ShuffleQueryStageExec" else None
+    return own + (exchanged(inner) if inner is not None else 0) + sum(exchanged(children.apply(i)) for i in range(children.size()))
+
+
+def test_line_dedup_shuffles_no_text_that_keeps_its_lines(spark):
+    rng = random.Random(11)
+    rows = [(i, "\n".join(" ".join(str(rng.randrange(10**9)) for _ in range(40)) for _ in range(6))) for i in range(200)]
+    rows += [(200, rows[3][1].split("\n")[2] + "\nmore words"), (201, None), (202, "")]
+    done = op07_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in done.collect()}
+    assert got == {i: (t, t.count("\n") + 1 if t is not None else 0, 0) for i, t in rows} | {200: ("more words", 2, 1)}
+    assert exchanged(done._jdf.queryExecution().executedPlan()) < sum(len(t or "") for _, t in rows) / 10
+
+
+def test_sieve_lets_all_its_keys_pass_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "_SIEVE_LEAST", 1 << 12)
+    keys = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 6000)
+    sieve = common.Sieve(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key long").union(spark.createDataFrame([(int(keys[0]),)], "key long")))
+    assert sieve.bits == 1 << 15 and sieve.passes(keys[:2000]).all() and sieve.passes(keys[2000:]).mean() < 0.03
+    assert not common.Sieve(spark.createDataFrame([], "key long")).passes(keys).any()
+    monkeypatch.setattr(common, "_SIEVE_MOST", 1 << 11)  # full: others pass too, and no key is lost
+    full = common.Sieve(spark.createDataFrame([(int(k),) for k in keys[:2000]], "key long"))
+    assert full.bits == 1 << 11 and full.passes(keys[:2000]).all()
+
+
 def test_band_signatures_estimate_similarity():
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400))
