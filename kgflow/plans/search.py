@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,53 +27,128 @@ def check_vectors(rows: DataFrame, vector: str, dim: int) -> tuple[DataFrame, Da
     return rows.where(ok), rows.where(~ok)
 
 
-#: Queries and vectors of a category that one task compares.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Queries of 64 numbers that a task holds, and vectors of a category that pass by them, at most.
+QUERY_BLOCK, VECTOR_BLOCK = 65_536, 131_072
+#: Pairs from which on a category is dealt to several tasks.
+PAIRS = 1 << 22
+#: Queries and vectors whose similarities are one matrix.
+_ROWS, _COLUMNS = 512, 4096
+#: Similarities are rounded to so many digits before they are ordered, since a matrix product may differ in the last bits of equal vectors.
+_DIGITS = 12
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), float)
+def _unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), dim)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+class _Nearest:
+    """The k nearest so far of the queries of one block, while the vectors of a block pass by in the order of their ids."""
+
+    def __init__(self, dim: int, threshold: float, k: int):
+        self.dim, self.threshold, self.k, self.passed = dim, threshold, k, 0
+        self.asks, self.held, self.names, self.q = [], [], [], None
+
+    def ask(self, ids: pa.Array, vectors: pa.Array) -> None:
+        self.asks.append(ids)
+        self.held.append(_unit_rows(vectors, self.dim))
+
+    def meet(self, ids: pa.Array, vectors: pa.Array) -> None:
+        if self.q is None:
+            self.q, self.held = np.concatenate(self.held) if self.held else np.zeros((0, self.dim)), []
+            self.best, self.at = np.full((len(self.q), self.k), -np.inf), np.zeros((len(self.q), self.k), np.int64)
+        if not len(self.q):
+            return
+        v = _unit_rows(vectors, self.dim)
+        for i in range(0, len(self.q), _ROWS):
+            for j in range(0, len(v), _COLUMNS):
+                self._better(slice(i, i + _ROWS), self.q[i : i + _ROWS] @ v[j : j + _COLUMNS].T, self.passed + j)
+        self.names.append(ids)
+        self.passed += len(v)
+
+    def _better(self, rows: slice, scores: np.ndarray, first: int) -> None:
+        best, at, k, close = self.best[rows], self.at[rows], self.k, 10.0**-_DIGITS
+        near = (scores > self.threshold) & (scores >= best[:, -1:] - close)
+        if scores.shape[1] > k and np.count_nonzero(near) > 4 * near.shape[0] * k:  # only what is as near as the k-th is sorted
+            near &= scores >= np.partition(np.where(near, scores, -np.inf), -k, axis=1)[:, -k, None] - close
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        which = np.unique(i)
+        row = np.concatenate([np.repeat(which, k), i])
+        score, place = np.concatenate([best[which].ravel(), np.round(scores[i, j], _DIGITS)]), np.concatenate([at[which].ravel(), first + j])
+        order = np.lexsort((place, -score, row))  # of a query the nearest first, of equals the smallest id
+        row, score, place = row[order], score[order], place[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        best[which], at[which] = score[kept].reshape(-1, k), place[kept].reshape(-1, k)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.asks or not self.passed:
+            return
+        i, j = np.nonzero(self.best > -np.inf)
+        cols = [pa.concat_arrays(self.asks).take(pa.array(i)), pa.concat_arrays(self.names).take(pa.array(self.at[i, j])), pa.array(self.best[i, j])]
+        yield pa.record_batch(cols, names=["query_id", "node_id", "similarity"])
+
+
+def _nearest(on: str, threshold: float, k: int):
+    """Rows in the order of their blocks, of a block the queries first and then the vectors by id: (query_id, node_id, similarity)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = state = None
+        for batch in batches:
+            col = {name: batch.column(name) for name in batch.schema.names}
+            parts = [col[on].dictionary_encode().indices.to_numpy(), *(col[c].to_numpy(zero_copy_only=False) for c in ("dim", "a", "b", "asks"))]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in parts], axis=0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                at = tuple(col[c][start].as_py() for c in (on, "dim", "a", "b"))
+                if at != block:
+                    if state:
+                        yield from state.found()
+                    block, state = at, _Nearest(at[1], threshold, k)
+                asks, vectors = col["asks"][start].as_py(), col["v"].slice(start, end - start)
+                (state.ask if asks else state.meet)(col["query_id" if asks else "node_id"].slice(start, end - start), vectors)
+        if state:
+            yield from state.found()
+
+    return run
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, on: str, threshold: float = 0.6, k: int = 10) -> DataFrame:
     """queries(query_id, on, q), vectors(node_id, on, v): the k nearest of the same category above the threshold.
 
-    A category is dealt into blocks of queries and of vectors; every pair of blocks is one
-    matrix product, of which each query keeps its k best, so a hot category is many tasks.
+    A category is dealt into blocks of queries and of vectors, of which each meets each: about as many pairs of blocks
+    as the tasks that its share of all pairs is worth.  A task holds the queries of its block with their k nearest, and
+    the vectors pass by; so rows are sent as often as there are tasks to share the work, not once for every few
+    thousand of the other side, and a hot category is many tasks.
     Vectors meet those of their own length only; NULL ones meet none, zero ones have similarity 0.
     """
 
-    def dealt(rows: DataFrame, id_col: str, v: str, side: str, block: int) -> tuple[DataFrame, DataFrame]:
-        rows = rows.where(F.col(v).isNotNull() & F.col(on).isNotNull()).select(F.col(id_col).alias("id"), on, F.col(v).cast("array<double>").alias("v"), F.size(v).alias("dim"))
-        n = rows.groupBy(on, "dim").agg(F.ceil(F.count("*") / block).cast("int").alias(f"{side}_n"))
-        return rows, n
-
-    (q, nq), (v, nv) = dealt(queries, "query_id", "q", "a", QUERY_BLOCK), dealt(vectors, "node_id", "v", "b", VECTOR_BLOCK)
-    plan = nq.join(nv, [on, "dim"])
-    q = q.join(plan, [on, "dim"]).select("id", on, "dim", "v", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), "a_n").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("b_n") - 1)).alias("b"))
-    v = v.join(plan, [on, "dim"]).select("id", on, "dim", "v", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("a_n") - 1)).alias("a"), F.pmod(F.xxhash64("id"), "b_n").cast("int").alias("b"))
+    def dealt(rows: DataFrame, id_col: str, v: str, side: str) -> tuple[DataFrame, DataFrame]:
+        numbers = F.col(v) if dict(rows.dtypes)[v] == "array<float>" else F.col(v).cast("array<double>")
+        rows = rows.where(F.col(v).isNotNull() & F.col(on).isNotNull()).select(F.col(id_col).alias("id"), on, numbers.alias("v"), F.size(v).alias("dim"))
+        return rows, rows.groupBy(on, "dim").agg(F.count("*").alias(side))
+
+    (q, nq), (v, nv) = dealt(queries, "query_id", "q", "nq"), dealt(vectors, "node_id", "v", "nv")
+    tasks, sizes = 4 * queries.sparkSession.sparkContext.defaultParallelism, nq.join(nv, [on, "dim"])
+    pairs = F.col("nq").cast("double") * F.col("nv")
+    share = F.least(F.ceil(pairs / PAIRS), F.ceil(tasks * pairs / sizes.agg(F.sum(pairs)).scalar()))
+    # the blocks of both sides are about as long, so that the fewest rows are sent
+    a = F.greatest(F.ceil(F.col("nq") * F.greatest(F.col("dim") / 64, F.lit(1.0)) / QUERY_BLOCK), F.least(F.col("nq"), F.round(F.sqrt(share * F.col("nq") / F.col("nv")))), F.lit(1))
+    plan = sizes.withColumn("share", share).withColumn("a_n", a.cast("int"))
+    b = F.greatest(F.ceil(F.col("nv") / VECTOR_BLOCK), F.least(F.col("nv"), F.ceil(F.col("share") / F.col("a_n"))), F.lit(1))
+    plan = plan.withColumn("b_n", b.cast("int")).select(on, "dim", "a_n", "b_n")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["node_id"]
-    rows = q.select("*", F.col("id").alias("query_id"), F.lit(None).cast(types[1]).alias("node_id")).drop("id").unionByName(v.select("*", F.lit(None).cast(types[0]).alias("query_id"), F.col("id").alias("node_id")).drop("id"))
-
-    def best(g: pd.DataFrame) -> pd.DataFrame:
-        asks, have = g[g["asks"]], g[~g["asks"]].sort_values("node_id")
-        if not len(asks) or not len(have):
-            return pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
-        scores = _unit_rows(asks["v"]) @ _unit_rows(have["v"]).T
-        near = scores > threshold
-        if scores.shape[1] > k:  # only what is as near as the k-th is sorted
-            near &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
-        i, j = np.nonzero(near)
-        order = np.lexsort((j, -scores[i, j], i))  # of a query the nearest first, of equals the smallest id
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, np.arange(len(asks)))
-        kept = np.arange(len(i)) - first[i] < k
-        i, j = i[kept], j[kept]
-        return pd.DataFrame({"query_id": asks["query_id"].to_numpy()[i], "node_id": have["node_id"].to_numpy()[j], "similarity": scores[i, j]})
-
-    found = rows.groupBy(on, "dim", "a", "b").applyInPandas(best, f"query_id {types[0]}, node_id {types[1]}, similarity double")
+    q = q.join(plan, [on, "dim"]).select(on, "dim", "b_n", "v", F.lit(True).alias("asks"), own("a_n").alias("a"), each("b_n").alias("b"), F.col("id").alias("query_id"), F.lit(None).cast(types[1]).alias("node_id"))
+    v = v.join(plan, [on, "dim"]).select(on, "dim", "b_n", "v", F.lit(False).alias("asks"), each("a_n").alias("a"), own("b_n").alias("b"), F.lit(None).cast(types[0]).alias("query_id"), F.col("id").alias("node_id"))
+    task = F.pmod(F.pmod(F.xxhash64(on, "dim"), F.lit(tasks)) + F.col("a") * F.col("b_n") + F.col("b"), F.lit(tasks)).cast("int")
+    rows = q.unionByName(v).repartitionById(tasks, task).drop("b_n")
+    rows = rows.sortWithinPartitions(on, "dim", "a", "b", F.col("asks").desc(), "node_id")
+    found = rows.mapInArrow(_nearest(on, threshold, k), f"query_id {types[0]}, node_id {types[1]}, similarity double")
     return top_k(found, "query_id", "similarity", k, "node_id")
 
 

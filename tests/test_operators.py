@@ -364,6 +364,31 @@ def test_cosine_topk_equals_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def records_sent(plan):
+    """Rows that the exchanges of an executed plan have dealt."""
+    name, children = plan.getClass().getSimpleName(), plan.children()
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    return own + (records_sent(inner) if inner is not None else 0) + sum(records_sent(children.apply(i)) for i in range(children.size()))
+
+
+def test_cosine_topk_sends_rows_in_proportion(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(Q, "PAIRS", 1000, raising=False)
+    base, sent = np.random.default_rng(5).normal(size=(150, 8)), []
+    for n in (6000, 12000):
+        df = spark.createDataFrame([(f"v{i}", "hot" if i % 5 else "cold", base[i % 150].tolist()) for i in range(n)], "node_id string, c string, v array<float>")
+        found = Q.cosine_topk(df.where("c = 'hot'").select(F.col("node_id").alias("query_id"), "c", F.col("v").alias("q")), df, "c", 0.5, 3)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.node_id
+        first = {b: sorted(f"v{i}" for i in range(b, n, 150))[:3] for b in range(150)}  # many equal vectors: the smallest ids, whatever block they are in
+        assert got == {f"v{i}": dict(enumerate(first[i % 150], 1)) for i in range(n) if i % 5}
+        sent.append(records_sent(found._jdf.queryExecution().executedPlan()))
+    assert 0 < sent[1] < 2.5 * sent[0]
+
+
 def test_splits_are_partitions(spark):
     rows = spark.createDataFrame([(f"t{i}", i % 3, i) for i in range(100)], "text string, label int, ord int")
     split = C.stratified_split(rows, "s")
