@@ -661,6 +661,28 @@ def test_key_match_join_deals_hot_keys(spark, monkeypatch):
     assert max(per_task) < 1400
 
 
+@pytest.mark.parametrize("part", [10, 1000])
+def test_key_match_join_in_rounds_repeats_few_values_at_a_time(spark, monkeypatch, tmp_path, part):
+    monkeypatch.setattr(J, "KEY_PART", part, raising=False)
+    left = spark.range(300).selectExpr("id", "CASE WHEN id < 200 THEN 'hot' WHEN id < 290 THEN 'k' || id END AS k")
+    right = spark.createDataFrame([(i, "hot") for i in range(50)] + [(50, "k250"), (51, "none"), (52, None)], "rid int, k string")
+    pairs = J.key_match_join(left, right, "k", "k", rounds=8).select("a.id", "b.rid")
+    assert sorted(map(tuple, pairs.collect())) == sorted([(i, r) for i in range(200) for r in range(50)] + [(250, 50)])
+
+
+def test_key_match_join_writes_pairs_in_little_space(spark, sf, tmp_path):
+    from kgflow import catalog
+
+    for name, key, n in (("customer", "c_custkey", 40), ("supplier", "s_suppkey", 12000)):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        rows = rows.limit(5).crossJoin(spark.range(n).withColumnRenamed("id", "r")).withColumn(key, F.col(key) + F.col("r") * 1000).withColumn(f"{name[0]}_nationkey", F.lit(3))
+        rows.drop("r").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    catalog.QUERIES["key_match_join"](spark, str(tmp_path)).coalesce(1).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 200 * 60_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 200 * 60_000 / 2
+
+
 def test_chains_are_dealt_into_tasks_that_grow_with_the_graph(spark, monkeypatch):
     n = spark.range(60).select(F.concat(F.lit("a"), "id").alias("node_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("node_type"))
     e = spark.range(0, 60, 2).select(F.lit("R").alias("relation_type"), F.concat(F.lit("a"), "id").alias("head"), F.concat(F.lit("a"), F.col("id") + 1).alias("tail"), F.lit(0.5).alias("confidence"))
